@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,9 +49,26 @@ def drop_table(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches of the Python steps that follow in this session."""
+_shipped: set[str] = set()
+
+
+def python_steps(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Make ready for Python steps: bound their Arrow batches, and send this package to the executors once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        packed = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(packed))
+        _shipped.add(app)
+
+
+def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, a cut table, marked for broadcast if it has at most so many rows; joined by exchange otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def ascii_lower(column: Column | str, spark: SparkSession) -> Column:
