@@ -21,6 +21,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that part words when only letters and digits make words; those of longer characters count as letters.
+NON_WORD = np.ones(256, dtype=bool)
+NON_WORD[128:] = NON_WORD[48:58] = NON_WORD[65:91] = NON_WORD[97:123] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,9 +83,9 @@ def text_slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.nd
         row = stop
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of the texts in a slice: (hashes, starts, ends, bounds), bounds being the first word of each text."""
-    inside = ~_SPACE[raw]
+    inside = ~apart[raw]
     starts_here = inside.copy()
     starts_here[1:] &= ~inside[:-1]
     first = offsets[:-1]
