@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from millrace.llm.decontaminate import find_contamination
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.language_id import held_out, identify_languages, learning_rows
 from millrace.llm.near_dedup import near_groups
+from millrace.llm.sentencepiece_codec import encoding_digest
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), carry=["doc_id"])
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digest(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = identify_languages(docs.select("doc_id", "text"), learning_rows(docs))
@@ -38,6 +44,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op8_language_id": op8_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
