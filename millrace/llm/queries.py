@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,6 +14,11 @@ from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.language_id import held_out, identify_languages, learning_rows
 from millrace.llm.near_dedup import near_groups
 from millrace.llm.sentencepiece_codec import encoding_digest
+from millrace.llm.shared import shared_dir
+from millrace.llm.token_counts import count_tokens
+from millrace.llm.token_files import read_token_files, write_token_files
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +37,16 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark).rstrip('/')}/millrace/token-files-{uuid.uuid4().hex}"
+    write_token_files(_documents(spark, sf_dir), path, BYTE_BPE)
+    return read_token_files(spark, path)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_documents(spark, sf_dir), BYTE_BPE)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = identify_languages(docs.select("doc_id", "text"), learning_rows(docs))
@@ -44,7 +60,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_files": op3_token_files,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_token_counts": op5_token_counts,
     "op8_language_id": op8_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
