@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.llm.decontaminate import find_contamination
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.language_id import held_out, identify_languages, learning_rows
+from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.near_dedup import near_groups
 from millrace.llm.sentencepiece_codec import encoding_digest
 from millrace.llm.shared import shared_dir
@@ -37,8 +38,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def _new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/millrace/token-files-{uuid.uuid4().hex}"
+    path = _new_folder(spark, "token-files")
     write_token_files(_documents(spark, sf_dir), path, BYTE_BPE)
     return read_token_files(spark, path)
 
@@ -47,6 +52,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), BYTE_BPE)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_documents(spark, sf_dir), _new_folder(spark, "line-state"), text=False)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = identify_languages(docs.select("doc_id", "text"), learning_rows(docs))
@@ -63,11 +72,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_token_counts": op5_token_counts,
+    "op6_line_dedup": op6_line_dedup,
     "op8_language_id": op8_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": """
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split),
+        keyed AS (
+            SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+        shared AS (
+            SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        judged AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id <> s.last AS dropped FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id""",
     "op2_exact_dedup": """
         WITH t AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
