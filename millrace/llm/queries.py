@@ -15,6 +15,7 @@ from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.language_id import held_out, identify_languages, learning_rows
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.near_dedup import near_groups
+from millrace.llm.quality import graded, score_quality
 from millrace.llm.sentencepiece_codec import encoding_digest
 from millrace.llm.shared import cut, shared_dir
 from millrace.llm.token_counts import count_tokens
@@ -57,6 +58,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_documents(spark, sf_dir), _new_folder(spark, "line-state"), text=False)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    rated = docs.join(graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), "doc_id")
+    scored = score_quality(docs, rated)
+    return scored.select("doc_id", "expected_grade", F.get("tails", F.lit(0)).alias("p_not_toxic"), F.get("tails", F.lit(1)).alias("p_good"), "kept")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = identify_languages(docs.select("doc_id", "text"), learning_rows(docs))
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
+    "op7_quality": op7_quality,
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
