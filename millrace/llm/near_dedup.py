@@ -11,7 +11,9 @@
    five standard errors of the threshold is confirmed on the full sets of both texts.
 4. Links give components. Buckets whose members now all lie in one component are done, as their
    other links would join nothing new. In the rest, members of different components are compared by
-   bit counts in tiles of bounded size, and passing pairs are confirmed like those of step 3. Nothing is capped.
+   bit counts in tiles of bounded size. Members of a passing pair are sent with their texts to the same tile, where
+   the pairs are confirmed on full sets, each in the first band that it shares; only links leave a tile, and none
+   between rows that it has already joined. Nothing is capped.
 5. Components of all links; the label is the smallest id of the group.
 """
 
@@ -32,8 +34,10 @@ SHINGLE, PERMUTATIONS, BAND_ROWS, BITS = 5, 128, 4, 4
 BANDS = PERMUTATIONS // BAND_ROWS
 #: Shingles hashed at once, so that what the permutations touch stays in the cache.
 BLOCK = 1 << 15
-#: Representatives of a bucket that are compared with each other at once; larger buckets are cut into tiles.
-TILE = 1024
+#: Representatives of a bucket, and shingles in them, that make a block; larger buckets are cut into tiles of two blocks.
+TILE, TILE_SHINGLES = 512, 1 << 20
+#: Pairs of a tile from which their intersections are counted together by matrix products, and the columns of a product.
+DENSE_PAIRS, DENSE_COLUMNS = 256, 4096
 #: Ids of documents to confirm are broadcast up to this count (8 bytes each), and joined by exchange beyond it.
 BROADCAST_IDS = 500_000
 
@@ -131,79 +135,156 @@ def _estimated(least: float):
     return run
 
 
-def _tiles(least: float, percent: int):
-    """Pairs of different components in each tile that pass the estimate; rows come sorted by tile."""
-
-    def pairs(ids, comp, n, side, bits, diagonal):
-        i, j = (np.arange(len(ids)), np.arange(len(ids))) if diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        step = max(1, (1 << 16) // max(1, len(j)))
-        for at in range(0, len(i), step):
-            own = i[at : at + step]
-            ok = comp[own, None] != comp[None, j]
-            if diagonal:
-                ok &= own[:, None] < j[None, :]
-            small, large = np.minimum(n[own, None], n[None, j]), np.maximum(n[own, None], n[None, j])
-            ok &= small * 100 >= large * percent
-            p, q = np.nonzero(ok)
-            if len(p):
-                p, q = own[p], j[q]
-                good = equal_values(bits[p], bits[q]) >= least
-                yield np.maximum(ids[p], ids[q])[good], np.minimum(ids[p], ids[q])[good]
+def _by_tile(work, names: list[str]):
+    """Run `work` on the table of each tile; rows come sorted by (band, x, y), and a tile may span batches."""
+
+    def done(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        key = np.stack([table.column(k).to_numpy() for k in range(3)])
+        new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        found = [work(table.slice(s, e - s)) for s, e in zip([0, *new.tolist()], [*new.tolist(), table.num_rows]) if e - s > 1]
+        found = [f for f in found if f is not None]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(len(names))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, x, y, side, ids, comp, n = (table.column(k).to_numpy() for k in range(7))
-            bits = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, BANDS * 2)
-            new = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
-            found = []
-            for s, e in zip([0, *new.tolist()], [*new.tolist(), len(key)]):
-                if e - s > 1:
-                    found += pairs(ids[s:e], comp[s:e], n[s:e], side[s:e], bits[s:e], x[s] == y[s])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["u", "v"])
-
         for batch in batches:
             if not len(batch):
                 continue
-            last = [batch.column(k)[len(batch) - 1].as_py() for k in range(3)]
-            same = [batch.column(k).to_numpy() == last[k] for k in range(3)]
-            cut_at = len(batch) - int(np.argmin((same[0] & same[1] & same[2])[::-1])) if not (same[0] & same[1] & same[2]).all() else 0
-            if cut_at:
-                yield from done(pa.Table.from_batches([*held, batch.slice(0, cut_at)]))
+            key = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            other = np.flatnonzero((key != key[:, -1:]).any(axis=0))
+            whole = int(other[-1]) + 1 if len(other) else 0  # up to here all tiles are complete
+            if whole:
+                yield from done([*held, batch.slice(0, whole)])
                 held = []
-            elif held and [held[-1].column(k)[0].as_py() for k in range(3)] != last:
-                yield from done(pa.Table.from_batches(held))
+            elif held and [held[-1].column(k)[0].as_py() for k in range(3)] != key[:, -1].tolist():
+                yield from done(held)
                 held = []
-            held.append(batch.slice(cut_at))
+            held.append(batch.slice(whole))
         if held:
-            yield from done(pa.Table.from_batches(held))
+            yield from done(held)
 
     return run
 
 
+def _passing(table: pa.Table, least: float, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of a tile in different components that pass the estimate.
+
+    Columns: band, x, y, side, id, comp, n, bits; in a tile of two blocks only pairs across them count.
+    """
+    x, y, side, comp, n = (table.column(k).to_numpy() for k in (1, 2, 3, 5, 6))
+    bits = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, BANDS * 2)
+    diagonal = x[0] == y[0]
+    i, j = (np.arange(len(n)), np.arange(len(n))) if diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    step = max(1, (1 << 16) // max(1, len(j)))
+    for at in range(0, len(i), step):
+        own = i[at : at + step]
+        ok = comp[own, None] != comp[None, j]
+        if diagonal:
+            ok &= own[:, None] < j[None, :]
+        ok &= np.minimum(n[own, None], n[None, j]) * 100 >= np.maximum(n[own, None], n[None, j]) * percent
+        p, q = np.nonzero(ok)
+        if len(p):
+            p, q = own[p], j[q]
+            good = equal_values(bits[p], bits[q]) >= least
+            yield p[good], q[good]
+
+
+def _involved(least: float, percent: int):
+    """Rows of each tile that are in a passing pair: band, x, y, side, id, comp, n."""
+
+    def work(table: pa.Table):
+        hit = np.zeros(table.num_rows, dtype=bool)
+        for p, q in _passing(table, least, percent):
+            hit[p] = hit[q] = True
+        return [table.column(k).to_numpy()[hit] for k in range(7)] if hit.any() else None
+
+    return _by_tile(work, ["band", "x", "y", "side", "id", "comp", "n"])
+
+
+def _tile_links(least: float, percent: int):
+    """Links of each tile between different components; further columns: bands, text."""
+
+    def work(table: pa.Table):
+        band, ids, comp = table.column(0)[0].as_py(), table.column(4).to_numpy(), table.column(5).to_numpy()
+        bands = table.column(8).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        p, q = (np.concatenate(x) for x in zip(*[(np.zeros(0, np.int64),) * 2, *_passing(table, least, percent)]))
+        first = (bands[p] == bands[q]).argmax(axis=1)
+        mine = bands[p, first] == band
+        p, q = p[mine], q[mine]
+        if not len(p):
+            return None
+        sets = _sets(table.column(9).combine_chunks())
+        size = np.array([len(x) for x in sets])
+        both = _intersections(sets, p, q)
+        good = 100 * both >= percent * (size[p] + size[q] - both)
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        u, v = [], []
+        for a, b in zip(p[good].tolist(), q[good].tolist()):
+            ca, cb = root(int(comp[a])), root(int(comp[b]))
+            if ca != cb:
+                joined[max(ca, cb)] = min(ca, cb)
+                u.append(int(ids[a]))
+                v.append(int(ids[b]))
+        return [np.array(u, dtype=np.int64), np.array(v, dtype=np.int64)] if u else None
+
+    return _by_tile(work, ["u", "v"])
+
+
+def _intersections(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs of sets."""
+    if len(p) < DENSE_PAIRS:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(p.tolist(), q.tolist())])
+    rows, left = np.unique(p, return_inverse=True)
+    cols, right = np.unique(q, return_inverse=True)
+    used = np.union1d(rows, cols)
+    _, column, count = np.unique(np.concatenate([sets[k] for k in used.tolist()]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used.tolist()])
+    shared = count[column] > 1  # what one set alone has is in no intersection
+    dense = np.cumsum(count > 1) - 1
+    owner, column = owner[shared], dense[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(rows), len(cols)), dtype=np.float32)
+    r, c = np.searchsorted(used, rows), np.searchsorted(used, cols)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, DENSE_COLUMNS):
+        s, e = np.searchsorted(column, (at, at + DENSE_COLUMNS))
+        x = np.zeros((len(used), DENSE_COLUMNS), dtype=np.float32)
+        x[owner[s:e], column[s:e] - at] = 1
+        total += x[r] @ x[c].T
+    return total[left, right].astype(np.int64)
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    """The full shingle set of each text, sorted."""
+    out = []
+    for _, raw, offsets in text_slices(column):
+        hashes, _, _, bounds = words(raw, offsets)
+        found, ends = shingles(hashes, bounds, SHINGLE)
+        out += [found[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return out
+
+
 def _confirmed(percent: int):
     """Pairs whose full shingle sets have the similarity; columns u, v, text of u, text of v."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for _, raw, offsets in text_slices(column):
-            hashes, _, _, bounds = words(raw, offsets)
-            found, ends = shingles(hashes, bounds, SHINGLE)
-            out += [found[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             v = batch.column(1).to_numpy()
             new = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))  # pairs come sorted by v mostly
-            of_v = sets(batch.column(3).take(pa.array(new)))
+            of_v = _sets(batch.column(3).take(pa.array(new)))
             at = np.searchsorted(new, np.arange(len(v)), side="right") - 1
             good = np.zeros(len(v), dtype=bool)
-            for i, a in enumerate(sets(batch.column(2))):
+            for i, a in enumerate(_sets(batch.column(2))):
                 b = of_v[at[i]]
                 if len(a) and len(b):
                     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -213,10 +294,15 @@ def _confirmed(percent: int):
     return run
 
 
+def _fetch(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of `docs` (id, text) with the ids, by broadcast of the ids up to a count."""
+    ids = broadcast_below(cut(ids.distinct(), "near-involved"), BROADCAST_IDS)
+    return docs.join(ids, "id", "left_semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of `pairs` (u, v) whose texts in `docs` (id, text) have the similarity, by full sets."""
-    ids = cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "near-involved")
-    texts = cut(docs.join(broadcast_below(ids, BROADCAST_IDS), "id", "left_semi"), "near-texts")
+    texts = cut(_fetch(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).withColumnRenamed("u", "id"), docs), "near-texts")
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
     both = both.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
     return cut(both.select("u", "v", "tu", "tv").mapInArrow(_confirmed(percent), "u long, v long"), "near-links")
@@ -241,7 +327,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = cut(usable.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "near-classes")
     reps = usable.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["id"])
     reps = cut(reps.select("id", "n", "bits", "bands"), "near-reps")
-    members = reps.select(F.explode("bands").alias("band"), "id")
+    members = reps.select(F.explode("bands").alias("band"), "id", "n")
     buckets = members.groupBy("band").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(members.join(buckets.select("band", "v"), "band"), "near-members")
 
@@ -255,11 +341,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = components(links)
 
     # buckets that still hold several components
-    labelled = members.select("band", "id").join(first.withColumnRenamed("node", "id"), "id", "left")
-    labelled = cut(labelled.select("band", "id", F.coalesce("component", "id").alias("comp")), "near-labelled")
-    mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    mixed = mixed.select("band", F.ceil(F.col("size") / TILE).alias("blocks"))
-    open_rows = labelled.join(mixed, "band").join(reps.select("id", "n", "bits"), "id")
+    labelled = members.select("band", "id", "n").join(first.withColumnRenamed("node", "id"), "id", "left")
+    labelled = labelled.select("band", "id", "n", F.coalesce("component", "id").alias("comp"))
+    labelled = cut(labelled, "near-labelled")
+    mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")).where("lo < hi")
+    mixed = mixed.select("band", F.ceil(F.greatest(F.col("size") / TILE, F.col("n") / TILE_SHINGLES)).alias("blocks"))
+    open_rows = labelled.drop("n").join(mixed, "band").join(reps.select("id", "n", "bits"), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
     open_rows = open_rows.select("band", "id", "comp", "n", "bits", "blocks", block)
     # a member of block i belongs to the tiles (i, j >= i) and (j <= i, i)
@@ -267,13 +354,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.least(j, F.col("block")).alias("x"), F.greatest(j, F.col("block")).alias("y"),
         F.when(F.col("block") <= j, 0).otherwise(1).alias("side"))))
     tiled = open_rows.withColumn("tile", tile).select("band", "tile.x", "tile.y", "tile.side", "id", "comp", "n", "bits")
+    schema = "band long, x long, y long, side int, id long, comp long, n long"
     tiled = tiled.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
-    more = tiled.mapInArrow(_tiles(least, percent), "u long, v long").distinct().join(star, ["u", "v"], "left_anti")
-    more = cut(more, "near-more")
-    if more.isEmpty():
+    involved = cut(tiled.mapInArrow(_involved(least, percent), schema), "near-open")
+    if involved.isEmpty():
         linked = first
     else:
-        linked = components(links.unionByName(confirm(more, texts, percent)))
+        texts = cut(_fetch(involved.select("id"), texts).join(reps.select("id", "bits", "bands"), "id"), "near-texts")
+        full = involved.join(texts, "id").select(*involved.columns, "bits", "bands", "text")
+        full = full.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+        more = cut(full.mapInArrow(_tile_links(least, percent), "u long, v long"), "near-more")
+        linked = components(links.unionByName(more))
 
     named = classes.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = cut(named.where("size > 1 OR component IS NOT NULL").select("key", F.coalesce("component", "rep").alias("component_id")), "near-named")
