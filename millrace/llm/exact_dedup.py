@@ -59,38 +59,41 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
     extra = fresh(docs, "keep_id", "group_size", "kept", "text_sha256")
-    norm, h, sha, row, b1, b2, likely = fresh(docs, "norm", "h", "sha", "row", "bits1", "bits2", "likely")
+    # carried columns go by their number until the end, so no name of ours can meet one of theirs
+    own = [f"c{i}" for i in range(len(carry))]
+
+    def named(keep_id: Column, size: Column, kept: Column) -> list[Column]:
+        found = (keep_id, size, kept, F.col("sha"))
+        return [*[F.col(c).alias(name) for c, name in zip(own, carry)], *[c.alias(name) for c, name in zip(found, extra)]]
 
     rows = docs.select(F.lit(1)).count()
     cells = 1 << 15
     while cells < min(rows * CELLS_PER_ROW, max_cells):
         cells *= 2
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(*carry, F.col(id_col).alias("__id"), text.alias("__text")).withColumn(norm, ascii_lower("__text", spark)).drop("__text")
-    hashed = docs.select(ascii_lower(text, spark).alias(norm)).select(F.xxhash64(norm).alias(h))
-    bitmaps = F.broadcast(cut(repeat_filter(hashed, h, cells), "exact-filter"))
-
-    first, second = _cells(F.col(h), cells)
-    probed = source.withColumn(h, F.xxhash64(norm)).withColumn(sha, F.sha2(norm, 256)).drop(norm)
-    probed = probed.withColumn("__k1", F.bitmap_bucket_number(first)).withColumn("__k2", F.bitmap_bucket_number(second))
-    probed = probed.join(bitmaps.select(F.col("bucket").alias("__k1"), F.col("bits").alias(b1)), "__k1", "left")
-    probed = probed.join(bitmaps.select(F.col("bucket").alias("__k2"), F.col("bits").alias(b2)), "__k2", "left")
-    probed = probed.withColumn(likely, _bit(F.col(b1), first) & _bit(F.col(b2), second)).drop("__k1", "__k2", b1, b2, h)
-
-    straight = probed.where(~F.col(likely)).select(
-        *carry, F.col("__id").alias(extra[0]), F.lit(1).cast("long").alias(extra[1]), F.lit(True).alias(extra[2]), F.col(sha).alias(extra[3]))
-    exchanged = cut(probed.where(F.col(likely)).withColumn(row, F.monotonically_increasing_id()).drop(likely), "exact-likely")
-    best = F.max(F.struct(F.col("__id"), F.col(row))).alias("best")
-    groups = cut(exchanged.groupBy(sha).agg(best, F.count(F.lit(1)).alias("n")), "exact-groups")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    source = docs.select(*[docs[c].alias(name) for c, name in zip(carry, own)], docs[id_col].alias("id"), ascii_lower(text, spark).alias("norm"))
+    hashed = docs.select(ascii_lower(text, spark).alias("norm")).select(F.xxhash64("norm").alias("h"))
+    bitmaps = F.broadcast(cut(repeat_filter(hashed, "h", cells), "exact-filter"))
+
+    first, second = _cells(F.col("h"), cells)
+    probed = source.withColumn("h", F.xxhash64("norm")).withColumn("sha", F.sha2("norm", 256)).drop("norm")
+    probed = probed.withColumn("k1", F.bitmap_bucket_number(first)).withColumn("k2", F.bitmap_bucket_number(second))
+    probed = probed.join(bitmaps.select(F.col("bucket").alias("k1"), F.col("bits").alias("b1")), "k1", "left")
+    probed = probed.join(bitmaps.select(F.col("bucket").alias("k2"), F.col("bits").alias("b2")), "k2", "left")
+    probed = probed.withColumn("likely", _bit(F.col("b1"), first) & _bit(F.col("b2"), second)).drop("k1", "k2", "b1", "b2", "h")
+
+    straight = probed.where(~F.col("likely")).select(*named(F.col("id"), F.lit(1).cast("long"), F.lit(True)))
+    exchanged = cut(probed.where("likely").withColumn("row", F.monotonically_increasing_id()).drop("likely"), "exact-likely")
+    groups = cut(exchanged.groupBy("sha").agg(F.max(F.struct("id", "row")).alias("best"), F.count(F.lit(1)).alias("n")), "exact-groups")
     bound = max(2, exchanged.count() // HOT_GROUPS)
-    hot = F.broadcast(groups.where(F.col("n") > bound).select(F.col(sha).alias("__hot"), F.col("best").alias("__best"), F.col("n").alias("__n")))
-    cold = groups.where(F.col("n") <= bound).select(F.col(sha).alias("__cold"), "best", "n")
-    met = exchanged.join(hot, F.col(sha) == F.col("__hot"), "left")
+    hot = F.broadcast(groups.where(F.col("n") > bound).select(F.col("sha").alias("hot"), F.col("best").alias("hot_best"), F.col("n").alias("hot_n")))
+    cold = groups.where(F.col("n") <= bound).select(F.col("sha").alias("cold"), "best", "n")
+    met = exchanged.join(hot, F.col("sha") == F.col("hot"), "left")
     # a row whose group is hot has found its decision; its own number spreads it over the partitions of the second join
-    met = met.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(sha)).otherwise(F.concat(F.lit("#"), F.col(row).cast("string"))))
-    met = met.join(cold, F.col("__key") == F.col("__cold"), "left")
-    best, n = F.coalesce(F.col("__best"), F.col("best")), F.coalesce(F.col("__n"), F.col("n"))
-    decided = met.select(*carry, best["__id"].alias(extra[0]), n.alias(extra[1]), (best[row] == F.col(row)).alias(extra[2]), F.col(sha).alias(extra[3]))
+    met = met.withColumn("key", F.when(F.col("hot").isNull(), F.col("sha")).otherwise(F.concat(F.lit("#"), F.col("row").cast("string"))))
+    met = met.join(cold, F.col("key") == F.col("cold"), "left")
+    best = F.coalesce("hot_best", "best")
+    decided = met.select(*named(best["id"], F.coalesce("hot_n", "n"), best["row"] == F.col("row")))
     return straight.unionByName(decided)
 
 
