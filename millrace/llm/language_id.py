@@ -149,12 +149,14 @@ def build_model(samples: dict[str, list[str]]) -> LanguageModel:
     tables, roots, base = [], [], 0
     for name in languages:
         table = automaton(alphabet[parts[name]].tolist(), width)
-        step = np.where(table >= 0, (table + base) * width, 0).astype(np.int32)
-        # after a miss the symbol starts the next phrase; one that no phrase has is a phrase by itself
-        restart = np.where(table[0] >= 0, (table[0] + base) * width, base * width).astype(np.int32) | _PHRASE
-        tables.append(np.where(table >= 0, step, restart[None, :]))
+        lone = base + len(table)  # the state after a symbol that the reference lacks: a phrase by itself
+        begin = np.where(table[0] >= 0, table[0] + base, lone).astype(np.int32) * width
+        restart = begin | _PHRASE  # a phrase ended before the symbol
+        step = np.where(table >= 0, (table + base) * width, restart[None, :]).astype(np.int32)
+        step[0] = begin  # no phrase is under way at the root
+        tables += [step, restart[None, :]]
         roots.append(base * width)
-        base += len(table)
+        base = lone + 1
     model = LanguageModel(languages, np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(1, np.int32), np.array(roots, dtype=np.int32), alphabet, np.ones(len(languages)))
     for k, name in enumerate(languages):
         if held[name]:
