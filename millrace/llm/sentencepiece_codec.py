@@ -10,8 +10,9 @@ makes of their joined text, so for BPE models a step is allowed only between suc
 path survives to each boundary, and it is the BPE result. Taking BPE scores as path sums would give other ids.
 
 Where no piece has a blank mark after another character, paths always meet before a word's blank mark. Such
-stretches are encoded once and remembered in two generations of bounded size. Characters without a piece become
-byte pieces (or the unknown piece), and bound a stretch as well.
+stretches are encoded once and remembered in two generations of bounded size. The short new ones of a batch are
+walked together, all lattices advancing by one character a step; a long one is walked by itself with the window.
+Characters without a piece become byte pieces (or the unknown piece).
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.hashmap import HashMap64
 from millrace.llm.shared import fresh, python_steps
+from millrace.llm.textkit import SpanHasher, span_hashes
 
 BLANK = "▁"
 #: Stretches remembered in a generation, characters of the longest, and pairs of pieces whose compatibility is remembered.
-REMEMBERED, LONGEST_REMEMBERED, PAIRS = 150_000, 48, 400_000
+REMEMBERED, LONGEST_REMEMBERED, PAIRS = 250_000, 48, 1_000_000
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
 #: What an unknown character costs below the lowest score of a unigram model.
@@ -54,7 +57,7 @@ class Codec:
             raise ValueError("models with user-defined symbols are not supported")
         self.bpe, self.prefix = kind == _BPE, spec.add_dummy_prefix
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == _NORMAL}
-        self.scores = [p.score for p in model.pieces]
+        self.scores = [np.float32(p.score) for p in model.pieces]  # sums in single precision decide ties as in the library
         self.bytes_of = [b"" if p.type not in (_NORMAL, _BYTE, _UNKNOWN) else bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.replace(BLANK, " ").encode() for p in model.pieces]
         byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == _BYTE}
         self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == _UNKNOWN), 0)
@@ -63,13 +66,18 @@ class Codec:
         #: every ending of a piece, with the piece's id or -1: what may still grow to the left
         self.endings: dict[str, int] = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
         self.longest = max((len(p) for p in self.ids), default=1)
-        self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0) - _UNKNOWN_COST
+        self.lowest = min((self.scores[i] for i in self.ids.values()), default=np.float32(0)) - np.float32(_UNKNOWN_COST)
         if self.bpe and any(c not in self.ids for p in self.ids for c in p):
             raise ValueError("a piece has a character that is no piece")
         parts = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         alone = "" if "\n" in self.ids or not parts else "\n"
         self.stretches = re.compile(f"{alone}|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone else f"{BLANK}*[^{BLANK}]+|{BLANK}+") if parts else None
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}  # for one lattice
+        self.pair_map = HashMap64()  # for many
+        self.ending_map = HashMap64(18)
+        points = np.frombuffer("".join(self.endings).encode("utf-32-le"), dtype=np.uint32)
+        ends = np.cumsum([len(p) for p in self.endings])
+        self.ending_map.insert(span_hashes(points, ends - [len(p) for p in self.endings], ends), np.array(list(self.endings.values()), dtype=np.int32) + 1)
         self.pieces = [p.piece for p in model.pieces]
         self.young, self.old = _Generation(self), {}
 
@@ -102,7 +110,7 @@ class Codec:
         """Ids of a stretch; holds a few times the longest piece of lattice, however long the text."""
         out: list[int] = []
         base = 0  # the boundary up to which ids are committed; lists below start there
-        piece, back, score = [-1], [0], [0.0]
+        piece, back, score = [-1], [0], [np.float32(0)]
         longest, scores, bpe = self.longest, self.scores, self.bpe
         ending, pair = self.endings.get, self.pairs.get
         for end in range(1, len(text) + 1):
@@ -122,7 +130,7 @@ class Codec:
                         best, best_size = found, end - start
                         break
             else:
-                for start, found in fits:
+                for start, found in reversed(fits):  # of equal scores the longest last piece wins
                     total = score[start - base] + scores[found]
                     if best_score is None or total > best_score:
                         best_score, best, best_size = total, found, end - start
@@ -141,6 +149,88 @@ class Codec:
                     del piece[:meet], back[:meet], score[:meet]
         return out + self._path(text, base, piece, back, len(text) - base)
 
+    def viterbi_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of many short stretches under a BPE model, as `viterbi` gives them."""
+        if not texts:
+            return []
+        sizes = np.array([len(t) for t in texts])
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        points = np.frombuffer("".join([texts[k] for k in order.tolist()]).encode("utf-32-le"), dtype=np.uint32)
+        first = np.cumsum(sizes) - sizes
+        begin = np.repeat(first, sizes)
+        # the piece of each size that ends at each character, +1; 0 for an ending only, -1 for nothing that could still grow
+        n, fits = len(points), []
+        hasher, live, size = SpanHasher(points), np.arange(n), 1
+        while len(live):
+            known = self.ending_map.find(hasher(live + 1 - size, live + 1))
+            fits.append(np.zeros(n, dtype=np.int32))
+            fits[-1][live] = np.maximum(known, 0)
+            live = live[(known >= 0) & (live - size >= begin[live])]
+            size += 1
+        piece, back = np.full(n, -1, dtype=np.int64), np.ones(n, dtype=np.int64)
+        for step in range(int(sizes[0])):
+            at = first[: np.searchsorted(-sizes, -step, side="left")] + step  # lattices longer than this step
+            for size in range(min(step + 1, len(fits)), 0, -1):
+                here = np.flatnonzero(fits[size - 1][at])
+                if not len(here):
+                    continue
+                place = at[here]
+                right = fits[size - 1][place].astype(np.int64) - 1
+                left = piece[place - size] if size <= step else np.full(len(place), -1, dtype=np.int64)
+                fit = self._compatible_many(left, right)
+                piece[place[fit]], back[place[fit]] = right[fit], size
+                open_ = np.ones(len(at), dtype=bool)
+                open_[here[fit]] = False
+                at = at[open_]
+        # back from the ends, all stretches together
+        cursor, going = first + sizes - 1, np.arange(len(sizes))
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(going):
+            place = cursor[going]
+            steps.append((going, place))
+            cursor[going] = place - back[place]
+            going = going[cursor[going] >= first[going]]
+        whose, place = (np.concatenate(x[::-1]) for x in zip(*steps))
+        by = np.argsort(whose, kind="stable")
+        whose, place = whose[by], place[by]
+        bounds = np.searchsorted(whose, np.arange(len(sizes) + 1))
+        ids = piece[place].astype(np.int32)
+        out: list[np.ndarray] = [ids[:0]] * len(texts)
+        plain = np.add.reduceat(np.append(ids < 0, False).astype(np.int64), bounds[:-1]) == 0
+        for k, own in enumerate(order.tolist()):
+            s, e = bounds[k], bounds[k + 1]
+            if plain[k]:
+                out[own] = ids[s:e]
+            else:
+                out[own] = np.array(self._spelled(ids[s:e].tolist(), [chr(points[p]) for p in place[s:e].tolist()]), dtype=np.int32)
+        return out
+
+    def _compatible_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = ((left + 1) << 32 | right).astype(np.uint64)
+        known = self.pair_map.find(keys)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            fresh, where = np.unique(keys[new], return_index=True)
+            made = np.array([self._compatible(int(left[i]), int(right[i])) for i in new[where].tolist()], dtype=np.int32)
+            if self.pair_map.count + len(fresh) > PAIRS:
+                self.pair_map = HashMap64()
+            self.pair_map.insert(fresh, made)
+            known[new] = made[np.searchsorted(fresh, keys[new])]
+        return known > 0
+
+    def _spelled(self, ids: list[int], letters: list[str]) -> list[int]:
+        """Ids with each unknown (-1), whose letter is given, as byte pieces or as the unknown piece."""
+        out: list[int] = []
+        for i, letter in zip(ids, letters):
+            if i >= 0:
+                out.append(i)
+            elif self.byte_ids:
+                out += [self.byte_ids[b] for b in letter.encode("utf-8", "surrogatepass")]
+            elif not (out and out[-1] == self.unknown):  # neighbouring unknowns are one
+                out.append(self.unknown)
+        return out
+
     def _meeting(self, back: list[int], last: int) -> int:
         """The boundary in which all paths from the window meet; 0 if that is not yet past the committed one."""
         open_ends = set(range(max(0, last - self.longest + 1), last + 1))
@@ -151,16 +241,12 @@ class Codec:
         return open_ends.pop()
 
     def _path(self, text: str, base: int, piece: list[int], back: list[int], at: int) -> list[int]:
-        steps: list[int] = []
+        ids, letters = [], []
         while at > 0:
-            if piece[at] >= 0:
-                steps.append(piece[at])
-            elif self.byte_ids:
-                steps += [self.byte_ids[b] for b in reversed(text[base + at - 1].encode())]
-            elif not (steps and steps[-1] == self.unknown):  # neighbouring unknowns are one
-                steps.append(self.unknown)
+            ids.append(piece[at])
+            letters.append(text[base + at - 1])
             at -= back[at]
-        return steps[::-1]
+        return self._spelled(ids[::-1], letters[::-1])
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, int32."""
@@ -171,6 +257,23 @@ class Codec:
             return np.array(self.viterbi(marked), dtype=np.int32)
         return np.frombuffer(b"".join(map(self.young.__getitem__, self.stretches.findall(marked))), dtype=np.int32)
 
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of many whole texts; what is new among their stretches is walked together."""
+        if self.stretches is None or not self.bpe:
+            return [self.encode(t or "") for t in texts]
+        put, cut, young = BLANK if self.prefix else "", self.stretches.findall, self.young
+        split = [cut(put + t.replace(" ", BLANK)) if t else [] for t in texts]
+        new = {p for parts in split for p in parts if p not in young and len(p) <= LONGEST_REMEMBERED}
+        again = {p: self.old[p] for p in new if p in self.old}
+        fresh = [p for p in new if p not in again]
+        again.update(zip(fresh, [x.tobytes() for x in self.viterbi_many(fresh)]))
+        if len(young) + len(again) > REMEMBERED:
+            self.old = dict(young)
+            young.clear()
+        young.update(again)
+        find = young.__getitem__
+        return [np.frombuffer(b"".join(map(find, parts)), dtype=np.int32) for parts in split]
+
     # decoding
 
     def decode(self, ids: np.ndarray) -> str:
@@ -190,7 +293,7 @@ class _Generation(dict):
 
     def __missing__(self, stretch: str) -> bytes:
         codec = self.codec
-        found = codec.old.get(stretch)
+        found = codec.old.get(stretch)  # pieced together before the generations changed
         if found is None:
             found = np.array(codec.viterbi(stretch), dtype=np.int32).tobytes()
         if len(stretch) <= LONGEST_REMEMBERED:
@@ -230,9 +333,9 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", with
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model.value)
         for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.slice(start, 64)
-                found = [codec.encode(t or "") for t in part.column(at).to_pylist()]
+            for start in range(0, len(batch), 128):
+                part = batch.slice(start, 128)
+                found = codec.encode_all(part.column(at).to_pylist())
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
                 more = [pa.array([codec.decode(x) for x in found], pa.string())] if with_text else []
@@ -271,8 +374,8 @@ def encoding_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
         codec = codec_of(model.value)
         for batch in batches:
             n, crc, same = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = codec.encode(text or "")
+            texts = batch.column(1).to_pylist()
+            for text, ids in zip(texts, codec.encode_all(texts)):
                 n.append(len(ids))
                 crc.append(zlib.crc32(ids.astype("<i4").tobytes()))
                 same.append(codec.decode(ids) == (text or ""))

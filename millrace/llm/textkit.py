@@ -52,12 +52,20 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+class SpanHasher:
+    """64-bit hashes of values[start:end] for any spans: polynomial by prefix sums, then mixed."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        up, self.down = _power_tables(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, dtype=_U)
+        np.cumsum((values.astype(_U) + _U(1)) * up[: len(values)], dtype=_U, out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span: polynomial by prefix sums, then mixed."""
-    up, down = _power_tables(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=_U)
-    np.cumsum((values.astype(_U) + _U(1)) * up[: len(values)], dtype=_U, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    return SpanHasher(values)(starts, ends)
 
 
 def text_slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
