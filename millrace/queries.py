@@ -112,12 +112,6 @@ def stratified_kfold(spark, sf_dir):
     return splits.StratifiedKFold(5).assign(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus").select("o_orderkey", "fold")
 
 
-@query()
-def cross_val_score(spark, sf_dir):
-    scores = splits.cross_val_score(bayes.GaussianNB(), _letters(spark, sf_dir), _SHARES, "lang", "doc_id", 5)
-    return spark.createDataFrame([(k, float(s)) for k, s in enumerate(scores)], "fold int, accuracy double")
-
-
 # preprocessing
 
 _PART = "SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price, 5.0::DOUBLE AS fixed FROM part"
@@ -248,6 +242,18 @@ def bernoulli_nb(spark, sf_dir):
     return _bayes(bayes.BernoulliNB(binarize=0.08), _SHARES, spark, sf_dir)
 
 
+def _cross_sql(folds: int) -> str:
+    sets = [f"l{k} AS (FROM a WHERE fold <> {k}), {_bayes_sql('g').replace('gc', f'gc{k}').replace('gs', f'gs{k}').replace('FROM l GROUP', f'FROM l{k} GROUP').replace('FROM l,', f'FROM (FROM a WHERE fold = {k}) AS held,')}" for k in range(folds)]
+    ends = [f"SELECT {k} AS fold, round(avg(CAST(lang = best AS DOUBLE)), 6) AS accuracy FROM (SELECT doc_id, any_value(lang) AS lang, first(k ORDER BY score DESC, k) AS best FROM gs{k} GROUP BY 1)" for k in range(folds)]
+    return f"WITH l AS ({_LETTERS_SQL}), a AS (SELECT *, ntile({folds}) OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS fold FROM l), " + ", ".join(sets) + " " + " UNION ALL ".join(ends)
+
+
+@query(_cross_sql(3))
+def cross_val_score(spark, sf_dir):
+    scores = splits.cross_val_score(bayes.GaussianNB(), _letters(spark, sf_dir), _SHARES, "lang", "doc_id", 3)
+    return spark.createDataFrame([(k, round(float(s), 6)) for k, s in enumerate(scores)], "fold int, accuracy double")
+
+
 # votes
 
 _VOTE = f"WITH l AS ({_LETTERS_SQL}), {_bayes_sql('g')}, {_bayes_sql('m')}, {_bayes_sql('b')}"
@@ -517,10 +523,30 @@ def decision_tree_stump(spark, sf_dir):
     return trees.DecisionTreeClassifier(1).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows).select("c_custkey", "prediction")
 
 
-@query()
+def _levels_sql(name: str, source: str, depth: int, target: str) -> str:
+    """Named tables that grow a tree on (c_custkey, x, y, target) of `source`; the last, <name>, has the node of each row.
+
+    Splits maximise the summed squares of the target's sums over the sizes, which for 0/1 targets is the Gini gain as well.
+    """
+    parts = [f"{name}0 AS (SELECT c_custkey, x, y, {target} AS g, 0 AS node FROM {source})"]
+    for k in range(depth):
+        own, new = f"{name}{k}", f"{name}{k + 1}"
+        factor = 2 if target == "t" else 1
+        parts += [
+            f"{own}h AS (SELECT node, f, v, count(*) AS c, sum(g) AS p FROM (SELECT node, 0 AS f, x AS v, g FROM {own} UNION ALL SELECT node, 1, y, g FROM {own}) GROUP BY 1, 2, 3)",
+            f"{own}w AS (SELECT node, f, (v + lead(v) OVER o) / 2 AS thr, (sum(c) OVER o)::DOUBLE AS lc, (sum(p) OVER o)::DOUBLE AS lp, (sum(c) OVER (PARTITION BY node, f))::DOUBLE AS c, (sum(p) OVER (PARTITION BY node, f))::DOUBLE AS p FROM {own}h WINDOW o AS (PARTITION BY node, f ORDER BY v))",
+            f"{own}g AS (SELECT *, round({factor} * (lp * lp / lc + (p - lp) * (p - lp) / (c - lc) - p * p / c) / c, 10) AS gain FROM {own}w WHERE thr IS NOT NULL)",
+            f"{own}b AS (SELECT node, first(f ORDER BY gain DESC, f, thr) AS f, first(thr ORDER BY gain DESC, f, thr) AS thr FROM {own}g {'WHERE gain > 0' if target == 't' else ''} GROUP BY 1)",
+            f"{new} AS (SELECT a.c_custkey, a.x, a.y, a.g, CASE WHEN b.thr IS NULL THEN a.node WHEN (CASE b.f WHEN 0 THEN a.x ELSE a.y END) <= b.thr THEN 2 * a.node + 1 ELSE 2 * a.node + 2 END AS node FROM {own} a LEFT JOIN {own}b b ON a.node = b.node)",
+        ]
+    return ", ".join([*parts, f"{name} AS (FROM {name}{depth})"])
+
+
+@query(_TREE + ", " + _levels_sql("d", "s", 4, "t") + """, leaf AS (SELECT node, CAST(sum(g) > count(*) - sum(g) AS INT) AS prediction FROM d GROUP BY 1)
+    SELECT c_custkey, CAST(g AS INT) AS t, prediction FROM d JOIN leaf USING (node)""")
 def decision_tree(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
-    return trees.DecisionTreeClassifier(4).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows).select("c_custkey", "t", "prediction", "probability")
+    return trees.DecisionTreeClassifier(4).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows).select("c_custkey", "t", "prediction")
 
 
 @query()
@@ -546,10 +572,26 @@ def adaboost_stump(spark, sf_dir):
     return out.select("c_custkey", "prediction", F.round("rawPrediction", 6).alias("score"))
 
 
-@query()
+def _adaboost_sql(rounds: int) -> str:
+    says = "CASE WHEN o = 0 THEN (CASE f WHEN 0 THEN x ELSE y END) < v ELSE (CASE f WHEN 0 THEN x ELSE y END) > v END"
+    parts = ["r0 AS (SELECT c_custkey, x, y, t, 0.0::DOUBLE AS score FROM s)"]
+    for k in range(rounds):
+        parts += [
+            f"f{k} AS (SELECT f, v, sum(w) FILTER (WHERE t = 1) AS p, sum(w) FILTER (WHERE t = 0) AS m FROM (SELECT 0 AS f, x AS v, t, exp(-score * (2 * t - 1)) AS w FROM r{k} UNION ALL SELECT 1, y, t, exp(-score * (2 * t - 1)) FROM r{k}) GROUP BY 1, 2)",
+            f"z{k} AS (SELECT f, v, coalesce(p, 0) AS p, coalesce(m, 0) AS m FROM f{k})",
+            f"w{k} AS (SELECT f, v, p, m, coalesce(sum(p) OVER o, 0) AS bp, coalesce(sum(m) OVER o, 0) AS bm, sum(p) OVER (PARTITION BY f) AS tp, sum(m) OVER (PARTITION BY f) AS tm FROM z{k} WINDOW o AS (PARTITION BY f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+            f"e{k} AS (SELECT f, v, 0 AS o, round((bm + tp - bp) / (tp + tm), 12) AS err FROM w{k} UNION ALL SELECT f, v, 1, round((tm - bm - m + bp + p) / (tp + tm), 12) FROM w{k})",
+            f"b{k} AS (SELECT *, 0.5 * ln((1 - greatest(err, 1e-10)) / greatest(err, 1e-10)) AS alpha FROM e{k} ORDER BY err, f, v, o LIMIT 1)",
+            f"r{k + 1} AS (SELECT c_custkey, x, y, t, score + CASE WHEN {says} THEN alpha ELSE -alpha END AS score FROM r{k}, b{k})",
+        ]
+    return f"{_TREE}, " + ", ".join(parts) + f" SELECT c_custkey, t, CAST(score >= 0 AS INT) AS prediction, round(score, 5) AS score FROM r{rounds}"
+
+
+@query(_adaboost_sql(6))
 def adaboost(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
-    return trees.AdaBoostClassifier(6).fit(rows, ["x", "y"], "t").transform(rows).select("c_custkey", "t", "prediction", "rawPrediction")
+    out = trees.AdaBoostClassifier(6).fit(rows, ["x", "y"], "t").transform(rows)
+    return out.select("c_custkey", "t", "prediction", F.round("rawPrediction", 5).alias("score"))
 
 
 @query(_TREE + """, i AS (SELECT avg(x + y) AS f0 FROM s), r AS (SELECT c_custkey, x, y, x + y - f0 AS r FROM s, i), f AS (SELECT 0 AS f, x AS v, r FROM r UNION ALL SELECT 1, y, r FROM r), h AS (SELECT f, v, count(*) AS n, sum(r) AS p FROM f GROUP BY 1, 2),
@@ -562,16 +604,29 @@ def gradient_boosting_stump(spark, sf_dir):
     return _rounded(out.select("c_custkey", "prediction"), "prediction", digits=5)
 
 
-@query()
+def _boost_sql(rounds: int, rate: float, depth: int, target: str, start: str, residual: str) -> str:
+    """Named tables q0 to q<rounds>: the score of each row after each round."""
+    parts = [f"q0 AS (SELECT c_custkey, x, y, {target} AS v, (SELECT {start} FROM s) AS score FROM s)"]
+    for k in range(rounds):
+        parts.append(f"u{k} AS (SELECT c_custkey, x, y, {residual} AS r FROM q{k})")
+        parts.append(_levels_sql(f"d{k}_", f"u{k}", depth, "r"))
+        parts.append(f"l{k} AS (SELECT node, avg(g) AS step FROM d{k}_ GROUP BY 1)")
+        parts.append(f"q{k + 1} AS (SELECT a.c_custkey, a.x, a.y, a.v, a.score + {rate} * l.step AS score FROM q{k} a JOIN d{k}_ d USING (c_custkey) JOIN l{k} l ON d.node = l.node)")
+    return f"{_TREE}, " + ", ".join(parts)
+
+
+@query(_boost_sql(3, 0.3, 2, "t", "ln(avg(t) / (1 - avg(t)))", "v - 1 / (1 + exp(-score))") + " SELECT c_custkey, CAST(v AS INT) AS t, CAST(score >= 0 AS INT) AS prediction, round(score, 5) AS score FROM q3")
 def gradient_boosting_classifier(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
-    return trees.GradientBoostingClassifier(4, 0.3, 2).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows).select("c_custkey", "t", "prediction", "probability")
+    out = trees.GradientBoostingClassifier(3, 0.3, 2).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows)
+    return out.select("c_custkey", "t", "prediction", F.round("rawPrediction", 5).alias("score"))
 
 
-@query()
+@query(_boost_sql(3, 0.3, 2, "x * y", "median(x * y)", "sign(v - score)") + " SELECT c_custkey, round(score, 5) AS prediction FROM q3")
 def gradient_boosting_regressor(spark, sf_dir):
     rows = _labelled(spark, sf_dir).withColumn("v", F.col("x") * F.col("y"))
-    return trees.GradientBoostingRegressor(4, 0.3, 2, loss="mae").fit(rows, ["x", "y"], "v", "c_custkey").transform(rows).select("c_custkey", "v", "prediction")
+    out = trees.GradientBoostingRegressor(3, 0.3, 2, loss="mae").fit(rows, ["x", "y"], "v", "c_custkey").transform(rows)
+    return _rounded(out.select("c_custkey", "prediction"), "prediction", digits=5)
 
 
 @query()
@@ -582,10 +637,17 @@ def isolation_forest(spark, sf_dir):
 
 # kernel machines, Gaussian process, perceptrons
 
-@query()
+@query(_TREE.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT count(*) AS n, least(count(*), 300) AS used FROM s),
+    d AS (SELECT row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws(':', '0', c_custkey)), 1, 8))::BIGINT / 4294967296.0, c_custkey) - 1 AS i, x, y, 2 * t - 1 AS l FROM s),
+    r(t, w0, w1, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+        SELECT r.t + 1, (1 - 1.0::DOUBLE / (r.t + 1)) * w0 + CASE WHEN l * (x * w0 + y * w1 + b) < 1 THEN n::DOUBLE / (r.t + 1) * l * x ELSE 0 END,
+            (1 - 1.0::DOUBLE / (r.t + 1)) * w1 + CASE WHEN l * (x * w0 + y * w1 + b) < 1 THEN n::DOUBLE / (r.t + 1) * l * y ELSE 0 END,
+            b + CASE WHEN l * (x * w0 + y * w1 + b) < 1 THEN n::DOUBLE / (r.t + 1) * l ELSE 0 END FROM r, n, d WHERE d.i = r.t % used AND r.t < 300)
+    SELECT c_custkey, s.t, CAST(x * w0 + y * w1 + b >= 0 AS INT) AS prediction, round(x * w0 + y * w1 + b, 3) AS score FROM s, r WHERE r.t = 300""")
 def linear_svc(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
-    return kernels.LinearSVC(1.0, 500).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows).select("c_custkey", "t", "prediction", "rawPrediction")
+    out = kernels.LinearSVC(1.0, 300).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows)
+    return out.select("c_custkey", "t", "prediction", F.round("rawPrediction", 3).alias("score"))
 
 
 @query()
