@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.expr import uniform
 from millrace.operators.metrics import accuracy_of
+from millrace.plans.closure import ensure_checkpoints
 
 
 def _ntile(df: DataFrame, order: list[Column], n: int, by: str | None, fold: str) -> DataFrame:
@@ -24,8 +25,10 @@ def _ntile(df: DataFrame, order: list[Column], n: int, by: str | None, fold: str
     if by is not None:
         window = Window.partitionBy(by).orderBy(*order)
         return df.withColumn(fold, F.ntile(n).over(window) - 1)
+    ensure_checkpoints(df)
     ranged = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    ranged = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    # kept as it is: dealt again, the ranges could have other bounds
+    ranged = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__range").orderBy(*order))).checkpoint()
     sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).orderBy("__range").collect()  # a row for each task
     total, before, starts = sum(r.n for r in sizes), 0, {}
     for r in sizes:

@@ -1,6 +1,6 @@
 """Trees, grown level by level for all trees at once.
 
-The rows that a level still has to split are counted by (tree, node, feature, value); windows over the distinct values give the
+The rows that a level still has to split are counted by (tree, node, feature, value); running sums over the distinct values, in buckets where they are many, give the
 counts on either side of each threshold, and the best split of each node goes to the driver: a row for each open node.
 Rows then move to the children by a join with these splits. Scoring compiles a tree to a nested CASE.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from millrace.core import Estimator, Features, score_rows
 from millrace.functions.expr import poisson_one, sigmoid, uniform
 from millrace.plans.closure import ensure_checkpoints
+from millrace.plans.scan import bucket_bounds, running_sums
 
 
 @dataclass
@@ -75,6 +76,7 @@ def grow(rows: DataFrame, d: int, stats: list[str], criterion: str, trees: int =
         forest[r["tree"]].nodes[0] = Node([r[s] for s in stats], r["w"])
     if not root:
         raise ValueError("there are no rows to fit on")
+    bounds = None if random_thresholds else bucket_bounds(rows, d)
 
     def pure(node: Node) -> bool:
         if criterion == "gini":
@@ -107,12 +109,11 @@ def grow(rows: DataFrame, d: int, stats: list[str], criterion: str, trees: int =
                 F.sum("w").alias("w"), F.sum(F.when(on_left, F.col("w")).otherwise(0.0)).alias("lw"),
                 *[F.sum(s).alias(s) for s in stats], *[F.sum(F.when(on_left, F.col(s)).otherwise(0.0)).alias(f"l_{s}") for s in stats])
         else:
-            values = pos.groupBy(*group, "v").agg(F.sum("w").alias("c"), *[F.sum(s).alias(f"c_{s}") for s in stats])
-            over = Window.partitionBy(*group).orderBy("v")
-            upto, whole = over.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*group)
-            joined = values.select(
-                *group, ((F.col("v") + F.lead("v").over(over)) / 2).alias("t"), F.sum("c").over(whole).alias("w"), F.sum("c").over(upto).alias("lw"),
-                *[F.sum(f"c_{s}").over(whole).alias(s) for s in stats], *[F.sum(f"c_{s}").over(upto).alias(f"l_{s}") for s in stats]).where("t IS NOT NULL")
+            values = pos.groupBy(*group, "v").agg(*[F.sum(s).alias(s) for s in ("w", *stats)])
+            scan = running_sums(values, group, ["w", *stats], bounds).where("nxt IS NOT NULL")
+            joined = scan.select(
+                *group, ((F.col("v") + F.col("nxt")) / 2).alias("t"), F.col("all_w").alias("w"), F.col("upto_w").alias("lw"),
+                *[F.col(f"all_{s}").alias(s) for s in stats], *[F.col(f"upto_{s}").alias(f"l_{s}") for s in stats])
         parent = impurity([F.col(s) for s in stats], F.col("w"))
         left = impurity([F.col(f"l_{s}") for s in stats], F.col("lw"))
         right = impurity([F.col(s) - F.col(f"l_{s}") for s in stats], F.col("w") - F.col("lw"))
@@ -273,14 +274,14 @@ class AdaBoostClassifier(Estimator):
             raise ValueError("AdaBoost needs two classes")
         rows = df.where(own.known & F.col(label).isNotNull()).select(own.vector.alias("x"), F.when(F.col(label) == self.classes_[1], 1).otherwise(-1).alias("y")).persist()
         self.stumps_ = []
+        bounds = bucket_bounds(rows, len(own))
         try:
             for _ in range(self.n_estimators):
                 log_weight = -self._score([F.get("x", F.lit(i)) for i in range(len(own))]) * F.col("y")
                 cells = rows.select("y", F.exp(log_weight).alias("w"), F.posexplode("x").alias("f", "v")).groupBy("f", "v").agg(
                     F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("y") == -1, F.col("w")).otherwise(0.0)).alias("m"))
-                before, whole = Window.partitionBy("f").orderBy("v").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("f")
-                zero = F.lit(0.0)
-                scan = cells.select("f", "v", F.coalesce(F.sum("p").over(before), zero).alias("bp"), F.coalesce(F.sum("m").over(before), zero).alias("bm"), F.sum("p").over(whole).alias("tp"), F.sum("m").over(whole).alias("tm"), "p", "m")
+                scan = running_sums(cells, ["f"], ["p", "m"], bounds)
+                scan = scan.select("f", "v", "p", "m", (F.col("upto_p") - F.col("p")).alias("bp"), (F.col("upto_m") - F.col("m")).alias("bm"), F.col("all_p").alias("tp"), F.col("all_m").alias("tm"))
                 total = F.col("tp") + F.col("tm")
                 # polarity 1: x < t says +1; wrong are the minus below and the plus from t on. polarity -1: x > t says +1
                 plus = (F.col("bm") + F.col("tp") - F.col("bp")) / total
@@ -431,10 +432,15 @@ class IsolationForest(Estimator):
         most = 256 if self.max_samples == "auto" else int(self.max_samples)
         # the samples of all trees: n_estimators * max_samples rows, by a window whose top rows are found before the exchange
         rank = F.row_number().over(Window.partitionBy("tree").orderBy("u", "id"))
-        drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.n_estimators - 1)))).withColumn("u", uniform(seed, F.col("tree"), F.col("id")))
-        drawn = drawn.withColumn("r", rank).where(F.col("r") <= most).select("tree", "r", "x").collect()
-        if not drawn:
+        spread = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.n_estimators - 1)))).withColumn("u", uniform(seed, F.col("tree"), F.col("id")))
+        n = rows.count()
+        if not n:
             raise ValueError("there are no rows to fit on")
+        # the least numbers are almost surely below this; only if a tree should find too few there, all rows compete
+        for bound in (min(1.0, 8 * most / n), 1.0):
+            drawn = spread.where(F.col("u") < bound).withColumn("r", rank).where(F.col("r") <= most).select("tree", "r", "x").collect()
+            if len(drawn) == self.n_estimators * min(most, n):
+                break
         samples: dict[int, list] = {}
         for t, r, x in sorted(drawn, key=lambda row: (row[0], row[1])):
             samples.setdefault(t, []).append(x)

@@ -213,6 +213,18 @@ def test_trees(two):
     assert {tuple(r.probability) for r in tree.transform(two).collect()} <= {(0.0, 1.0), (1.0, 0.0)}
 
 
+def test_buckets_change_no_split(two, monkeypatch):
+    from millrace.plans import scan
+
+    plain = trees.DecisionTreeClassifier(3).fit(two, X2, "label", "id").tree_.nodes
+    stumps = trees.AdaBoostClassifier(3).fit(two, X2, "label").stumps_
+    monkeypatch.setattr(scan, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(scan, "BUCKETS", 7)
+    assert trees.DecisionTreeClassifier(3).fit(two, X2, "label", "id").tree_.nodes == plain
+    for a, b in zip(trees.AdaBoostClassifier(3).fit(two, X2, "label").stumps_, stumps):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3])
+
+
 def test_full_tree_fits_all(spark):
     df = from_arrays(spark, [[0, 0], [0, 1], [1, 0], [1, 1], [2, 2], [2, 2]], ["a", "b", "b", "a", "a", "b"])
     tree = trees.DecisionTreeClassifier().fit(df, X2, "label", "id")
