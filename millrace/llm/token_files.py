@@ -101,7 +101,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
         source = f.read()
     width = 2 if ByteBpe(source).width <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = rows.orderBy(F.xxhash64("id"), "id").select(F.substring("text", 1, 8 * SAMPLE_TOKENS)).limit(SAMPLE_DOCS).collect()
+    # which rows are first by hash is found without their texts; then those texts alone go to the driver
+    edge = rows.select(F.xxhash64("id").alias("place")).orderBy("place").limit(SAMPLE_DOCS).agg(F.max("place")).first()[0]
+    first = rows.where(F.xxhash64("id") <= edge) if edge is not None else rows.limit(0)
+    sample = sorted(first.select(F.substring("text", 1, 8 * SAMPLE_TOKENS)).limit(SAMPLE_DOCS).collect(), key=lambda r: r[0] or "")
     content = train_dictionary([ids[:SAMPLE_TOKENS].astype(f"<u{width}").tobytes() for ids in encode_texts(source, [r[0] for r in sample], end_id)])
     digest = hashlib.sha256(content).hexdigest()
     spark.createDataFrame([(digest, width, content)], "sha256 string, width int, content binary").coalesce(1).write.parquet(f"{path}/dictionary")
