@@ -32,7 +32,7 @@ from millrace.llm.textkit import SpanHasher, span_hashes
 
 BLANK = "▁"
 #: Stretches remembered in a generation, characters of the longest, and pairs of pieces whose compatibility is remembered.
-REMEMBERED, LONGEST_REMEMBERED, PAIRS = 250_000, 48, 1_000_000
+REMEMBERED, LONGEST_REMEMBERED, PAIRS = 120_000, 48, 500_000
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
 #: What an unknown character costs below the lowest score of a unigram model.

@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are handled at once; a longer single text is handled alone.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that are handled at once (under 2^20, so the tables of powers have 16 MB); a longer single text is handled alone.
+SLICE_BYTES = (1 << 20) - 1024
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)  # odd, so invertible modulo 2^64
