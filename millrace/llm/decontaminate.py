@@ -7,7 +7,9 @@ a run of SEGMENT words always lies in one window whole. All segments with a scor
 `threshold` are retrieved by block-max WAND (Ding and Suel, 2011). Segments are numbered by weight, so that
 a block's are alike and its largest weights are close bounds; those bounds are summed for all windows of a slice at once,
 and pivots are sought only in the blocks where they reach the threshold. An item is found in a text
-when both its question and its answer overlap the text around the window by enough word shingles.
+when both its question and its answer overlap the text around the window by enough word shingles, or stand
+there word by word with few words changed, added or left out: one changed word breaks SHINGLE shingles, which are
+most of a short answer's.
 
 The index is broadcast in shards of at most SHARD_ITEMS items, each of which takes one pass over the
 texts; document frequencies and lengths are those of all items. Texts are not exchanged.
@@ -35,6 +37,8 @@ K1, B = 1.2, 0.75
 BLOCK, MOST_BLOCKS, SHARD_ITEMS = 4, 64, 50_000
 #: Share of a segment's weight for retrieval, and of the shingles of question and of answer for a finding.
 THRESHOLD, OVERLAP = 0.6, 0.6
+#: Share of the words of a question or answer that stands in order, if its shingles are too few; one of under 4 words must stand whole.
+IN_ORDER = 0.75
 #: Ids of contaminated documents are broadcast up to this count.
 BROADCAST_IDS = 500_000
 
@@ -42,13 +46,15 @@ BROADCAST_IDS = 500_000
 def question_and_answer(text: str) -> tuple[str, str]:
     """Split an item without separate answer: its last sentences of at least SHINGLE words are the answer.
 
-    If that is all of it, the second half of the words is.
+    If that leaves fewer than SHINGLE words for the question, the second half of the words is the answer.
     """
     parts = re.split(r"(?<=[.!?])\s+|\n+", text.strip())
     for k in range(len(parts) - 1, 0, -1):
-        answer = " ".join(parts[k:])
+        question, answer = " ".join(parts[:k]), " ".join(parts[k:])
         if len(answer.split()) >= SHINGLE:
-            return " ".join(parts[:k]), answer
+            if len(question.split()) >= SHINGLE:
+                return question, answer
+            break
     own = text.split()
     return " ".join(own[: len(own) // 2]), " ".join(own[len(own) // 2 :])
 
@@ -64,6 +70,29 @@ def _grams(hashes: np.ndarray) -> set[tuple[int, ...]]:
     return {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
 
 
+def in_order(part: np.ndarray, text: np.ndarray, least: float) -> float:
+    """1 less the fewest words changed, added or left out, by words of `part`, in any place of `text`; 0 if that is below `least`."""
+    n, best = len(part), 0.0
+    wrong = int((1 - least) * n + 1e-9)
+    # a place has at most n + wrong words, and n - wrong of them are words of the part
+    upto = np.concatenate(([0], np.cumsum(np.isin(text, part))))
+    start = np.arange(len(text))
+    stop = np.minimum(start + n + wrong, len(text))
+    start = np.flatnonzero(upto[stop] - upto[:-1] >= n - wrong)
+    if not len(start):
+        return best
+    fresh_place = np.diff(start, prepend=-2 * (n + wrong)) > n + wrong
+    for first, last in zip(start[fresh_place], start[np.append(np.flatnonzero(fresh_place)[1:] - 1, len(start) - 1)]):
+        here = text[first : stop[last]]
+        ramp = np.arange(len(here) + 1)
+        row = np.zeros(len(here) + 1, dtype=np.int64)  # a place begins anywhere
+        for i, word in enumerate(part):
+            step = np.concatenate(([i + 1], np.minimum(row[:-1] + (here != word), row[1:] + 1)))
+            row = np.minimum.accumulate(step - ramp) + ramp
+        best = max(best, 1 - int(row.min()) / n)
+    return best if best >= least - 1e-9 else 0.0
+
+
 @dataclass
 class Postings:
     """Segments that hold a term, ascending, and their weights."""
@@ -74,15 +103,15 @@ class Postings:
 
 @dataclass
 class Index:
-    """Items (id, word counts, question and answer shingles), segments (item each) and postings by sorted term.
+    """Items (id, word counts, question and answer as words and as shingles), segments (item each) and postings by sorted term.
 
     `bounds[term, block]` is the largest weight of the term among the `block` segments of each block.
     """
 
     item_ids: list[int]
     item_words: list[int]
-    questions: list[set]
-    answers: list[set]
+    questions: list[tuple[np.ndarray, set]]
+    answers: list[tuple[np.ndarray, set]]
     segment_item: list[int]
     terms: np.ndarray
     postings: list[Postings]
@@ -140,8 +169,8 @@ def build_index(items: list[tuple[int, str, str]], counts: dict[int, int] | None
             bags.append(np.unique(both[at : at + SEGMENT], return_counts=True))
         ids.append(item)
         sizes.append(len(both))
-        questions.append(_grams(q))
-        answers.append(_grams(a))
+        questions.append((q, _grams(q)))
+        answers.append((a, _grams(a)))
     if counts is None:
         counts = {}
         for terms, _ in bags:
@@ -202,16 +231,20 @@ def find_items(index: Index, hashes: np.ndarray, bounds: np.ndarray, threshold:
             around = hashes[max(int(bounds[text]), s - reach) : min(int(bounds[text + 1]), e + reach)]
             here: dict[int, set] = {}
 
-            def share(grams: set) -> float:
+            def share(part: np.ndarray, grams: set) -> float:
                 if not grams:
                     return 1.0
                 n = len(next(iter(grams)))
                 if n not in here:
                     own = around.tolist()
                     here[n] = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)}
-                return len(grams & here[n]) / len(grams)
+                own = len(grams & here[n]) / len(grams)
+                if own >= overlap:
+                    return own
+                return max(own, in_order(part, around, max(overlap, IN_ORDER)))
 
-            q, a = share(index.questions[item]), share(index.answers[item])
+            q = share(*index.questions[item])
+            a = share(*index.answers[item]) if q >= overlap else 0.0
             if q >= overlap and a >= overlap:
                 best[text, item] = max(best.get((text, item), (0.0, 0.0)), (q, a))
     return [(text, item, q, a) for (text, item), (q, a) in best.items()]
@@ -246,7 +279,7 @@ def _segment_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str | None = "text", question_col: str | None = None, answer_col: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """For every row of `docs`: id, contaminated, kept, n_items, item_ids (ascending), question_overlap and answer_overlap.
 
-    The overlaps are the largest among the findings, 0 without any. A null or empty text holds nothing; items
+    The overlaps are the largest among the findings, 0 without any: shares of shingles, or of words in order where the shingles are too few. A null or empty text holds nothing; items
     without words are in no text. Words are runs of letters and digits in lower case. Repeated rows
     each get their row; an empty table of either kind gives no findings.
     """

@@ -162,6 +162,23 @@ def test_shards_of_the_index_give_the_same(spark, monkeypatch):
     assert all(i in found for i, found in one)
 
 
+def test_items_with_a_changed_word_are_found(spark):
+    rng = random.Random(12)
+    items = [(i, f"{sentence(rng, rng.choice([3, 8, 20]), 5000)}. {sentence(rng, rng.choice([5, 8]), 5000)}.") for i in range(12)]
+    rows, truth = [], {}
+    for i, item in items:
+        own = item.split()
+        for k in range(len(own)):
+            truth[len(rows)] = [i]
+            rows.append((len(rows), " ".join([sentence(rng, 30, 5000), *own[:k], "other", *own[k + 1 :], sentence(rng, 30, 5000)]), None, 0))
+    # the words of an answer out of order are not the answer
+    question, answer = items[2][1].split(". ")
+    rows.append((len(rows), f"{question} {' '.join(reversed(answer[:-1].split()))}", None, 0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = find_contamination(frame(spark, rows), bench).collect()
+    assert {r.doc_id: r.item_ids for r in out if r.contaminated} == truth
+
+
 def test_question_and_answer():
     assert question_and_answer("One two three four five six. Seven eight nine ten eleven.") == ("One two three four five six.", "Seven eight nine ten eleven.")
     assert question_and_answer("a b c d")[1] == "c d"
