@@ -1,14 +1,15 @@
 """Benchmark decontamination: BM25 with block-max WAND, then overlap of question and answer.
 
-The test items are the indexed side. Items are cut into segments of at most SEGMENT words; a segment's BM25
+The test items are the indexed side. Items, and the longer of question and answer by itself, are cut into segments
+of at most SEGMENT words, so an item is retrieved also where its parts stand far from each other; a segment's BM25
 weights are divided by their sum, so a score is the share of the segment's weight that a query covers, and
 one threshold serves all. Every window of PASSAGE words of every training text, each STRIDE words, is a query:
 a run of SEGMENT words always lies in one window whole. All segments with a score of at least
 `threshold` are retrieved by block-max WAND (Ding and Suel, 2011). Segments are numbered by weight, so that
 a block's are alike and its largest weights are close bounds; those bounds are summed for all windows of a slice at once,
 and pivots are sought only in the blocks where they reach the threshold. An item is found in a text
-when both its question and its answer overlap the text around the window by enough word shingles, or stand
-there word by word with few words changed, added or left out: one changed word breaks SHINGLE shingles, which are
+when both its question and its answer overlap the whole text by enough word shingles, or stand
+in it word by word with few words changed, added or left out: one changed word breaks SHINGLE shingles, which are
 most of a short answer's.
 
 The index is broadcast in shards of at most SHARD_ITEMS items, each of which takes one pass over the
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import broadcast_below, cut, fresh, python_steps
-from millrace.llm.textkit import NON_WORD, text_slices, words
+from millrace.llm.textkit import NON_WORD, shingles, text_slices, words
 
 SEGMENT, PASSAGE, STRIDE, SHINGLE = 64, 128, 64, 5
 K1, B = 1.2, 0.75
@@ -64,10 +65,23 @@ def _hashes(text: str) -> np.ndarray:
     return words(raw, np.array([0, len(raw)]), NON_WORD)[0]
 
 
-def _grams(hashes: np.ndarray) -> set[tuple[int, ...]]:
-    own = hashes.tolist()
-    n = min(SHINGLE, len(own))
-    return {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
+def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Distinct runs of n words as hashes, ascending."""
+    if not n or len(hashes) < n:
+        return np.zeros(0, np.uint64)
+    return shingles(hashes, np.array([0, len(hashes)]), n)[0]
+
+
+def _part(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A question or answer as words and as shingles."""
+    return hashes, _grams(hashes, min(SHINGLE, len(hashes)))
+
+
+def _segments(question: np.ndarray, answer: np.ndarray) -> list[np.ndarray]:
+    """Segments of an item and of the longer of its parts. A finding needs both parts, so retrieving one of them is enough."""
+    both = np.concatenate((question, answer))
+    longer = max(question, answer, key=len)
+    return [own[at : at + SEGMENT] for own in ([both, longer] if len(longer) < len(both) else [both]) for at in range(0, len(own), SEGMENT)]
 
 
 def in_order(part: np.ndarray, text: np.ndarray, least: float) -> float:
@@ -103,15 +117,14 @@ class Postings:
 
 @dataclass
 class Index:
-    """Items (id, word counts, question and answer as words and as shingles), segments (item each) and postings by sorted term.
+    """Items (id, question and answer as words and as shingles), segments (item each) and postings by sorted term.
 
     `bounds[term, block]` is the largest weight of the term among the `block` segments of each block.
     """
 
     item_ids: list[int]
-    item_words: list[int]
-    questions: list[tuple[np.ndarray, set]]
-    answers: list[tuple[np.ndarray, set]]
+    questions: list[tuple[np.ndarray, np.ndarray]]
+    answers: list[tuple[np.ndarray, np.ndarray]]
     segment_item: list[int]
     terms: np.ndarray
     postings: list[Postings]
@@ -143,7 +156,7 @@ class Index:
                 pivot += 1
             if live[0][0] == target:
                 score = sum(c[3].weights[c[1]] for c in live[: pivot + 1])
-                if score >= enough:
+                if score >= threshold - 1e-9:  # the bounds are of single precision, the scores are not
                     found.append((target, score))
                 to = target + 1
             else:
@@ -158,19 +171,17 @@ class Index:
 
 def build_index(items: list[tuple[int, str, str]], counts: dict[int, int] | None = None, segments: int | None = None, mean: float | None = None) -> Index:
     """Index (id, question, answer) items. `counts` (segments that hold a term), `segments` and `mean` are those of all shards."""
-    ids, sizes, questions, answers, owner, bags = [], [], [], [], [], []
+    ids, questions, answers, owner, bags = [], [], [], [], []
     for item, question, answer in items:
         q, a = _hashes(question), _hashes(answer)
-        both = np.concatenate((q, a))
-        if not len(both):
+        if not len(q) and not len(a):
             continue
-        for at in range(0, len(both), SEGMENT):
+        for own in _segments(q, a):
             owner.append(len(ids))
-            bags.append(np.unique(both[at : at + SEGMENT], return_counts=True))
+            bags.append(np.unique(own, return_counts=True))
         ids.append(item)
-        sizes.append(len(both))
-        questions.append((q, _grams(q)))
-        answers.append((a, _grams(a)))
+        questions.append(_part(q))
+        answers.append(_part(a))
     if counts is None:
         counts = {}
         for terms, _ in bags:
@@ -195,7 +206,7 @@ def build_index(items: list[tuple[int, str, str]], counts: dict[int, int] | None
     bounds = np.zeros((len(terms), max(1, -(-len(order) // block))), dtype=np.float32)
     for i, t in enumerate(terms):
         np.maximum.at(bounds[i], np.array(found[t].segments) // block, found[t].weights)
-    return Index(ids, sizes, questions, answers, [owner[k] for k in order], np.array(terms, dtype=np.uint64), [found[t] for t in terms], bounds, block)
+    return Index(ids, questions, answers, [owner[k] for k in order], np.array(terms, dtype=np.uint64), [found[t] for t in terms], bounds, block)
 
 
 def find_items(index: Index, hashes: np.ndarray, bounds: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float]]:
@@ -221,33 +232,30 @@ def find_items(index: Index, hashes: np.ndarray, bounds: np.ndarray, threshold:
     term, window = pairs % width, pairs[first] // width
     reach_bound = np.add.reduceat(index.bounds[term], first, axis=0)
     stop = np.append(first[1:], len(pairs))
-    best: dict[tuple[int, int], tuple[float, float]] = {}
+    seen: dict[tuple[int, int], tuple[float, float]] = {}
+    held: dict[tuple[int, int], np.ndarray] = {}
     for k, block in zip(*(x.tolist() for x in np.nonzero(reach_bound >= threshold - 1e-5))):
-        w = int(window[k])
-        s, e, text = int(start[w]), int(end[w]), int(owner[w])
+        text = int(owner[window[k]])
         for segment, _ in index.search(term[first[k] : stop[k]].tolist(), threshold, block):
             item = index.segment_item[segment]
-            reach = index.item_words[item]
-            around = hashes[max(int(bounds[text]), s - reach) : min(int(bounds[text + 1]), e + reach)]
-            here: dict[int, set] = {}
+            if (text, item) in seen:
+                continue
+            whole = hashes[bounds[text] : bounds[text + 1]]
 
-            def share(part: np.ndarray, grams: set) -> float:
-                if not grams:
+            def share(part: np.ndarray, grams: np.ndarray) -> float:
+                if not len(grams):
                     return 1.0
-                n = len(next(iter(grams)))
-                if n not in here:
-                    own = around.tolist()
-                    here[n] = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)}
-                own = len(grams & here[n]) / len(grams)
+                n = min(SHINGLE, len(part))
+                if (text, n) not in held:
+                    held[text, n] = _grams(whole, n)
+                own = len(np.intersect1d(grams, held[text, n], assume_unique=True)) / len(grams)
                 if own >= overlap:
                     return own
-                return max(own, in_order(part, around, max(overlap, IN_ORDER)))
+                return max(own, in_order(part, whole, max(overlap, IN_ORDER)))
 
             q = share(*index.questions[item])
-            a = share(*index.answers[item]) if q >= overlap else 0.0
-            if q >= overlap and a >= overlap:
-                best[text, item] = max(best.get((text, item), (0.0, 0.0)), (q, a))
-    return [(text, item, q, a) for (text, item), (q, a) in best.items()]
+            seen[text, item] = (q, share(*index.answers[item]) if q >= overlap else 0.0)
+    return [(text, item, q, a) for (text, item), (q, a) in seen.items() if q >= overlap and a >= overlap]
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str | None, question_col: str | None, answer_col: str | None) -> DataFrame:
@@ -268,9 +276,7 @@ def _segment_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         terms, lengths = [], []
         for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            both = np.concatenate((_hashes(q), _hashes(a)))
-            for at in range(0, len(both), SEGMENT):
-                own = both[at : at + SEGMENT]
+            for own in _segments(_hashes(q), _hashes(a)):
                 terms += [None, *np.unique(own).view(np.int64).tolist()]
                 lengths += [len(own)] * (len(terms) - len(lengths))
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(lengths, pa.int64())], names=["term", "length"])

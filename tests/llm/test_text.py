@@ -179,6 +179,22 @@ def test_items_with_a_changed_word_are_found(spark):
     assert {r.doc_id: r.item_ids for r in out if r.contaminated} == truth
 
 
+def test_question_and_answer_may_stand_far_apart(spark):
+    rng = random.Random(13)
+    items = [(i, f"{sentence(rng, 8 + 3 * i, 5000)}. {sentence(rng, 20 - i, 5000)}.") for i in range(8)]
+    rows, truth = [], {}
+    for i, item in items:
+        question, answer = item.split(". ")
+        for apart in (50, 150, 3000):
+            for one, other in ((question, answer), (answer, question)):
+                truth[len(rows)] = [i]
+                rows.append((len(rows), " ".join([sentence(rng, 70, 5000), one, sentence(rng, apart, 5000), other, sentence(rng, 70, 5000)]), None, 0))
+        rows += [(1000 + i, question, None, 0), (2000 + i, answer, None, 0)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = find_contamination(frame(spark, rows), bench).collect()
+    assert {r.doc_id: r.item_ids for r in out if r.contaminated} == truth
+
+
 def test_question_and_answer():
     assert question_and_answer("One two three four five six. Seven eight nine ten eleven.") == ("One two three four five six.", "Seven eight nine ten eleven.")
     assert question_and_answer("a b c d")[1] == "c d"
