@@ -13,7 +13,8 @@ in it word by word with few words changed, added or left out: one changed word b
 most of a short answer's.
 
 The index is broadcast in shards of at most SHARD_ITEMS items, each of which takes one pass over the
-texts; document frequencies and lengths are those of all items. Texts are not exchanged.
+texts; document frequencies and lengths are those of all items. With one shard texts are not exchanged. With more
+the rows are written once with a number of their own, by which findings come back to them; ids need not be unique.
 """
 
 from __future__ import annotations
@@ -282,23 +283,19 @@ def _segment_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(lengths, pa.int64())], names=["term", "length"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str | None = "text", question_col: str | None = None, answer_col: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """For every row of `docs`: id, contaminated, kept, n_items, item_ids (ascending), question_overlap and answer_overlap.
-
-    The overlaps are the largest among the findings, 0 without any: shares of shingles, or of words in order where the shingles are too few. A null or empty text holds nothing; items
-    without words are in no text. Words are runs of letters and digits in lower case. Repeated rows
-    each get their row; an empty table of either kind gives no findings.
-    """
+def _with_findings(docs: DataFrame, text_col: str, carry: list[str], benchmark: DataFrame, item_col: str, text: str | None, question_col: str | None, answer_col: str | None, threshold: float, overlap: float) -> tuple[DataFrame, list[str]]:
+    """The columns `carry` of every row of `docs` with item_ids, q and a, and the names that these three have there."""
     spark = docs.sparkSession
     python_steps(spark)
-    items = cut(_items(benchmark, item_col, item_text_col, question_col, answer_col), "bench-items")
+    items = cut(_items(benchmark, item_col, text, question_col, answer_col), "bench-items")
     total = items.count()
     shards = max(1, -(-total // SHARD_ITEMS))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    extra = fresh(docs, "item_ids", "q", "a")
     stats = None
     if shards > 1:
         stats = cut(items.mapInArrow(_segment_terms, "term long, length long").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")), "bench-terms")
-    def scan(shard: int) -> DataFrame:
+
+    def scan(rows: DataFrame, names: list[str], shard: int) -> DataFrame:
         own = [(r.item, r.question, r.answer) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).collect()]
         if stats is None:
             index = build_index(own)
@@ -309,36 +306,51 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             counts = {r.term % (1 << 64): r.n for r in stats.join(mine, "term").collect()}
             index = build_index(own, counts, everything.n, everything["mean"])
         held = spark.sparkContext.broadcast(index)
+        at, keep = rows.columns.index(text_col), [rows.columns.index(c) for c in names]
+        schema = rows.select(*names, F.array().cast("array<long>").alias(extra[0]), F.lit(0.0).alias(extra[1]), F.lit(0.0).alias(extra[2])).schema
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = held.value
             for batch in batches:
-                for row, raw, offsets in text_slices(pc.utf8_lower(batch.column(1))):
+                for row, raw, offsets in text_slices(pc.utf8_lower(batch.column(at))):
                     hashes, _, _, bounds = words(raw, offsets, NON_WORD)
                     n = len(offsets) - 1
                     lists, q, a = [[] for _ in range(n)], np.zeros(n), np.zeros(n)
                     for text, item, own_q, own_a in find_items(index, hashes, bounds, threshold, overlap):
                         lists[text].append(index.item_ids[item])
                         q[text], a[text] = max(q[text], own_q), max(a[text], own_a)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array([sorted(x) for x in lists], pa.list_(pa.int64())), pa.array(q), pa.array(a)], names=["id", "item_ids", "q", "a"])
+                    part = batch.slice(row, n)
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array([sorted(x) for x in lists], pa.list_(pa.int64())), pa.array(q), pa.array(a)], names=[*names, *extra])
 
-        return texts.mapInArrow(run, "id long, item_ids array<long>, q double, a double")
+        return rows.mapInArrow(run, schema)
 
     if shards == 1:
-        found = scan(0)
-    else:  # only findings are exchanged
-        hits = cut(scan(0).where(F.size("item_ids") > 0), "bench-found")
-        for shard in range(1, shards):
-            hits = hits.unionByName(cut(scan(shard).where(F.size("item_ids") > 0), "bench-found"))
-        more = hits.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("all"), F.max("q").alias("mq"), F.max("a").alias("ma"))
-        found = texts.select("id").join(more, "id", "left").select("id", F.coalesce("all", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("mq", F.lit(0.0)).alias("q"), F.coalesce("ma", F.lit(0.0)).alias("a"))
+        return scan(docs, carry, 0), extra
+    number = fresh(docs, "number")[0]
+    rows = cut(docs.withColumn(number, F.monotonically_increasing_id()), "bench-rows")
+    some = F.size(extra[0]) > 0
+    hits = cut(scan(rows, [number], 0).where(some), "bench-found")  # only findings are exchanged
+    for shard in range(1, shards):
+        hits = hits.unionByName(cut(scan(rows, [number], shard).where(some), "bench-found"))
+    more = hits.groupBy(number).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(extra[0])))).alias(extra[0]), F.max(extra[1]).alias(extra[1]), F.max(extra[2]).alias(extra[2]))
+    found = rows.select(*carry, number).join(broadcast_below(cut(more, "bench-hits"), BROADCAST_IDS), number, "left")
+    return found.select(*carry, F.coalesce(extra[0], F.array().cast("array<long>")).alias(extra[0]), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in extra[1:])), extra
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str | None = "text", question_col: str | None = None, answer_col: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """For every row of `docs`: id, contaminated, kept, n_items, item_ids (ascending), question_overlap and answer_overlap.
+
+    The overlaps are the largest among the findings, 0 without any: shares of shingles, or of words in order where the shingles are too few. A null or empty text holds nothing; items
+    without words are in no text. Words are runs of letters and digits in lower case. Each
+    row is judged by its own text, whatever its id; an empty table of either kind gives no findings.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found, _ = _with_findings(texts, "text", ["id"], benchmark, item_col, item_text_col, question_col, answer_col, threshold, overlap)
     hit = F.size("item_ids") > 0
     return found.select(F.col("id").alias(id_col), hit.alias("contaminated"), (~hit).alias("kept"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.col("q").alias("question_overlap"), F.col("a").alias("answer_overlap"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that hold a test item, in their own columns."""
-    gone = fresh(docs, "gone")[0]
-    lost = cut(find_contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col(id_col).alias(gone)).distinct(), "bench-gone")
-    lost = broadcast_below(lost, BROADCAST_IDS)
-    return docs.join(lost, docs[id_col] == lost[gone], "left_anti")
+    """`docs` without the rows that hold a test item, in their own columns. Each row is judged by its own text; `id_col` plays no part."""
+    found, (item_ids, _, _) = _with_findings(docs, text_col, docs.columns, benchmark, "item_id", "text", None, None, THRESHOLD, OVERLAP)
+    return found.where(F.size(item_ids) == 0).select(*docs.columns)

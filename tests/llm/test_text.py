@@ -162,6 +162,22 @@ def test_shards_of_the_index_give_the_same(spark, monkeypatch):
     assert all(i in found for i, found in one)
 
 
+@pytest.mark.parametrize("shard_items", [50, 5])
+def test_rows_are_judged_whatever_their_id(spark, monkeypatch, shard_items):
+    from millrace.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", shard_items)
+    rng = random.Random(14)
+    items = [(i, f"{sentence(rng, 20, 5000)}. {sentence(rng, 8, 5000)}.") for i in range(12)]
+    clean = [sentence(rng, 40, 5000) for _ in range(3)]
+    rows = [(None, items[0][1], None, 0), (None, clean[0], None, 1), (7, items[1][1], None, 2), (7, clean[1], None, 3), (7, f"{items[2][1]} {items[3][1]}", None, 4), (8, clean[2], None, 5)]
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    out = sorted(((r.doc_id, r.item_ids) for r in find_contamination(docs, bench).collect()), key=str)
+    assert out == sorted([(None, [0]), (None, []), (7, [1]), (7, []), (7, [2, 3]), (8, [])], key=str)
+    kept = drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.Letter for r in kept.collect()) == [1, 3, 5]
+
+
 def test_items_with_a_changed_word_are_found(spark):
     rng = random.Random(12)
     items = [(i, f"{sentence(rng, rng.choice([3, 8, 20]), 5000)}. {sentence(rng, rng.choice([5, 8]), 5000)}.") for i in range(12)]
