@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import fresh, python_steps
@@ -182,6 +182,10 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Lan
     return build_model(samples)
 
 
+def _has_letter(text_col: str) -> Column:
+    return F.coalesce(F.regexp_like(text_col, F.lit(r"\p{L}")), F.lit(False))
+
+
 def identify_languages(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """`docs` with `lang_pred` and `score`; where `docs` has such a name, ours gets a leading underscore.
 
@@ -194,9 +198,8 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_
     python_steps(spark)
     model = spark.sparkContext.broadcast(learn(labelled, id_col, text_col, lang_col))
     pred, score = fresh(docs, "lang_pred", "score")
-    letter = F.coalesce(F.regexp_like(text_col, F.lit(r"\p{L}")), F.lit(False))
     names = docs.columns
-    framed = docs.select(*names, letter.alias(fresh(docs, "letter")[0]))
+    framed = docs.select(*names, _has_letter(text_col).alias(fresh(docs, "letter")[0]))
     schema = docs.select(*names, F.lit("").alias(pred), F.lit(0.0).alias(score)).schema
     at = names.index(text_col)
 
@@ -234,6 +237,10 @@ def held_out(id_col: str = "doc_id"):
 
 
 def drop_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """`docs` without the rows whose language stays `und`, in their own columns."""
+    """`docs` without the rows whose text is null or has no letter, in their own columns.
+
+    These are the ones that stay `und`; where no language could be learnt, all do, and those with a letter are kept.
+    """
     pred = fresh(docs, "lang_pred")[0]
-    return identify_languages(docs, learning_rows(docs, id_col), id_col, text_col, lang_col).where(F.col(pred) != UNDETERMINED).select(*docs.columns)
+    found = identify_languages(docs, learning_rows(docs, id_col), id_col, text_col, lang_col)
+    return found.where((F.col(pred) != UNDETERMINED) | _has_letter(text_col)).select(*docs.columns)

@@ -103,6 +103,13 @@ def test_languages_are_told_apart(spark):
     assert {r.lang_pred for r in identify_languages(docs, frame(spark, [])).collect()} == {"und"}
 
 
+def test_documents_stay_where_no_language_is_learnt(spark):
+    rows = [(0, "alba torno", None, 0), (1, "日本", None, 0), (1, None, None, 0), (2, "", None, 0), (3, "12 34 !!", None, 0), (None, "mila", None, 0)]
+    assert sorted(r.text for r in drop_undetermined(frame(spark, rows)).collect()) == ["alba torno", "mila", "日本"]
+    few = [(i, "alba torno", "xx", 0) for i in range(20) if zlib.crc32(str(i).encode()) % 3 == 1]  # labels of held-out rows only
+    assert few and drop_undetermined(frame(spark, few)).count() == len(few)
+
+
 # decontamination
 
 def sentence(rng, n, vocabulary):
