@@ -11,6 +11,7 @@ phrase, and all lanes advance together, one symbol a step. A missing transition
 transition from the root with the phrase bit set, so a step is one table lookup. Whole texts are parsed.
 
 The model has a fixed bound: DOCS_PER_LANGUAGE documents a language, SLICE_SYMBOLS of each, at most REFERENCE_SYMBOLS.
+The symbols of a document come from a place in it that the hash of its id chooses.
 """
 
 from __future__ import annotations
@@ -171,10 +172,16 @@ def _one(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> LanguageModel:
-    """Fit on the DOCS_PER_LANGUAGE labelled documents of each language that come first by the hash of their id."""
+    """Fit on the DOCS_PER_LANGUAGE labelled documents of each language that come first by the hash of their id.
+
+    A longer text gives the 4 * SLICE_SYMBOLS characters from a place chosen by another hash of the id, so that
+    openings which texts share don't stand for the language.
+    """
     rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
+    places = F.greatest(F.length(text_col) - 4 * SLICE_SYMBOLS, F.lit(0)) + 1
+    place = (F.pmod(F.xxhash64(id_col, F.lit("place")), places) + 1).cast("int")
     usable = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    usable = usable.select(F.col(lang_col).alias("lang"), rank.alias("rank"), F.substring(text_col, 1, 4 * SLICE_SYMBOLS).alias("text"))
+    usable = usable.select(F.col(lang_col).alias("lang"), rank.alias("rank"), F.substring(F.col(text_col), place, F.lit(4 * SLICE_SYMBOLS)).alias("text"))
     rows = usable.where(F.col("rank") <= DOCS_PER_LANGUAGE).collect()
     samples: dict[str, list[str]] = {}
     for lang, _, text in sorted(rows, key=lambda r: (r[0], r[1])):

@@ -103,6 +103,17 @@ def test_languages_are_told_apart(spark):
     assert {r.lang_pred for r in identify_languages(docs, frame(spark, [])).collect()} == {"und"}
 
 
+def test_languages_are_learnt_past_a_common_opening(spark):
+    rng = random.Random(15)
+    vocabulary = {"xx": ["alba", "torno", "quessa", "mila"], "yy": ["grund", "schacht", "weber", "tzung"]}
+    text = lambda k, n: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
+    opening = " ".join("".join(rng.choice("jkpxy") for _ in range(6)) for _ in range(320))  # over 2,048 characters
+    labelled = [(i, f"{opening} {text(k, 1500)}", k, 0) for i, k in enumerate(["xx", "yy"] * 30)]
+    rows = [(i, text(k, 40), k, 0) for i, k in enumerate(["xx", "yy"] * 20)]
+    out = identify_languages(frame(spark, rows), frame(spark, labelled)).collect()
+    assert all(r.lang_pred == r.lang and r.score > 0.1 for r in out)
+
+
 def test_documents_stay_where_no_language_is_learnt(spark):
     rows = [(0, "alba torno", None, 0), (1, "日本", None, 0), (1, None, None, 0), (2, "", None, 0), (3, "12 34 !!", None, 0), (None, "mila", None, 0)]
     assert sorted(r.text for r in drop_undetermined(frame(spark, rows)).collect()) == ["alba torno", "mila", "日本"]
