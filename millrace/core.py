@@ -2,43 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from millrace.storage import ship
 
 #: Rows that a solver which needs all of them in one place takes at most.
 LOCAL_ROWS = 5_000
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that Python steps find it there."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parent
-    packed = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
-    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
-        for source in sorted(package.rglob("*.py")):
-            z.write(source, source.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(packed))
-    _shipped.add(app)
-
 
 class Features:
     """The feature columns of a frame: a list of numeric columns, or one array column."""
 
-    def __init__(self, df: DataFrame, features: Sequence[str] | str) -> None:
+    def __init__(self, df: DataFrame, features: Sequence[str] | str, width: int | None = None) -> None:
         if isinstance(features, str):
-            first = df.select(F.size(features)).first()
-            self.names, self.array = [f"{features}[{i}]" for i in range(first[0] if first else 0)], features
+            if width is None:  # a null array has no size; of arrays of several sizes the longest counts
+                width = df.select(F.max(F.when(F.col(features).isNotNull(), F.size(features)))).first()[0] or 0
+            self.names, self.array = [f"{features}[{i}]" for i in range(width)], features
             self.columns = [F.get(features, F.lit(i)).cast("double") for i in range(len(self.names))]
         else:
             self.names, self.array = list(features), None
@@ -57,7 +42,8 @@ class Features:
     def known(self) -> Column:
         """Whether no feature of the row is null."""
         if self.array:
-            return F.col(self.array).isNotNull() & F.forall(self.array, lambda x: x.isNotNull())
+            whole = F.size(self.array) == len(self.names)
+            return F.coalesce(whole & F.forall(self.array, lambda x: x.isNotNull()), F.lit(False))
         test = F.lit(True)
         for c in self.columns:
             test = test & c.isNotNull()
@@ -79,7 +65,7 @@ class Estimator:
             raise RuntimeError(f"Call fit() before using {type(self).__name__}")
 
     def _width(self, df: DataFrame) -> Features:
-        own = Features(df, self.features)
+        own = Features(df, self.features, self.n_features_in_)
         if len(own) != self.n_features_in_:
             raise ValueError(f"expected {self.n_features_in_} features, found {len(own)}")
         return own
@@ -151,12 +137,14 @@ def score_rows(df: DataFrame, own: Features, score: Callable[[np.ndarray], dict[
                 if values is None:
                     columns.append(pa.nulls(len(batch), out_arrow[name]))
                     continue
-                values = values.tolist()
-                columns.append(pa.array([values[k] if k >= 0 else None for k in place.tolist()], out_arrow[name]))
+                if values.ndim == 2:
+                    flat, bounds = pa.array(values.ravel()), pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1])
+                    own = pa.ListArray.from_arrays(bounds, flat)
+                else:
+                    own = pa.array(values)
+                columns.append(own.take(pa.array(place, mask=~known)).cast(out_arrow[name]))
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *[n for n, _ in fields]])
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     out_arrow = {f.name: f.type for f in to_arrow_schema(out_schema)}
     framed = df.select(*names, own.vector.alias("__vector"), own.known.alias("__known"))
     return framed.mapInArrow(run, out_schema)

@@ -104,8 +104,11 @@ def normal(*keys: Column | str | int) -> Column:
     return F.sqrt(-2 * F.log(1 - uniform("a", *keys))) * F.cos(F.lit(2 * math.pi) * uniform("b", *keys))
 
 
-def poisson_one(u: Column, most: int = 8) -> Column:
-    """A Poisson number of mean 1 from a uniform one: the weight of a row in a bootstrap sample."""
+def poisson_one(u: Column, most: int = 13) -> Column:
+    """A Poisson number of mean 1 from a uniform one: the weight of a row in a bootstrap sample.
+
+    Numbers above 12 have a chance under 2^-32, which is what `uniform` resolves.
+    """
     total, out, p = 0.0, F.lit(most), math.exp(-1.0)
     steps = []
     for k in range(most):

@@ -50,7 +50,7 @@ class GaussianNB(_Bayes):
         self._aggregate(df, Features(df, features), label, [F.avg, F.var_pop])
         self.theta_, variance = self._sums
         self.epsilon_ = self.var_smoothing * max(v for row in variance for v in row)
-        self.var_ = [[v + self.epsilon_ for v in row] for row in variance]
+        self.var_ = self.sigma_ = [[v + self.epsilon_ for v in row] for row in variance]
         return self
 
     def _log_likelihoods(self, own: Features) -> list[Column]:
@@ -96,6 +96,7 @@ class BernoulliNB(_Bayes):
         self.features = features
         self._aggregate(df, Features(df, features), label, [lambda c: F.sum(self._present(c))])
         self.feature_prob_ = [[(s + self.alpha) / (n + 2 * self.alpha) for s in row] for row, n in zip(self._sums[0], self.class_count_)]
+        self.feature_log_prob_ = [[math.log(p) for p in row] for row in self.feature_prob_]
         return self
 
     def _log_likelihoods(self, own: Features) -> list[Column]:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.core import LOCAL_ROWS, Estimator, Features, local_rows, partition_sums, score_rows
 from millrace.functions.expr import euclidean, manhattan, squared_distance, uniform
 from millrace.plans.closure import closure
 from millrace.plans.pairs import distances
+from millrace.plans.scan import ranked
+from millrace.storage import cut
 
 
 def _near(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -68,6 +70,7 @@ class KMeans(Estimator):
         finally:
             rows.unpersist()
         self.centroids_, self._fitted = centres, True
+        self.labels_ = self.transform(df).select(id_col, "prediction")
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -85,45 +88,101 @@ NOISE = -1
 class DBSCAN(Estimator):
     """Density clusters in closed form: components of core points, numbered by their least id; a border point joins the lowest adjacent cluster.
 
-    Neighbours (within eps, itself included) are found by an equi-join on grid cells of side eps over the first two
-    features: of a pair within eps the cells differ by one at most.
+    Points are put into cells whose points all lie within eps of each other: grid cells with up to GRID_FEATURES features, equal
+    points with more. So all points of a cell of min_samples are core, core points of a cell belong together, and distances
+    are needed only for points of thinner cells, and between cells whose bounds leave it open whether two of their core points
+    are neighbours. A crowded cell is dealt into parts of about PART points, so no task holds it whole.
     """
 
+    GRID_FEATURES, PART = 3, 5_000
+
     def __init__(self, eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean") -> None:
         if eps <= 0 or min_samples < 1 or metric not in ("euclidean", "manhattan"):
             raise ValueError("eps > 0, min_samples >= 1 and metric 'euclidean' or 'manhattan' are required")
         self.eps, self.min_samples, self.metric = eps, min_samples, metric
 
+    def _cells(self, points: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
+        """Points with their cell, and pairs (cell, other) of cells that may hold neighbours, each cell with itself included."""
+        grid = [F.get("x", F.lit(i)) for i in range(min(d, self.GRID_FEATURES))]
+        if d <= self.GRID_FEATURES:
+            side = self.eps / (np.sqrt(d) if self.metric == "euclidean" else d) * (1 - 1e-9)
+            points = points.withColumn("cell", F.array(*[F.floor(c / F.lit(float(side))) for c in grid]))
+            reach = int(np.floor(self.eps / side)) + 1
+        else:
+            side, reach = self.eps, 1
+            points = points.withColumn("cell", F.col("x"))
+        points = cut(points, "dbscan-points")
+        cells = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.any_value("x").alias("x"))
+        cells = cells.withColumn("at", F.array(*[F.floor(c / F.lit(float(side))) for c in grid]))
+        cells = cut(cells.withColumn("parts", F.ceil(F.col("n") / self.PART)), "dbscan-cells")
+        around = cells.select(F.col("cell").alias("other"), F.col("x").alias("y"), F.col("n").alias("n_other"), F.col("parts").alias("parts_other"), F.col("at"))
+        for i in range(len(grid)):
+            shifted = F.explode(F.sequence(F.get("at", F.lit(i)) - reach, F.get("at", F.lit(i)) + reach))
+            around = around.withColumn(f"a{i}", shifted)
+        near = cells.withColumns({f"a{i}": F.get("at", F.lit(i)) for i in range(len(grid))}).join(around.drop("at"), [f"a{i}" for i in range(len(grid))])
+        if d > self.GRID_FEATURES:
+            near = near.where(self._distance(F.col("x"), F.col("y")) <= self.eps)
+        return points, cut(near.select("cell", "n", "other", "n_other", "parts_other"), "dbscan-near")
+
+    def _distance(self, x: Column, y: Column) -> Column:
+        return (euclidean if self.metric == "euclidean" else manhattan)(x, y)
+
+    def _neighbours(self, points: DataFrame, near: DataFrame, others: DataFrame) -> DataFrame:
+        """(id, x, others' columns) for points (id, x, cell) and those of `others` within eps; others' cells are met part by part."""
+        part = F.pmod(F.xxhash64("j"), F.col("parts_other")).alias("part")
+        dealt = others.join(near.select(F.col("other").alias("cell_other"), "parts_other").distinct(), "cell_other").select("*", part).drop("parts_other")
+        asked = points.join(near.select("cell", F.col("other").alias("cell_other"), "parts_other"), "cell")
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_other") - 1))).drop("parts_other")
+        return asked.join(dealt, ["cell_other", "part"]).where(self._distance(F.col("x"), F.col("y")) <= self.eps)
+
+    def _cell_links(self, core: DataFrame, near: DataFrame, d: int) -> DataFrame:
+        """(u, v): the least core ids of cells of which a core point of one is a neighbour of one of the other."""
+        axes = range(d)
+        low, high = (F.array(*[f(F.get("x", F.lit(i))) for i in axes]) for f in (F.min, F.max))
+        bounds = cut(core.groupBy("cell").agg(F.min("id").alias("rep"), low.alias("low"), high.alias("high"), F.ceil(F.count(F.lit(1)) / self.PART).alias("parts")), "dbscan-bounds")
+        other = bounds.select(*[F.col(c).alias(f"{c}_other") for c in bounds.columns])
+        pairs = near.select("cell", F.col("other").alias("cell_other")).join(bounds, "cell").join(other, "cell_other").where("rep < rep_other")
+        gap = F.zip_with(F.zip_with("low", "high_other", lambda a, b: a - b), F.zip_with("low_other", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+        span = F.zip_with(F.zip_with("high", "low_other", lambda a, b: a - b), F.zip_with("high_other", "low", lambda a, b: a - b), lambda a, b: F.greatest(a, b))
+        zero = F.transform(gap, lambda _: F.lit(0.0))
+        slack = 1e-9 * self.eps  # pairs so close to the edge are left to the distances of the points
+        pairs = pairs.withColumns({"least": self._distance(gap, zero), "most": self._distance(span, zero)}).where(F.col("least") <= self.eps + slack)
+        pairs = cut(pairs.select("cell", "cell_other", "rep", "rep_other", "parts", "parts_other", (F.col("most") <= self.eps - slack).alias("sure")), "dbscan-pairs")
+        tiles = pairs.where("NOT sure").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        tiles = tiles.withColumn("part_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_other") - 1))).drop("parts", "parts_other", "sure")
+        distinct = core.groupBy("cell", "x").agg(F.min("id").alias("id")).join(bounds.select("cell", "parts"), "cell")
+        distinct = distinct.select("cell", "x", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+        met = tiles.join(distinct, ["cell", "part"]).join(distinct.select(F.col("cell").alias("cell_other"), F.col("x").alias("y"), F.col("part").alias("part_other")), ["cell_other", "part_other"])
+        open_links = met.where(self._distance(F.col("x"), F.col("y")) <= self.eps).select("rep", "rep_other").distinct()
+        return pairs.where("sure").select("rep", "rep_other").unionByName(open_links).toDF("u", "v")
+
     def fit(self, df: DataFrame, features, label=None, id_col: str = "id") -> DBSCAN:
         self.features, self.id_col = features, id_col
         own = Features(df, features)
-        self.n_features_in_ = len(own)
-        cell = [F.floor(c / F.lit(float(self.eps))).alias(f"g{i}") for i, c in enumerate(own.columns[:2])]
-        cells = [f"g{i}" for i in range(len(cell))]
-        points = df.where(own.known).select(F.col(id_col).alias("id"), own.vector.alias("x"), *cell)
-        around = points.select(F.col("id").alias("j"), F.col("x").alias("y"), *cells)
-        for c in cells:
-            around = around.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-        metric = euclidean if self.metric == "euclidean" else manhattan
-        pairs = points.join(around, cells).where(metric(F.col("x"), F.col("y")) <= self.eps).select("id", "j").persist()
-        core = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.min_samples).select("id").persist()
-        to_core = pairs.join(core.withColumnRenamed("id", "j"), "j")
-        links = to_core.join(core, "id").where("id < j").select(F.col("id").alias("u"), F.col("j").alias("v"))
-        labels = closure(core, links)
-        roots = labels.select("label").distinct()
-        number = roots.withColumn("cluster", F.row_number().over(Window.orderBy("label")) - 1)  # a row for each cluster
-        of_core = labels.join(number, "label").select(F.col("id").alias("j"), "cluster").persist()
-        border = to_core.join(of_core, "j").groupBy("id").agg(F.min("cluster").alias("cluster"))
-        own_cluster = of_core.select(F.col("j").alias("id"), F.col("cluster").alias("core_cluster"))
-        self.labels_ = points.select("id").join(border, "id", "left").join(own_cluster, "id", "left").select(
-            "id", F.coalesce("core_cluster", "cluster", F.lit(NOISE)).alias("prediction"), F.col("core_cluster").isNotNull().alias("core"))
-        self.core_samples_ = core
+        self.n_features_in_ = d = len(own)
+        points, near = self._cells(df.where(own.known).select(F.col(id_col).alias("id"), own.vector.alias("x")), d)
+        crowded = near.where(F.col("n") >= self.min_samples).select("cell").distinct()
+        thin = points.join(crowded, "cell", "left_anti")
+        around = points.select(F.col("id").alias("j"), F.col("x").alias("y"), F.col("cell").alias("cell_other"))
+        enough = self._neighbours(thin, near, around).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.min_samples).select("id")
+        core = cut(points.join(crowded, "cell", "left_semi").select("id", "x", "cell").unionByName(thin.join(enough, "id", "left_semi").select("id", "x", "cell")), "dbscan-core")
+        reps = core.groupBy("cell").agg(F.min("id").alias("rep"))
+        labels = closure(reps.select(F.col("rep").alias("id")), self._cell_links(core, near, d))
+        number = ranked(labels.select("label").distinct(), [F.col("label")], rank="cluster").withColumn("cluster", F.col("cluster").cast("int"))
+        of_cell = reps.join(labels, reps["rep"] == labels["id"]).join(number, "label").select("cell", "cluster")
+        of_core = cut(core.join(of_cell, "cell"), "dbscan-labels")
+        rest = thin.join(of_core, "id", "left_anti")
+        core_around = of_core.select(F.col("id").alias("j"), F.col("x").alias("y"), F.col("cell").alias("cell_other"), "cluster")
+        border = self._neighbours(rest, near, core_around).groupBy("id").agg(F.min("cluster").alias("cluster"))
+        of_rest = rest.select("id").join(border, "id", "left").select("id", F.coalesce("cluster", F.lit(NOISE)).alias("prediction"), F.lit(False).alias("core"))
+        self.labels_ = of_core.select("id", F.col("cluster").alias("prediction"), F.lit(True).alias("core")).unionByName(of_rest)
+        self.core_samples_ = self.core_sample_indices_ = core.select("id")
         self.n_clusters_ = number.count()
         self._fitted = True
         return self
 
     def fit_predict(self, df: DataFrame, features, label=None, id_col: str = "id") -> DataFrame:
-        """`df` with prediction (-1 for noise) and core."""
+        """`df` with prediction (-1 for noise) and core; both null where a feature is null."""
         self.fit(df, features, label, id_col)
         return df.join(self.labels_.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
 
@@ -253,7 +312,7 @@ class _Local(Estimator):
         self.n_features_in_ = len(own)
         ids, x, _ = local_rows(df, own, id_col, most=self.max_rows)
         self.labels_ = self._solve(x)
-        self._ids, self._fitted = ids, True
+        self._ids, self._fitted, self.n_clusters_ = ids, True, self.n_clusters
         return self
 
     def _solve(self, x: np.ndarray) -> np.ndarray:
@@ -316,8 +375,8 @@ class SpectralClustering(_Local):
     """
 
     def __init__(self, n_clusters: int = 2, affinity: str = "rbf", gamma: float = 1.0, n_neighbors: int = 10, random_state: int | None = None) -> None:
-        if n_clusters < 2 or affinity not in ("rbf", "nearest_neighbors"):
-            raise ValueError("n_clusters >= 2 and affinity 'rbf' or 'nearest_neighbors' are required")
+        if n_clusters < 2 or affinity not in ("rbf", "nearest_neighbors") or gamma <= 0 or n_neighbors < 1:
+            raise ValueError("n_clusters >= 2, affinity 'rbf' or 'nearest_neighbors', gamma > 0 and n_neighbors >= 1 are required")
         self.n_clusters, self.affinity, self.gamma, self.n_neighbors, self.random_state = n_clusters, affinity, gamma, n_neighbors, random_state
 
     def _solve(self, x: np.ndarray) -> np.ndarray:
@@ -337,7 +396,7 @@ class SpectralClustering(_Local):
         scale = 1 / np.sqrt(np.maximum(link.sum(axis=1), 1e-12))
         _, vectors = np.linalg.eigh(np.eye(len(x)) - scale[:, None] * link * scale[None, :])
         z = vectors[:, : self.n_clusters]
-        z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        z = self.embedding_ = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
         rng, best, out = np.random.default_rng(self.random_state), np.inf, np.zeros(len(x), dtype=int)
         for _ in range(10):
             centres = z[[int(rng.integers(len(z)))]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +53,7 @@ class PCA(_Projection):
         values, vectors = np.linalg.eigh(covariance)
         order = np.argsort(-values, kind="stable")[: min(self.n_components or d, d)]
         self.covariance_, self.components_ = covariance, _signed(vectors.T[order])
+        self.n_components_ = len(order)
         self.explained_variance_ = values[order]
         total = values.sum()
         self.explained_variance_ratio_ = values[order] / total if total > 0 else np.zeros(len(order))
@@ -92,7 +95,10 @@ class LinearDiscriminantAnalysis(_Projection):
         sums = partition_sums(rows, [own.vector, code], work)
         counts, totals, xx = sums[:k], sums[k : k + k * d].reshape(k, d), sums[k + k * d :].reshape(d, d)
         n = counts.sum()
-        self.priors_ = counts / n if self.priors is None else np.asarray(self.priors, dtype=float)
+        priors = counts if self.priors is None else np.asarray(self.priors, dtype=float)
+        if len(priors) != k:
+            raise ValueError(f"{len(priors)} priors for {k} classes")
+        self.priors_ = priors / priors.sum()
         self.means_ = totals / counts[:, None]
         self.xbar_ = self.priors_ @ self.means_
         within = xx - (self.means_.T * counts) @ self.means_
@@ -106,12 +112,14 @@ class LinearDiscriminantAnalysis(_Projection):
             self.scalings_, values = _signed(vectors.real[:, order].T), values.real
         else:  # whiten the within-class rows by their singular values, then those of the class means
             values_w, axes = np.linalg.eigh(within)
-            keep = values_w > self.tol**2
+            keep = values_w > self.tol**2 * values_w.max()  # a singular value counts by its share of the largest
             white = axes[:, keep] / np.sqrt(values_w[keep])
             _, s, turn = np.linalg.svd((np.sqrt(counts)[:, None] * spread) @ white, full_matrices=False)
             self.scalings_, values = _signed((white @ turn.T[:, : self.n_components_]).T), s**2
-        values = np.sort(values)[::-1][: self.n_components_]
-        self.explained_variance_ratio_ = values / values.sum() if values.sum() > 0 else np.zeros_like(values)
+        values = np.sort(np.maximum(values, 0))[::-1]
+        total, values = values.sum(), values[: self.n_components_]
+        self.explained_variance_ratio_ = values / total if total > 0 else np.zeros_like(values)
+        self.components_ = self.scalings_
         self._class_points = (self.means_ - self.xbar_) @ self.scalings_.T
         self._fitted = True
         return self
@@ -177,35 +185,24 @@ class FastICA(_Projection):
             sums = partition_sums(rows, [F.col("x")], work)
             return sums[2:].reshape(len(w), c) / sums[0], sums[1] / (sums[0] * len(w))
 
-        rng = np.random.default_rng(self.random_state)
+        def settle(w: np.ndarray, tidy: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+            """Steps from the rows of `w`, each tidied up to be orthonormal, until no row turns any more."""
+            w = tidy(w)
+            for self.n_iter_ in range(1, self.max_iter + 1):
+                first, slope = moments(w)
+                w, before = tidy(first - slope * w), w
+                if np.abs(np.abs((w * before).sum(axis=1)) - 1).max() < self.tol:
+                    break
+            return w
+
+        start = np.random.default_rng(self.random_state).standard_normal((c, c))
         try:
             if self.algorithm == "parallel":
-                w = _orthogonal(rng.standard_normal((c, c)))
-                for self.n_iter_ in range(1, self.max_iter + 1):
-                    first, slope = moments(w)
-                    new = _orthogonal(first - slope * w)
-                    moved = np.abs(np.abs((new * w).sum(axis=1)) - 1).max()
-                    w = new
-                    if moved < self.tol:
-                        break
-            else:
-                w = np.zeros((c, c))
-                for k in range(c):
-                    v = rng.standard_normal(c)
-                    v /= np.linalg.norm(v)
-                    for self.n_iter_ in range(1, self.max_iter + 1):
-                        first, slope = moments(v[None])
-                        new = first[0] - slope * v
-                        new -= w[:k].T @ (w[:k] @ new)
-                        size = np.linalg.norm(new)
-                        if size < 1e-12:
-                            new = rng.standard_normal(c)
-                            size = np.linalg.norm(new)
-                        new, old = new / size, v
-                        v = new
-                        if abs(abs(new @ old) - 1) < self.tol:
-                            break
-                    w[k] = v
+                w = settle(start, _orthogonal)
+            else:  # a row at a time, kept off the rows before it
+                w = np.zeros((0, c))
+                for row in start:
+                    w = np.vstack([w, settle(row[None], lambda v, w=w: _unit(v - (v @ w.T) @ w))])
         finally:
             rows.unpersist()
         self.components_ = w @ self.whitening_
@@ -222,79 +219,101 @@ class FastICA(_Projection):
         return self._back(df, self.mixing_.T, self.mean_, column)
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
 def _orthogonal(w: np.ndarray) -> np.ndarray:
     values, vectors = np.linalg.eigh(w @ w.T)
     return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-12))) @ vectors.T @ w
 
 
 class NMF(_Projection):
-    """X = W H with no negative entries, by multiplicative updates (frobenius or kullback-leibler) or alternating least squares.
+    """X = W H with no negative entries, by multiplicative updates (frobenius or kl) or alternating least squares.
 
-    H is the driver's; a row's W follows from its features and the H of the steps before, by the same updates from 1. So no W is
-    held anywhere: each step is one pass that replays W in the partitions.
+    H is the driver's; a row's W follows from its features and H, by `inner` updates from the row's mean. So no W is held
+    anywhere: each step is one pass that replays W in the partitions. A penalty takes l1 off an updated factor and divides it by
+    1 + l2; in least squares l2 is added to the diagonal. No entry falls below eps. reconstruction_err_ is the Frobenius norm of X - W H.
     """
 
-    def __init__(self, n_components: int = 2, solver: str = "mu", beta_loss: str = "frobenius", max_iter: int = 200, tol: float = 1e-4, random_state: int | None = None, l1_reg_W: float = 0.0, l1_reg_H: float = 0.0, l2_reg_W: float = 0.0, l2_reg_H: float = 0.0, eps: float = 1e-10, inner: int = 20) -> None:
-        if solver not in ("mu", "als") or beta_loss not in ("frobenius", "kullback-leibler") or n_components < 1:
-            raise ValueError("n_components >= 1, solver 'mu' or 'als' and a known beta_loss are required")
+    def __init__(
+        self, n_components: int = 2, solver: str = "mu", beta_loss: str = "frobenius", max_iter: int = 200, tol: float = 1e-4,
+        random_state: int | None = None, l1_reg_W: float = 0.0, l1_reg_H: float = 0.0, l2_reg_W: float = 0.0, l2_reg_H: float = 0.0,  # noqa: N803
+        eps: float = 1e-10, inner: int = 20,
+    ) -> None:
+        if solver not in ("mu", "als") or beta_loss not in ("frobenius", "kl") or n_components < 1:
+            raise ValueError("n_components >= 1, solver 'mu' or 'als' and beta_loss 'frobenius' or 'kl' are required")
+        if solver == "als" and beta_loss == "kl":
+            raise ValueError("least squares has the frobenius loss only")
         self.n_components, self.solver, self.beta_loss, self.max_iter, self.tol = n_components, solver, beta_loss, max_iter, tol
         self.random_state, self.eps, self.inner = random_state, eps, inner
         self.l1_reg_W, self.l1_reg_H, self.l2_reg_W, self.l2_reg_H = l1_reg_W, l1_reg_H, l2_reg_W, l2_reg_H
 
-    def _rows(self, x: np.ndarray, h: np.ndarray, steps: int) -> np.ndarray:
-        """W of rows for a given H."""
-        if self.solver == "als":
-            w = np.linalg.solve(h @ h.T + (self.l2_reg_W + self.eps) * np.eye(len(h)), h @ x.T - self.l1_reg_W).T
-            return np.maximum(w, 0.0)
-        w = np.full((len(x), len(h)), np.sqrt(x.mean() / len(h)) if x.size and x.mean() > 0 else 1.0)
+    def _penalised(self, factor: np.ndarray, l1: float, l2: float) -> np.ndarray:
+        return np.maximum((factor - l1) / (1 + l2), self.eps)
+
+    def _solved(self, square: np.ndarray, target: np.ndarray, l1: float, l2: float) -> np.ndarray:
+        return np.maximum(np.linalg.solve(square + (l2 + self.eps) * np.eye(len(square)), target) - l1, self.eps)
+
+    def _rows(self, x: np.ndarray, h: np.ndarray, steps: int, kl: bool = False, plain: bool = False) -> np.ndarray:
+        """W of rows for a given H; `plain` takes no penalties."""
+        l1, l2 = (0.0, 0.0) if plain else (self.l1_reg_W, self.l2_reg_W)
+        if self.solver == "als" and not plain:
+            return self._solved(h @ h.T, h @ x.T, l1, l2).T
+        w = np.repeat(np.sqrt(np.maximum(x.mean(axis=1, keepdims=True), self.eps) / len(h)), len(h), axis=1)
         for _ in range(steps):
-            if self.beta_loss == "frobenius":
-                w *= np.maximum(x @ h.T - self.l1_reg_W, 0) / (w @ (h @ h.T) + self.l2_reg_W * w + self.eps)
+            if kl:
+                w = np.maximum(w * ((x / (w @ h + self.eps)) @ h.T) / (h.sum(axis=1) + self.eps), self.eps)
             else:
-                w *= (x / (w @ h + self.eps)) @ h.T / (h.sum(axis=1) + self.eps)
+                w = self._penalised(w * (x @ h.T) / (w @ (h @ h.T) + self.eps), l1, l2)
         return w
 
     def fit(self, df: DataFrame, features, label=None, id_col=None) -> NMF:
         self.features = features
         own = Features(df, features)
         self.n_features_in_ = d = len(own)
-        k = self.n_components
+        k, kl = self.n_components, self.beta_loss == "kl"
         rows = df.where(own.known).select(own.vector.alias("x")).persist()
         try:
             least, mean = rows.select(F.min(F.array_min("x")), F.avg(F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / d)).first()
             if least is None or least < 0:
                 raise ValueError("NMF needs rows without negative values")
-            h = np.abs(np.random.default_rng(self.random_state).standard_normal((k, d))) * np.sqrt(max(mean, self.eps) / k) + self.eps
-            before = None
+            h = np.random.default_rng(self.random_state).uniform(0, 2, (k, d)) * np.sqrt(max(mean, self.eps) / k) + self.eps
             for self.n_iter_ in range(1, self.max_iter + 1):
                 def work(x: np.ndarray, h=h) -> np.ndarray:
-                    w = self._rows(x, h, self.inner)
-                    if self.beta_loss == "frobenius" or self.solver == "als":
-                        return np.concatenate(([((x - w @ h) ** 2).sum(), (x * x).sum()], (w.T @ x).ravel(), (w.T @ w).ravel()))
-                    p = w @ h + self.eps
-                    loss = (np.where(x > 0, x * np.log(np.maximum(x, self.eps) / p), 0) - x + p).sum()
-                    return np.concatenate(([loss, (x * x).sum()], (w.T @ (x / p)).ravel(), w.sum(0)))
+                    w = self._rows(x, h, self.inner, kl)
+                    miss = ((x - w @ h) ** 2).sum()[None]
+                    if kl:
+                        return np.concatenate((miss, (w.T @ (x / (w @ h + self.eps))).ravel(), w.sum(axis=0)))
+                    return np.concatenate((miss, (w.T @ x).ravel(), (w.T @ w).ravel()))
 
                 sums = partition_sums(rows, [F.col("x")], work)
-                self.reconstruction_err_ = float(np.sqrt(sums[0])) if self.beta_loss == "frobenius" else float(sums[0])
-                wx, rest = sums[2 : 2 + k * d].reshape(k, d), sums[2 + k * d :]
-                if self.solver == "als":
-                    h = np.maximum(np.linalg.solve(rest.reshape(k, k) + (self.l2_reg_H + self.eps) * np.eye(k), wx - self.l1_reg_H), 0.0)
-                elif self.beta_loss == "frobenius":
-                    h = h * np.maximum(wx - self.l1_reg_H, 0) / (rest.reshape(k, k) @ h + self.l2_reg_H * h + self.eps)
-                else:
-                    h = h * wx / (rest[:, None] + self.eps)
-                if before is not None and abs(before - sums[0]) < self.tol * max(before, self.eps):
+                error, wx, rest = float(np.sqrt(sums[0])), sums[1 : 1 + k * d].reshape(k, d), sums[1 + k * d :]
+                self.components_, before = h, getattr(self, "reconstruction_err_", None) if self.n_iter_ > 1 else None
+                self.reconstruction_err_ = error
+                if before is not None and abs(before - error) < self.tol * (before + self.eps):
                     break
-                before = sums[0]
+                if kl:
+                    h = np.maximum(h * wx / (rest[:, None] + self.eps), self.eps)
+                elif self.solver == "als":
+                    h = self._solved(rest.reshape(k, k), wx, self.l1_reg_H, self.l2_reg_H)
+                else:
+                    h = self._penalised(h * wx / (rest.reshape(k, k) @ h + self.eps), self.l1_reg_H, self.l2_reg_H)
         finally:
             rows.unpersist()
-        self.components_, self._fitted = h, True
+        self.n_components_, self._fitted = k, True
         return self
 
+    def fit_transform(self, df: DataFrame, features, label=None, id_col=None) -> DataFrame:
+        """`df` with `components`, the rows of W that the fit ended with."""
+        self.fit(df, features)
+        last, kl = self.components_, self.beta_loss == "kl"
+        return score_rows(df, self._width(df), lambda x: {"components": self._rows(x, last, self.inner, kl)}, "components array<double>")
+
     def transform(self, df: DataFrame) -> DataFrame:
+        """`df` with `components`, the non-negative least squares solution for the fitted H by 100 updates."""
         self._check_fitted()
-        return score_rows(df, self._width(df), lambda x: {"components": self._rows(x, self.components_, 100)}, "components array<double>")
+        return score_rows(df, self._width(df), lambda x: {"components": self._rows(x, self.components_, 100, plain=True)}, "components array<double>")
 
     def inverse_transform(self, df: DataFrame, column: str = "components") -> DataFrame:
         self._check_fitted()
@@ -341,19 +360,28 @@ class TSNE(Estimator):
         p = np.maximum((p + p.T) / (2 * n), 1e-12)
         rate = max(200.0, n / self.early_exaggeration) if self.learning_rate == "auto" else self.learning_rate
         y = np.random.default_rng(self.random_state).normal(0, 1e-4, (n, self.n_components))
-        step, gains = np.zeros_like(y), np.ones_like(y)
-        for t in range(self.n_iterations):
-            q, inverse = self._low(y)
-            use = p * self.early_exaggeration if t < self.exaggeration_iter else p
-            pull = (use - q) * inverse
-            slope = 4 * (pull.sum(axis=1)[:, None] * y - pull @ y)
-            gains = np.maximum(np.where(np.sign(slope) == np.sign(step), gains * 0.8, gains + 0.2), self.min_gain)
-            step = (self.momentum if t < self.momentum_switch_iter else self.final_momentum) * step - rate * gains * slope
-            y = y + step
-            y -= y.mean(axis=0)
+        velocity, gains = np.zeros_like(y), np.ones_like(y)
+        for scale, momentum in self._schedule():
+            slope = self._slope(scale * p, y)
+            gains = np.where(slope * velocity > 0, 0.8 * gains, gains + 0.2).clip(min=self.min_gain)
+            velocity = momentum * velocity - rate * gains * slope
+            y = (y + velocity) - (y + velocity).mean(axis=0)
         q, _ = self._low(y)
         self.embedding_, self.kl_divergence_ = y, float((p * np.log(p / np.maximum(q, 1e-12))).sum())
-        return df.sparkSession.createDataFrame([(i.item() if hasattr(i, "item") else i, v.tolist()) for i, v in zip(ids, y)], f"{id_col} {dict(df.dtypes)[id_col]}, components array<double>")
+        found = [(i.item() if hasattr(i, "item") else i, v.tolist()) for i, v in zip(ids, y)]
+        return df.sparkSession.createDataFrame(found, f"{id_col} {dict(df.dtypes)[id_col]}, components array<double>")
+
+    def _schedule(self) -> Iterator[tuple[float, float]]:
+        """(exaggeration, momentum) of each step."""
+        for t in range(self.n_iterations):
+            yield self.early_exaggeration if t < self.exaggeration_iter else 1.0, self.momentum if t < self.momentum_switch_iter else self.final_momentum
+
+    def _slope(self, p: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The gradient of the divergence, as the Laplacian of the pull between the points times the points."""
+        q, inverse = self._low(y)
+        laplacian = (q - p) * inverse
+        laplacian[np.diag_indices(len(y))] -= laplacian.sum(axis=1)
+        return 4 * laplacian @ y
 
     @staticmethod
     def _low(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -65,7 +65,10 @@ class LinearSVC(Estimator):
 
 
 class SVC(Estimator):
-    """Kernel SVM by sequential minimal optimisation on at most LOCAL_ROWS rows; the second index has the largest error gap."""
+    """Kernel SVM on at most LOCAL_ROWS rows, by steps on the pair that violates the optimality conditions most.
+
+    n_iterations counts rounds of as many steps as there are rows; it ends when no pair violates them by more than 2 tol.
+    """
 
     def __init__(self, C: float = 1.0, kernel: str = "rbf", gamma: float | str = "scale", degree: int = 3, n_iterations: int = 100, tol: float = 1e-3) -> None:  # noqa: N803
         if C <= 0 or kernel not in ("linear", "rbf", "poly"):
@@ -86,40 +89,32 @@ class SVC(Estimator):
         self.n_features_in_ = len(own)
         _, x, y = local_rows(df, own, id_col, label, LOCAL_ROWS)
         y, n = signed_labels(y), len(x)
+        rising = falling = np.zeros(n, dtype=bool)
         spread = x.var()
         self.gamma_ = (1.0 / (x.shape[1] * spread) if spread > 0 else 1.0) if self.gamma == "scale" else float(self.gamma)
         k = self._kernel(x, x)
-        alpha, b = np.zeros(n), 0.0
-        error = -y.copy()  # f - y with all alpha 0
-        for _ in range(self.n_iterations):
-            changed = 0
-            for i in range(n):
-                r = y[i] * error[i]
-                if not (r < -self.tol and alpha[i] < self.C or r > self.tol and alpha[i] > 0):
-                    continue
-                j = int(np.abs(error - error[i]).argmax())
-                if j == i:
-                    continue
-                low, high = (max(0.0, alpha[j] - alpha[i]), min(self.C, self.C + alpha[j] - alpha[i])) if y[i] != y[j] else (max(0.0, alpha[i] + alpha[j] - self.C), min(self.C, alpha[i] + alpha[j]))
-                eta = k[i, i] + k[j, j] - 2 * k[i, j]
-                if low >= high or eta <= 1e-12:
-                    continue
-                new_j = min(max(alpha[j] + y[j] * (error[i] - error[j]) / eta, low), high)
-                step_j = new_j - alpha[j]
-                if abs(step_j) < 1e-7:
-                    continue
-                step_i = -y[i] * y[j] * step_j
-                b1 = b - error[i] - y[i] * step_i * k[i, i] - y[j] * step_j * k[i, j]
-                b2 = b - error[j] - y[i] * step_i * k[i, j] - y[j] * step_j * k[j, j]
-                alpha[i], alpha[j] = alpha[i] + step_i, new_j
-                new_b = b1 if 0 < alpha[i] < self.C else b2 if 0 < alpha[j] < self.C else (b1 + b2) / 2
-                error += y[i] * step_i * k[i] + y[j] * step_j * k[j] + (new_b - b)
-                b = new_b
-                changed += 1
-            if not changed:
+        alpha, gap = np.zeros(n), -y.copy()  # gap: decision without intercept, less the label
+        for _ in range(self.n_iterations * n):
+            rising = np.where(y > 0, alpha < self.C, alpha > 0)  # alpha * y may grow
+            falling = np.where(y > 0, alpha > 0, alpha < self.C)
+            if not rising.any() or not falling.any():
+                break
+            i, j = int(np.where(rising, gap, np.inf).argmin()), int(np.where(falling, gap, -np.inf).argmax())
+            if gap[j] - gap[i] <= 2 * self.tol:
                 break
+            room = min(self.C - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else self.C - alpha[j])
+            step = min((gap[j] - gap[i]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), room)
+            alpha[i] += y[i] * step
+            alpha[j] -= y[j] * step
+            gap += step * (k[i] - k[j])
+        alpha = np.clip(alpha, 0, self.C)
+        inside = (alpha > 1e-6) & (alpha < self.C - 1e-6)
+        ends = [np.where(rising, gap, np.inf).min(), np.where(falling, gap, -np.inf).max()] if n else [0.0]
+        middle = gap[inside].mean() if inside.any() else np.mean([e for e in ends if np.isfinite(e)] or [0.0])
         held = alpha > 1e-6
-        self.support_vectors_, self.dual_coef_, self.intercept_ = x[held], (alpha * y)[held], float(b)
+        self.alpha_, self.bias_ = alpha, float(-middle)
+        self.support_vectors_, self.support_alpha_, self.support_labels_ = x[held], alpha[held], y[held]
+        self.dual_coef_, self.intercept_ = self.support_alpha_ * self.support_labels_, self.bias_
         self._fitted = True
         return self
 
@@ -183,9 +178,13 @@ class GaussianProcessRegressor(Estimator):
         self._fitted = True
         return self
 
-    def transform(self, df: DataFrame, return_std: bool = False) -> DataFrame:
-        """`df` with prediction and, with `return_std`, std."""
+    def transform(self, df: DataFrame, return_std: bool = False, return_cov: bool = False, id_col: str = "id"):
+        """`df` with prediction and, with `return_std`, std; with `return_cov` what `predict_cov` gives."""
         self._check_fitted()
+        if return_std and return_cov:
+            raise ValueError("return_std and return_cov exclude each other")
+        if return_cov:
+            return self.predict_cov(df, id_col)
 
         def score(x: np.ndarray) -> dict[str, np.ndarray]:
             k = self._k(x, self.x_train_)
@@ -214,9 +213,21 @@ class GaussianProcessRegressor(Estimator):
         factor = np.linalg.cholesky(covariance + 1e-9 * np.eye(len(mean)))
         return ids, mean[:, None] + factor @ np.random.default_rng(random_state).standard_normal((len(mean), n_samples))
 
-    def log_marginal_likelihood(self) -> float:
-        self._check_fitted()
-        return float(-0.5 * self.y_train_ @ self.alpha_ - np.log(np.diag(self.factor_)).sum() - 0.5 * len(self.y_train_) * np.log(2 * np.pi))
+    def _likelihood(self, x: np.ndarray, y: np.ndarray) -> float:
+        factor = np.linalg.cholesky(self._k(x, x) + self.noise_var * np.eye(len(y)))
+        z = np.linalg.solve(factor, y)
+        return float(-0.5 * z @ z - np.log(np.diag(factor)).sum() - 0.5 * len(y) * np.log(2 * np.pi))
+
+    def log_marginal_likelihood(self, df: DataFrame | None = None, features=None, label: str | None = None, id_col: str = "id") -> float:
+        """That of the fitted rows, or of the rows of `df`, which leaves the fit as it is."""
+        if df is None and label is None:
+            self._check_fitted()
+            return self._likelihood(self.x_train_, self.y_train_)
+        if df is None or label is None:
+            raise ValueError("rows and label go together")
+        own = Features(df, features if features is not None else self.features)
+        _, x, y = local_rows(df, own, id_col, label, LOCAL_ROWS)
+        return self._likelihood(x, y.astype(float))
 
     def score(self, df: DataFrame, label: str) -> float:
         """R squared; 1 where the label has no spread."""

@@ -8,40 +8,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.expr import uniform
 from millrace.operators.metrics import accuracy_of
-from millrace.plans.closure import ensure_checkpoints
+from millrace.plans.scan import ranked
+from millrace.storage import cut
 
 
 def _ntile(df: DataFrame, order: list[Column], n: int, by: str | None, fold: str) -> DataFrame:
-    """ntile by counts: rank and size come from windows over each class, or from ranges of all rows without a class.
-
-    Without a class no single task ranks all rows: rows are dealt into ordered ranges, ranked in each, and shifted by the
-    sizes of the ranges before.
-    """
-    if by is not None:
-        window = Window.partitionBy(by).orderBy(*order)
-        return df.withColumn(fold, F.ntile(n).over(window) - 1)
-    ensure_checkpoints(df)
-    ranged = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    # kept as it is: dealt again, the ranges could have other bounds
-    ranged = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__range").orderBy(*order))).checkpoint()
-    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).orderBy("__range").collect()  # a row for each task
-    total, before, starts = sum(r.n for r in sizes), 0, {}
-    for r in sizes:
-        starts[r["__range"]] = before
-        before += r.n
-    if not total:
-        return df.withColumn(fold, F.lit(0))
-    start = F.element_at(F.create_map(*[F.lit(v) for pair in starts.items() for v in pair]), F.col("__range"))
-    rank = start + F.col("__rank") - 1
-    small, more = divmod(total, n)
+    """ntile by counts, within each class if one is given."""
+    out = ranked(df, order, by, "__rank", "__rows")
+    rank, rows = F.col("__rank"), F.col("__rows")
+    small, more = F.floor(rows / n), rows % n
     edge = more * (small + 1)
-    large_fold, small_fold = F.floor(rank / (small + 1)), F.floor((rank - edge) / max(small, 1)) + more
-    return ranged.withColumn(fold, F.when(rank < edge, large_fold).otherwise(small_fold).cast("int")).drop("__range", "__rank")
+    large_fold, small_fold = F.floor(rank / (small + 1)), F.floor((rank - edge) / F.greatest(small, F.lit(1))) + more
+    return out.withColumn(fold, F.when(rank < edge, large_fold).otherwise(small_fold).cast("int")).drop("__rank", "__rows")
 
 
 class KFold:
@@ -64,7 +47,7 @@ class KFold:
 
     def split(self, df: DataFrame, id_col: str, label: str | None = None):
         """(training rows, validation rows) of each fold."""
-        dealt = self.assign(df, id_col, label, "__fold").persist()
+        dealt = cut(self.assign(df, id_col, label, "__fold"), "folds")
         for k in range(self.n_splits):
             yield dealt.where(F.col("__fold") != k).drop("__fold"), dealt.where(F.col("__fold") == k).drop("__fold")
 

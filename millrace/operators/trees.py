@@ -1,12 +1,14 @@
 """Trees, grown level by level for all trees at once.
 
-The rows that a level still has to split are counted by (tree, node, feature, value); running sums over the distinct values, in buckets where they are many, give the
-counts on either side of each threshold, and the best split of each node goes to the driver: a row for each open node.
-Rows then move to the children by a join with these splits. Scoring compiles a tree to a nested CASE.
+The rows that a level still has to split are counted by (tree, node, feature, value); running sums over the distinct values, in
+buckets where they are many, give the counts on either side of each threshold, and the best split of each node goes to the
+driver: a row for each open node. Rows then move to the children by a join with these splits. Scoring compiles a small tree
+to a nested CASE and walks a large one over arrays.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -17,16 +19,23 @@ from pyspark.sql import functions as F
 
 from millrace.core import Estimator, Features, score_rows
 from millrace.functions.expr import poisson_one, sigmoid, uniform
-from millrace.plans.closure import ensure_checkpoints
-from millrace.plans.scan import bucket_bounds, running_sums
+from millrace.plans.scan import bucket_bounds, exact_percentile, ranked, running_sums
+from millrace.storage import cut as stored
+
+#: Nodes up to which a tree is scored as a nested CASE.
+CASE_NODES = 255
 
 
 @dataclass
 class Node:
-    """A split on feature <= threshold, or a leaf with a value (class shares, or a mean)."""
+    """A split on feature <= threshold, or a leaf with a value (class shares, or a mean).
+
+    `path` numbers the node by its place (0, and 2p + 1 and 2p + 2 below p): random draws depend on it.
+    """
 
     value: list[float]
     size: float
+    path: int = 0
     feature: int = -1
     threshold: float = 0.0
     left: int = -1
@@ -35,7 +44,9 @@ class Node:
 
 @dataclass
 class Tree:
-    nodes: dict[int, Node] = field(default_factory=dict)
+    """Nodes numbered as they were made; 0 is the root."""
+
+    nodes: list[Node] = field(default_factory=list)
 
     def column(self, columns: Sequence[Column], leaf, at: int = 0) -> Column:
         """The tree as a nested CASE; `leaf` turns a node's value into a column."""
@@ -44,22 +55,31 @@ class Tree:
             return leaf(node.value)
         return F.when(columns[node.feature] <= node.threshold, self.column(columns, leaf, node.left)).otherwise(self.column(columns, leaf, node.right))
 
-    def depth(self, at: int = 0) -> int:
-        node = self.nodes[at]
-        return 0 if node.feature < 0 else 1 + max(self.depth(node.left), self.depth(node.right))
+    def depth(self) -> int:
+        below = [0] * len(self.nodes)
+        for k in range(len(self.nodes) - 1, -1, -1):  # children come after their parents
+            node = self.nodes[k]
+            if node.feature >= 0:
+                below[k] = 1 + max(below[node.left], below[node.right])
+        return below[0]
 
     def apply(self, x: np.ndarray, leaf) -> np.ndarray:
         """The leaf value of each row of a matrix."""
+        feature, left, right = (np.array([getattr(n, a) for n in self.nodes]) for a in ("feature", "left", "right"))
+        threshold, values = np.array([n.threshold for n in self.nodes]), np.array([leaf(n.value) for n in self.nodes])
         at = np.zeros(len(x), dtype=int)
+        go = np.arange(len(x))
         while True:
-            inner = np.array([self.nodes[k].feature for k in at.tolist()])
-            go = np.flatnonzero(inner >= 0)
+            go = go[feature[at[go]] >= 0]
             if not len(go):
-                return np.array([leaf(self.nodes[k].value) for k in at.tolist()])
-            for k in set(at[go].tolist()):
-                rows = go[at[go] == k]
-                node = self.nodes[k]
-                at[rows] = np.where(x[rows, node.feature] <= node.threshold, node.left, node.right)
+                return values[at]
+            node = at[go]
+            at[go] = np.where(x[go, feature[node]] <= threshold[node], left[node], right[node])
+
+
+def _draw(*keys) -> float:
+    """What `uniform` gives for these keys, on the driver."""
+    return int(hashlib.md5(":".join(map(str, keys)).encode()).hexdigest()[:8], 16) / 4294967296.0
 
 
 def grow(rows: DataFrame, d: int, stats: list[str], criterion: str, trees: int = 1, max_depth: int | None = None, min_split: float = 2, min_leaf: float = 1, n_features: int | None = None, seed: int = 0, random_thresholds: bool = False, zero_gain: bool = False) -> list[Tree]:
@@ -68,12 +88,12 @@ def grow(rows: DataFrame, d: int, stats: list[str], criterion: str, trees: int =
     gini: stats are class indicators. variance: stats are (y, y * y). Of equal gains the lowest feature and threshold win. With
     `random_thresholds` each feature of a node has one threshold, drawn between its least and largest value by hash.
     """
-    ensure_checkpoints(rows)
+    spark = rows.sparkSession
     forest = [Tree() for _ in range(trees)]
     work = rows.withColumn("node", F.lit(0).cast("long"))
     root = work.groupBy("tree").agg(F.sum("w").alias("w"), *[F.sum(s).alias(s) for s in stats]).collect()
     for r in root:
-        forest[r["tree"]].nodes[0] = Node([r[s] for s in stats], r["w"])
+        forest[r["tree"]].nodes.append(Node([r[s] for s in stats], r["w"]))
     if not root:
         raise ValueError("there are no rows to fit on")
     bounds = None if random_thresholds else bucket_bounds(rows, d)
@@ -89,21 +109,24 @@ def grow(rows: DataFrame, d: int, stats: list[str], criterion: str, trees: int =
             return n - sum((v * v for v in values[1:]), values[0] * values[0]) / F.nullif(n, F.lit(0.0))
         return values[1] - values[0] * values[0] / F.nullif(n, F.lit(0.0))
 
-    level = 0
+    level, edge = 0, [(t, 0) for t, tree in enumerate(forest) if tree.nodes]
     while max_depth is None or level < max_depth:
-        open_ = [(t, k) for t, tree in enumerate(forest) for k, n in tree.nodes.items() if n.feature < 0 and n.left == -1 and n.size >= min_split and not pure(n)]
-        if not open_:
+        edge = [(t, k) for t, k in edge if forest[t].nodes[k].size >= min_split and not pure(forest[t].nodes[k])]
+        if not edge:
             break
         pos = work.select("tree", "node", "w", *stats, F.posexplode("x").alias("f", "v"))
         if n_features is not None and n_features < d:
-            rank = F.rank().over(Window.partitionBy("tree", "node").orderBy("u"))
-            nodes = work.select("tree", "node").distinct().withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
-            picked = nodes.withColumn("u", uniform(seed, "feature", F.col("tree"), F.col("node"), F.col("f"))).withColumn("r", rank).where(F.col("r") <= n_features)
-            pos = pos.join(F.broadcast(picked.select("tree", "node", "f")), ["tree", "node", "f"])  # a row for each open node and feature
+            picked = []
+            for t, k in edge:
+                path = forest[t].nodes[k].path
+                drawn = sorted(range(d), key=lambda f: (_draw(seed, "feature", t, path, f), f))[:n_features]  # noqa: B023
+                picked += [(t, k, f) for f in drawn]
+            pos = pos.join(F.broadcast(spark.createDataFrame(picked, "tree int, node long, f int")), ["tree", "node", "f"])
         group = ["tree", "node", "f"]
         if random_thresholds:
-            edges = pos.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
-            cut = edges.withColumn("t", F.col("lo") + uniform(seed, "cut", F.col("tree"), F.col("node"), F.col("f")) * (F.col("hi") - F.col("lo"))).select(*group, "t")
+            drawn = spark.createDataFrame([(t, k, f, _draw(seed, "cut", t, forest[t].nodes[k].path, f)) for t, k in edge for f in range(d)], "tree int, node long, f int, u double")
+            ends = pos.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").join(F.broadcast(drawn), group)
+            cut = ends.select(*group, (F.col("lo") + F.col("u") * (F.col("hi") - F.col("lo"))).alias("t"))
             on_left = F.col("v") <= F.col("t")
             joined = pos.join(F.broadcast(cut), group).groupBy(*group, "t").agg(
                 F.sum("w").alias("w"), F.sum(F.when(on_left, F.col("w")).otherwise(0.0)).alias("lw"),
@@ -123,33 +146,25 @@ def grow(rows: DataFrame, d: int, stats: list[str], criterion: str, trees: int =
             fits = fits.where("gain > 0")
         best = F.max_by(F.struct("f", "t", "lw", "w", *[f"l_{s}" for s in stats], *stats), F.struct(F.col("gain"), (-F.col("f")).alias("nf"), (-F.col("t")).alias("nt"))).alias("b")
         splits = fits.groupBy("tree", "node").agg(best).collect()
-        for tree in forest:  # a node that finds no split is done
-            for node in tree.nodes.values():
-                if node.feature < 0 and node.left == -1:
-                    node.left = -2
-        made = []
+        made, edge = [], []
         for r in splits:
-            tree, k, b = forest[r["tree"]], r["node"], r["b"]
-            node = tree.nodes[k]
+            t, k, b = r["tree"], r["node"], r["b"]
+            nodes = forest[t].nodes
+            node = nodes[k]
             if node.size < min_split or pure(node):
                 continue
-            node.feature, node.threshold, node.left, node.right = b["f"], b["t"], 2 * k + 1, 2 * k + 2
-            tree.nodes[2 * k + 1] = Node([b[f"l_{s}"] for s in stats], b["lw"])
-            tree.nodes[2 * k + 2] = Node([b[s] - b[f"l_{s}"] for s in stats], b["w"] - b["lw"])
-            made.append((r["tree"], k, b["f"], float(b["t"])))
-        if not made:
-            break
+            node.feature, node.threshold, node.left, node.right = b["f"], float(b["t"]), len(nodes), len(nodes) + 1
+            nodes.append(Node([b[f"l_{s}"] for s in stats], b["lw"], 2 * node.path + 1))
+            nodes.append(Node([b[s] - b[f"l_{s}"] for s in stats], b["w"] - b["lw"], 2 * node.path + 2))
+            made.append((t, k, node.feature, node.threshold, node.left, node.right))
+            edge += [(t, node.left), (t, node.right)]
         level += 1
-        if max_depth is not None and level == max_depth:
+        if not made or level == max_depth:
             break
-        moves = rows.sparkSession.createDataFrame(made, "tree int, node long, f int, t double")
+        moves = spark.createDataFrame(made, "tree int, node long, f int, t double, l long, r long")
         work = work.join(F.broadcast(moves), ["tree", "node"])  # rows of done nodes drop out; splits: one row for each open node
-        work = work.withColumn("node", F.when(F.get("x", F.col("f")) <= F.col("t"), 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)).drop("f", "t")
-        work = work.checkpoint()
-    for tree in forest:
-        for node in tree.nodes.values():
-            if node.left == -2:
-                node.left = -1
+        work = work.withColumn("node", F.when(F.get("x", F.col("f")) <= F.col("t"), F.col("l")).otherwise(F.col("r"))).drop("f", "t", "l", "r")
+        work = stored(work, "tree-rows")
     return forest
 
 
@@ -187,9 +202,13 @@ class DecisionTreeClassifier(Estimator):
 
     def transform(self, df: DataFrame) -> DataFrame:
         self._check_fitted()
-        best = self.tree_.column(self._width(df).columns, lambda v: F.lit(_share_of_first_largest(v)))
-        out = df.withColumn("__class", best)
-        out = out.withColumn("probability", F.array(*[(F.col("__class") == k).cast("double") for k in range(len(self.classes_))]))
+        own, tree = self._width(df), self.tree_
+        if len(tree.nodes) <= CASE_NODES:
+            out = df.withColumn("__class", F.when(own.known, tree.column(own.columns, lambda v: F.lit(_share_of_first_largest(v)))))
+        else:
+            out = score_rows(df, own, lambda x: {"__class": tree.apply(x, _share_of_first_largest)}, "__class int")
+        shares = F.array(*[(F.col("__class") == k).cast("double") for k in range(len(self.classes_))])
+        out = out.withColumn("probability", F.when(F.col("__class").isNotNull(), shares))
         return out.withColumn("prediction", F.get(F.array(*[F.lit(c) for c in self.classes_]), F.col("__class"))).drop("__class")
 
     predict = predict_proba = transform
@@ -219,7 +238,7 @@ class _Forest(Estimator):
             weight = poisson_one(uniform(seed, "boot", F.col("tree"), F.col("id"))).cast("double")
             rows = rows.withColumn("w", weight).where("w > 0").withColumns({s: F.col(s) * F.col("w") for s in stats})
         self.trees_ = grow(rows, len(own), stats, "gini", self.n_estimators, self.max_depth, self.min_samples_split, self.min_samples_leaf, self._features_of_node(len(own)), seed, self.random_thresholds, self.random_thresholds)
-        self.trees_ = [t for t in self.trees_ if t.nodes]
+        self.trees_ = self.estimators_ = [t for t in self.trees_ if t.nodes]
         self._fitted = True
         return self
 
@@ -273,7 +292,7 @@ class AdaBoostClassifier(Estimator):
         if len(self.classes_) != 2:
             raise ValueError("AdaBoost needs two classes")
         rows = df.where(own.known & F.col(label).isNotNull()).select(own.vector.alias("x"), F.when(F.col(label) == self.classes_[1], 1).otherwise(-1).alias("y")).persist()
-        self.stumps_ = []
+        self.stumps_, self.estimator_errors_ = [], []
         bounds = bucket_bounds(rows, len(own))
         try:
             for _ in range(self.n_estimators):
@@ -292,9 +311,11 @@ class AdaBoostClassifier(Estimator):
                 if best is None:
                     raise ValueError("there are no rows to fit on")
                 error = min(max(best["e"], 1e-10), 1 - 1e-10)
+                self.estimator_errors_.append(error)
                 self.stumps_.append((best["f"], best["v"], 1 if best["o"] == 0 else -1, self.learning_rate * 0.5 * math.log((1 - error) / error)))
         finally:
             rows.unpersist()
+        self.estimators_, self.estimator_weights_ = [s[:3] for s in self.stumps_], [s[3] for s in self.stumps_]
         self._fitted = True
         return self
 
@@ -324,23 +345,24 @@ class _Boosting(Estimator):
 
     def _boost(self, rows: DataFrame, d: int, residual, loss) -> None:
         """`rows` has id, x and y. Scores are cut to the shared folder every few rounds, so expressions stay short."""
-        ensure_checkpoints(rows)
-        state = rows.withColumn("score", F.lit(float(self.init_))).persist()
+        state = stored(rows.withColumn("score", F.lit(float(self.init_))), "boost-rows")
         self.trees_, self.train_loss_ = [], []
+        self.estimators_, self.init_score_, self.init_value_ = self.trees_, self.init_, self.init_
         for t in range(self.n_estimators):
             r = residual(F.col("y"), F.col("score"))
             part = state.select(F.lit(0).alias("tree"), "id", "x", F.lit(1.0).alias("w"), r.alias("r"))
-            if self.subsample < 1:
-                part = part.where(uniform(self.random_state or 0, "sub", t, F.col("id")) < self.subsample)
+            if self.subsample < 1:  # as many rows as the share says, those of least hashed number
+                order = [uniform(self.random_state or 0, "sub", t, F.col("id")), F.col("id")]
+                part = ranked(part, order, size="all").where(F.col("rank") < F.greatest(F.floor(F.col("all") * self.subsample), F.lit(1))).drop("rank", "all")
             part = part.select("tree", "id", "x", "w", F.col("r").alias("s0"), (F.col("r") * F.col("r")).alias("s1"))
             tree = grow(part, d, ["s0", "s1"], "variance", 1, self.max_depth, 2, self.min_samples_leaf, zero_gain=True)[0]
-            for node in tree.nodes.values():
+            for node in tree.nodes:
                 node.value = [node.value[0] / node.size]
             self.trees_.append(tree)
             step = tree.column([F.get("x", F.lit(i)) for i in range(d)], lambda v: F.lit(v[0]))
             state = state.withColumn("score", F.col("score") + F.lit(self.learning_rate) * step)
             if t % 5 == 4:
-                state = state.checkpoint()
+                state = stored(state, "boost-rows")
             self.train_loss_.append(state.agg(loss(F.col("y"), F.col("score"))).first()[0])
 
     def _score(self, df: DataFrame) -> Column:
@@ -391,7 +413,9 @@ class GradientBoostingRegressor(_Boosting):
         own = Features(df, features)
         self.n_features_in_ = len(own)
         rows = df.where(own.known & F.col(label).isNotNull()).select(F.col(id_col).alias("id"), own.vector.alias("x"), F.col(label).cast("double").alias("y"))
-        self.init_ = rows.agg(F.avg("y") if self.loss == "mse" else F.percentile("y", 0.5)).first()[0]
+        self.init_ = rows.agg(F.avg("y")).first()[0] if self.loss == "mse" else exact_percentile(rows, F.col("y"), 0.5)
+        if self.init_ is None:
+            raise ValueError("there are no rows to fit on")
         if self.loss == "mse":
             self._boost(rows, len(own), lambda y, s: y - s, lambda y, s: F.avg((y - s) * (y - s)))
         else:
@@ -446,10 +470,10 @@ class IsolationForest(Estimator):
             samples.setdefault(t, []).append(x)
         self.sample_size_ = len(samples[0])
         limit = math.ceil(math.log2(max(self.sample_size_, 2)))
-        self.trees_ = [_isolation_tree(np.array(x), limit, np.random.default_rng([seed, t])) for t, x in samples.items()]
+        self.trees_ = self.estimators_ = [_isolation_tree(np.array(x), limit, np.random.default_rng([seed, t])) for t, x in samples.items()]
         self._fitted, self.offset_ = True, 0.0
         scored = self.score_samples(df.where(own.known))
-        self.offset_ = scored.agg(F.percentile("score", self.contamination)).first()[0]
+        self.offset_ = exact_percentile(scored, F.col("score"), self.contamination)
         return self
 
     def score_samples(self, df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
-"""Pairs of rows in blocks: every row against an index side that is sent to all in blocks of a fixed size.
+"""Pairs of rows in blocks: every row against every row of an index side.
 
-The rows stay where they are; an index of more rows takes more passes, whose results are merged by id.
+An index of up to INDEX_ROWS rows is sent to all and the rows stay where they are. A larger one is dealt into blocks, as are the
+rows; blocks meet pairwise on the executors, and what each pair of blocks gives is merged by id. Neither side goes through the driver.
 """
 
 from __future__ import annotations
@@ -12,43 +13,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.core import matrix_of, ship
+from millrace.core import matrix_of
+from millrace.storage import cut, ship
 
-#: Rows of an index block; with 64 features it is 10 MB.
+#: Rows of an index that is sent to all, and of a block of a larger one; with 64 features it is 10 MB.
 INDEX_ROWS = 20_000
 
-
-def _blocks(index: DataFrame, most: int) -> Iterator[list]:
-    total = index.count()
-    parts = max(1, -(-total // most))
-    if parts == 1:
-        yield index.collect()
-        return
-    key = F.xxhash64(*[F.col(c) for c in index.columns])
-    for part in range(2 * parts):  # hashed blocks are uneven, so they are made half as large
-        yield index.where(F.pmod(key, F.lit(2 * parts)) == part).collect()
+#: From an index as a table with the columns it was given, and a batch of rows, to what the batch's rows get.
+Work = Callable[[pa.Table, pa.Table], pa.Table]
 
 
-def blocked_sums(rows: DataFrame, index: DataFrame, width: int, sums: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int, most: int = INDEX_ROWS) -> DataFrame:
-    """(id, label, sums) of every row (id, label, x): the sum over index blocks (x, code) of what `sums` gives."""
+def against_index(rows: DataFrame, index: DataFrame, work: Work, schema: str, most: int = INDEX_ROWS) -> tuple[DataFrame, bool]:
+    """What `work` gives for batches of `rows` and the index or blocks of it, and whether there was more than one block."""
     spark = rows.sparkSession
     ship(spark)
-    out = None
-    for block in _blocks(index, most):
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in block], dtype=float).reshape(len(block), width), np.array([r[1] for r in block], dtype=int) - 1))
+    index = cut(index, "index")
+    total = index.count()
+    if total <= most:
+        held = spark.sparkContext.broadcast(index.toArrow())
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            other, code = held.value
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = matrix_of(batch.column(2), width)
-                found = np.concatenate([sums(x[at : at + 256], other, code) for at in range(0, len(x), 256)] or [np.zeros((0, size))])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * size), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "label", "sums"])
-
-        kinds = dict(rows.dtypes)
-        found = rows.select("id", "label", "x").mapInArrow(run, f"id {kinds['id']}, label {kinds['label']}, sums array<double>")
-        out = found if out is None else out.unionByName(found)
-        many = out is not found
+                if len(batch):
+                    yield from work(held.value, pa.Table.from_batches([batch])).to_batches()
+
+        return rows.mapInArrow(run, schema), False
+    blocks, row_blocks = -(-total // most), max(1, -(-rows.count() // most))
+
+    def numbers(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = rows.withColumn("__row", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int")).withColumn("__block", numbers(blocks))
+    right = index.withColumn("__block", F.pmod(F.xxhash64(*index.columns), F.lit(blocks)).cast("int")).withColumn("__row", numbers(row_blocks))
+
+    def meet(own: pa.Table, block: pa.Table) -> pa.Table:
+        own, block = own.drop_columns(["__row", "__block"]), block.drop_columns(["__row", "__block"])
+        found = [work(block, own.slice(at, 1024)) for at in range(0, own.num_rows, 1024)] if block.num_rows else []
+        return pa.concat_tables(found) if found else empty
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    empty = to_arrow_schema(spark.createDataFrame([], schema).schema).empty_table()
+    return left.groupBy("__row", "__block").cogroup(right.groupBy("__row", "__block")).applyInArrow(meet, schema), True
+
+
+def _matrix(table: pa.Table, name: str, width: int) -> np.ndarray:
+    return matrix_of(table.column(name).combine_chunks(), width)
+
+
+def blocked_sums(rows: DataFrame, index: DataFrame, width: int, sums: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int, most: int = INDEX_ROWS) -> DataFrame:
+    """(id, label, sums) of every row (id, label, x): the sum over the index (x, code from 1) of what `sums` gives for matrices."""
+
+    def work(index: pa.Table, own: pa.Table) -> pa.Table:
+        other, code = _matrix(index, "x", width), index.column("code").to_numpy().astype(int) - 1
+        x = _matrix(own, "x", width)
+        found = np.concatenate([sums(x[at : at + 256], other, code) for at in range(0, len(x), 256)])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * size), pa.array(found.ravel()))
+        return pa.table({"id": own.column("id"), "label": own.column("label"), "sums": lists})
+
+    kinds = dict(rows.dtypes)
+    schema = f"id {kinds['id']}, label {kinds['label']}, sums array<double>"
+    out, many = against_index(rows.select("id", "label", "x"), index, work, schema, most)
     if not many:
         return out
     parts = [F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(size)]
@@ -67,33 +92,30 @@ def nearest(rows: DataFrame, index: DataFrame, width: int, k: int, metric: str =
 
     `rows` has id and x; `index` has id, x and value. Each block gives its k best; those of several blocks are merged by id.
     """
-    spark = rows.sparkSession
-    ship(spark)
     kinds = dict(index.dtypes)
-    near = f"array<struct<distance:double,id:{kinds['id']},value:{kinds['value']}>>"
-    out, blocks = None, 0
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = f"id {dict(rows.dtypes)['id']}, near {near}"
-    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    for block in _blocks(index.select("id", "x", "value"), most):
-        block = sorted(block, key=lambda r: r[0])
-        held = spark.sparkContext.broadcast(([r[0] for r in block], np.array([r[1] for r in block], dtype=float).reshape(len(block), width), [r[2] for r in block]))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, other, values = held.value
-            step = max(1, (1 << 22) // max(1, other.size))
-            for batch in batches:
-                x, lists = matrix_of(batch.column(1), width), []
-                for at in range(0, len(x), step):
-                    d = distances(x[at : at + step], other, metric)
-                    order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    lists += [[{"distance": float(row[j]), "id": ids[j], "value": values[j]} for j in best.tolist()] for row, best in zip(d, order)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, arrow.field("near").type)], schema=arrow)
-
-        found = rows.select("id", "x").mapInArrow(run, schema)
-        out, blocks = found if out is None else out.unionByName(found), blocks + 1
-    if blocks == 1:
+    def work(index: pa.Table, own: pa.Table) -> pa.Table:
+        index = index.sort_by("id")  # a stable sort by distance then leaves ties by id
+        other, x = _matrix(index, "x", width), _matrix(own, "x", width)
+        step, best, far = max(1, (1 << 22) // max(1, other.size)), [], []
+        for at in range(0, len(x), step):
+            d = distances(x[at : at + step], other, metric)
+            if k < d.shape[1]:  # what is not above the k-th distance, in order of id
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                d = np.where(d <= edge, d, np.inf)
+            order = np.argsort(d, axis=1, kind="stable")[:, :k]
+            best.append(order)
+            far.append(np.take_along_axis(d, order, axis=1))
+        order, distance = np.concatenate(best), np.concatenate(far)
+        picked = pa.array(order.ravel())
+        fields = [pa.array(distance.ravel()), *(index.column(c).combine_chunks().take(picked) for c in ("id", "value"))]
+        near = pa.StructArray.from_arrays(fields, names=["distance", "id", "value"])
+        bounds = pa.array(np.arange(len(x) + 1, dtype=np.int32) * order.shape[1])
+        return pa.table({"id": own.column("id"), "near": pa.ListArray.from_arrays(bounds, near)})
+
+    schema = f"id {dict(rows.dtypes)['id']}, near array<struct<distance:double,id:{kinds['id']},value:{kinds['value']}>>"
+    out, many = against_index(rows.select("id", "x"), index.select("id", "x", "value"), work, schema, most)
+    if not many:
         return out
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)  # `blocks` lists of k for each id
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)  # a list of k for each block
     return out.groupBy("id").agg(merged.alias("near"))

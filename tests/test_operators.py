@@ -332,7 +332,7 @@ def test_nmf(spark):
     rng = np.random.default_rng(0)
     df = from_arrays(spark, rng.random((60, 2)) @ rng.random((2, 6)))
     names = [f"x{j}" for j in range(6)]
-    for solver, loss in (("mu", "frobenius"), ("als", "frobenius"), ("mu", "kullback-leibler")):
+    for solver, loss in (("mu", "frobenius"), ("als", "frobenius"), ("mu", "kl")):
         model = decomposition.NMF(2, solver, loss, 30, random_state=1).fit(df, names)
         out = model.inverse_transform(model.transform(df)).orderBy("id").collect()
         x, back = np.array([[r[n] for n in names] for r in out]), np.array([r.restored for r in out])
