@@ -59,10 +59,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def write_table(df: DataFrame, label: str) -> str:
+def write_table(df: DataFrame, label: str, partition_by: list[str] | None = None) -> str:
     """Write `df` as Parquet to a new folder and return its path."""
     path = new_folder(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
     return path
 
 
