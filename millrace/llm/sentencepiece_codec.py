@@ -10,9 +10,10 @@ makes of their joined text, so for BPE models a step is allowed only between suc
 path survives to each boundary, and it is the BPE result. Taking BPE scores as path sums would give other ids.
 
 Where no piece has a blank mark after another character, paths always meet before a word's blank mark. Such
-stretches are encoded once and remembered in two generations of bounded size. The short new ones of a batch are
-walked together, all lattices advancing by one character a step; a long one is walked by itself with the window.
-Characters without a piece become byte pieces (or the unknown piece).
+stretches are encoded once and remembered in two generations of bounded size. The new ones of a batch are
+walked together: all lattices advance by one character a step, each in a ring of WINDOW longest pieces that is emptied
+wherever its paths have met. A very long one is walked by itself, with the same window. So no lattice is ever held
+whole. Characters without a piece become byte pieces (or the unknown piece).
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm.hashmap import HashMap64
 from millrace.llm.shared import fresh, python_steps
-from millrace.llm.textkit import SpanHasher, span_hashes
 
 BLANK = "▁"
 #: Stretches remembered in a generation, characters of the longest, and pairs of pieces whose compatibility is remembered.
 REMEMBERED, LONGEST_REMEMBERED, PAIRS = 120_000, 48, 500_000
+#: Boundaries that a lattice holds, in longest pieces, unless its paths have not met by then; characters of a stretch that is walked alone.
+WINDOW, ALONE = 4, 1024
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
 #: What an unknown character costs below the lowest score of a unigram model.
@@ -74,10 +76,17 @@ class Codec:
         self.stretches = re.compile(f"{alone}|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone else f"{BLANK}*[^{BLANK}]+|{BLANK}+") if parts else None
         self.pairs: dict[int, bool] = {}  # for one lattice
         self.pair_map = HashMap64()  # for many
-        self.ending_map = HashMap64(18)
-        points = np.frombuffer("".join(self.endings).encode("utf-32-le"), dtype=np.uint32)
-        ends = np.cumsum([len(p) for p in self.endings])
-        self.ending_map.insert(span_hashes(points, ends - [len(p) for p in self.endings], ends), np.array(list(self.endings.values()), dtype=np.int32) + 1)
+        # the pieces as a trie: the state after each beginning of a piece, by state before and character, and the piece that ends there
+        states = {b: k for k, b in enumerate({p[:k]: 0 for p in self.ids for k in range(len(p) + 1)} | {"": 0})}
+        self.root, self.piece_at = states[""], np.full(len(states), -1, dtype=np.int64)
+        self.trie = HashMap64(18)
+        steps = [(states[b[:-1]] << 21 | ord(b[-1]), k) for b, k in states.items() if b]
+        if steps:
+            keys, to = zip(*steps)
+            self.trie.insert(np.array(keys, dtype=np.uint64), np.array(to, dtype=np.int32))
+        for piece, i in self.ids.items():
+            self.piece_at[states[piece]] = i
+        self.window = 0  # boundaries of the widest lattice so far
         self.pieces = [p.piece for p in model.pieces]
         self.young, self.old = _Generation(self), {}
 
@@ -141,7 +150,8 @@ class Codec:
                 score.append(best_score)
             piece.append(best)
             back.append(best_size)
-            if end - base >= 4 * longest:
+            self.window = max(self.window, len(piece))
+            if end - base >= (WINDOW - 1) * longest and end % longest == 0:
                 meet = self._meeting(back, end - base)
                 if meet:
                     out += self._path(text, base, piece, back, meet)
@@ -150,7 +160,7 @@ class Codec:
         return out + self._path(text, base, piece, back, len(text) - base)
 
     def viterbi_many(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of many short stretches under a BPE model, as `viterbi` gives them."""
+        """Ids of many stretches under a BPE model, as `viterbi` gives them; all lattices advance together."""
         if not texts:
             return []
         sizes = np.array([len(t) for t in texts])
@@ -158,44 +168,54 @@ class Codec:
         sizes = sizes[order]
         points = np.frombuffer("".join([texts[k] for k in order.tolist()]).encode("utf-32-le"), dtype=np.uint32)
         first = np.cumsum(sizes) - sizes
-        begin = np.repeat(first, sizes)
-        # the piece of each size that ends at each character, +1; 0 for an ending only, -1 for nothing that could still grow
-        n, fits = len(points), []
-        hasher, live, size = SpanHasher(points), np.arange(n), 1
-        while len(live):
-            known = self.ending_map.find(hasher(live + 1 - size, live + 1))
-            fits.append(np.zeros(n, dtype=np.int32))
-            fits[-1][live] = np.maximum(known, 0)
-            live = live[(known >= 0) & (live - size >= begin[live])]
-            size += 1
-        piece, back = np.full(n, -1, dtype=np.int64), np.ones(n, dtype=np.int64)
-        for step in range(int(sizes[0])):
-            at = first[: np.searchsorted(-sizes, -step, side="left")] + step  # lattices longer than this step
-            for size in range(min(step + 1, len(fits)), 0, -1):
-                here = np.flatnonzero(fits[size - 1][at])
-                if not len(here):
-                    continue
-                place = at[here]
-                right = fits[size - 1][place].astype(np.int64) - 1
-                left = piece[place - size] if size <= step else np.full(len(place), -1, dtype=np.int64)
-                fit = self._compatible_many(left, right)
-                piece[place[fit]], back[place[fit]] = right[fit], size
-                open_ = np.ones(len(at), dtype=bool)
-                open_[here[fit]] = False
-                at = at[open_]
-        # back from the ends, all stretches together
-        cursor, going = first + sizes - 1, np.arange(len(sizes))
-        steps: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(going):
-            place = cursor[going]
-            steps.append((going, place))
-            cursor[going] = place - back[place]
-            going = going[cursor[going] >= first[going]]
-        whose, place = (np.concatenate(x[::-1]) for x in zip(*steps))
-        by = np.argsort(whose, kind="stable")
-        whose, place = whose[by], place[by]
+        ring = WINDOW * self.longest
+        piece, back = np.full((len(sizes), ring), -1, dtype=np.int64), np.ones((len(sizes), ring), dtype=np.int64)
+        base = np.zeros(len(sizes), dtype=np.int64)
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # lattice, boundary and piece of what is committed
+        lane, begin, state = (np.zeros(0, dtype=np.int64) for _ in range(3))  # beginnings of pieces that may still grow
+
+        def commit(lanes: np.ndarray, upto: np.ndarray) -> None:
+            at, going = upto.copy(), np.arange(len(lanes))
+            while len(going := going[at[going] > base[lanes[going]]]):
+                own, here = lanes[going], at[going]
+                done.append((own, here, piece[own, here % ring]))
+                at[going] = here - back[own, here % ring]
+            base[lanes] = upto
+
+        for end in range(1, int(sizes[0]) + 1):
+            live = int(np.searchsorted(-sizes, -end, side="right"))  # lattices that go on to this boundary
+            still = lane < live
+            lane = np.concatenate((lane[still], np.arange(live)))
+            begin = np.concatenate((begin[still], np.full(live, end - 1)))
+            state = np.concatenate((state[still], np.full(live, self.root)))
+            state = self.trie.find(state.astype(np.uint64) << np.uint64(21) | points[first[lane] + end - 1]).astype(np.int64)
+            grown = state >= 0
+            lane, begin, state = lane[grown], begin[grown], state[grown]
+            right = self.piece_at[state]
+            ends_here = np.flatnonzero(right >= 0)
+            own, start, right = lane[ends_here], begin[ends_here], right[ends_here]
+            fit = self._compatible_many(np.where(start > 0, piece[own, start % ring], -1), right)  # of one boundary's at most one fits
+            piece[:live, end % ring], back[:live, end % ring] = -1, 1
+            piece[own[fit], end % ring], back[own[fit], end % ring] = right[fit], end - start[fit]
+            over = np.flatnonzero(sizes[:live] == end)
+            if len(over):
+                commit(over, np.full(len(over), end))
+            if end % self.longest == 0:
+                wide = np.flatnonzero((end - base[:live] >= (WINDOW - 1) * self.longest) & (sizes[:live] > end))
+                if len(wide):
+                    met = self._meetings(back, wide, base[wide], end, ring)
+                    commit(wide[met > base[wide]], met[met > base[wide]])
+                    if (end - base[wide]).max() > ring - self.longest - 1:  # paths that won't meet yet: the ring has to grow
+                        at = np.arange(max(0, end - ring + 1), end + 1)
+                        wider = [np.full((len(sizes), 2 * ring), v, dtype=np.int64) for v in (-1, 1)]
+                        for new, old in zip(wider, (piece, back)):
+                            new[:, at % (2 * ring)] = old[:, at % ring]
+                        (piece, back), ring = wider, 2 * ring
+            self.window = max(self.window, ring)
+        whose, place, ids = (np.concatenate(x) for x in zip(*done))
+        by = np.lexsort((place, whose))
+        whose, place, ids = whose[by], place[by], ids[by].astype(np.int32)
         bounds = np.searchsorted(whose, np.arange(len(sizes) + 1))
-        ids = piece[place].astype(np.int32)
         out: list[np.ndarray] = [ids[:0]] * len(texts)
         plain = np.add.reduceat(np.append(ids < 0, False).astype(np.int64), bounds[:-1]) == 0
         for k, own in enumerate(order.tolist()):
@@ -203,9 +223,25 @@ class Codec:
             if plain[k]:
                 out[own] = ids[s:e]
             else:
-                out[own] = np.array(self._spelled(ids[s:e].tolist(), [chr(points[p]) for p in place[s:e].tolist()]), dtype=np.int32)
+                letters = [chr(p) for p in points[first[k] + place[s:e] - 1].tolist()]
+                out[own] = np.array(self._spelled(ids[s:e].tolist(), letters), dtype=np.int32)
         return out
 
+    def _meetings(self, back: np.ndarray, lanes: np.ndarray, base: np.ndarray, end: int, ring: int) -> np.ndarray:
+        """For each lattice the boundary in which all paths that can still go on from `end` meet."""
+        span = end - int(base.min())
+        low = end - span  # boundaries from here to `end`, those before a lattice's base left out
+        open_ = np.zeros((len(lanes), span + 1), dtype=bool)
+        open_[:, max(0, span - self.longest + 1) :] = True
+        every = np.arange(len(lanes))
+        for top in range(span, 0, -1):
+            # the last open boundary steps back unless it is the only one
+            hit = every[open_[:, top] & (open_.sum(axis=1) > 1)]
+            if len(hit):
+                open_[hit, top] = False
+                open_[hit, np.maximum(top - back[lanes[hit], (low + top) % ring], 0)] = True
+        return np.maximum(low + open_.argmax(axis=1), base)
+
     def _compatible_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = ((left + 1) << 32 | right).astype(np.uint64)
         known = self.pair_map.find(keys)
@@ -263,15 +299,16 @@ class Codec:
             return [self.encode(t or "") for t in texts]
         put, cut, young = BLANK if self.prefix else "", self.stretches.findall, self.young
         split = [cut(put + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = {p for parts in split for p in parts if p not in young and len(p) <= LONGEST_REMEMBERED}
+        new = {p for parts in split for p in parts if p not in young and len(p) <= ALONE}
         again = {p: self.old[p] for p in new if p in self.old}
         fresh = [p for p in new if p not in again]
         again.update(zip(fresh, [x.tobytes() for x in self.viterbi_many(fresh)]))
+        long = {p: again.pop(p) for p in fresh if len(p) > LONGEST_REMEMBERED}  # not worth remembering
         if len(young) + len(again) > REMEMBERED:
             self.old = dict(young)
             young.clear()
         young.update(again)
-        find = young.__getitem__
+        find = (lambda p: long[p] if p in long else young[p]) if long else young.__getitem__
         return [np.frombuffer(b"".join(map(find, parts)), dtype=np.int32) for parts in split]
 
     # decoding
@@ -345,7 +382,10 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", with
 
 
 def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "piece_ids") -> DataFrame:
-    """`docs` with `decoded`, the text of the ids column; null ids give an empty text."""
+    """`docs` with `decoded` (a leading underscore if there is such a column), the text of the ids column; null ids give an empty text.
+
+    Rows repeat as they are; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     python_steps(spark)
     with open(model_path, "rb") as f:
@@ -364,7 +404,11 @@ def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "piece_ids")
 
 
 def encoding_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers), and whether decoding gives the text back."""
+    """id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers), and whether decoding gives the text back.
+
+    A null text counts as empty and has no ids; a null id stays null. Repeated rows have a row each, texts of any length are taken whole,
+    other columns play no part whatever their names, and an empty table gives no rows.
+    """
     spark = docs.sparkSession
     python_steps(spark)
     with open(model_path, "rb") as f:
@@ -379,7 +423,8 @@ def encoding_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
                 n.append(len(ids))
                 crc.append(zlib.crc32(ids.astype("<i4").tobytes()))
                 same.append(codec.decode(ids) == (text or ""))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["id", "n", "crc", "same"])
+            found = [pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["id", "n", "crc", "same"])
 
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, crc long, same boolean")
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_pieces"), F.col("crc").alias("ids_crc32"), F.col("same").alias("round_trip"))
