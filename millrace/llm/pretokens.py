@@ -74,9 +74,10 @@ def boundaries(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class PretokenTable:
-    """For each distinct pre-token its list of ids (or one number), by 64-bit hash: open addressing over arrays.
+    """For each distinct pre-token its list of ids (or one number): open addressing by 64-bit hash, then the texts are compared.
 
-    `make` gives the lists of new pre-tokens. The table is emptied when it holds `most` pre-tokens.
+    `make` gives the lists of new pre-tokens. The table is emptied when it holds `most` pre-tokens. A pre-token whose
+    hash stands for another text is kept by its text, so what is found is always that of the pre-token itself.
     """
 
     def __init__(self, make: Callable[[list[str]], list[np.ndarray]], most: int = 1_000_000) -> None:
@@ -92,6 +93,11 @@ class PretokenTable:
         self.size = np.zeros(1 << 14, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
+        self.text_start = np.zeros(1 << 14, dtype=np.int64)
+        self.text_size = np.zeros(1 << 14, dtype=np.int32)
+        self.points = np.zeros(1 << 16, dtype=np.uint32)
+        self.points_used = 0
+        self.clashes: dict[str, int] = {}
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each pre-token in the table, -1 if it isn't there."""
@@ -121,41 +127,75 @@ class PretokenTable:
             left = left[at[left] >= 0]
             at[left] = (at[left] + 1) & mask
 
-    def numbers(self, hashes: np.ndarray, text_of: Callable[[int], str]) -> np.ndarray:
-        """The number of each pre-token, after making what is new; `text_of` gives the text of the i-th."""
+    def numbers(self, points: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each pre-token text[start:end], after making what is new; `points` are the code points of `text`."""
         found = self.find(hashes)
         new = np.flatnonzero(found < 0)
         if len(new):
             fresh, where = np.unique(hashes[new], return_index=True)
             if self.count + len(fresh) > self.most and self.count:
                 self.clear()
-                return self.numbers(hashes, text_of)
-            lists = self.make([text_of(int(new[k])) for k in where])
-            self._add(fresh, lists)
+                return self.numbers(points, text, starts, ends, hashes)
+            texts = [text[s:e] for s, e in zip(starts[new[where]].tolist(), ends[new[where]].tolist())]
+            self._add(texts)
+            self._enter(fresh, np.arange(self.count - len(fresh), self.count, dtype=np.int32))
             found[new] = self.find(hashes[new])
+        wrong = np.flatnonzero(~self._same(found, points, starts, ends))
+        if len(wrong):
+            texts = [text[s:e] for s, e in zip(starts[wrong].tolist(), ends[wrong].tolist())]
+            unknown = [t for t in dict.fromkeys(texts) if t not in self.clashes]
+            if unknown:
+                self._add(unknown)
+                self.clashes.update(zip(unknown, range(self.count - len(unknown), self.count)))
+            found[wrong] = [self.clashes[t] for t in texts]
         return found
 
-    def _add(self, hashes: np.ndarray, lists: list[np.ndarray]) -> None:
-        sizes = np.array([len(x) for x in lists], dtype=np.int32)
-        flat = np.concatenate(lists).astype(np.uint32)
-        while self.count + len(hashes) > len(self.start):
-            self.start, self.size = np.concatenate((self.start, np.zeros_like(self.start))), np.concatenate((self.size, np.zeros_like(self.size)))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        own = np.arange(self.count, self.count + len(hashes), dtype=np.int32)
-        self.start[own] = self.used + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        self.size[own] = sizes
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.count += len(hashes)
+    def _same(self, numbers: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each pre-token has the text that its number stands for."""
+        size = ends - starts
+        same = self.text_size[numbers] == size
+        size = np.where(same, size, 0)
+        upto = np.cumsum(size)
+        step = np.arange(int(upto[-1]) if len(upto) else 0)
+        before = upto - size
+        differs = self.points[step + np.repeat(self.text_start[numbers] - before, size)] != points[step + np.repeat(starts - before, size)]
+        if differs.any():
+            same[np.searchsorted(upto, np.flatnonzero(differs), side="right")] = False
+        return same
+
+    @staticmethod
+    def _room(array: np.ndarray, size: int) -> np.ndarray:
+        while len(array) < size:
+            array = np.concatenate((array, np.zeros_like(array)))
+        return array
+
+    def _add(self, texts: list[str]) -> None:
+        """Number new pre-tokens from `count` on."""
+        lists = self.make(texts)
+        for flat, sizes, start, size, store, used in (
+            (np.concatenate(lists), [len(x) for x in lists], "start", "size", "ids", "used"),
+            (np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), [len(t) for t in texts], "text_start", "text_size", "points", "points_used"),
+        ):
+            own, at = slice(self.count, self.count + len(texts)), getattr(self, used)
+            for name in (start, size):
+                setattr(self, name, self._room(getattr(self, name), own.stop))
+            setattr(self, store, self._room(getattr(self, store), at + len(flat)))
+            getattr(self, start)[own] = at + np.cumsum(sizes) - sizes
+            getattr(self, size)[own] = sizes
+            getattr(self, store)[at : at + len(flat)] = flat
+            setattr(self, used, at + len(flat))
+        self.count += len(texts)
+
+    def _enter(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Let the hashes stand for the numbers."""
         if self.count * 2 > len(self.slot):
             old = self.slot >= 0
-            hashes, own = np.concatenate((self.keys[old], hashes)), np.concatenate((self.slot[old], own))
+            hashes, numbers = np.concatenate((self.keys[old], hashes)), np.concatenate((self.slot[old], numbers))
             while self.count * 2 > 1 << self.bits:
                 self.bits += 1
             self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
             self.slot = np.full(1 << self.bits, -1, dtype=np.int32)
-        self._insert(hashes, own)
+        self._insert(hashes, numbers)
 
     def lists(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pre-tokens end to end, and the bounds of each."""

@@ -1,8 +1,9 @@
 """Vectorised text handling for Arrow batches: words, their hashes and shingles, on whole texts.
 
 Everything works on the UTF-8 bytes of a batch of texts laid end to end. A word is a run of bytes
-outside [\\x20\\x09-\\x0D]; A-Z are lower-cased. Hashes have 64 bits: equal words always get equal
-hashes, and different ones do so with a chance of about 2^-64 a pair.
+outside [\\x20\\x09-\\x0D]; A-Z are lower-cased. Hashes have 64 bits and are mixed from two polynomials, one modulo
+2^64 and one modulo the prime 2^31 - 1: words built so that the first gives them one value, as those that follow
+the Thue-Morse sequence are, differ in the second. What must be exact compares the texts themselves.
 """
 
 from __future__ import annotations
@@ -35,33 +36,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_PRIME = (1 << 31) - 1
+_SMALL_BASE = 1_193_810_247
+_powers: dict[int, tuple[np.ndarray, ...]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i for i up to n."""
+def _power_tables(n: int) -> tuple[np.ndarray, ...]:
+    """base^i and base^-i for i up to n, modulo 2^64 and modulo the prime."""
     size = 1 << max(16, int(n).bit_length())
     if size not in _powers:
         up, down = np.full(size, _BASE, dtype=_U), np.full(size, _U(pow(int(_BASE), -1, 1 << 64)), dtype=_U)
         up[0] = down[0] = 1
-        tables = np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
+        tables = [np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)]
+        for base in (_SMALL_BASE, pow(_SMALL_BASE, -1, _PRIME)):
+            powers, have = np.ones(size, dtype=_U), 1
+            while have < size:  # each step doubles what is there
+                powers[have : 2 * have] = powers[:have] * _U(pow(base, have, _PRIME)) % _U(_PRIME)
+                have *= 2
+            tables.append(powers.astype(np.uint32))
         if size > 1 << 23:  # made for one very long text; not worth keeping
-            return tables
+            return tuple(tables)
         _powers.clear()
-        _powers[size] = tables
+        _powers[size] = tuple(tables)
     return _powers[size]
 
 
 class SpanHasher:
-    """64-bit hashes of values[start:end] for any spans: polynomial by prefix sums, then mixed."""
+    """64-bit hashes of values[start:end] for any spans: polynomials by prefix sums, then mixed.
+
+    The second sums are of residues below 2^32, so they are exact up to 2^32 values.
+    """
 
     def __init__(self, values: np.ndarray) -> None:
-        up, self.down = _power_tables(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, dtype=_U)
-        np.cumsum((values.astype(_U) + _U(1)) * up[: len(values)], dtype=_U, out=self.sums[1:])
+        n = len(values)
+        up, self.down, small_up, self.small_down = _power_tables(n + 1)
+        self.sums, self.small = np.zeros(n + 1, dtype=_U), np.zeros(n + 1, dtype=_U)
+        terms = values.astype(_U)
+        terms += _U(1)
+        np.cumsum(terms * up[:n], dtype=_U, out=self.sums[1:])
+        terms *= small_up[:n]
+        terms = (terms & _U(_PRIME)) + (terms >> _U(31))  # 2^31 is 1 modulo the prime
+        np.cumsum(terms, dtype=_U, out=self.small[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        wide = (self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93)
+        small = (self.small[ends] - self.small[starts]) % _U(_PRIME) * self.small_down[starts] % _U(_PRIME)
+        return mix(wide ^ (small * _U(0xA24BAED4963EE407)))
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

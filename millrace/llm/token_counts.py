@@ -2,7 +2,8 @@
 
 Texts are cut into pre-tokens by array comparisons (`pretokens`); the distinct new ones of a batch are laid out as
 ragged arrays of byte symbols, and all of them apply their lowest-ranked pair at once, round by round
-(`byte_bpe`). The symbols that survive are counted and remembered by pre-token, so each text is a sum of look-ups.
+(`byte_bpe`). The symbols that survive are counted and remembered by pre-token, so each text is a sum of look-ups. A look-up
+goes by hash and then compares the pre-token itself, so counts are exact whatever the texts.
 """
 
 from __future__ import annotations
@@ -41,9 +42,8 @@ def count_texts(source: bytes, texts: list[str | None]) -> np.ndarray:
     for row, n, points, offsets, owner, marks, text in split_texts(texts, list(bpe.special)):
         starts, ends, hashes, segment = pretokens(points, offsets, marks)
         plain = marks[segment] < 0 if len(segment) else np.zeros(0, dtype=bool)
-        s, e = starts[plain], ends[plain]
         sizes = np.ones(len(starts), dtype=np.int64)
-        numbers = table.numbers(hashes[plain], lambda i, s=s, e=e, text=text: text[s[i] : e[i]])
+        numbers = table.numbers(points, text, starts[plain], ends[plain], hashes[plain])
         sizes[plain] = table.ids[table.start[numbers]]
         out[row : row + n] += np.bincount(owner[segment], sizes, n).astype(np.int64) if len(segment) else 0
     return out
@@ -52,8 +52,8 @@ def count_texts(source: bytes, texts: list[str | None]) -> np.ndarray:
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every row; null counts as empty.
 
-    The counts are those of the tokenizers library for the file, without added special tokens. Repeated rows
-    repeat; an empty table gives no rows.
+    The counts are those of the tokenizers library for the file, without added special tokens. A null id stays null.
+    Repeated rows repeat; other columns play no part, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     python_steps(spark)
