@@ -10,8 +10,8 @@ The automata are walked for many texts at once: texts are cut into lanes of LANE
 phrase, and all lanes advance together, one symbol a step. A missing transition is stored as the
 transition from the root with the phrase bit set, so a step is one table lookup. Whole texts are parsed.
 
-The model has a fixed bound: DOCS_PER_LANGUAGE documents a language, SLICE_SYMBOLS of each, at most REFERENCE_SYMBOLS.
-The symbols of a document come from a place in it that the hash of its id chooses.
+It learns from a bounded sample of labelled rows, each with its whole text: those of a language that come first by the hash of their
+id, as long as they are at most DOCS_PER_LANGUAGE rows and have REFERENCE_SYMBOLS together.
 """
 
 from __future__ import annotations
@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import fresh, python_steps
 from millrace.llm.textkit import text_slices
 
-#: Labelled documents of a language that its automaton learns from, symbols from each, and symbols in all.
-DOCS_PER_LANGUAGE, SLICE_SYMBOLS, REFERENCE_SYMBOLS = 96, 512, 32_768
+#: Labelled documents of a language that are learnt from at most, and their characters and symbols in all.
+DOCS_PER_LANGUAGE, REFERENCE_SYMBOLS = 96, 49_152
 #: Symbols of a lane.
 LANE = 512
 UNDETERMINED = "und"
+#: A text fits no language if the best needs over so many times the phrases of its own unseen text, and so many more: a few lines of
+#: another language or script, or of random letters, do; a handful of words never does.
+MISFIT, MISFIT_SLACK = 2.5, 8
 
 _PHRASE = np.int32(1 << 30)
 _PAD = 255  # byte value that never occurs in UTF-8
@@ -138,11 +141,10 @@ def build_model(samples: dict[str, list[str]]) -> LanguageModel:
     languages = sorted(samples)
     parts, held = {}, {}
     for name in languages:
-        symbols = [squeeze(*_one(text))[0] for text in samples[name]]
-        symbols = [s[:SLICE_SYMBOLS] for s in symbols if len(s)]
+        symbols = [s for s in (squeeze(*_one(text))[0] for text in samples[name]) if len(s)]
         held[name] = symbols[3::4] or symbols[:1]
         rest = [s for i, s in enumerate(symbols) if i % 4 != 3]
-        parts[name] = np.concatenate([np.concatenate((s, [0])) for s in rest] or [np.zeros(1, np.uint8)])[:REFERENCE_SYMBOLS]
+        parts[name] = np.concatenate([np.concatenate((s, [0])) for s in rest] or [np.zeros(1, np.uint8)])
     seen = np.unique(np.concatenate([*parts.values(), np.zeros(1, np.uint8)]))
     alphabet = np.full(256, len(seen), dtype=np.int32)  # symbols that no reference has share the last place
     alphabet[seen] = np.arange(len(seen))
@@ -171,21 +173,23 @@ def _one(text: str) -> tuple[np.ndarray, np.ndarray]:
     return raw, np.array([0, len(raw)])
 
 
-def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> LanguageModel:
-    """Fit on the DOCS_PER_LANGUAGE labelled documents of each language that come first by the hash of their id.
+def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs: int = DOCS_PER_LANGUAGE, symbols: int = REFERENCE_SYMBOLS) -> LanguageModel:
+    """Fit on whole labelled texts of each language: the first by the hash of their id, at most `docs` with `symbols` symbols in all.
 
-    A longer text gives the 4 * SLICE_SYMBOLS characters from a place chosen by another hash of the id, so that
-    openings which texts share don't stand for the language.
+    A text that is longer than the bound by itself is not in the sample; where a language has no other, its shortest one is cut to it.
     """
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
-    places = F.greatest(F.length(text_col) - 4 * SLICE_SYMBOLS, F.lit(0)) + 1
-    place = (F.pmod(F.xxhash64(id_col, F.lit("place")), places) + 1).cast("int")
     usable = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    usable = usable.select(F.col(lang_col).alias("lang"), rank.alias("rank"), F.substring(F.col(text_col), place, F.lit(4 * SLICE_SYMBOLS)).alias("text"))
-    rows = usable.where(F.col("rank") <= DOCS_PER_LANGUAGE).collect()
+    usable = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.length(text_col) > symbols).alias("long"))
+    by = Window.partitionBy("lang").orderBy("long", F.when(F.col("long"), F.length("text")), F.xxhash64("id"), "id", F.xxhash64("text"))
+    rows = usable.withColumn("rank", F.row_number().over(by)).where(f"rank <= {docs} AND (NOT long OR rank = 1)")
+    rows = rows.select("lang", "rank", F.substring("text", 1, symbols).alias("text")).collect()
     samples: dict[str, list[str]] = {}
+    left: dict[str, int] = {}
     for lang, _, text in sorted(rows, key=lambda r: (r[0], r[1])):
-        samples.setdefault(lang, []).append(text)
+        size = len(squeeze(*_one(text))[0])
+        if size <= left.setdefault(lang, symbols) or lang not in samples:
+            samples.setdefault(lang, []).append(text)
+            left[lang] -= size
     return build_model(samples)
 
 
@@ -194,20 +198,21 @@ def _has_letter(text_col: str) -> Column:
 
 
 def identify_languages(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """`docs` with `lang_pred` and `score`; where `docs` has such a name, ours gets a leading underscore.
+    """`docs` with `lang_pred`, `score` and `fits`; where `docs` has such a name, ours gets a leading underscore.
 
     `labelled` (its id, text and language columns, nulls ignored) is what is learnt from; the label of a row in `docs`
     is no input. `und` with score 0 where the text is null, has no letter or nothing was learnt. The score is the
     share by which the second-best language needs more phrases than the best, from 0 to 1; ties go to the first in
-    alphabetical order. Rows repeat as they are; an empty table gives no rows.
+    alphabetical order. `fits`: there is a letter, and the best language needs about as few phrases as for its own
+    text (MISFIT); where nothing was learnt a letter is enough. Rows repeat as they are; an empty table gives no rows.
     """
     spark = docs.sparkSession
     python_steps(spark)
     model = spark.sparkContext.broadcast(learn(labelled, id_col, text_col, lang_col))
-    pred, score = fresh(docs, "lang_pred", "score")
+    extra = fresh(docs, "lang_pred", "score", "fits")
     names = docs.columns
     framed = docs.select(*names, _has_letter(text_col).alias(fresh(docs, "letter")[0]))
-    schema = docs.select(*names, F.lit("").alias(pred), F.lit(0.0).alias(score)).schema
+    schema = docs.select(*names, F.lit("").alias(extra[0]), F.lit(0.0).alias(extra[1]), F.lit(True).alias(extra[2])).schema
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,20 +221,23 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_
             for row, raw, offsets in text_slices(batch.column(at)):
                 part = batch.slice(row, len(offsets) - 1)
                 symbols, bounds = squeeze(raw, offsets)
-                ok = part.column(len(names)).to_numpy(zero_copy_only=False) & (len(m.languages) > 0)
-                if len(m.languages):
-                    need = m.phrases(symbols, bounds) / m.own_rate
+                letter = part.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
+                label, margin, fits = [UNDETERMINED] * len(letter), np.zeros(len(letter)), letter
+                if m.languages:
+                    every, phrases = np.arange(len(letter)), m.phrases(symbols, bounds)
+                    need = phrases / m.own_rate
                     best = need.argmin(axis=1)
-                    least = need[np.arange(len(best)), best]
-                    need[np.arange(len(best)), best] = np.inf
+                    least = need[every, best]
+                    expected = np.diff(bounds) * m.own_rate[best]
+                    fits = letter & (phrases[every, best] <= MISFIT * expected + MISFIT_SLACK)
+                    need[every, best] = np.inf
                     second = need.min(axis=1) if need.shape[1] > 1 else np.full(len(best), np.inf)
                     with np.errstate(invalid="ignore", divide="ignore"):
                         margin = np.where(np.isinf(second), 1.0, np.clip(1 - least / second, 0, 1))
-                    label = [m.languages[b] if o else UNDETERMINED for b, o in zip(best.tolist(), ok.tolist())]
-                    margin = np.where(ok, margin, 0.0)
-                else:
-                    label, margin = [UNDETERMINED] * len(ok), np.zeros(len(ok))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(label), pa.array(margin, pa.float64())], names=[*names, pred, score])
+                    label = [m.languages[b] if o else UNDETERMINED for b, o in zip(best.tolist(), letter.tolist())]
+                    margin = np.where(letter, margin, 0.0)
+                own = [pa.array(label, pa.string()), pa.array(margin, pa.float64()), pa.array(fits)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *own], names=[*names, *extra])
 
     return framed.mapInArrow(run, schema)
 
@@ -244,10 +252,11 @@ def held_out(id_col: str = "doc_id"):
 
 
 def drop_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """`docs` without the rows whose text is null or has no letter, in their own columns.
+    """`docs` without the rows whose text is null, has no letter or fits none of the languages learnt from `docs`, in their own columns.
 
-    These are the ones that stay `und`; where no language could be learnt, all do, and those with a letter are kept.
+    A text too short to tell is kept, and so is every text with a letter where no language could be learnt. Each row is judged by
+    its own text: repeated rows and null ids stay or go as such. An empty table gives no rows; column names may clash with ours.
     """
-    pred = fresh(docs, "lang_pred")[0]
+    fits = fresh(docs, "fits")[0]
     found = identify_languages(docs, learning_rows(docs, id_col), id_col, text_col, lang_col)
-    return found.where((F.col(pred) != UNDETERMINED) | _has_letter(text_col)).select(*docs.columns)
+    return found.where(F.col(fits)).select(*docs.columns)
