@@ -8,7 +8,8 @@
    so copies never meet each other.
 3. Star candidates: each representative with the smallest one of each of its buckets. The similarity is
    estimated from the count of equal b-bit values, corrected for chance collisions; what lies within
-   five standard errors of the threshold is confirmed on the full sets of both texts.
+   five standard errors of the threshold is confirmed on the full sets of both texts. A text that very many are to be
+   compared with goes along with parts of them: the pairs of such a hub are dealt by HUB_PAIRS, and its set of shingles is sent once a part.
 4. Links give components. Buckets whose members now all lie in one component are done, as their
    other links would join nothing new. In the rest, members of different components are compared by
    bit counts in tiles of bounded size. Members of a passing pair are sent with their texts to the same tile, where
@@ -26,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.components import components
-from millrace.llm.shared import broadcast_below, cut, fresh, python_steps
+from millrace.llm.shared import broadcast_below, fresh, join_groups, python_steps
 from millrace.llm.textkit import mix, shingles, text_slices, words
+from millrace.plans.closure import components
+from millrace.storage import cut
 
 SHINGLE, PERMUTATIONS, BAND_ROWS, BITS = 5, 128, 4, 4
 BANDS = PERMUTATIONS // BAND_ROWS
@@ -38,6 +40,8 @@ BLOCK = 1 << 15
 TILE, TILE_SHINGLES = 512, 1 << 20
 #: Pairs of a tile from which their intersections are counted together by matrix products, and the columns of a product.
 DENSE_PAIRS, DENSE_COLUMNS = 256, 4096
+#: Pairs of a hub that are confirmed in one part, and hubs whose part counts are broadcast at most.
+HUB_PAIRS, BROADCAST_HUBS = 2048, 1_000_000
 #: Ids of documents to confirm are broadcast up to this count (8 bytes each), and joined by exchange beyond it.
 BROADCAST_IDS = 500_000
 
@@ -273,27 +277,35 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
 
 
 def _confirmed(percent: int):
-    """Pairs whose full shingle sets have the similarity; columns u, v, text of u, text of v."""
+    """Pairs (u, v) whose full shingle sets have the similarity.
+
+    Rows (v, part, kind, id, text) come sorted: the texts of a hub v (kind 0), then those to compare with it, part by part. A
+    hub's sets are held while its part goes by.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, hub = None, []
         for batch in batches:
-            if not len(batch):
-                continue
-            v = batch.column(1).to_numpy()
-            new = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))  # pairs come sorted by v mostly
-            of_v = _sets(batch.column(3).take(pa.array(new)))
-            at = np.searchsorted(new, np.arange(len(v)), side="right") - 1
-            good = np.zeros(len(v), dtype=bool)
-            for i, a in enumerate(_sets(batch.column(2))):
-                b = of_v[at[i]]
-                if len(a) and len(b):
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    good[i] = 100 * both >= percent * (len(a) + len(b) - both)
-            yield batch.filter(pa.array(good)).select([0, 1])
+            u, v = [], []
+            sets = _sets(batch.column(4))
+            for own, part, kind, i, a in zip(*(batch.column(k).to_pylist() for k in range(4)), sets):
+                if current != (own, part):
+                    current, hub = (own, part), []
+                if kind == 0:
+                    hub.append(a)
+                elif len(a) and any(_linked(a, b, percent) for b in hub if len(b)):
+                    u.append(i)
+                    v.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _fetch(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """The rows of `docs` (id, text) with the ids, by broadcast of the ids up to a count."""
     ids = broadcast_below(cut(ids.distinct(), "near-involved"), BROADCAST_IDS)
@@ -301,11 +313,21 @@ def _fetch(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of `pairs` (u, v) whose texts in `docs` (id, text) have the similarity, by full sets."""
+    """Those of `pairs` (u, v), a cut table, whose texts in `docs` (id, text) have the similarity, by full sets.
+
+    v may be a hub that very many pairs share: they are dealt into parts, and the hub's text goes to each part once.
+    """
     texts = cut(_fetch(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).withColumnRenamed("u", "id"), docs), "near-texts")
-    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
-    both = both.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
-    return cut(both.select("u", "v", "tu", "tv").mapInArrow(_confirmed(percent), "u long, v long"), "near-links")
+    hubs = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).alias("parts"))
+    hubs = cut(hubs, "near-hubs")
+    large = broadcast_below(cut(hubs.where("parts > 1"), "near-large-hubs"), BROADCAST_HUBS)
+    part = F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part")
+    asked = pairs.join(large, "v", "left").select("v", part, F.lit(1).alias("kind"), F.col("u").alias("id")).join(texts, "id")
+    of_hub = hubs.withColumn("id", F.col("v")).join(texts, "id")
+    of_hub = of_hub.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "id", "text")
+    rows = asked.select("v", "part", "kind", "id", "text").unionByName(of_hub)
+    rows = rows.repartition("v", "part").sortWithinPartitions("v", "part", "kind")
+    return cut(rows.mapInArrow(_confirmed(percent), "u long, v long").distinct(), "near-links")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -313,9 +335,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Words are runs outside [\\x20\\x09-\\x0D] with A-Z lower-cased; a set is the distinct 5-word shingles, or the
     whole sequence of a shorter text. A text without words, or null, is linked with nothing. Returns id,
-    n_shingles, component_id (smallest id reachable) and kept for every row. Rows that repeat an id share
-    its group if they share its text; a row without id is alone, with component_id null and kept true.
-    An empty table gives no rows.
+    n_shingles, component_id (smallest id reachable) and kept for every row. Rows that repeat an id are one document: what any
+    of their texts is linked with is in the group of all. A row without id is alone, with component_id null and kept true. Other
+    columns play no part, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
     python_steps(spark)
@@ -325,19 +347,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     usable = sketch.where("id IS NOT NULL AND n > 0")
     classes = cut(usable.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "near-classes")
-    reps = usable.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["id"])
+    reps = usable.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["id", "key"])
     reps = cut(reps.select("id", "n", "bits", "bands"), "near-reps")
+    count = reps.count()
     members = reps.select(F.explode("bands").alias("band"), "id", "n")
     buckets = members.groupBy("band").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(members.join(buckets.select("band", "v"), "band"), "near-members")
+    members = cut(join_groups(members, cut(buckets, "near-buckets"), ["band"], "size", BANDS * count), "near-members")
 
     def side(name: str) -> DataFrame:
         return reps.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("bits").alias(f"b{name}"))
 
-    star = members.where("id <> v").select(F.col("id").alias("u"), "v").distinct()
-    star = star.join(side("u"), "u").join(side("v"), "v").where(_similar(F.col("nu"), F.col("nv"), percent))
-    star = cut(star.select("u", "v", "bu", "bv").mapInArrow(_estimated(least), "u long, v long"), "near-star")
-    links = confirm(star, texts, percent)
+    star = cut(members.where("id <> v").select(F.col("id").alias("u"), "v").distinct(), "near-pairs")
+    hubs = cut(star.groupBy("v").agg(F.count(F.lit(1)).alias("size")).join(side("v"), "v"), "near-sides")
+    star = join_groups(star.join(side("u"), "u"), hubs, ["v"], "size", star.count()).where(_similar(F.col("nu"), F.col("nv"), percent))
+    star = cut(star.select("u", "v", "bu", "bv").mapInArrow(_estimated(least), "u long, v long").distinct(), "near-star")
+    # an id with several texts joins their classes
+    several = usable.select("id", "key").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("keys")).where("keys > 1").select("id")
+    own = usable.join(several, "id", "left_semi").select("id", "key").distinct().join(classes.select("key", "rep"), "key")
+    links = confirm(star, texts, percent).unionByName(own.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")))
+    links = cut(links, "near-joined")
     first = components(links)
 
     # buckets that still hold several components
@@ -367,17 +395,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         linked = components(links.unionByName(more))
 
     named = classes.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    named = cut(named.where("size > 1 OR component IS NOT NULL").select("key", F.coalesce("component", "rep").alias("component_id")), "near-named")
+    named = named.where("size > 1 OR component IS NOT NULL").select("key", F.coalesce("component", "rep").alias("component_id"), "size")
     rows = sketch.select("id", F.col("n").alias("n_shingles"), F.when(F.expr("id IS NOT NULL AND n > 0"), F.col("key")).alias("key"))
     # a key of its own spreads the rows that are in no class
     rows = rows.withColumn("key", F.coalesce("key", F.encode(F.concat(F.lit("alone"), F.coalesce(F.col("id").cast("string"), F.lit(""))), "utf-8")))
-    rows = rows.join(named, "key", "left")
+    rows = join_groups(rows, cut(named, "near-named"), ["key"], "size", sketch.count(), "left")
     component = F.coalesce("component_id", "id").alias("component_id")
     return rows.select(F.col("id").alias(id_col), "n_shingles", component).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """`docs` with one row of each group, the one of the smallest id, in its own columns."""
+    """`docs` with one row of each group, the one of the smallest id, in its own columns, whatever their names.
+
+    Rows that repeat that id all stay, as do rows without id or words.
+    """
     gone = fresh(docs, "gone")[0]
     lost = near_groups(docs, id_col, text_col, percent).where("NOT kept").select(F.col(id_col).alias(gone)).distinct()
     lost = broadcast_below(cut(lost, "near-gone"), BROADCAST_IDS)

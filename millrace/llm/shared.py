@@ -1,69 +1,21 @@
-"""What the operators of this subpackage have in common: shared storage, Arrow batches, columns."""
+"""What the operators of this subpackage have in common: Arrow batches, checked broadcasts, columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.storage import ship
+
 #: Rows of an Arrow batch handed to a Python worker. Texts of 100 kB and more occur, so it is kept
 #: small: a worker holds one batch and the arrays made from it.
 ARROW_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        where = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def write_table(df: DataFrame, label: str, partition_by: list[str] | None = None) -> str:
-    """Write `df` as Parquet below the shared folder and return the path."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return path
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """`df`, computed once and reread from the shared folder: recomputation after a lost executor stops there."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, label))
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a table written by `write_table` that no result reads any more."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-_shipped: set[str] = set()
-
-
 def python_steps(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Make ready for Python steps: bound their Arrow batches, and send this package to the executors once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        packed = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
-        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
-            for source in sorted(package.rglob("*.py")):
-                z.write(source, source.relative_to(package.parent))
-        spark.sparkContext.addPyFile(str(packed))
-        _shipped.add(app)
+    ship(spark)
 
 
 def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
@@ -71,6 +23,21 @@ def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: A group with over 1/HOT_GROUPS of the rows is hot; there are fewer than HOT_GROUPS such groups.
+HOT_GROUPS = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows`, of which there are `total`, joined with what `groups`, a cut table, has for their group; `size` are the groups' row counts.
+
+    The few hot groups are sent to all, so their rows stay where they are; the rest are exchanged. `how` is inner or left.
+    """
+    bound = max(2, total // HOT_GROUPS)
+    hot, cold = F.broadcast(groups.where(F.col(size) > bound).drop(size)), groups.where(F.col(size) <= bound).drop(size)
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys, how))
+
+
 def ascii_lower(column: Column | str, spark: SparkSession) -> Column:
     """Lower-case A-Z and nothing else.
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import near_dedup as near
-from millrace.llm.components import components
+from millrace.plans.closure import components
 from millrace.llm.cuckoo import CuckooFilter
 from millrace.llm.exact_dedup import drop_exact_copies, exact_dedup
 from millrace.llm.line_dedup import LineDedup, dedup_lines
@@ -63,7 +63,7 @@ def test_exact_empty_table_and_hot_group(spark):
 
 def test_exact_tiny_filter_changes_nothing(spark):
     rows = [(i, f"t{i % 700}") for i in range(1000)]
-    out = exact_dedup(frame(spark, rows), max_cells=1 << 15).where("kept").count()
+    out = exact_dedup(frame(spark, rows), max_bits=1 << 10).where("kept").count()
     assert out == 700
 
 
@@ -213,10 +213,98 @@ def test_cuckoo_inserts_and_deletes():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
     own = CuckooFilter.for_keys(5000)
-    assert own.insert(keys) and own.contains(keys).all()
+    own.insert(keys)
+    assert own.contains(keys).all() and not len(own.stash)
     other = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
     assert own.contains(other).mean() < 0.005
     own.delete(keys[:2500])
     own = CuckooFilter.from_bytes(own.to_bytes())
     assert own.contains(keys[2500:]).all() and own.contains(keys[:2500]).mean() < 0.005
-    assert not CuckooFilter(1).insert(np.arange(1, 10, dtype=np.uint64) << np.uint64(50))
+    full, more = CuckooFilter(1), np.arange(1, 10, dtype=np.uint64) << np.uint64(50)
+    full.insert(more)  # nine hashes for four slots
+    full = CuckooFilter.from_bytes(full.to_bytes())
+    assert len(full.stash) == 5 and full.contains(more).all()
+    full.delete(more[:6])
+    assert full.contains(more[6:]).all() and not full.contains(more[:6]).any()
+
+
+def test_lines_state_is_gone_on_with(spark, tmp_path):
+    rows, path = line_rows(), f"file://{tmp_path}/d"
+    LineDedup(spark, path).insert(frame(spark, rows[:25]))
+    LineDedup(spark, path).insert(frame(spark, rows[25:]))
+    gone = {3, 7, 11, 30, 31, 32, 33, 34, 35, 36, 37, 38, 39}
+    LineDedup(spark, path).delete(spark.createDataFrame([(i,) for i in [*gone, None]], "doc_id long"))
+    frame(spark, rows[:2]).write.parquet(f"{path}/v4/refs")  # a change that was broken off
+    state = LineDedup(spark, path)
+    assert state.version == 3
+    assert digest(state.dedup(frame(spark, rows))) == brute_lines(rows, gone)
+    state.insert(frame(spark, [r for r in rows if r[0] in {3, 7}]))
+    assert digest(LineDedup(spark, path).dedup(frame(spark, rows))) == brute_lines(rows, gone - {3, 7})
+    with pytest.raises(ValueError):
+        LineDedup(spark, path, min_docs=5)
+    with pytest.raises(ValueError):
+        dedup_lines(frame(spark, rows), path)
+
+
+def test_lines_in_many_groups_of_shards(spark, tmp_path, monkeypatch):
+    from millrace.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    monkeypatch.setattr(line_dedup, "GROUP_SHARDS", 2)
+    monkeypatch.setattr(line_dedup, "BROADCAST_COUNTS", 0)
+    rows = line_rows()
+    state = LineDedup(spark, f"file://{tmp_path}/e")
+    state.insert(frame(spark, rows))
+    assert state.shards > 2
+    assert digest(state.dedup(frame(spark, rows))) == brute_lines(rows)
+
+
+def test_lines_clashing_names(spark, tmp_path):
+    rows = line_rows()
+    docs = spark.createDataFrame([(i, t, 1, "h", 2) for i, t in rows], "doc_id long, text string, id int, sha string, row int")
+    out = dedup_lines(docs, f"file://{tmp_path}/f")
+    assert digest(out) == brute_lines(rows)
+
+
+def test_near_hub_in_parts_and_hot_groups(spark, monkeypatch):
+    """A text that many are near copies of, dealt into parts of three pairs; hot groups are sent to all."""
+    from millrace.llm import shared
+
+    monkeypatch.setattr(near, "HUB_PAIRS", 3)
+    monkeypatch.setattr(shared, "HOT_GROUPS", 4)
+    rng = random.Random(21)
+    base, rows = words(rng, 60, 10**6), []
+    for i in range(30):
+        own = list(base)
+        own[rng.randrange(60)] = f"q{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join(base)) for i in range(40)] + [(200 + i, " ".join(words(rng, 30, 10**6))) for i in range(20)]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in near_groups(frame(spark, rows)).collect()}
+    assert out == brute_groups(rows)
+
+
+def test_near_repeated_ids_are_one_document(spark):
+    rng = random.Random(22)
+    a, b, c = (" ".join(words(rng, 40, 10**6)) for _ in range(3))
+    rows = [(5, a), (5, b), (3, a), (7, f"{b} more"), (9, c), (9, c)]
+    out = sorted((r.doc_id, r.component_id, r.kept) for r in near_groups(frame(spark, rows)).collect())
+    assert out == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True), (9, 9, True)]
+
+
+def test_near_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2, "g"), (2, "a b c d e f", 3, 4, "h")], "doc_id long, text string, id int, n int, gone string")
+    out = drop_near_copies(docs).collect()
+    assert [(r.doc_id, r.gone) for r in out] == [(1, "g")] and near_groups(docs).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    from millrace.plans import closure
+
+    rounds = []
+    real = closure._large_star
+    monkeypatch.setattr(closure, "_large_star", lambda links: rounds.append(1) or real(links))
+    order = list(range(10_000))
+    random.Random(5).shuffle(order)
+    found = components(spark.createDataFrame(list(zip(order, order[1:])), "u long, v long"))
+    assert found.where("component <> 0").count() == 0 and found.count() == 10_000
+    assert len(rounds) <= 20
