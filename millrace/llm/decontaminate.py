@@ -1,8 +1,8 @@
 """Benchmark decontamination: BM25 with block-max WAND, then overlap of question and answer.
 
 The test items are the indexed side. Items, and the longer of question and answer by itself, are cut into segments
-of at most SEGMENT words, so an item is retrieved also where its parts stand far from each other; a segment's BM25
-weights are divided by their sum, so a score is the share of the segment's weight that a query covers, and
+of about equal length, at most SEGMENT words, so an item is retrieved also where its parts stand far from each other; a segment's
+BM25 weights are divided by their sum, so a score is the share of the segment's weight that a query covers, and
 one threshold serves all. Every window of PASSAGE words of every training text, each STRIDE words, is a query:
 a run of SEGMENT words always lies in one window whole. All segments with a score of at least
 `threshold` are retrieved by block-max WAND (Ding and Suel, 2011). Segments are numbered by weight, so that
@@ -12,9 +12,13 @@ when both its question and its answer overlap the whole text by enough word shin
 in it word by word with few words changed, added or left out: one changed word breaks SHINGLE shingles, which are
 most of a short answer's.
 
-The index is broadcast in shards of at most SHARD_ITEMS items, each of which takes one pass over the
-texts; document frequencies and lengths are those of all items. With one shard texts are not exchanged. With more
-the rows are written once with a number of their own, by which findings come back to them; ids need not be unique.
+Words are runs of letters and digits; other punctuation and blanks than those of ASCII part them as well, and a character of a
+script without blanks is a word of its own.
+
+The index is three flat arrays of postings and two of block bounds, about 16 bytes for each distinct word of a segment. It is
+broadcast in shards of at most SHARD_ITEMS items, each of which takes one pass over the texts; document frequencies and
+lengths are those of all items. With one shard texts are not exchanged. With more the rows are written once with a number of
+their own, by which findings come back to them; ids need not be unique.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import broadcast_below, cut, fresh, python_steps
+from millrace.llm.shared import broadcast_below, fresh, python_steps
 from millrace.llm.textkit import NON_WORD, shingles, text_slices, words
+from millrace.storage import cut
 
 SEGMENT, PASSAGE, STRIDE, SHINGLE = 64, 128, 64, 5
 K1, B = 1.2, 0.75
-#: Segments of a block at least, blocks of an index at most, and items of an index that is broadcast (40 words an item: about 50 MB).
+#: Segments of a block at least, blocks of an index at most, and items of an index that is broadcast.
 BLOCK, MOST_BLOCKS, SHARD_ITEMS = 4, 64, 50_000
 #: Share of a segment's weight for retrieval, and of the shingles of question and of answer for a finding.
 THRESHOLD, OVERLAP = 0.6, 0.6
@@ -43,6 +48,18 @@ THRESHOLD, OVERLAP = 0.6, 0.6
 IN_ORDER = 0.75
 #: Ids of contaminated documents are broadcast up to this count.
 BROADCAST_IDS = 500_000
+#: Scripts that are written without blanks: each of their characters is a word.
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+_APART = r"[^\x00-\x7F\pL\pM\pN]"
+
+
+def plain_words(texts: pa.Array) -> pa.Array:
+    """Texts in lower case, with a blank for each character beyond ASCII that is no letter, mark or digit, and around those of unspaced scripts."""
+    lower = pc.utf8_lower(texts)
+    wide = pc.not_equal(pc.binary_length(lower), pc.utf8_length(lower))
+    if not pc.any(wide).as_py():
+        return lower
+    return pc.if_else(wide, pc.replace_substring_regex(pc.replace_substring_regex(lower, _APART, " "), _UNSPACED, r" \1 "), lower)
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -62,7 +79,7 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 
 def _hashes(text: str) -> np.ndarray:
-    raw = np.frombuffer(pc.utf8_lower(pa.scalar(text or "")).as_py().encode(), dtype=np.uint8)
+    raw = np.frombuffer(plain_words(pa.array([text or ""]))[0].as_py().encode(), dtype=np.uint8)
     return words(raw, np.array([0, len(raw)]), NON_WORD)[0]
 
 
@@ -82,7 +99,7 @@ def _segments(question: np.ndarray, answer: np.ndarray) -> list[np.ndarray]:
     """Segments of an item and of the longer of its parts. A finding needs both parts, so retrieving one of them is enough."""
     both = np.concatenate((question, answer))
     longer = max(question, answer, key=len)
-    return [own[at : at + SEGMENT] for own in ([both, longer] if len(longer) < len(both) else [both]) for at in range(0, len(own), SEGMENT)]
+    return [part for own in ([both, longer] if len(longer) < len(both) else [both]) for part in np.array_split(own, max(1, -(-len(own) // SEGMENT)))]
 
 
 def in_order(part: np.ndarray, text: np.ndarray, least: float) -> float:
@@ -108,19 +125,13 @@ def in_order(part: np.ndarray, text: np.ndarray, least: float) -> float:
     return best if best >= least - 1e-9 else 0.0
 
 
-@dataclass
-class Postings:
-    """Segments that hold a term, ascending, and their weights."""
-
-    segments: list[int] = field(default_factory=list)
-    weights: list[float] = field(default_factory=list)
-
-
 @dataclass
 class Index:
     """Items (id, question and answer as words and as shingles), segments (item each) and postings by sorted term.
 
-    `bounds[term, block]` is the largest weight of the term among the `block` segments of each block.
+    Term t has the segments segment[start[t]:start[t + 1]], ascending, with their weights. The largest weight of the term
+    among the `block` segments of a block stands in block_weight, for the blocks block_number[block_start[t]:block_start[t + 1]]
+    that have the term.
     """
 
     item_ids: list[int]
@@ -128,19 +139,37 @@ class Index:
     answers: list[tuple[np.ndarray, np.ndarray]]
     segment_item: list[int]
     terms: np.ndarray
-    postings: list[Postings]
-    bounds: np.ndarray
+    start: np.ndarray
+    segment: np.ndarray
+    weight: np.ndarray
     block: int
-
-    def search(self, terms: list[int], threshold: float, block: int) -> list[tuple[int, float]]:
+    block_start: np.ndarray
+    block_number: np.ndarray
+    block_weight: np.ndarray
+
+    @property
+    def blocks(self) -> int:
+        return max(1, -(-len(self.segment_item) // self.block))
+
+    def block_bounds(self, term: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The most that a segment of each block can score for each set of terms; the sets lie end to end, from `first` on."""
+        size = self.block_start[term + 1] - self.block_start[term]
+        upto = np.cumsum(size)
+        place = np.arange(int(upto[-1])) + np.repeat(self.block_start[term] - (upto - size), size)
+        owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(term))))
+        key = np.repeat(owner, size) * self.blocks + self.block_number[place]
+        return np.bincount(key, self.block_weight[place], len(first) * self.blocks).reshape(len(first), self.blocks)
+
+    def search(self, terms: np.ndarray, threshold: float, block: int) -> list[tuple[int, float]]:
         """All segments of a block with a score of at least `threshold` for a set of distinct term numbers: WAND with its bounds."""
         begin, end = block * self.block, (block + 1) * self.block
         live = []
-        for t in terms:
-            own, largest = self.postings[t], float(self.bounds[t, block])
-            if largest > 0:
-                at = bisect_left(own.segments, begin)
-                live.append([own.segments[at], at, largest, own])
+        for t in terms.tolist():
+            s, e = int(self.start[t]), int(self.start[t + 1])
+            low, high = s + np.searchsorted(self.segment[s:e], (begin, end))
+            if low < high:
+                own, weights = self.segment[low:high].tolist(), self.weight[low:high].tolist()
+                live.append([own[0], 0, max(weights), own, weights])
         found, enough = [], threshold - 1e-6
         while live:
             live.sort(key=lambda c: c[0])
@@ -156,29 +185,29 @@ class Index:
             while pivot + 1 < len(live) and live[pivot + 1][0] == target:
                 pivot += 1
             if live[0][0] == target:
-                score = sum(c[3].weights[c[1]] for c in live[: pivot + 1])
-                if score >= threshold - 1e-9:  # the bounds are of single precision, the scores are not
+                score = sum(c[4][c[1]] for c in live[: pivot + 1])
+                if score >= threshold - 1e-6:  # weights are of single precision
                     found.append((target, score))
                 to = target + 1
             else:
                 to = target
             for c in live[: pivot + 1]:
                 if c[0] < to:
-                    c[1] = bisect_left(c[3].segments, to, c[1])
-                    c[0] = c[3].segments[c[1]] if c[1] < len(c[3].segments) else end
+                    c[1] = bisect_left(c[3], to, c[1])
+                    c[0] = c[3][c[1]] if c[1] < len(c[3]) else end
             live = [c for c in live if c[0] < end]
         return found
 
 
 def build_index(items: list[tuple[int, str, str]], counts: dict[int, int] | None = None, segments: int | None = None, mean: float | None = None) -> Index:
     """Index (id, question, answer) items. `counts` (segments that hold a term), `segments` and `mean` are those of all shards."""
-    ids, questions, answers, owner, bags = [], [], [], [], []
+    ids, questions, answers, owner_of, bags = [], [], [], [], []
     for item, question, answer in items:
         q, a = _hashes(question), _hashes(answer)
         if not len(q) and not len(a):
             continue
         for own in _segments(q, a):
-            owner.append(len(ids))
+            owner_of.append(len(ids))
             bags.append(np.unique(own, return_counts=True))
         ids.append(item)
         questions.append(_part(q))
@@ -196,18 +225,22 @@ def build_index(items: list[tuple[int, str, str]], counts: dict[int, int] | None
         df = np.array([counts[t] for t in terms.tolist()], dtype=float)
         weighed.append(np.log1p((segments - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)))
     order = sorted(range(len(bags)), key=lambda k: -weighed[k].sum())
-    found: dict[int, Postings] = {}
-    for s, k in enumerate(order):
-        for t, w in zip(bags[k][0].tolist(), (weighed[k] / weighed[k].sum()).tolist()):
-            own = found.setdefault(t, Postings())
-            own.segments.append(s)
-            own.weights.append(w)
-    terms = sorted(found)
+    sizes = [len(bags[k][0]) for k in order]
+    none = np.zeros(0)
+    term = np.concatenate([*(bags[k][0] for k in order), none.astype(np.uint64)])
+    weight = np.concatenate([*(weighed[k] / weighed[k].sum() for k in order), none])
+    segment = np.repeat(np.arange(len(order)), sizes)
+    by = np.lexsort((segment, term))
+    term, weight, segment = term[by], weight[by].astype(np.float32), segment[by].astype(np.int32)
+    terms, start = np.unique(term, return_index=True)
     block = max(BLOCK, -(-len(order) // MOST_BLOCKS))
-    bounds = np.zeros((len(terms), max(1, -(-len(order) // block))), dtype=np.float32)
-    for i, t in enumerate(terms):
-        np.maximum.at(bounds[i], np.array(found[t].segments) // block, found[t].weights)
-    return Index(ids, questions, answers, [owner[k] for k in order], np.array(terms, dtype=np.uint64), [found[t] for t in terms], bounds, block)
+    number = segment // block
+    owner = np.repeat(np.arange(len(terms)), np.diff(np.append(start, len(term))))
+    first = np.flatnonzero(np.diff(owner, prepend=-1) | np.diff(number, prepend=-1))
+    largest = np.maximum.reduceat(weight, first) if len(first) else weight
+    return Index(
+        ids, questions, answers, [owner_of[k] for k in order], terms, np.append(start, len(term)), segment, weight, block,
+        np.searchsorted(owner[first], np.arange(len(terms) + 1)), number[first].astype(np.int32), largest)
 
 
 def find_items(index: Index, hashes: np.ndarray, bounds: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float]]:
@@ -231,13 +264,13 @@ def find_items(index: Index, hashes: np.ndarray, bounds: np.ndarray, threshold:
     if not len(first):
         return []
     term, window = pairs % width, pairs[first] // width
-    reach_bound = np.add.reduceat(index.bounds[term], first, axis=0)
+    reach_bound = index.block_bounds(term, first)
     stop = np.append(first[1:], len(pairs))
     seen: dict[tuple[int, int], tuple[float, float]] = {}
     held: dict[tuple[int, int], np.ndarray] = {}
     for k, block in zip(*(x.tolist() for x in np.nonzero(reach_bound >= threshold - 1e-5))):
         text = int(owner[window[k]])
-        for segment, _ in index.search(term[first[k] : stop[k]].tolist(), threshold, block):
+        for segment, _ in index.search(term[first[k] : stop[k]], threshold, block):
             item = index.segment_item[segment]
             if (text, item) in seen:
                 continue
@@ -283,7 +316,10 @@ def _segment_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(lengths, pa.int64())], names=["term", "length"])
 
 
-def _with_findings(docs: DataFrame, text_col: str, carry: list[str], benchmark: DataFrame, item_col: str, text: str | None, question_col: str | None, answer_col: str | None, threshold: float, overlap: float) -> tuple[DataFrame, list[str]]:
+def _with_findings(
+    docs: DataFrame, text_col: str, carry: list[str], benchmark: DataFrame, item_col: str, text: str | None,
+    question_col: str | None, answer_col: str | None, threshold: float, overlap: float,
+) -> tuple[DataFrame, list[str]]:
     """The columns `carry` of every row of `docs` with item_ids, q and a, and the names that these three have there."""
     spark = docs.sparkSession
     python_steps(spark)
@@ -312,7 +348,7 @@ def _with_findings(docs: DataFrame, text_col: str, carry: list[str], benchmark:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = held.value
             for batch in batches:
-                for row, raw, offsets in text_slices(pc.utf8_lower(batch.column(at))):
+                for row, raw, offsets in text_slices(plain_words(batch.column(at))):
                     hashes, _, _, bounds = words(raw, offsets, NON_WORD)
                     n = len(offsets) - 1
                     lists, q, a = [[] for _ in range(n)], np.zeros(n), np.zeros(n)
@@ -337,12 +373,16 @@ def _with_findings(docs: DataFrame, text_col: str, carry: list[str], benchmark:
     return found.select(*carry, F.coalesce(extra[0], F.array().cast("array<long>")).alias(extra[0]), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in extra[1:])), extra
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str | None = "text", question_col: str | None = None, answer_col: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str | None = "text", question_col: str | None = None, answer_col: str | None = None,
+    threshold: float = THRESHOLD, overlap: float = OVERLAP,
+) -> DataFrame:
     """For every row of `docs`: id, contaminated, kept, n_items, item_ids (ascending), question_overlap and answer_overlap.
 
-    The overlaps are the largest among the findings, 0 without any: shares of shingles, or of words in order where the shingles are too few. A null or empty text holds nothing; items
-    without words are in no text. Words are runs of letters and digits in lower case. Each
-    row is judged by its own text, whatever its id; an empty table of either kind gives no findings.
+    The overlaps are the largest among the findings, 0 without any: shares of shingles, or of words in order where the shingles
+    are too few. A null or empty text holds nothing; items without words are in no text. Each row is judged by its own text, whatever its
+    id and however many items there are; repeated rows have a row each. Other columns play no part. An empty table of either kind gives no findings.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found, _ = _with_findings(texts, "text", ["id"], benchmark, item_col, item_text_col, question_col, answer_col, threshold, overlap)
@@ -351,6 +391,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that hold a test item, in their own columns. Each row is judged by its own text; `id_col` plays no part."""
+    """`docs` without the rows that hold a test item, in their own columns, whatever their names.
+
+    Each row is judged by its own text: null and repeated ids play no part, and neither does `id_col`. A null or empty text stays. An
+    empty benchmark leaves `docs` as it is.
+    """
     found, (item_ids, _, _) = _with_findings(docs, text_col, docs.columns, benchmark, "item_id", "text", None, None, THRESHOLD, OVERLAP)
     return found.where(F.size(item_ids) == 0).select(*docs.columns)

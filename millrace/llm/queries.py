@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,9 +16,9 @@ from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.near_dedup import near_groups
 from millrace.llm.quality import graded, score_quality
 from millrace.llm.sentencepiece_codec import encoding_digest
-from millrace.llm.shared import cut, shared_dir
 from millrace.llm.token_counts import count_tokens
 from millrace.llm.token_files import read_token_files, write_token_files
+from millrace.storage import cut, new_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -40,12 +39,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digest(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def _new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"
-
-
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _new_folder(spark, "token-files")
+    path = new_folder(spark, "token-files")
     write_token_files(_documents(spark, sf_dir), path, BYTE_BPE)
     return read_token_files(spark, path)
 
@@ -55,20 +50,20 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_documents(spark, sf_dir), _new_folder(spark, "line-state"), text=False)
+    return dedup_lines(_documents(spark, sf_dir), new_folder(spark, "line-state"), text=False)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    rated = docs.join(graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), "doc_id")
-    scored = score_quality(docs, rated)
-    return scored.select("doc_id", "expected_grade", F.get("tails", F.lit(0)).alias("p_not_toxic"), F.get("tails", F.lit(1)).alias("p_good"), "kept")
+    scored = score_quality(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    tails = [F.get("tails", F.lit(k)).alias(name) for k, name in enumerate(("p_not_toxic", "p_good"))]
+    return scored.select("doc_id", "expected_grade", *tails, "kept")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = identify_languages(docs.select("doc_id", "text"), learning_rows(docs))
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "fits")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
