@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,11 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+def _uniform_sql(*keys: str) -> str:
+    """The hashed number that `uniform` gives, as SQL; keys are SQL expressions."""
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(keys)})), 1, 8))::BIGINT / 4294967296.0)"
+
+
 # metrics
 
 _ORDERS_SQL = """SELECT o_orderkey, o_totalprice / 100000 AS y, avg(o_totalprice / 100000) OVER (PARTITION BY o_orderpriority) AS p,
@@ -254,6 +260,13 @@ def cross_val_score(spark, sf_dir):
     return spark.createDataFrame([(k, round(float(s), 6)) for k, s in enumerate(scores)], "fold int, accuracy double")
 
 
+@query(_cross_sql(3).replace("avg(CAST(lang = best AS DOUBLE))", "avg(CAST(lang <> best AS DOUBLE))").replace("AS accuracy", "AS error"))
+def cross_val_score_callable(spark, sf_dir):
+    miss = lambda y, p: F.avg((F.col(y) != F.col(p)).cast("double"))
+    scores = splits.cross_val_score(bayes.GaussianNB(), _letters(spark, sf_dir), _SHARES, "lang", "doc_id", 3, miss)
+    return spark.createDataFrame([(k, round(float(s), 6)) for k, s in enumerate(scores)], "fold int, error double")
+
+
 # votes
 
 _VOTE = f"WITH l AS ({_LETTERS_SQL}), {_bayes_sql('g')}, {_bayes_sql('m')}, {_bayes_sql('b')}"
@@ -388,6 +401,20 @@ def knn_regress_distance(spark, sf_dir):
     return _rounded(neighbors.KNNRegressor(5, weights="distance").fit(v, "embedding", "label", "vec_id").transform(v).select("vec_id", "prediction"), "prediction")
 
 
+@query(_KNN.replace("list_distance(a.x, b.x)", "list_sum(list_transform(range(1, 1 + len(a.x)), lambda k: abs(a.x[k] - b.x[k])))") + " SELECT vec_id, round(avg(label), 6) AS prediction FROM n GROUP BY 1")
+def knn_regress_manhattan(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _rounded(neighbors.KNNRegressor(5, metric="manhattan").fit(v, "embedding", "label", "vec_id").transform(v).select("vec_id", "prediction"), "prediction")
+
+
+@query(_KNN + """, e AS (SELECT vec_id, count(*) FILTER (WHERE d = 0) AS zeros FROM n GROUP BY 1),
+    c AS (SELECT vec_id, label, sum(CASE WHEN zeros > 0 THEN (d = 0)::INT ELSE 1 / nullif(d, 0) END) AS votes FROM n JOIN e USING (vec_id) GROUP BY 1, 2)
+    SELECT vec_id, first(label ORDER BY votes DESC, label) AS prediction FROM c GROUP BY 1""")
+def knn_classify_distance(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return neighbors.KNNClassifier(5, weights="distance").fit(v, "embedding", "label", "vec_id").transform(v).select("vec_id", "prediction")
+
+
 @query("""WITH p AS (SELECT n_nationkey, r_regionkey, n_nationkey / 10.0::DOUBLE - r_regionkey AS d, n_nationkey / 10.0::DOUBLE * r_regionkey AS xy FROM nation, region)
     SELECT n_nationkey, r_regionkey, round(2 * exp(-d * d / (2 * 1.5 * 1.5)), 6) AS rbf,
         round((1 + sqrt(5) * abs(d) / 1.5 + 5 * d * d / (3 * 1.5 * 1.5)) * exp(-sqrt(5) * abs(d) / 1.5), 6) AS matern52,
@@ -434,10 +461,24 @@ def kmeans(spark, sf_dir):
     return cluster.KMeans(3, 4, 0.0, init=[[0, 3], [5, 12], [9, 20]]).fit(c, ["x", "y"], id_col="c_custkey").transform(c).select("c_custkey", "prediction")
 
 
-@query()
+def _kmeans_plus_plus_sql(k: int, steps: int, seed: int) -> str:
+    parts = [f"WITH c AS ({_CUSTOMER})"]
+    for j in range(k):
+        u = f"greatest({_uniform_sql(str(seed), str(j), 'c_custkey')}, 1e-12)"
+        far = "least(" + ", ".join([f"(SELECT (c.x - s{i}.x) * (c.x - s{i}.x) + (c.y - s{i}.y) * (c.y - s{i}.y) FROM s{i})" for i in range(j)] + ["'inf'::DOUBLE"]) + ")"
+        clock = f"-ln({u})" if not j else f"CASE WHEN {far} > 0 THEN -ln({u}) / {far} ELSE 'inf'::DOUBLE END"
+        parts.append(f"s{j} AS MATERIALIZED (SELECT x, y FROM (SELECT x, y, c_custkey, {clock} AS clock FROM c) ORDER BY clock, c_custkey LIMIT 1)")
+    parts.append("k0 AS (" + " UNION ALL ".join(f"SELECT {j} AS k, x AS cx, y AS cy FROM s{j}" for j in range(k)) + ")")
+    for t in range(steps + 1):
+        parts.append(f"n{t} AS MATERIALIZED (SELECT c_custkey, x, y, first(k ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy), k) AS k FROM c, k{t} GROUP BY 1, 2, 3)")
+        parts.append(f"k{t + 1} AS (SELECT k, avg(x) AS cx, avg(y) AS cy FROM n{t} GROUP BY 1)")
+    return ", ".join(parts) + f" SELECT c_custkey, CAST(k AS INT) AS prediction FROM n{steps}"
+
+
+@query(_kmeans_plus_plus_sql(4, 6, 1))
 def kmeans_plus_plus(spark, sf_dir):
     c = _customer(spark, sf_dir)
-    return cluster.KMeans(4, 30, random_state=1).fit(c, ["x", "y"], id_col="c_custkey").transform(c).select("c_custkey", "prediction")
+    return cluster.KMeans(4, 6, 0.0, random_state=1).fit(c, ["x", "y"], id_col="c_custkey").transform(c).select("c_custkey", "prediction")
 
 
 @query(f"""WITH c AS ({_CUSTOMER}), m0 AS (SELECT * FROM (VALUES (0, 1.0::DOUBLE, 5.0::DOUBLE), (1, 7.0, 18.0)) t(k, mx, my)), v AS (SELECT var_pop(x) + 1e-6 AS vx, var_pop(y) + 1e-6 AS vy FROM c),
@@ -451,19 +492,73 @@ def gaussian_mixture_step(spark, sf_dir):
     return spark.createDataFrame(rows, "k int, weight double, mean_x double, mean_y double, var_x double, var_y double")
 
 
-@query()
+def _mixture_sql(k: int, steps: int, seed: int) -> str:
+    """Full covariances of two features: the inverse and the determinant are written out."""
+    parts = [
+        f"WITH c AS ({_CUSTOMER}), v AS (SELECT var_pop(x) AS vx, var_pop(y) AS vy FROM c)",
+        f"g0 AS (SELECT row_number() OVER (ORDER BY u, c_custkey) - 1 AS k, 1 / {k}.0::DOUBLE AS w, x AS mx, y AS my, vx + 1e-6 AS a, 0.0::DOUBLE AS b, vy + 1e-6 AS d "
+        f"FROM (SELECT c_custkey, x, y, {_uniform_sql(str(seed), 'c_custkey')} AS u FROM c ORDER BY u, c_custkey LIMIT {k}), v)",
+    ]
+    for t in range(steps + 1):
+        parts.append(
+            f"l{t} AS MATERIALIZED (SELECT c_custkey, x, y, k, ln(w) - 0.5 * (d * (x - mx) * (x - mx) - 2 * b * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * d - b * b) "
+            f"- 0.5 * ln(a * d - b * b) - ln(2 * pi()) AS s FROM c, g{t}), "
+            f"r{t} AS MATERIALIZED (SELECT *, exp(s - top) / sum(exp(s - top)) OVER (PARTITION BY c_custkey) AS r FROM (SELECT *, max(s) OVER (PARTITION BY c_custkey) AS top FROM l{t})), "
+            f"g{t + 1} AS MATERIALIZED (SELECT k, n / (SELECT count(*) FROM c) AS w, mx, my, xx - mx * mx + 1e-6 AS a, xy - mx * my AS b, yy - my * my + 1e-6 AS d FROM "
+            f"(SELECT k, sum(r) AS n, sum(r * x) / sum(r) AS mx, sum(r * y) / sum(r) AS my, sum(r * x * x) / sum(r) AS xx, sum(r * x * y) / sum(r) AS xy, sum(r * y * y) / sum(r) AS yy FROM r{t} GROUP BY 1))")
+    return ", ".join(parts) + f" SELECT c_custkey, CAST(first(k ORDER BY round(r, 9) DESC, k) AS INT) AS prediction, round(max(r), 4) AS p FROM r{steps} GROUP BY 1"
+
+
+@query(_mixture_sql(3, 5, 2))
 def gaussian_mixture(spark, sf_dir):
     c = _customer(spark, sf_dir)
-    return cluster.GaussianMixture(3, 20, random_state=2).fit(c, ["x", "y"], id_col="c_custkey").transform(c).select("c_custkey", "prediction", "probability")
+    out = cluster.GaussianMixture(3, 5, tol=0.0, random_state=2).fit(c, ["x", "y"], id_col="c_custkey").transform(c)
+    return out.select("c_custkey", "prediction", F.round(F.array_max("probability"), 4).alias("p"))
 
 
 def _supplier(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"), (F.col("s_acctbal") > 4500).cast("int").alias("rich"))
 
 
-@query()
+def _merges_sql(linkage: str, k: int, distance: str = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))") -> str:
+    """Greedy merges: a step's state is the list of each row's cluster, named by its first row."""
+    plain = {"single": "min(d)", "complete": "max(d)", "average": "avg(d)"}
+    if linkage in plain:
+        pairs = f"SELECT a.c AS ca, b.c AS cb, {plain[linkage]} AS far FROM held a, held b, d WHERE a.i = d.i AND b.i = d.j AND a.c < b.c GROUP BY 1, 2"
+        cells = f"d AS MATERIALIZED (SELECT p.i, q.i AS j, {distance} AS d FROM p, p q)"
+    else:
+        cells = "d AS (SELECT 1)"
+        pairs = """SELECT p.c AS ca, q.c AS cb, CASE WHEN p.n + q.n = 2 THEN 1 ELSE sqrt(p.n * q.n / (p.n + q.n)::DOUBLE) END * sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS far
+            FROM (SELECT c, count(*) AS n, avg(x) AS x, avg(y) AS y FROM held JOIN p USING (i) GROUP BY 1) p, (SELECT c, count(*) AS n, avg(x) AS x, avg(y) AS y FROM held JOIN p USING (i) GROUP BY 1) q WHERE p.c < q.c"""
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_suppkey, s_acctbal / 1000 AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier), {cells},
+        m(step, i, c) AS (SELECT 0, i, i FROM p UNION ALL (
+            WITH held AS MATERIALIZED (SELECT step, i, c FROM m), pairs AS ({pairs}), best AS (SELECT ca, cb FROM pairs ORDER BY round(far, 9), ca, cb LIMIT 1)
+            SELECT held.step + 1, held.i, CASE WHEN held.c = best.cb THEN best.ca ELSE held.c END FROM held, best WHERE (SELECT count(DISTINCT c) FROM held) > {k}))
+        SELECT s_suppkey, CAST(dense_rank() OVER (ORDER BY c) - 1 AS INT) AS prediction FROM m JOIN p USING (i) WHERE step = (SELECT max(step) FROM m)"""
+
+
+def _merged(spark, sf_dir, linkage: str, k: int = 4):
+    return cluster.AgglomerativeClustering(k, linkage).fit_predict(_supplier(spark, sf_dir), ["x", "y"], id_col="s_suppkey").select("s_suppkey", "prediction")
+
+
+@query(_merges_sql("ward", 4))
 def agglomerative(spark, sf_dir):
-    return cluster.AgglomerativeClustering(4, "ward").fit_predict(_supplier(spark, sf_dir), ["x", "y"], id_col="s_suppkey").select("s_suppkey", "prediction")
+    return _merged(spark, sf_dir, "ward")
+
+
+@query(_merges_sql("single", 4))
+def agglomerative_single(spark, sf_dir):
+    return _merged(spark, sf_dir, "single")
+
+
+@query(_merges_sql("complete", 4))
+def agglomerative_complete(spark, sf_dir):
+    return _merged(spark, sf_dir, "complete")
+
+
+@query(_merges_sql("average", 4))
+def agglomerative_average(spark, sf_dir):
+    return _merged(spark, sf_dir, "average")
 
 
 @query()
@@ -484,9 +579,18 @@ def pca(spark, sf_dir):
     return out.select("p_partkey", F.round(F.get("components", F.lit(0)), 4).alias("pc1"), F.round(F.get("components", F.lit(1)), 4).alias("pc2"))
 
 
-@query()
+@query(f"""WITH l AS ({_LETTERS_SQL}), c AS (SELECT lang AS k, count(*) AS n, avg(s_e) AS mx, avg(s_a) AS my FROM l WHERE lang IS NOT NULL GROUP BY 1), t AS (SELECT sum(n) AS n, sum(n * mx) / sum(n) AS gx, sum(n * my) / sum(n) AS gy FROM c),
+    w AS (SELECT sum((s_e - mx) * (s_e - mx)) + 1e-4 AS a, sum((s_e - mx) * (s_a - my)) AS b, sum((s_a - my) * (s_a - my)) + 1e-4 AS d FROM l JOIN c ON lang = k),
+    z AS (SELECT sum(c.n * (mx - gx) * (mx - gx)) AS p, sum(c.n * (mx - gx) * (my - gy)) AS q, sum(c.n * (my - gy) * (my - gy)) AS r FROM c, t),
+    m AS (SELECT (d * p - b * q) / (a * d - b * b) AS m00, (d * q - b * r) / (a * d - b * b) AS m01, (a * q - b * p) / (a * d - b * b) AS m10, (a * r - b * q) / (a * d - b * b) AS m11 FROM w, z),
+    e AS (SELECT *, (m00 + m11) / 2 + sqrt((m00 - m11) * (m00 - m11) / 4 + m01 * m10) AS l1, (m00 + m11) / 2 - sqrt((m00 - m11) * (m00 - m11) / 4 + m01 * m10) AS l2 FROM m),
+    u AS (SELECT m01 / sqrt(m01 * m01 + (l1 - m00) * (l1 - m00)) AS a0, (l1 - m00) / sqrt(m01 * m01 + (l1 - m00) * (l1 - m00)) AS a1, m01 / sqrt(m01 * m01 + (l2 - m00) * (l2 - m00)) AS b0, (l2 - m00) / sqrt(m01 * m01 + (l2 - m00) * (l2 - m00)) AS b1 FROM e),
+    v AS (SELECT a0 * s AS a0, a1 * s AS a1, b0 * t AS b0, b1 * t AS b1 FROM (SELECT *, sign(CASE WHEN abs(a0) >= abs(a1) THEN a0 ELSE a1 END) AS s, sign(CASE WHEN abs(b0) >= abs(b1) THEN b0 ELSE b1 END) AS t FROM u)),
+    y AS (SELECT doc_id, k, a0 * (s_e - gx) + a1 * (s_a - gy) AS c1, b0 * (s_e - gx) + b1 * (s_a - gy) AS c2, ln(c.n / t.n) - 0.5 * (pow(a0 * (s_e - mx) + a1 * (s_a - my), 2) + pow(b0 * (s_e - mx) + b1 * (s_a - my), 2)) AS score FROM l, c, t, v)
+    SELECT doc_id, first(k ORDER BY round(score, 9) DESC, k) AS prediction, round(any_value(c1), 6) AS c1, round(any_value(c2), 6) AS c2 FROM y GROUP BY 1""")
 def linear_discriminant(spark, sf_dir):
-    return decomposition.LinearDiscriminantAnalysis().fit_transform(_letters(spark, sf_dir), _SHARES, "lang").select("doc_id", "prediction", "components")
+    out = decomposition.LinearDiscriminantAnalysis().fit_transform(_letters(spark, sf_dir), ["s_e", "s_a"], "lang")
+    return out.select("doc_id", "prediction", *[F.round(F.get("components", F.lit(k)), 6).alias(f"c{k + 1}") for k in range(2)])
 
 
 @query()
@@ -504,6 +608,42 @@ def tsne(spark, sf_dir):
     return decomposition.TSNE(perplexity=5, n_iterations=200, random_state=0).fit_transform(_supplier(spark, sf_dir), ["x", "y"], id_col="s_suppkey")
 
 
+@query("SELECT CAST(i.i AS INT) AS i, CAST(j.j AS INT) AS j, CASE WHEN i.i = j.j THEN 1.0 ELSE 0.0 END::DOUBLE AS covariance FROM range(3) i(i), range(3) j(j)")
+def fast_ica_covariance(spark, sf_dir):
+    """Independent components are uncorrelated and of unit variance."""
+    out = decomposition.FastICA(3, random_state=0, max_iter=25).fit_transform(_letters(spark, sf_dir), _SHARES)
+    at = lambda k: F.get("components", F.lit(k))
+    row = out.agg(*[F.covar_samp(at(i), at(j)).alias(f"c{i}_{j}") for i in range(3) for j in range(3)]).first()
+    return spark.createDataFrame([(i, j, abs(round(row[f"c{i}_{j}"], 5))) for i in range(3) for j in range(3)], "i int, j int, covariance double")
+
+
+@query(f"""WITH l AS ({_LETTERS_SQL}) SELECT count(*) AS documents, 0::BIGINT AS negative, TRUE AS better_than_one_step, round(sum(c_e + c_a + c_n + c_o), 0) AS letters FROM l""")
+def nmf_invariants(spark, sf_dir):
+    """No weight is negative, the error falls, and the fit keeps the sum of all entries to within 2 in 100."""
+    rows = _letters(spark, sf_dir)
+    one = decomposition.NMF(2, max_iter=1, random_state=0).fit(rows, _COUNTS).reconstruction_err_
+    model = decomposition.NMF(2, max_iter=25, random_state=0)
+    back = model.inverse_transform(model.fit_transform(rows, _COUNTS))
+    fold = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    letters = F.round(F.sum(sum((F.col(c) for c in _COUNTS[1:]), F.col(_COUNTS[0]))), 0)
+    restored = F.sum(fold(F.col("restored")))
+    return back.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.array_min("components") < 0).alias("negative"), F.lit(model.reconstruction_err_ < one).alias("better_than_one_step"),
+        F.when(F.abs(restored - letters) < 0.02 * letters, letters).otherwise(restored).alias("letters"))
+
+
+@query("SELECT count(*) AS suppliers, TRUE AS centred, TRUE AS divergence_falls FROM supplier")
+def tsne_invariants(spark, sf_dir):
+    """The embedding is centred, and its divergence is not negative and falls with more steps."""
+    rows, found = _supplier(spark, sf_dir), []
+    for steps in (60, 300):
+        model = decomposition.TSNE(perplexity=5, n_iterations=steps, exaggeration_iter=50, random_state=0)
+        out = model.fit_transform(rows, ["x", "y"], id_col="s_suppkey")
+        found.append(model.kl_divergence_)
+    centred = (F.abs(F.avg(F.get("components", F.lit(0)))) < 1e-6) & (F.abs(F.avg(F.get("components", F.lit(1)))) < 1e-6)
+    return out.agg(F.count(F.lit(1)).alias("suppliers"), centred.alias("centred"), F.lit(found[0] > found[1] >= 0).alias("divergence_falls"))
+
+
 # trees and ensembles
 
 _TREE = f"WITH c AS ({_CUSTOMER}), s AS (SELECT c_custkey, x, y, CAST(x + y / 6 > 6 AS INT) AS t FROM c)"
@@ -549,16 +689,54 @@ def decision_tree(spark, sf_dir):
     return trees.DecisionTreeClassifier(4).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows).select("c_custkey", "t", "prediction")
 
 
-@query()
+def _forest_sql(trees_: int, depth: int, seed: int, random_cuts: bool) -> str:
+    """Trees grown together; the number of a node is its path, on which the draws depend."""
+    steps, total, p = [], 0.0, math.exp(-1.0)
+    for k in range(13):
+        total += p
+        steps.append(f"WHEN u < {total!r} THEN {k}")
+        p /= k + 1
+    weight = "1" if random_cuts else f"(CASE {' '.join(steps)} ELSE 13 END)"
+    u = _uniform_sql(str(seed), "'boot'", "tree", "c_custkey")
+    parts = [f"a0 AS MATERIALIZED (SELECT tree, c_custkey, x, y, {weight} * 1.0::DOUBLE AS w, {weight} * t::DOUBLE AS g, 0::BIGINT AS node FROM (SELECT *, {u} AS u FROM s, range({trees_}) r(tree)) WHERE {weight} > 0)"]
+    for k in range(depth):
+        own = f"a{k}"
+        parts.append(f"{own}o AS MATERIALIZED (SELECT tree, node FROM {own} WHERE open_ GROUP BY 1, 2 HAVING sum(w) >= 2 AND sum(g) > 0 AND sum(g) < sum(w))".replace(" WHERE open_", ""))
+        parts.append(f"{own}v AS (SELECT tree, node, f, v, w, g FROM (SELECT tree, node, 0 AS f, x AS v, w, g FROM {own} UNION ALL SELECT tree, node, 1, y, w, g FROM {own}) SEMI JOIN {own}o USING (tree, node))")
+        if random_cuts:
+            cut = _uniform_sql(str(seed), "'cut'", "tree", "node", "f")
+            parts.append(f"{own}c AS (SELECT tree, node, f, lo + {cut} * (hi - lo) AS thr FROM (SELECT tree, node, f, min(v) AS lo, max(v) AS hi FROM {own}v GROUP BY 1, 2, 3) WHERE lo < hi)")
+            parts.append(f"{own}w AS (SELECT tree, node, f, thr, sum(w) FILTER (WHERE v <= thr) AS lc, coalesce(sum(g) FILTER (WHERE v <= thr), 0) AS lp, sum(w) AS c, sum(g) AS p FROM {own}v JOIN {own}c USING (tree, node, f) GROUP BY 1, 2, 3, 4)")
+        else:
+            draw = _uniform_sql(str(seed), "'feature'", "tree", "node", "f")
+            parts.append(f"{own}p AS (SELECT tree, node, first(f ORDER BY {draw}, f) AS f FROM {own}o, range(2) r(f) GROUP BY 1, 2)")
+            parts.append(f"{own}h AS (SELECT tree, node, f, v, sum(w) AS c, sum(g) AS p FROM {own}v SEMI JOIN {own}p USING (tree, node, f) GROUP BY 1, 2, 3, 4)")
+            parts.append(f"{own}w AS (SELECT tree, node, f, (v + lead(v) OVER o) / 2 AS thr, sum(c) OVER o AS lc, sum(p) OVER o AS lp, sum(c) OVER (PARTITION BY tree, node, f) AS c, sum(p) OVER (PARTITION BY tree, node, f) AS p FROM {own}h WINDOW o AS (PARTITION BY tree, node, f ORDER BY v))")
+        parts.append(f"{own}g AS (SELECT *, round(2 * (lp * lp / lc + (p - lp) * (p - lp) / (c - lc) - p * p / c) / c, 10) AS gain FROM {own}w WHERE thr IS NOT NULL AND lc >= 1 AND c - lc >= 1)")
+        parts.append(f"{own}b AS MATERIALIZED (SELECT tree, node, first(f ORDER BY gain DESC, f, thr) AS f, first(thr ORDER BY gain DESC, f, thr) AS thr FROM {own}g {'' if random_cuts else 'WHERE gain > 0'} GROUP BY 1, 2)")
+        # a row that is done keeps its node, which no later split has, as children's numbers are larger
+        parts.append(f"a{k + 1} AS MATERIALIZED (SELECT a.tree, a.c_custkey, a.x, a.y, a.w, a.g, CASE WHEN b.thr IS NULL THEN a.node WHEN (CASE b.f WHEN 0 THEN a.x ELSE a.y END) <= b.thr THEN 2 * a.node + 1 ELSE 2 * a.node + 2 END AS node FROM {own} a LEFT JOIN {own}b b ON a.tree = b.tree AND a.node = b.node)")
+    leaf = f"leaf AS (SELECT tree, node, sum(g) > sum(w) - sum(g) AS vote FROM a{depth} GROUP BY 1, 2)"
+    # rows outside a tree's sample walk down the same splits
+    walk = ["z0 AS (SELECT tree, c_custkey, x, y, t, 0::BIGINT AS node FROM s, " + f"range({trees_}) r(tree))"]
+    for k in range(depth):
+        walk.append(f"z{k + 1} AS (SELECT a.tree, a.c_custkey, a.x, a.y, a.t, CASE WHEN b.thr IS NULL THEN a.node WHEN (CASE b.f WHEN 0 THEN a.x ELSE a.y END) <= b.thr THEN 2 * a.node + 1 ELSE 2 * a.node + 2 END AS node FROM z{k} a LEFT JOIN a{k}b b ON a.tree = b.tree AND a.node = b.node)")
+    votes = f"SELECT c_custkey, CAST(any_value(t) AS INT) AS t, CAST(avg(vote::INT) > 0.5 AS INT) AS prediction, round(avg(vote::INT), 6) AS p FROM z{depth} JOIN leaf USING (tree, node) GROUP BY 1"
+    return f"{_TREE}, " + ", ".join([*parts, leaf, *walk]) + " " + votes
+
+
+@query(_forest_sql(8, 4, 1, False))
 def random_forest(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
-    return trees.RandomForestClassifier(8, 4, random_state=1).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows).select("c_custkey", "t", "prediction", "probability")
+    out = trees.RandomForestClassifier(8, 4, random_state=1).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows)
+    return out.select("c_custkey", "t", "prediction", F.round(F.get("probability", F.lit(1)), 6).alias("p"))
 
 
-@query()
+@query(_forest_sql(8, 4, 1, True))
 def extra_trees(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
-    return trees.ExtraTreesClassifier(8, 4, random_state=1).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows).select("c_custkey", "t", "prediction", "probability")
+    out = trees.ExtraTreesClassifier(8, 4, random_state=1).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows)
+    return out.select("c_custkey", "t", "prediction", F.round(F.get("probability", F.lit(1)), 6).alias("p"))
 
 
 @query(_TREE + """, f AS (SELECT 0 AS f, x AS v, t FROM s UNION ALL SELECT 1, y, t FROM s), h AS (SELECT f, v, count(*) FILTER (WHERE t = 1) AS p, count(*) FILTER (WHERE t = 0) AS m FROM f GROUP BY 1, 2),
@@ -674,6 +852,41 @@ def mlp_regressor(spark, sf_dir):
     return neural.MLPRegressor((8,), learning_rate=0.05, n_iterations=10, random_state=0).fit(rows, ["x", "y"], "v", "c_custkey").transform(rows).select("c_custkey", "v", "prediction")
 
 
+@query("SELECT count(*) AS suppliers, 0::BIGINT AS violations, TRUE AS balanced FROM supplier")
+def svc_optimality(spark, sf_dir):
+    """The fitted machine meets the conditions of the optimum on every row, and its coefficients sum to 0."""
+    rows, tol = _supplier(spark, sf_dir), 1e-3
+    model = kernels.SVC(tol=tol).fit(rows, ["x", "y"], "rich", "s_suppkey")
+    scored = model.transform(rows).orderBy("s_suppkey").select("rich", "rawPrediction").collect()
+    violations = 0
+    for (rich, score), alpha in zip(scored, model.alpha_):
+        margin = (1 if rich else -1) * score - 1
+        inside = 1e-6 < alpha < model.C - 1e-6
+        violations += abs(margin) > 4 * tol if inside else margin < -4 * tol if alpha <= 1e-6 else margin > 4 * tol
+    return spark.createDataFrame([(len(scored), int(violations), abs(float(model.dual_coef_.sum())) < 1e-3)], "suppliers long, violations long, balanced boolean")
+
+
+@query("SELECT count(*) AS suppliers, 0::BIGINT AS off FROM supplier")
+def gaussian_process_residual(spark, sf_dir):
+    """A posterior mean misses its training value by noise times the row's coefficient, and is no surer than the noise allows."""
+    rows, noise = _supplier(spark, sf_dir).withColumn("v", F.sin("x")), 0.01
+    model = kernels.GaussianProcessRegressor("rbf", noise_var=noise).fit(rows, ["x", "y"], "v", "s_suppkey")
+    scored = model.transform(rows, return_std=True).orderBy("s_suppkey").select("v", "prediction", "std").collect()
+    off = sum(abs(v - p - noise * a) > 1e-6 or not 0 <= s * s <= noise + 1e-9 for (v, p, s), a in zip(scored, model.alpha_))
+    return spark.createDataFrame([(len(scored), int(off))], "suppliers long, off long")
+
+
+@query(f"SELECT count(*) AS customers, 0::BIGINT AS off, TRUE AS loss_falls FROM ({_CUSTOMER})")
+def mlp_invariants(spark, sf_dir):
+    """Probabilities sum to 1, the prediction is the most probable class, and the loss falls."""
+    rows = preprocessing.StandardScaler().fit_transform(_labelled(spark, sf_dir), ["x", "y"])
+    model = neural.MLPClassifier((8,), learning_rate=0.05, n_iterations=10, random_state=0).fit(rows, ["x", "y"], "t", "c_custkey")
+    out = model.transform(rows)
+    total = F.get("probability", F.lit(0)) + F.get("probability", F.lit(1))
+    off = (F.abs(total - 1) > 1e-9) | (F.col("prediction") != (F.get("probability", F.lit(1)) > 0.5).cast("int"))
+    return out.agg(F.count(F.lit(1)).alias("customers"), F.count_if(off).alias("off"), F.lit(model.loss_history_[-1] < model.loss_history_[0]).alias("loss_falls"))
+
+
 # streams: the same plan on a table
 
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS "end", event_type, count(*) AS n, round(avg(value), 6) AS mean_value, round(var_pop(value), 5) AS var_value FROM events GROUP BY 1, 2, 3""")
