@@ -118,7 +118,10 @@ class Windows:
         return out
 
 
-def format_conversations(turns: DataFrame, tokenizer_path: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_conversations(
+    turns: DataFrame, tokenizer_path: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+    budget: int = BUDGET, history: int = HISTORY,
+) -> DataFrame:
     """The windows of every conversation: conv_id, window, text, tokens, repeated, turns and loss.
 
     `repeated` counts the turns at the start that an earlier window had already; in the first window the system turn is new. `loss` has the
@@ -169,7 +172,8 @@ def read_windows(windows: DataFrame, digest: Callable = hashlib.sha256) -> DataF
     """What the windows of each conversation hold, each turn once, read back from their texts and masks.
 
     conv_id, n_turns, turns_sha256 (role, \\n, text, \\n of each turn), loss_chars and loss_sha256 (all text under the mask,
-    unescaped, nothing between), formatted_chars. Windows are streamed in order.
+    unescaped, nothing between), formatted_chars. Windows are streamed in order. Those without conversation are one of their own;
+    other columns play no part; no windows give no rows.
     """
     python_steps(windows.sparkSession)
     rows = windows.select("conv_id", "window", "text", "repeated", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")

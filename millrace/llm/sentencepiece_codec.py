@@ -154,10 +154,10 @@ class Codec:
             if end - base >= (WINDOW - 1) * longest and end % longest == 0:
                 meet = self._meeting(back, end - base)
                 if meet:
-                    out += self._path(text, base, piece, back, meet)
+                    out = self._path(text, base, piece, back, meet, out)
                     base += meet
                     del piece[:meet], back[:meet], score[:meet]
-        return out + self._path(text, base, piece, back, len(text) - base)
+        return self._path(text, base, piece, back, len(text) - base, out)
 
     def viterbi_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of many stretches under a BPE model, as `viterbi` gives them; all lattices advance together."""
@@ -255,9 +255,9 @@ class Codec:
             known[new] = made[np.searchsorted(fresh, keys[new])]
         return known > 0
 
-    def _spelled(self, ids: list[int], letters: list[str]) -> list[int]:
-        """Ids with each unknown (-1), whose letter is given, as byte pieces or as the unknown piece."""
-        out: list[int] = []
+    def _spelled(self, ids: list[int], letters: list[str], before: list[int] | None = None) -> list[int]:
+        """Ids with each unknown (-1), whose letter is given, as byte pieces or as the unknown piece, put after those before."""
+        out = before if before is not None else []
         for i, letter in zip(ids, letters):
             if i >= 0:
                 out.append(i)
@@ -276,13 +276,13 @@ class Codec:
             open_ends.add(top - back[top])
         return open_ends.pop()
 
-    def _path(self, text: str, base: int, piece: list[int], back: list[int], at: int) -> list[int]:
+    def _path(self, text: str, base: int, piece: list[int], back: list[int], at: int, out: list[int]) -> list[int]:
         ids, letters = [], []
         while at > 0:
             ids.append(piece[at])
             letters.append(text[base + at - 1])
             at -= back[at]
-        return self._spelled(ids[::-1], letters[::-1])
+        return self._spelled(ids[::-1], letters[::-1], out)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, int32."""
