@@ -2,8 +2,9 @@
 
 The rows that a level still has to split are counted by (tree, node, feature, value); running sums over the distinct values, in
 buckets where they are many, give the counts on either side of each threshold, and the best split of each node goes to the
-driver: a row for each open node. Rows then move to the children by a join with these splits. Scoring compiles a small tree
-to a nested CASE and walks a large one over arrays.
+driver: a row for each open node. Rows then move to the children by a join with these splits. A node of at most LOCAL_ROWS rows
+is finished by one task, which grows all that is below it; many such nodes are finished at once. Both ways find the same
+splits. Scoring compiles a small tree to a nested CASE and walks a large one over arrays.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +23,10 @@ from millrace.core import Estimator, Features, score_rows
 from millrace.functions.expr import poisson_one, sigmoid, uniform
 from millrace.plans.scan import bucket_bounds, exact_percentile, ranked, running_sums
 from millrace.storage import cut as stored
+from millrace.storage import ship
 
-#: Nodes up to which a tree is scored as a nested CASE.
-CASE_NODES = 255
+#: Nodes up to which a tree is scored as a nested CASE, and rows of a node that one task finishes.
+CASE_NODES, LOCAL_ROWS = 255, 50_000
 
 
 @dataclass
@@ -82,7 +85,125 @@ def _draw(*keys) -> float:
     return int(hashlib.md5(":".join(map(str, keys)).encode()).hexdigest()[:8], 16) / 4294967296.0
 
 
-def grow(rows: DataFrame, d: int, stats: list[str], criterion: str, trees: int = 1, max_depth: int | None = None, min_split: float = 2, min_leaf: float = 1, n_features: int | None = None, seed: int = 0, random_thresholds: bool = False, zero_gain: bool = False) -> list[Tree]:
+@dataclass
+class _Rules:
+    """How splits are chosen, wherever it is done."""
+
+    criterion: str
+    max_depth: int | None
+    min_split: float
+    min_leaf: float
+    n_features: int | None
+    seed: int
+    random_thresholds: bool
+    zero_gain: bool
+
+    def closed(self, value: Sequence[float], size: float) -> bool:
+        """Whether a node is not to be split any more."""
+        return size < self.min_split or (self.criterion == "gini" and sum(v > 0 for v in value) <= 1)
+
+    def picked(self, d: int, tree: int, path: int) -> list[int]:
+        """The features that a node tries."""
+        if self.n_features is None or self.n_features >= d:
+            return list(range(d))
+        return sorted(sorted(range(d), key=lambda f: (_draw(self.seed, "feature", tree, path, f), f))[: self.n_features])
+
+    def impurity(self, sums: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Weighted: n times Gini, or the sum of squares about the mean; sums of stats are in the last axis."""
+        if self.criterion == "gini":
+            return size - (sums * sums).sum(axis=-1) / size
+        return sums[..., 1] - sums[..., 0] * sums[..., 0] / size
+
+    def best(self, x: np.ndarray, w: np.ndarray, stats: np.ndarray, tree: int, path: int) -> tuple | None:
+        """(feature, threshold) of the best split of a node's rows."""
+        found, whole, size = None, stats.sum(axis=0), w.sum()
+        for f in self.picked(x.shape[1], tree, path):
+            order = np.argsort(x[:, f], kind="stable")
+            v = x[order, f]
+            upto = np.cumsum(np.column_stack([w, stats])[order], axis=0)
+            last = np.flatnonzero(v[1:] > v[:-1])  # the last row of each value but the largest
+            if not len(last):
+                continue
+            if self.random_thresholds:
+                at = v[0] + _draw(self.seed, "cut", tree, path, f) * (v[-1] - v[0])
+                last, t = np.array([np.searchsorted(v, at, side="right") - 1]), np.array([at])
+            else:
+                t = (v[last] + v[last + 1]) / 2
+            left_size, left = upto[last, 0], upto[last, 1:]
+            fits = (left_size >= self.min_leaf) & (size - left_size >= self.min_leaf)
+            if not fits.any():
+                continue
+            left_size, left, t = left_size[fits], left[fits], t[fits]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rest = self.impurity(left, left_size) + self.impurity(whole - left, size - left_size)
+            gain = np.round((self.impurity(whole, size) - rest) / size, 10)
+            gain = np.where(np.isfinite(gain) & (self.zero_gain | (gain > 0)), gain, -np.inf)
+            k = int(gain.argmax())  # the first, so the lowest threshold, of equal ones
+            if np.isfinite(gain[k]) and (found is None or gain[k] > found[0]):
+                found = (gain[k], f, float(t[k]))
+        return found and found[1:]
+
+    def finish(self, x: np.ndarray, w: np.ndarray, stats: np.ndarray, tree: int, path: int, depth: int) -> list[Node]:
+        """The nodes below and with one, by its rows; numbered from 0."""
+        nodes = [Node(stats.sum(axis=0).tolist(), float(w.sum()), path)]
+        todo = [(0, np.arange(len(x)), depth)]
+        while todo:
+            k, rows, depth = todo.pop()
+            node = nodes[k]
+            if depth == self.max_depth or self.closed(node.value, node.size):
+                continue
+            split = self.best(x[rows], w[rows], stats[rows], tree, node.path)
+            if split is None:
+                continue
+            node.feature, node.threshold = split
+            below = x[rows, node.feature] <= node.threshold
+            node.left, node.right = len(nodes), len(nodes) + 1
+            for side, own in ((1, rows[below]), (2, rows[~below])):
+                nodes.append(Node(stats[own].sum(axis=0).tolist(), float(w[own].sum()), 2 * node.path + side))
+                todo.append((len(nodes) - 1, own, depth + 1))
+        return nodes
+
+
+_NODE_SCHEMA = "tree int, top long, number int, value array<double>, size double, feature int, threshold double, left int, right int"
+
+
+def _finish_nodes(work: DataFrame, forest: list[Tree], small: list[tuple[int, int]], level: int, stats: list[str], rules: _Rules) -> None:
+    """Grow what is below small nodes, a task for each, and put it into their trees."""
+    spark = work.sparkSession
+    ship(spark)
+    paths = spark.createDataFrame([(t, k, str(forest[t].nodes[k].path)) for t, k in small], "tree int, node long, path string")
+    columns = ["tree", "node", "path", "w", "x", *stats]
+
+    def run(group: pa.Table) -> pa.Table:
+        width = len(group.column("x")[0])
+        x = group.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+        w, own = group.column("w").to_numpy(), np.column_stack([group.column(s).to_numpy() for s in stats])
+        tree, top, path = (group.column(c)[0].as_py() for c in ("tree", "node", "path"))
+        nodes = rules.finish(x, w, own, tree, int(path), level)
+        fields = [[n.value for n in nodes], *([getattr(n, a) for n in nodes] for a in ("size", "feature", "threshold", "left", "right"))]
+        kinds = [pa.list_(pa.float64()), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
+        head = [pa.array([tree] * len(nodes), pa.int32()), pa.array([top] * len(nodes), pa.int64()), pa.array(range(len(nodes)), pa.int32())]
+        names = [c.split()[0] for c in _NODE_SCHEMA.split(", ")]
+        return pa.Table.from_arrays([*head, *(pa.array(f, k) for f, k in zip(fields, kinds))], names=names)
+
+    rows = work.join(F.broadcast(paths), ["tree", "node"]).select(*columns)
+    found: dict[tuple[int, int], list] = {}
+    for r in rows.groupBy("tree", "node").applyInArrow(run, _NODE_SCHEMA).collect():
+        found.setdefault((r["tree"], r["top"]), []).append(r)
+    for t, top in small:
+        nodes, base = forest[t].nodes, len(forest[t].nodes) - 1  # number 0 is there already
+        for r in sorted(found.get((t, top), []), key=lambda r: r["number"]):
+            if r["number"]:
+                nodes.append(Node(r["value"], r["size"]))
+            node = nodes[base + r["number"] if r["number"] else top]
+            if r["feature"] >= 0:
+                node.feature, node.threshold, node.left, node.right = r["feature"], r["threshold"], base + r["left"], base + r["right"]
+
+
+def grow(
+    rows: DataFrame, d: int, stats: list[str], criterion: str, trees: int = 1, max_depth: int | None = None, min_split: float = 2, min_leaf: float = 1,
+    n_features: int | None = None, seed: int = 0, random_thresholds: bool = False, zero_gain: bool = False,
+) -> list[Tree]:
     """Grow trees on `rows`: tree, id, x (array), w (weight) and the `stats` columns, already multiplied by w.
 
     gini: stats are class indicators. variance: stats are (y, y * y). Of equal gains the lowest feature and threshold win. With
@@ -96,12 +217,8 @@ def grow(rows: DataFrame, d: int, stats: list[str], criterion: str, trees: int =
         forest[r["tree"]].nodes.append(Node([r[s] for s in stats], r["w"]))
     if not root:
         raise ValueError("there are no rows to fit on")
-    bounds = None if random_thresholds else bucket_bounds(rows, d)
-
-    def pure(node: Node) -> bool:
-        if criterion == "gini":
-            return sum(v > 0 for v in node.value) <= 1
-        return False
+    rules = _Rules(criterion, max_depth, min_split, min_leaf, n_features, seed, random_thresholds, zero_gain)
+    bounds = None
 
     def impurity(values: list[Column], n: Column) -> Column:
         """Weighted: n times Gini, or the sum of squares about the mean."""
@@ -111,16 +228,22 @@ def grow(rows: DataFrame, d: int, stats: list[str], criterion: str, trees: int =
 
     level, edge = 0, [(t, 0) for t, tree in enumerate(forest) if tree.nodes]
     while max_depth is None or level < max_depth:
-        edge = [(t, k) for t, k in edge if forest[t].nodes[k].size >= min_split and not pure(forest[t].nodes[k])]
+        edge = [(t, k) for t, k in edge if not rules.closed(forest[t].nodes[k].value, forest[t].nodes[k].size)]
+        small = [(t, k) for t, k in edge if forest[t].nodes[k].size <= LOCAL_ROWS]  # a row weighs 1 at least
+        if small:
+            _finish_nodes(work, forest, small, level, stats, rules)
+        done = set(small)
+        edge = [e for e in edge if e not in done]
         if not edge:
             break
-        pos = work.select("tree", "node", "w", *stats, F.posexplode("x").alias("f", "v"))
+        if bounds is None and not random_thresholds:
+            bounds = bucket_bounds(rows, d)
+        live = work.join(F.broadcast(spark.createDataFrame(edge, "tree int, node long")), ["tree", "node"], "left_semi")
+        pos = live.select("tree", "node", "w", *stats, F.posexplode("x").alias("f", "v"))
         if n_features is not None and n_features < d:
             picked = []
             for t, k in edge:
-                path = forest[t].nodes[k].path
-                drawn = sorted(range(d), key=lambda f: (_draw(seed, "feature", t, path, f), f))[:n_features]  # noqa: B023
-                picked += [(t, k, f) for f in drawn]
+                picked += [(t, k, f) for f in rules.picked(d, t, forest[t].nodes[k].path)]
             pos = pos.join(F.broadcast(spark.createDataFrame(picked, "tree int, node long, f int")), ["tree", "node", "f"])
         group = ["tree", "node", "f"]
         if random_thresholds:
@@ -146,12 +269,13 @@ def grow(rows: DataFrame, d: int, stats: list[str], criterion: str, trees: int =
             fits = fits.where("gain > 0")
         best = F.max_by(F.struct("f", "t", "lw", "w", *[f"l_{s}" for s in stats], *stats), F.struct(F.col("gain"), (-F.col("f")).alias("nf"), (-F.col("t")).alias("nt"))).alias("b")
         splits = fits.groupBy("tree", "node").agg(best).collect()
+        open_ = set(edge)
         made, edge = [], []
         for r in splits:
             t, k, b = r["tree"], r["node"], r["b"]
             nodes = forest[t].nodes
             node = nodes[k]
-            if node.size < min_split or pure(node):
+            if (t, k) not in open_:
                 continue
             node.feature, node.threshold, node.left, node.right = b["f"], float(b["t"]), len(nodes), len(nodes) + 1
             nodes.append(Node([b[f"l_{s}"] for s in stats], b["lw"], 2 * node.path + 1))

@@ -160,6 +160,23 @@ def test_large_trees_score_alike(spark, monkeypatch):
     assert plain[99] == (None, None)
 
 
+@pytest.mark.parametrize("name", ["tree", "forest", "extra", "boosting"])
+def test_levels_and_single_tasks_find_the_same_trees(spark, monkeypatch, name):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(rng.integers(0, 9)), float(rng.random()), float(rng.integers(0, 2)), int(rng.integers(0, 3))) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y int")
+    make = {
+        "tree": lambda: trees.DecisionTreeClassifier(4, min_samples_leaf=2), "forest": lambda: trees.RandomForestClassifier(3, 3, n_features=2, random_state=2),
+        "extra": lambda: trees.ExtraTreesClassifier(3, 3, random_state=2), "boosting": lambda: trees.GradientBoostingRegressor(2, 0.5, 2),
+    }[name]
+    found = []
+    for most in (50_000, 40, 0):
+        monkeypatch.setattr(trees, "LOCAL_ROWS", most)
+        out = make().fit(df, ["a", "b", "c"], "y", "id").transform(df)
+        found.append({r.id: (round(float(r.prediction), 9), [round(p, 9) for p in (r.probability if name != "boosting" else [])]) for r in out.collect()})
+    assert found[0] == found[1] == found[2]
+
+
 def test_first_row_without_vector(spark):
     df = spark.createDataFrame([(0, None), (1, [1.0, 2.0]), (2, [3.0, 1.0]), (3, [0.0, None])], "id long, x array<double>")
     out = {r.id: r.components for r in decomposition.PCA(1).fit(df, "x").transform(df).collect()}
