@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Between stages the
 documents are written as Parquet in the shared folder and reread.
+
+In every stage null texts count as empty, texts of any length are taken whole, an empty table gives an empty table, and other columns
+are carried along whatever their names. What becomes of null and repeated ids, and of ties, is said at each stage.
 """
 
 from __future__ import annotations
@@ -21,27 +24,34 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is determined: those with a letter. The stage learns from its own input's labels."""
+    """Keep documents in a language that can be told: those with a letter whose text fits a language learnt from the input's labels.
+
+    Empty texts go. A few words fit any language; where there are no labels every text with a letter stays. Each row is judged by itself, so
+    null and repeated ids make no difference.
+    """
     return drop_undetermined(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one of equal texts, the one of the largest id."""
+    """Keep one of equal texts (A-Z as a-z), the one of the largest id; a null id is below all others, and of rows that share text and id one stays."""
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one of each group of near copies, the one of the smallest id."""
+    """Keep one of each group of near copies, the one of the smallest id.
+
+    Rows that repeat an id are one document and stay or go together; rows without id, and texts without words, stay.
+    """
     return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that hold no test item."""
+    """Keep documents that hold no test item. Each row is judged by its own text, whatever its id; an empty benchmark keeps all."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add `piece_ids` and `decoded`, the text that they decode to."""
+    """Add `piece_ids` and `decoded`, the text that they decode to, in place of the text. A row each, whatever the ids; no text has no pieces."""
     return encode_pieces(docs, MODEL, with_text=True).drop("text")
 
 
@@ -58,6 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of `sf_dir`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
