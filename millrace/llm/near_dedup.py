@@ -41,7 +41,7 @@ TILE, TILE_SHINGLES = 512, 1 << 20
 #: Pairs of a tile from which their intersections are counted together by matrix products, and the columns of a product.
 DENSE_PAIRS, DENSE_COLUMNS = 256, 4096
 #: Pairs of a hub that are confirmed in one part, and hubs whose part counts are broadcast at most.
-HUB_PAIRS, BROADCAST_HUBS = 2048, 1_000_000
+HUB_PAIRS, BROADCAST_HUBS = 128, 1_000_000
 #: Ids of documents to confirm are broadcast up to this count (8 bytes each), and joined by exchange beyond it.
 BROADCAST_IDS = 500_000
 
