@@ -73,7 +73,8 @@ def metrics_classification(spark, sf_dir):
 
 
 @query(f"""WITH o AS ({_ORDERS_SQL}), k AS (SELECT truth AS label FROM o UNION SELECT guess FROM o)
-    SELECT a.label AS truth, b.label AS predicted, count(o.truth) AS n FROM k a CROSS JOIN k b LEFT JOIN o ON o.truth = a.label AND o.guess = b.label GROUP BY 1, 2""")
+    SELECT a.label AS truth, b.label AS predicted, count(o.truth) AS n FROM k a CROSS JOIN k b LEFT JOIN o ON o.truth = a.label
+        AND o.guess = b.label GROUP BY 1, 2""")
 def confusion_matrix(spark, sf_dir):
     return metrics.confusion_matrix(_orders(spark, sf_dir), "truth", "guess")
 
@@ -85,7 +86,8 @@ def confusion_matrix(spark, sf_dir):
     f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM e),
     u AS (SELECT label, precision, recall, f1, support FROM f
         UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support)::BIGINT FROM f
-        UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support)::BIGINT FROM f)
+        UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1
+            * support) / sum(support), sum(support)::BIGINT FROM f)
     SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM u""")
 def classification_report(spark, sf_dir):
     return _rounded(metrics.classification_report(_orders(spark, sf_dir), "truth", "guess"), "precision", "recall", "f1")
@@ -145,7 +147,8 @@ def scaler_standard_inverse(spark, sf_dir):
 
 
 @query(f"""WITH p AS ({_PART}), s AS (SELECT min(size) AS ls, max(size) AS hs, min(price) AS lp, max(price) AS hp FROM p)
-    SELECT p_partkey, round(-1 + 2 * (size - ls) / (hs - ls), 6) AS size, round(-1 + 2 * (price - lp) / (hp - lp), 6) AS price, -1.0::DOUBLE AS fixed FROM p, s""")
+    SELECT p_partkey, round(-1 + 2 * (size - ls) / (hs - ls), 6) AS size, round(-1 + 2 * (price - lp) / (hp - lp), 6) AS price,
+        -1.0::DOUBLE AS fixed FROM p, s""")
 def scaler_minmax(spark, sf_dir):
     return _rounded(preprocessing.MinMaxScaler((-1, 1)).fit_transform(_part(spark, sf_dir), _NUMERIC), *_NUMERIC)
 
@@ -195,7 +198,8 @@ def onehot_full(spark, sf_dir):
 _LETTERS = ["e", "a", "n", "o"]
 _SHARES = [f"s_{c}" for c in _LETTERS]
 _COUNTS = [f"c_{c}" for c in _LETTERS]
-_LETTERS_SQL = "SELECT doc_id, lang, " + ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE) AS c_{c}, (length(text) - length(replace(text, '{c}', ''))) * 1.0::DOUBLE / greatest(length(text), 1) AS s_{c}" for c in _LETTERS) + " FROM documents"
+_LETTERS_SQL = "SELECT doc_id, lang, " + ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE) AS c_{c}, (length(text) - length(replace(text, '{c}', ''))) "
+    f"* 1.0::DOUBLE / greatest(length(text), 1) AS s_{c}" for c in _LETTERS) + " FROM documents"
 
 
 def _letters(spark, sf_dir):
@@ -249,8 +253,10 @@ def bernoulli_nb(spark, sf_dir):
 
 
 def _cross_sql(folds: int) -> str:
-    sets = [f"l{k} AS (FROM a WHERE fold <> {k}), {_bayes_sql('g').replace('gc', f'gc{k}').replace('gs', f'gs{k}').replace('FROM l GROUP', f'FROM l{k} GROUP').replace('FROM l,', f'FROM (FROM a WHERE fold = {k}) AS held,')}" for k in range(folds)]
-    ends = [f"SELECT {k} AS fold, round(avg(CAST(lang = best AS DOUBLE)), 6) AS accuracy FROM (SELECT doc_id, any_value(lang) AS lang, first(k ORDER BY score DESC, k) AS best FROM gs{k} GROUP BY 1)" for k in range(folds)]
+    sets = [f"l{k} AS (FROM a WHERE fold <> {k}), "
+        f"{_bayes_sql('g').replace('gc', f'gc{k}').replace('gs', f'gs{k}').replace('FROM l GROUP', f'FROM l{k} GROUP').replace('FROM l,', f'FROM (FROM a WHERE fold = {k}) AS held,')}" for k in range(folds)]
+    ends = [f"SELECT {k} AS fold, round(avg(CAST(lang = best AS DOUBLE)), 6) AS accuracy FROM (SELECT doc_id, any_value(lang) AS lang, first(k "
+        f"ORDER BY score DESC, k) AS best FROM gs{k} GROUP BY 1)" for k in range(folds)]
     return f"WITH l AS ({_LETTERS_SQL}), a AS (SELECT *, ntile({folds}) OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS fold FROM l), " + ", ".join(sets) + " " + " UNION ALL ".join(ends)
 
 
@@ -300,10 +306,14 @@ def voting_hard(spark, sf_dir):
 
 
 @query(_VOTE + """, e AS (
-        SELECT doc_id, k, 2 * exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY doc_id) AS p FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM gs)
-        UNION ALL SELECT doc_id, k, exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY doc_id) FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM ms)
-        UNION ALL SELECT doc_id, k, exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY doc_id) FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM bs)),
-    v AS (SELECT doc_id, k, sum(p) / 4 AS p FROM e GROUP BY 1, 2) SELECT doc_id, first(k ORDER BY p DESC, k) AS prediction, round(max(p), 5) AS p FROM v GROUP BY 1""")
+        SELECT doc_id, k, 2 * exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY doc_id) AS p FROM (SELECT *, max(score)
+            OVER (PARTITION BY doc_id) AS m FROM gs)
+        UNION ALL SELECT doc_id, k, exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY doc_id) FROM (SELECT *, max(score)
+            OVER (PARTITION BY doc_id) AS m FROM ms)
+        UNION ALL SELECT doc_id, k, exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY doc_id) FROM (SELECT *, max(score)
+            OVER (PARTITION BY doc_id) AS m FROM bs)),
+    v AS (SELECT doc_id, k, sum(p) / 4 AS p FROM e GROUP BY 1, 2) SELECT doc_id, first(k ORDER BY p DESC, k) AS prediction,
+        round(max(p), 5) AS p FROM v GROUP BY 1""")
 def voting_soft(spark, sf_dir):
     out = voting.VotingClassifier(_three(), "soft", [2, 1, 1]).fit_transform(_letters(spark, sf_dir), _SHARES, "lang", "doc_id")
     return out.select("doc_id", "prediction", F.round(F.array_max("probability"), 5).alias("p"))
@@ -313,7 +323,8 @@ def voting_soft(spark, sf_dir):
 
 _STD = f"""p AS ({_PART}), m AS (SELECT avg(size) AS ms, stddev_pop(size) AS ss, avg(price) AS mp, stddev_pop(price) AS sp FROM p),
     z AS (SELECT (size - ms) / ss AS x0, ((p_partkey % 17) - 8) / 5.0::DOUBLE AS x1, (price - mp) / sp + 0.5 * (size - ms) / ss + 3 AS y FROM p, m),
-    g AS (SELECT avg(x0) AS m0, avg(x1) AS m1, avg(y) AS my, avg(x0 * x0) AS a00, avg(x0 * x1) AS a01, avg(x1 * x1) AS a11, avg(x0 * y) AS b0, avg(x1 * y) AS b1 FROM z)"""
+    g AS (SELECT avg(x0) AS m0, avg(x1) AS m1, avg(y) AS my, avg(x0 * x0) AS a00, avg(x0 * x1) AS a01, avg(x1 * x1) AS a11, avg(x0
+        * y) AS b0, avg(x1 * y) AS b1 FROM z)"""
 
 
 def _standard(spark, sf_dir):
@@ -327,7 +338,8 @@ def _weights(spark, model) -> DataFrame:
 
 def _descent_sql(alpha: float) -> str:
     return f"""WITH RECURSIVE {_STD}, r(t, w0, w1, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
-        SELECT t + 1, w0 - 0.1 * (2 * (a00 * w0 + a01 * w1 + b * m0 - b0) + 2 * {alpha} * w0), w1 - 0.1 * (2 * (a01 * w0 + a11 * w1 + b * m1 - b1) + 2 * {alpha} * w1),
+        SELECT t + 1, w0 - 0.1 * (2 * (a00 * w0 + a01 * w1 + b * m0 - b0) + 2 * {alpha} * w0), w1 - 0.1 * (2 * (a01 * w0 + a11 * w1 + b
+            * m1 - b1) + 2 * {alpha} * w1),
             b - 0.1 * 2 * (m0 * w0 + m1 * w1 + b - my) FROM r, g WHERE t < 60)
         SELECT round(w0, 6) AS w0, round(w1, 6) AS w1, round(b, 6) AS b FROM r WHERE t = 60"""
 
@@ -361,8 +373,10 @@ def elastic_net(spark, sf_dir):
     return _weights(spark, linear.ElasticNet(0.3, 0.4, 25, tol=0).fit(_standard(spark, sf_dir), ["x0", "x1"], "y"))
 
 
-@query(f"""WITH RECURSIVE {_STD}, c AS (SELECT x0, x1, CAST(y > 3 AS INT) AS t FROM z), r(t, w0, w1, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
-        SELECT any_value(r.t) + 1, any_value(w0) - 0.5 * avg((1 / (1 + exp(-(b + w0 * x0 + w1 * x1))) - c.t) * x0), any_value(w1) - 0.5 * avg((1 / (1 + exp(-(b + w0 * x0 + w1 * x1))) - c.t) * x1),
+@query(f"""WITH RECURSIVE {_STD}, c AS (SELECT x0, x1, CAST(y > 3 AS INT) AS t FROM z), r(t, w0, w1, b) AS (SELECT 0, 0.0::DOUBLE,
+    0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+        SELECT any_value(r.t) + 1, any_value(w0) - 0.5 * avg((1 / (1 + exp(-(b + w0 * x0 + w1 * x1))) - c.t) * x0), any_value(w1) - 0.5
+            * avg((1 / (1 + exp(-(b + w0 * x0 + w1 * x1))) - c.t) * x1),
             any_value(b) - 0.5 * avg(1 / (1 + exp(-(b + w0 * x0 + w1 * x1))) - c.t) FROM r, c WHERE r.t < 8 HAVING count(*) > 0)
         SELECT round(w0, 6) AS w0, round(w1, 6) AS w1, round(b, 6) AS b FROM r WHERE t = 8""")
 def logistic_regression(spark, sf_dir):
@@ -395,7 +409,8 @@ def knn_regress(spark, sf_dir):
 
 
 @query(_KNN + """, e AS (SELECT vec_id, count(*) FILTER (WHERE d = 0) AS zeros FROM n GROUP BY 1)
-    SELECT vec_id, round(CASE WHEN any_value(zeros) > 0 THEN avg(label) FILTER (WHERE d = 0) ELSE sum(label / nullif(d, 0)) / sum(1 / nullif(d, 0)) END, 6) AS prediction FROM n JOIN e USING (vec_id) GROUP BY 1""")
+    SELECT vec_id, round(CASE WHEN any_value(zeros) > 0 THEN avg(label) FILTER (WHERE d = 0) ELSE sum(label / nullif(d,
+        0)) / sum(1 / nullif(d, 0)) END, 6) AS prediction FROM n JOIN e USING (vec_id) GROUP BY 1""")
 def knn_regress_distance(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     return _rounded(neighbors.KNNRegressor(5, weights="distance").fit(v, "embedding", "label", "vec_id").transform(v).select("vec_id", "prediction"), "prediction")
@@ -415,7 +430,8 @@ def knn_classify_distance(spark, sf_dir):
     return neighbors.KNNClassifier(5, weights="distance").fit(v, "embedding", "label", "vec_id").transform(v).select("vec_id", "prediction")
 
 
-@query("""WITH p AS (SELECT n_nationkey, r_regionkey, n_nationkey / 10.0::DOUBLE - r_regionkey AS d, n_nationkey / 10.0::DOUBLE * r_regionkey AS xy FROM nation, region)
+@query("""WITH p AS (SELECT n_nationkey, r_regionkey, n_nationkey / 10.0::DOUBLE - r_regionkey AS d, n_nationkey / 10.0::DOUBLE
+    * r_regionkey AS xy FROM nation, region)
     SELECT n_nationkey, r_regionkey, round(2 * exp(-d * d / (2 * 1.5 * 1.5)), 6) AS rbf,
         round((1 + sqrt(5) * abs(d) / 1.5 + 5 * d * d / (3 * 1.5 * 1.5)) * exp(-sqrt(5) * abs(d) / 1.5), 6) AS matern52,
         round(exp(-2 * power(sin(pi() * abs(d) / 3), 2) / (1.5 * 1.5)), 6) AS periodic, round(2 * xy + 0.5, 6) AS linear FROM p""")
@@ -437,12 +453,15 @@ def _customer(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
 
 
-@query(f"""WITH RECURSIVE c AS ({_CUSTOMER}), pair AS (SELECT a.c_custkey AS i, b.c_custkey AS j FROM c a JOIN c b ON a.y = b.y AND sqrt((a.x - b.x) * (a.x - b.x)) <= 0.1),
+@query(f"""WITH RECURSIVE c AS ({_CUSTOMER}), pair AS (SELECT a.c_custkey AS i, b.c_custkey AS j FROM c a JOIN c b ON a.y = b.y
+    AND sqrt((a.x - b.x) * (a.x - b.x)) <= 0.1),
     core AS (SELECT i FROM pair GROUP BY 1 HAVING count(*) >= 4), link AS (SELECT i, j FROM pair WHERE i IN (FROM core) AND j IN (FROM core)),
     reach AS (SELECT i, i AS j FROM core UNION SELECT reach.i, link.j FROM reach JOIN link ON reach.j = link.i),
-    root AS (SELECT i, min(j) AS root FROM reach GROUP BY 1), num AS (SELECT root, CAST(row_number() OVER (ORDER BY root) - 1 AS INT) AS k FROM (SELECT DISTINCT root FROM root)),
+    root AS (SELECT i, min(j) AS root FROM reach GROUP BY 1), num AS (SELECT root, CAST(row_number() OVER (ORDER BY root)
+        - 1 AS INT) AS k FROM (SELECT DISTINCT root FROM root)),
     lab AS (SELECT i, k FROM root JOIN num USING (root)), border AS (SELECT pair.i, min(k) AS k FROM pair JOIN lab ON pair.j = lab.i GROUP BY 1)
-    SELECT c_custkey, coalesce(lab.k, border.k, -1) AS prediction, lab.k IS NOT NULL AS core FROM c LEFT JOIN lab ON lab.i = c_custkey LEFT JOIN border ON border.i = c_custkey""")
+    SELECT c_custkey, coalesce(lab.k, border.k, -1) AS prediction, lab.k IS NOT NULL AS core FROM c LEFT JOIN lab ON lab.i = c_custkey
+        LEFT JOIN border ON border.i = c_custkey""")
 def dbscan(spark, sf_dir):
     return cluster.DBSCAN(0.1, 4).fit_predict(_customer(spark, sf_dir), ["x", "y"], id_col="c_custkey").select("c_custkey", "prediction", "core")
 
@@ -470,7 +489,8 @@ def _kmeans_plus_plus_sql(k: int, steps: int, seed: int) -> str:
         parts.append(f"s{j} AS MATERIALIZED (SELECT x, y FROM (SELECT x, y, c_custkey, {clock} AS clock FROM c) ORDER BY clock, c_custkey LIMIT 1)")
     parts.append("k0 AS (" + " UNION ALL ".join(f"SELECT {j} AS k, x AS cx, y AS cy FROM s{j}" for j in range(k)) + ")")
     for t in range(steps + 1):
-        parts.append(f"n{t} AS MATERIALIZED (SELECT c_custkey, x, y, first(k ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy), k) AS k FROM c, k{t} GROUP BY 1, 2, 3)")
+        parts.append(f"n{t} AS MATERIALIZED (SELECT c_custkey, x, y, first(k ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy), k) AS k FROM c, "
+            f"k{t} GROUP BY 1, 2, 3)")
         parts.append(f"k{t + 1} AS (SELECT k, avg(x) AS cx, avg(y) AS cy FROM n{t} GROUP BY 1)")
     return ", ".join(parts) + f" SELECT c_custkey, CAST(k AS INT) AS prediction FROM n{steps}"
 
@@ -481,11 +501,15 @@ def kmeans_plus_plus(spark, sf_dir):
     return cluster.KMeans(4, 6, 0.0, random_state=1).fit(c, ["x", "y"], id_col="c_custkey").transform(c).select("c_custkey", "prediction")
 
 
-@query(f"""WITH c AS ({_CUSTOMER}), m0 AS (SELECT * FROM (VALUES (0, 1.0::DOUBLE, 5.0::DOUBLE), (1, 7.0, 18.0)) t(k, mx, my)), v AS (SELECT var_pop(x) + 1e-6 AS vx, var_pop(y) + 1e-6 AS vy FROM c),
-    l AS (SELECT c_custkey, x, y, k, ln(0.5) - 0.5 * ((x - mx) * (x - mx) / vx + (y - my) * (y - my) / vy + ln(vx) + ln(vy) + 2 * ln(2 * pi())) AS s FROM c, m0, v),
+@query(f"""WITH c AS ({_CUSTOMER}), m0 AS (SELECT * FROM (VALUES (0, 1.0::DOUBLE, 5.0::DOUBLE), (1, 7.0, 18.0)) t(k, mx, my)),
+    v AS (SELECT var_pop(x) + 1e-6 AS vx, var_pop(y) + 1e-6 AS vy FROM c),
+    l AS (SELECT c_custkey, x, y, k, ln(0.5) - 0.5 * ((x - mx) * (x - mx) / vx + (y - my) * (y - my) / vy + ln(vx) + ln(vy) + 2 * ln(2
+        * pi())) AS s FROM c, m0, v),
     r AS (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY c_custkey) AS r FROM l),
-    m1 AS (SELECT k, sum(r) AS n, sum(r * x) / sum(r) AS mx, sum(r * y) / sum(r) AS my, sum(r * x * x) / sum(r) AS xx, sum(r * y * y) / sum(r) AS yy FROM r GROUP BY 1)
-    SELECT CAST(k AS INT) AS k, round(n / (SELECT count(*) FROM c), 5) AS weight, round(mx, 5) AS mean_x, round(my, 5) AS mean_y, round(xx - mx * mx + 1e-6, 5) AS var_x, round(yy - my * my + 1e-6, 5) AS var_y FROM m1""")
+    m1 AS (SELECT k, sum(r) AS n, sum(r * x) / sum(r) AS mx, sum(r * y) / sum(r) AS my, sum(r * x * x) / sum(r) AS xx, sum(r * y
+        * y) / sum(r) AS yy FROM r GROUP BY 1)
+    SELECT CAST(k AS INT) AS k, round(n / (SELECT count(*) FROM c), 5) AS weight, round(mx, 5) AS mean_x, round(my, 5) AS mean_y,
+        round(xx - mx * mx + 1e-6, 5) AS var_x, round(yy - my * my + 1e-6, 5) AS var_y FROM m1""")
 def gaussian_mixture_step(spark, sf_dir):
     g = cluster.GaussianMixture(2, 1, covariance_type="diag", means_init=[[1, 5], [7, 18]]).fit(_customer(spark, sf_dir), ["x", "y"], id_col="c_custkey")
     rows = [(k, *[round(float(v), 5) for v in (g.weights_[k], *g.means_[k], *g.covariances_[k])]) for k in range(2)]
@@ -496,16 +520,21 @@ def _mixture_sql(k: int, steps: int, seed: int) -> str:
     """Full covariances of two features: the inverse and the determinant are written out."""
     parts = [
         f"WITH c AS ({_CUSTOMER}), v AS (SELECT var_pop(x) AS vx, var_pop(y) AS vy FROM c)",
-        f"g0 AS (SELECT row_number() OVER (ORDER BY u, c_custkey) - 1 AS k, 1 / {k}.0::DOUBLE AS w, x AS mx, y AS my, vx + 1e-6 AS a, 0.0::DOUBLE AS b, vy + 1e-6 AS d "
+        f"g0 AS (SELECT row_number() OVER (ORDER BY u, c_custkey) - 1 AS k, 1 / {k}.0::DOUBLE AS w, x AS mx, y AS my, vx + 1e-6 AS a, "
+        f"0.0::DOUBLE AS b, vy + 1e-6 AS d "
         f"FROM (SELECT c_custkey, x, y, {_uniform_sql(str(seed), 'c_custkey')} AS u FROM c ORDER BY u, c_custkey LIMIT {k}), v)",
     ]
     for t in range(steps + 1):
         parts.append(
-            f"l{t} AS MATERIALIZED (SELECT c_custkey, x, y, k, ln(w) - 0.5 * (d * (x - mx) * (x - mx) - 2 * b * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * d - b * b) "
+            f"l{t} AS MATERIALIZED (SELECT c_custkey, x, y, k, ln(w) - 0.5 * (d * (x - mx) * (x - mx) - 2 * b * (x - mx) * (y - my) "
+            f"+ a * (y - my) * (y - my)) / (a * d - b * b) "
             f"- 0.5 * ln(a * d - b * b) - ln(2 * pi()) AS s FROM c, g{t}), "
-            f"r{t} AS MATERIALIZED (SELECT *, exp(s - top) / sum(exp(s - top)) OVER (PARTITION BY c_custkey) AS r FROM (SELECT *, max(s) OVER (PARTITION BY c_custkey) AS top FROM l{t})), "
-            f"g{t + 1} AS MATERIALIZED (SELECT k, n / (SELECT count(*) FROM c) AS w, mx, my, xx - mx * mx + 1e-6 AS a, xy - mx * my AS b, yy - my * my + 1e-6 AS d FROM "
-            f"(SELECT k, sum(r) AS n, sum(r * x) / sum(r) AS mx, sum(r * y) / sum(r) AS my, sum(r * x * x) / sum(r) AS xx, sum(r * x * y) / sum(r) AS xy, sum(r * y * y) / sum(r) AS yy FROM r{t} GROUP BY 1))")
+            f"r{t} AS MATERIALIZED (SELECT *, exp(s - top) / sum(exp(s - top)) OVER (PARTITION BY c_custkey) AS r FROM (SELECT *, "
+            f"max(s) OVER (PARTITION BY c_custkey) AS top FROM l{t})), "
+            f"g{t + 1} AS MATERIALIZED (SELECT k, n / (SELECT count(*) FROM c) AS w, mx, my, xx - mx * mx + 1e-6 AS a, xy - mx "
+            f"* my AS b, yy - my * my + 1e-6 AS d FROM "
+            f"(SELECT k, sum(r) AS n, sum(r * x) / sum(r) AS mx, sum(r * y) / sum(r) AS my, sum(r * x * x) / sum(r) AS xx, sum(r * x "
+            f"* y) / sum(r) AS xy, sum(r * y * y) / sum(r) AS yy FROM r{t} GROUP BY 1))")
     return ", ".join(parts) + f" SELECT c_custkey, CAST(first(k ORDER BY round(r, 9) DESC, k) AS INT) AS prediction, round(max(r), 4) AS p FROM r{steps} GROUP BY 1"
 
 
@@ -528,12 +557,16 @@ def _merges_sql(linkage: str, k: int, distance: str = "sqrt((p.x - q.x) * (p.x -
         cells = f"d AS MATERIALIZED (SELECT p.i, q.i AS j, {distance} AS d FROM p, p q)"
     else:
         cells = "d AS (SELECT 1)"
-        pairs = """SELECT p.c AS ca, q.c AS cb, CASE WHEN p.n + q.n = 2 THEN 1 ELSE sqrt(p.n * q.n / (p.n + q.n)::DOUBLE) END * sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS far
-            FROM (SELECT c, count(*) AS n, avg(x) AS x, avg(y) AS y FROM held JOIN p USING (i) GROUP BY 1) p, (SELECT c, count(*) AS n, avg(x) AS x, avg(y) AS y FROM held JOIN p USING (i) GROUP BY 1) q WHERE p.c < q.c"""
-    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_suppkey, s_acctbal / 1000 AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier), {cells},
+        pairs = """SELECT p.c AS ca, q.c AS cb, CASE WHEN p.n + q.n = 2 THEN 1 ELSE sqrt(p.n * q.n / (p.n + q.n)::DOUBLE) END * sqrt((p.x
+    - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS far
+            FROM (SELECT c, count(*) AS n, avg(x) AS x, avg(y) AS y FROM held JOIN p USING (i) GROUP BY 1) p, (SELECT c, count(*) AS n,
+                avg(x) AS x, avg(y) AS y FROM held JOIN p USING (i) GROUP BY 1) q WHERE p.c < q.c"""
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_suppkey, s_acctbal / 1000 AS x,
+    CAST(s_nationkey AS DOUBLE) AS y FROM supplier), {cells},
         m(step, i, c) AS (SELECT 0, i, i FROM p UNION ALL (
             WITH held AS MATERIALIZED (SELECT step, i, c FROM m), pairs AS ({pairs}), best AS (SELECT ca, cb FROM pairs ORDER BY round(far, 9), ca, cb LIMIT 1)
-            SELECT held.step + 1, held.i, CASE WHEN held.c = best.cb THEN best.ca ELSE held.c END FROM held, best WHERE (SELECT count(DISTINCT c) FROM held) > {k}))
+            SELECT held.step + 1, held.i, CASE WHEN held.c = best.cb THEN best.ca ELSE held.c END FROM held, best
+                WHERE (SELECT count(DISTINCT c) FROM held) > {k}))
         SELECT s_suppkey, CAST(dense_rank() OVER (ORDER BY c) - 1 AS INT) AS prediction FROM m JOIN p USING (i) WHERE step = (SELECT max(step) FROM m)"""
 
 
@@ -568,7 +601,8 @@ def spectral(spark, sf_dir):
 
 # decompositions
 
-@query(f"""WITH p AS (SELECT p_partkey, size, price / 100 AS price FROM ({_PART})), m AS (SELECT avg(size) AS ms, avg(price) AS mp, var_samp(size) AS a, covar_samp(size, price) AS b, var_samp(price) AS c FROM p),
+@query(f"""WITH p AS (SELECT p_partkey, size, price / 100 AS price FROM ({_PART})), m AS (SELECT avg(size) AS ms, avg(price) AS mp,
+    var_samp(size) AS a, covar_samp(size, price) AS b, var_samp(price) AS c FROM p),
     e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l1, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS l2 FROM m),
     u AS (SELECT *, b / sqrt(b * b + (l1 - a) * (l1 - a)) AS u0, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) AS u1 FROM e),
     s AS (SELECT *, sign(CASE WHEN abs(u0) >= abs(u1) THEN u0 ELSE u1 END) AS s1, sign(CASE WHEN abs(u1) >= abs(u0) THEN -u1 ELSE u0 END) AS s2 FROM u)
@@ -579,14 +613,21 @@ def pca(spark, sf_dir):
     return out.select("p_partkey", F.round(F.get("components", F.lit(0)), 4).alias("pc1"), F.round(F.get("components", F.lit(1)), 4).alias("pc2"))
 
 
-@query(f"""WITH l AS ({_LETTERS_SQL}), c AS (SELECT lang AS k, count(*) AS n, avg(s_e) AS mx, avg(s_a) AS my FROM l WHERE lang IS NOT NULL GROUP BY 1), t AS (SELECT sum(n) AS n, sum(n * mx) / sum(n) AS gx, sum(n * my) / sum(n) AS gy FROM c),
-    w AS (SELECT sum((s_e - mx) * (s_e - mx)) + 1e-4 AS a, sum((s_e - mx) * (s_a - my)) AS b, sum((s_a - my) * (s_a - my)) + 1e-4 AS d FROM l JOIN c ON lang = k),
+@query(f"""WITH l AS ({_LETTERS_SQL}), c AS (SELECT lang AS k, count(*) AS n, avg(s_e) AS mx, avg(s_a) AS my FROM l WHERE lang IS NOT NULL
+    GROUP BY 1), t AS (SELECT sum(n) AS n, sum(n * mx) / sum(n) AS gx, sum(n * my) / sum(n) AS gy FROM c),
+    w AS (SELECT sum((s_e - mx) * (s_e - mx)) + 1e-4 AS a, sum((s_e - mx) * (s_a - my)) AS b, sum((s_a - my) * (s_a - my)) + 1e-4 AS d
+        FROM l JOIN c ON lang = k),
     z AS (SELECT sum(c.n * (mx - gx) * (mx - gx)) AS p, sum(c.n * (mx - gx) * (my - gy)) AS q, sum(c.n * (my - gy) * (my - gy)) AS r FROM c, t),
-    m AS (SELECT (d * p - b * q) / (a * d - b * b) AS m00, (d * q - b * r) / (a * d - b * b) AS m01, (a * q - b * p) / (a * d - b * b) AS m10, (a * r - b * q) / (a * d - b * b) AS m11 FROM w, z),
-    e AS (SELECT *, (m00 + m11) / 2 + sqrt((m00 - m11) * (m00 - m11) / 4 + m01 * m10) AS l1, (m00 + m11) / 2 - sqrt((m00 - m11) * (m00 - m11) / 4 + m01 * m10) AS l2 FROM m),
-    u AS (SELECT m01 / sqrt(m01 * m01 + (l1 - m00) * (l1 - m00)) AS a0, (l1 - m00) / sqrt(m01 * m01 + (l1 - m00) * (l1 - m00)) AS a1, m01 / sqrt(m01 * m01 + (l2 - m00) * (l2 - m00)) AS b0, (l2 - m00) / sqrt(m01 * m01 + (l2 - m00) * (l2 - m00)) AS b1 FROM e),
-    v AS (SELECT a0 * s AS a0, a1 * s AS a1, b0 * t AS b0, b1 * t AS b1 FROM (SELECT *, sign(CASE WHEN abs(a0) >= abs(a1) THEN a0 ELSE a1 END) AS s, sign(CASE WHEN abs(b0) >= abs(b1) THEN b0 ELSE b1 END) AS t FROM u)),
-    y AS (SELECT doc_id, k, a0 * (s_e - gx) + a1 * (s_a - gy) AS c1, b0 * (s_e - gx) + b1 * (s_a - gy) AS c2, ln(c.n / t.n) - 0.5 * (pow(a0 * (s_e - mx) + a1 * (s_a - my), 2) + pow(b0 * (s_e - mx) + b1 * (s_a - my), 2)) AS score FROM l, c, t, v)
+    m AS (SELECT (d * p - b * q) / (a * d - b * b) AS m00, (d * q - b * r) / (a * d - b * b) AS m01, (a * q - b * p) / (a * d - b
+        * b) AS m10, (a * r - b * q) / (a * d - b * b) AS m11 FROM w, z),
+    e AS (SELECT *, (m00 + m11) / 2 + sqrt((m00 - m11) * (m00 - m11) / 4 + m01 * m10) AS l1, (m00 + m11) / 2 - sqrt((m00 - m11) * (m00
+        - m11) / 4 + m01 * m10) AS l2 FROM m),
+    u AS (SELECT m01 / sqrt(m01 * m01 + (l1 - m00) * (l1 - m00)) AS a0, (l1 - m00) / sqrt(m01 * m01 + (l1 - m00) * (l1 - m00)) AS a1,
+        m01 / sqrt(m01 * m01 + (l2 - m00) * (l2 - m00)) AS b0, (l2 - m00) / sqrt(m01 * m01 + (l2 - m00) * (l2 - m00)) AS b1 FROM e),
+    v AS (SELECT a0 * s AS a0, a1 * s AS a1, b0 * t AS b0, b1 * t AS b1 FROM (SELECT *, sign(CASE WHEN abs(a0) >= abs(a1) THEN a0
+        ELSE a1 END) AS s, sign(CASE WHEN abs(b0) >= abs(b1) THEN b0 ELSE b1 END) AS t FROM u)),
+    y AS (SELECT doc_id, k, a0 * (s_e - gx) + a1 * (s_a - gy) AS c1, b0 * (s_e - gx) + b1 * (s_a - gy) AS c2, ln(c.n / t.n) - 0.5
+        * (pow(a0 * (s_e - mx) + a1 * (s_a - my), 2) + pow(b0 * (s_e - mx) + b1 * (s_a - my), 2)) AS score FROM l, c, t, v)
     SELECT doc_id, first(k ORDER BY round(score, 9) DESC, k) AS prediction, round(any_value(c1), 6) AS c1, round(any_value(c2), 6) AS c2 FROM y GROUP BY 1""")
 def linear_discriminant(spark, sf_dir):
     out = decomposition.LinearDiscriminantAnalysis().fit_transform(_letters(spark, sf_dir), ["s_e", "s_a"], "lang")
@@ -654,10 +695,13 @@ def _labelled(spark, sf_dir):
 
 
 @query(_TREE + """, f AS (SELECT 0 AS f, x AS v, t FROM s UNION ALL SELECT 1, y, t FROM s), h AS (SELECT f, v, count(*) AS n, sum(t) AS p FROM f GROUP BY 1, 2),
-    w AS (SELECT f, (v + lead(v) OVER o) / 2 AS thr, (sum(n) OVER o)::DOUBLE AS ln, (sum(p) OVER o)::DOUBLE AS lp, (sum(n) OVER (PARTITION BY f))::DOUBLE AS n, (sum(p) OVER (PARTITION BY f))::DOUBLE AS p FROM h WINDOW o AS (PARTITION BY f ORDER BY v)),
-    g AS (SELECT *, round(((n - (p * p + (n - p) * (n - p)) / n) - (ln - (lp * lp + (ln - lp) * (ln - lp)) / ln) - ((n - ln) - ((p - lp) * (p - lp) + (n - ln - p + lp) * (n - ln - p + lp)) / (n - ln))) / n, 10) AS gain FROM w WHERE thr IS NOT NULL),
+    w AS (SELECT f, (v + lead(v) OVER o) / 2 AS thr, (sum(n) OVER o)::DOUBLE AS ln, (sum(p) OVER o)::DOUBLE AS lp, (sum(n)
+        OVER (PARTITION BY f))::DOUBLE AS n, (sum(p) OVER (PARTITION BY f))::DOUBLE AS p FROM h WINDOW o AS (PARTITION BY f ORDER BY v)),
+    g AS (SELECT *, round(((n - (p * p + (n - p) * (n - p)) / n) - (ln - (lp * lp + (ln - lp) * (ln - lp)) / ln) - ((n - ln) - ((p - lp)
+        * (p - lp) + (n - ln - p + lp) * (n - ln - p + lp)) / (n - ln))) / n, 10) AS gain FROM w WHERE thr IS NOT NULL),
     b AS (SELECT * FROM g ORDER BY gain DESC, f, thr LIMIT 1)
-    SELECT c_custkey, CAST(CASE WHEN (CASE f WHEN 0 THEN x ELSE y END) <= thr THEN lp > ln - lp ELSE p - lp > (n - ln) - (p - lp) END AS INT) AS prediction FROM s, b""")
+    SELECT c_custkey, CAST(CASE WHEN (CASE f WHEN 0 THEN x ELSE y END) <= thr THEN lp > ln - lp ELSE p - lp > (n - ln) - (p
+        - lp) END AS INT) AS prediction FROM s, b""")
 def decision_tree_stump(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     return trees.DecisionTreeClassifier(1).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows).select("c_custkey", "prediction")
@@ -673,11 +717,18 @@ def _levels_sql(name: str, source: str, depth: int, target: str) -> str:
         own, new = f"{name}{k}", f"{name}{k + 1}"
         factor = 2 if target == "t" else 1
         parts += [
-            f"{own}h AS (SELECT node, f, v, count(*) AS c, sum(g) AS p FROM (SELECT node, 0 AS f, x AS v, g FROM {own} UNION ALL SELECT node, 1, y, g FROM {own}) GROUP BY 1, 2, 3)",
-            f"{own}w AS (SELECT node, f, (v + lead(v) OVER o) / 2 AS thr, (sum(c) OVER o)::DOUBLE AS lc, (sum(p) OVER o)::DOUBLE AS lp, (sum(c) OVER (PARTITION BY node, f))::DOUBLE AS c, (sum(p) OVER (PARTITION BY node, f))::DOUBLE AS p FROM {own}h WINDOW o AS (PARTITION BY node, f ORDER BY v))",
-            f"{own}g AS (SELECT *, round({factor} * (lp * lp / lc + (p - lp) * (p - lp) / (c - lc) - p * p / c) / c, 10) AS gain FROM {own}w WHERE thr IS NOT NULL)",
-            f"{own}b AS (SELECT node, first(f ORDER BY gain DESC, f, thr) AS f, first(thr ORDER BY gain DESC, f, thr) AS thr FROM {own}g {'WHERE gain > 0' if target == 't' else ''} GROUP BY 1)",
-            f"{new} AS (SELECT a.c_custkey, a.x, a.y, a.g, CASE WHEN b.thr IS NULL THEN a.node WHEN (CASE b.f WHEN 0 THEN a.x ELSE a.y END) <= b.thr THEN 2 * a.node + 1 ELSE 2 * a.node + 2 END AS node FROM {own} a LEFT JOIN {own}b b ON a.node = b.node)",
+            f"{own}h AS (SELECT node, f, v, count(*) AS c, sum(g) AS p FROM (SELECT node, 0 AS f, x AS v, g FROM {own} UNION ALL "
+            f"SELECT node, 1, y, g FROM {own}) GROUP BY 1, 2, 3)",
+            f"{own}w AS (SELECT node, f, (v + lead(v) OVER o) / 2 AS thr, (sum(c) OVER o)::DOUBLE AS lc, (sum(p) "
+            f"OVER o)::DOUBLE AS lp, (sum(c) OVER (PARTITION BY node, f))::DOUBLE AS c, (sum(p) OVER (PARTITION BY node, "
+            f"f))::DOUBLE AS p FROM {own}h WINDOW o AS (PARTITION BY node, f ORDER BY v))",
+            f"{own}g AS (SELECT *, round({factor} * (lp * lp / lc + (p - lp) * (p - lp) / (c - lc) - p * p / c) / c, 10) AS gain "
+            f"FROM {own}w WHERE thr IS NOT NULL)",
+            f"{own}b AS (SELECT node, first(f ORDER BY gain DESC, f, thr) AS f, first(thr ORDER BY gain DESC, f, thr) AS thr "
+            f"FROM {own}g {'WHERE gain > 0' if target == 't' else ''} GROUP BY 1)",
+            f"{new} AS (SELECT a.c_custkey, a.x, a.y, a.g, CASE WHEN b.thr IS NULL THEN a.node WHEN (CASE b.f WHEN 0 THEN a.x "
+            f"ELSE a.y END) <= b.thr THEN 2 * a.node + 1 ELSE 2 * a.node + 2 END AS node FROM {own} a LEFT "
+            f"JOIN {own}b b ON a.node = b.node)",
         ]
     return ", ".join([*parts, f"{name} AS (FROM {name}{depth})"])
 
@@ -698,30 +749,47 @@ def _forest_sql(trees_: int, depth: int, seed: int, random_cuts: bool) -> str:
         p /= k + 1
     weight = "1" if random_cuts else f"(CASE {' '.join(steps)} ELSE 13 END)"
     u = _uniform_sql(str(seed), "'boot'", "tree", "c_custkey")
-    parts = [f"a0 AS MATERIALIZED (SELECT tree, c_custkey, x, y, {weight} * 1.0::DOUBLE AS w, {weight} * t::DOUBLE AS g, 0::BIGINT AS node FROM (SELECT *, {u} AS u FROM s, range({trees_}) r(tree)) WHERE {weight} > 0)"]
+    parts = [f"a0 AS MATERIALIZED (SELECT tree, c_custkey, x, y, {weight} * 1.0::DOUBLE AS w, {weight} * t::DOUBLE AS g, 0::BIGINT AS node "
+        f"FROM (SELECT *, {u} AS u FROM s, range({trees_}) r(tree)) WHERE {weight} > 0)"]
     for k in range(depth):
         own = f"a{k}"
-        parts.append(f"{own}o AS MATERIALIZED (SELECT tree, node FROM {own} WHERE open_ GROUP BY 1, 2 HAVING sum(w) >= 2 AND sum(g) > 0 AND sum(g) < sum(w))".replace(" WHERE open_", ""))
-        parts.append(f"{own}v AS (SELECT tree, node, f, v, w, g FROM (SELECT tree, node, 0 AS f, x AS v, w, g FROM {own} UNION ALL SELECT tree, node, 1, y, w, g FROM {own}) SEMI JOIN {own}o USING (tree, node))")
+        parts.append(f"{own}o AS MATERIALIZED (SELECT tree, node FROM {own} WHERE open_ GROUP BY 1, 2 HAVING sum(w) >= 2 AND sum(g) > 0 "
+            f"AND sum(g) < sum(w))".replace(" WHERE open_", ""))
+        parts.append(f"{own}v AS (SELECT tree, node, f, v, w, g FROM (SELECT tree, node, 0 AS f, x AS v, w, g FROM {own} UNION ALL SELECT tree, "
+            f"node, 1, y, w, g FROM {own}) SEMI JOIN {own}o USING (tree, node))")
         if random_cuts:
             cut = _uniform_sql(str(seed), "'cut'", "tree", "node", "f")
-            parts.append(f"{own}c AS (SELECT tree, node, f, lo + {cut} * (hi - lo) AS thr FROM (SELECT tree, node, f, min(v) AS lo, max(v) AS hi FROM {own}v GROUP BY 1, 2, 3) WHERE lo < hi)")
-            parts.append(f"{own}w AS (SELECT tree, node, f, thr, sum(w) FILTER (WHERE v <= thr) AS lc, coalesce(sum(g) FILTER (WHERE v <= thr), 0) AS lp, sum(w) AS c, sum(g) AS p FROM {own}v JOIN {own}c USING (tree, node, f) GROUP BY 1, 2, 3, 4)")
+            parts.append(f"{own}c AS (SELECT tree, node, f, lo + {cut} * (hi - lo) AS thr FROM (SELECT tree, node, f, min(v) AS lo, max(v) AS hi "
+                f"FROM {own}v GROUP BY 1, 2, 3) WHERE lo < hi)")
+            parts.append(f"{own}w AS (SELECT tree, node, f, thr, sum(w) FILTER (WHERE v <= thr) AS lc, coalesce(sum(g) FILTER (WHERE v <= thr), "
+                f"0) AS lp, sum(w) AS c, sum(g) AS p FROM {own}v JOIN {own}c USING (tree, node, f) GROUP BY 1, 2, 3, 4)")
         else:
             draw = _uniform_sql(str(seed), "'feature'", "tree", "node", "f")
             parts.append(f"{own}p AS (SELECT tree, node, first(f ORDER BY {draw}, f) AS f FROM {own}o, range(2) r(f) GROUP BY 1, 2)")
-            parts.append(f"{own}h AS (SELECT tree, node, f, v, sum(w) AS c, sum(g) AS p FROM {own}v SEMI JOIN {own}p USING (tree, node, f) GROUP BY 1, 2, 3, 4)")
-            parts.append(f"{own}w AS (SELECT tree, node, f, (v + lead(v) OVER o) / 2 AS thr, sum(c) OVER o AS lc, sum(p) OVER o AS lp, sum(c) OVER (PARTITION BY tree, node, f) AS c, sum(p) OVER (PARTITION BY tree, node, f) AS p FROM {own}h WINDOW o AS (PARTITION BY tree, node, f ORDER BY v))")
-        parts.append(f"{own}g AS (SELECT *, round(2 * (lp * lp / lc + (p - lp) * (p - lp) / (c - lc) - p * p / c) / c, 10) AS gain FROM {own}w WHERE thr IS NOT NULL AND lc >= 1 AND c - lc >= 1)")
-        parts.append(f"{own}b AS MATERIALIZED (SELECT tree, node, first(f ORDER BY gain DESC, f, thr) AS f, first(thr ORDER BY gain DESC, f, thr) AS thr FROM {own}g {'' if random_cuts else 'WHERE gain > 0'} GROUP BY 1, 2)")
+            parts.append(f"{own}h AS (SELECT tree, node, f, v, sum(w) AS c, sum(g) AS p FROM {own}v SEMI JOIN {own}p USING (tree, node, f) "
+                f"GROUP BY 1, 2, 3, 4)")
+            parts.append(f"{own}w AS (SELECT tree, node, f, (v + lead(v) OVER o) / 2 AS thr, sum(c) OVER o AS lc, sum(p) OVER o AS lp, sum(c) "
+                f"OVER (PARTITION BY tree, node, f) AS c, sum(p) OVER (PARTITION BY tree, node, f) AS p FROM {own}h "
+                f"WINDOW o AS (PARTITION BY tree, node, f ORDER BY v))")
+        parts.append(f"{own}g AS (SELECT *, round(2 * (lp * lp / lc + (p - lp) * (p - lp) / (c - lc) - p * p / c) / c, 10) AS gain FROM {own}w "
+            f"WHERE thr IS NOT NULL AND lc >= 1 AND c - lc >= 1)")
+        parts.append(f"{own}b AS MATERIALIZED (SELECT tree, node, first(f ORDER BY gain DESC, f, thr) AS f, first(thr ORDER BY gain DESC, f, "
+            f"thr) AS thr FROM {own}g {'' if random_cuts else 'WHERE gain > 0'} GROUP BY 1, 2)")
         # a row that is done keeps its node, which no later split has, as children's numbers are larger
-        parts.append(f"a{k + 1} AS MATERIALIZED (SELECT a.tree, a.c_custkey, a.x, a.y, a.w, a.g, CASE WHEN b.thr IS NULL THEN a.node WHEN (CASE b.f WHEN 0 THEN a.x ELSE a.y END) <= b.thr THEN 2 * a.node + 1 ELSE 2 * a.node + 2 END AS node FROM {own} a LEFT JOIN {own}b b ON a.tree = b.tree AND a.node = b.node)")
+        parts.append(f"a{k + 1} AS MATERIALIZED (SELECT a.tree, a.c_custkey, a.x, a.y, a.w, a.g, CASE WHEN b.thr IS NULL THEN a.node WHEN (CASE b.f "
+            f"WHEN 0 THEN a.x ELSE a.y END) <= b.thr THEN 2 * a.node + 1 ELSE 2 * a.node + 2 END AS node FROM {own} a LEFT "
+            f"JOIN {own}b b ON a.tree = b.tree AND a.node = b.node)")
     leaf = f"leaf AS (SELECT tree, node, sum(g) > sum(w) - sum(g) AS vote FROM a{depth} GROUP BY 1, 2)"
     # rows outside a tree's sample walk down the same splits
     walk = ["z0 AS (SELECT tree, c_custkey, x, y, t, 0::BIGINT AS node FROM s, " + f"range({trees_}) r(tree))"]
     for k in range(depth):
-        walk.append(f"z{k + 1} AS (SELECT a.tree, a.c_custkey, a.x, a.y, a.t, CASE WHEN b.thr IS NULL THEN a.node WHEN (CASE b.f WHEN 0 THEN a.x ELSE a.y END) <= b.thr THEN 2 * a.node + 1 ELSE 2 * a.node + 2 END AS node FROM z{k} a LEFT JOIN a{k}b b ON a.tree = b.tree AND a.node = b.node)")
-    votes = f"SELECT c_custkey, CAST(any_value(t) AS INT) AS t, CAST(avg(vote::INT) > 0.5 AS INT) AS prediction, round(avg(vote::INT), 6) AS p FROM z{depth} JOIN leaf USING (tree, node) GROUP BY 1"
+        walk.append(f"z{k + 1} AS (SELECT a.tree, a.c_custkey, a.x, a.y, a.t, CASE WHEN b.thr IS NULL THEN a.node WHEN (CASE b.f WHEN 0 THEN a.x "
+            f"ELSE a.y END) <= b.thr THEN 2 * a.node + 1 ELSE 2 * a.node + 2 END AS node FROM z{k} a LEFT JOIN a{k}b b ON a.tree = b.tree "
+            f"AND a.node = b.node)")
+    votes = (
+        f"SELECT c_custkey, CAST(any_value(t) AS INT) AS t, CAST(avg(vote::INT) > 0.5 AS INT) AS prediction, round(avg(vote::INT), 6) AS p "
+        f"FROM z{depth} JOIN leaf USING (tree, node) GROUP BY 1"
+    )
     return f"{_TREE}, " + ", ".join([*parts, leaf, *walk]) + " " + votes
 
 
@@ -739,11 +807,16 @@ def extra_trees(spark, sf_dir):
     return out.select("c_custkey", "t", "prediction", F.round(F.get("probability", F.lit(1)), 6).alias("p"))
 
 
-@query(_TREE + """, f AS (SELECT 0 AS f, x AS v, t FROM s UNION ALL SELECT 1, y, t FROM s), h AS (SELECT f, v, count(*) FILTER (WHERE t = 1) AS p, count(*) FILTER (WHERE t = 0) AS m FROM f GROUP BY 1, 2),
-    w AS (SELECT f, v, p, m, coalesce(sum(p) OVER o, 0) AS bp, coalesce(sum(m) OVER o, 0) AS bm, sum(p) OVER (PARTITION BY f) AS tp, sum(m) OVER (PARTITION BY f) AS tm FROM h WINDOW o AS (PARTITION BY f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    e AS (SELECT f, v, 0 AS o, round((bm + tp - bp) / (tp + tm)::DOUBLE, 12) AS err FROM w UNION ALL SELECT f, v, 1, round((tm - bm - m + bp + p) / (tp + tm)::DOUBLE, 12) FROM w),
+@query(_TREE + """, f AS (SELECT 0 AS f, x AS v, t FROM s UNION ALL SELECT 1, y, t FROM s), h AS (SELECT f, v,
+    count(*) FILTER (WHERE t = 1) AS p, count(*) FILTER (WHERE t = 0) AS m FROM f GROUP BY 1, 2),
+    w AS (SELECT f, v, p, m, coalesce(sum(p) OVER o, 0) AS bp, coalesce(sum(m) OVER o, 0) AS bm, sum(p) OVER (PARTITION BY f) AS tp,
+        sum(m) OVER (PARTITION BY f) AS tm FROM h WINDOW o AS (PARTITION BY f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    e AS (SELECT f, v, 0 AS o, round((bm + tp - bp) / (tp + tm)::DOUBLE, 12) AS err FROM w UNION ALL SELECT f, v, 1, round((tm - bm - m
+        + bp + p) / (tp + tm)::DOUBLE, 12) FROM w),
     b AS (SELECT * FROM e ORDER BY err, f, v, o LIMIT 1), a AS (SELECT *, 0.5 * ln((1 - greatest(err, 1e-10)) / greatest(err, 1e-10)) AS alpha FROM b)
-    SELECT c_custkey, CAST((CASE WHEN o = 0 THEN (CASE f WHEN 0 THEN x ELSE y END) < v ELSE (CASE f WHEN 0 THEN x ELSE y END) > v END) AS INT) AS prediction, round(CASE WHEN (CASE WHEN o = 0 THEN (CASE f WHEN 0 THEN x ELSE y END) < v ELSE (CASE f WHEN 0 THEN x ELSE y END) > v END) THEN alpha ELSE -alpha END, 6) AS score FROM s, a""")
+    SELECT c_custkey, CAST((CASE WHEN o = 0 THEN (CASE f WHEN 0 THEN x ELSE y END) < v ELSE (CASE f WHEN 0 THEN x
+        ELSE y END) > v END) AS INT) AS prediction, round(CASE WHEN (CASE WHEN o = 0 THEN (CASE f WHEN 0 THEN x ELSE y END) < v ELSE (CASE f
+        WHEN 0 THEN x ELSE y END) > v END) THEN alpha ELSE -alpha END, 6) AS score FROM s, a""")
 def adaboost_stump(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     out = trees.AdaBoostClassifier(1).fit(rows, ["x", "y"], "t").transform(rows)
@@ -755,10 +828,14 @@ def _adaboost_sql(rounds: int) -> str:
     parts = ["r0 AS (SELECT c_custkey, x, y, t, 0.0::DOUBLE AS score FROM s)"]
     for k in range(rounds):
         parts += [
-            f"f{k} AS (SELECT f, v, sum(w) FILTER (WHERE t = 1) AS p, sum(w) FILTER (WHERE t = 0) AS m FROM (SELECT 0 AS f, x AS v, t, exp(-score * (2 * t - 1)) AS w FROM r{k} UNION ALL SELECT 1, y, t, exp(-score * (2 * t - 1)) FROM r{k}) GROUP BY 1, 2)",
+            f"f{k} AS (SELECT f, v, sum(w) FILTER (WHERE t = 1) AS p, sum(w) FILTER (WHERE t = 0) AS m FROM (SELECT 0 AS f, x AS v, t, "
+            f"exp(-score * (2 * t - 1)) AS w FROM r{k} UNION ALL SELECT 1, y, t, exp(-score * (2 * t - 1)) FROM r{k}) GROUP BY 1, 2)",
             f"z{k} AS (SELECT f, v, coalesce(p, 0) AS p, coalesce(m, 0) AS m FROM f{k})",
-            f"w{k} AS (SELECT f, v, p, m, coalesce(sum(p) OVER o, 0) AS bp, coalesce(sum(m) OVER o, 0) AS bm, sum(p) OVER (PARTITION BY f) AS tp, sum(m) OVER (PARTITION BY f) AS tm FROM z{k} WINDOW o AS (PARTITION BY f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
-            f"e{k} AS (SELECT f, v, 0 AS o, round((bm + tp - bp) / (tp + tm), 12) AS err FROM w{k} UNION ALL SELECT f, v, 1, round((tm - bm - m + bp + p) / (tp + tm), 12) FROM w{k})",
+            f"w{k} AS (SELECT f, v, p, m, coalesce(sum(p) OVER o, 0) AS bp, coalesce(sum(m) OVER o, 0) AS bm, sum(p) "
+            f"OVER (PARTITION BY f) AS tp, sum(m) OVER (PARTITION BY f) AS tm FROM z{k} WINDOW o AS (PARTITION BY f "
+            f"ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+            f"e{k} AS (SELECT f, v, 0 AS o, round((bm + tp - bp) / (tp + tm), 12) AS err FROM w{k} UNION ALL SELECT f, v, 1, round((tm "
+            f"- bm - m + bp + p) / (tp + tm), 12) FROM w{k})",
             f"b{k} AS (SELECT *, 0.5 * ln((1 - greatest(err, 1e-10)) / greatest(err, 1e-10)) AS alpha FROM e{k} ORDER BY err, f, v, o LIMIT 1)",
             f"r{k + 1} AS (SELECT c_custkey, x, y, t, score + CASE WHEN {says} THEN alpha ELSE -alpha END AS score FROM r{k}, b{k})",
         ]
@@ -772,10 +849,13 @@ def adaboost(spark, sf_dir):
     return out.select("c_custkey", "t", "prediction", F.round("rawPrediction", 5).alias("score"))
 
 
-@query(_TREE + """, i AS (SELECT avg(x + y) AS f0 FROM s), r AS (SELECT c_custkey, x, y, x + y - f0 AS r FROM s, i), f AS (SELECT 0 AS f, x AS v, r FROM r UNION ALL SELECT 1, y, r FROM r), h AS (SELECT f, v, count(*) AS n, sum(r) AS p FROM f GROUP BY 1, 2),
-    w AS (SELECT f, (v + lead(v) OVER o) / 2 AS thr, sum(n) OVER o AS ln, sum(p) OVER o AS lp, sum(n) OVER (PARTITION BY f) AS n, sum(p) OVER (PARTITION BY f) AS p FROM h WINDOW o AS (PARTITION BY f ORDER BY v)),
+@query(_TREE + """, i AS (SELECT avg(x + y) AS f0 FROM s), r AS (SELECT c_custkey, x, y, x + y - f0 AS r FROM s, i), f AS (SELECT 0 AS f,
+    x AS v, r FROM r UNION ALL SELECT 1, y, r FROM r), h AS (SELECT f, v, count(*) AS n, sum(r) AS p FROM f GROUP BY 1, 2),
+    w AS (SELECT f, (v + lead(v) OVER o) / 2 AS thr, sum(n) OVER o AS ln, sum(p) OVER o AS lp, sum(n) OVER (PARTITION BY f) AS n, sum(p)
+        OVER (PARTITION BY f) AS p FROM h WINDOW o AS (PARTITION BY f ORDER BY v)),
     b AS (SELECT *, lp * lp / ln + (p - lp) * (p - lp) / (n - ln) AS won FROM w WHERE thr IS NOT NULL ORDER BY round(won / n, 9) DESC, f, thr LIMIT 1)
-    SELECT c_custkey, round(f0 + 0.1 * CASE WHEN (CASE f WHEN 0 THEN x ELSE y END) <= thr THEN lp / ln ELSE (p - lp) / (n - ln) END, 5) AS prediction FROM s, b, i""")
+    SELECT c_custkey, round(f0 + 0.1 * CASE WHEN (CASE f WHEN 0 THEN x ELSE y END) <= thr THEN lp / ln ELSE (p - lp) / (n - ln) END,
+        5) AS prediction FROM s, b, i""")
 def gradient_boosting_stump(spark, sf_dir):
     rows = _labelled(spark, sf_dir).withColumn("v", F.col("x") + F.col("y"))
     out = trees.GradientBoostingRegressor(1, 0.1, 1).fit(rows, ["x", "y"], "v", "c_custkey").transform(rows)
@@ -789,7 +869,8 @@ def _boost_sql(rounds: int, rate: float, depth: int, target: str, start: str, re
         parts.append(f"u{k} AS (SELECT c_custkey, x, y, {residual} AS r FROM q{k})")
         parts.append(_levels_sql(f"d{k}_", f"u{k}", depth, "r"))
         parts.append(f"l{k} AS (SELECT node, avg(g) AS step FROM d{k}_ GROUP BY 1)")
-        parts.append(f"q{k + 1} AS (SELECT a.c_custkey, a.x, a.y, a.v, a.score + {rate} * l.step AS score FROM q{k} a JOIN d{k}_ d USING (c_custkey) JOIN l{k} l ON d.node = l.node)")
+        parts.append(f"q{k + 1} AS (SELECT a.c_custkey, a.x, a.y, a.v, a.score + {rate} * l.step AS score FROM q{k} a "
+            f"JOIN d{k}_ d USING (c_custkey) JOIN l{k} l ON d.node = l.node)")
     return f"{_TREE}, " + ", ".join(parts)
 
 
@@ -816,7 +897,8 @@ def isolation_forest(spark, sf_dir):
 # kernel machines, Gaussian process, perceptrons
 
 @query(_TREE.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT count(*) AS n, least(count(*), 300) AS used FROM s),
-    d AS (SELECT row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws(':', '0', c_custkey)), 1, 8))::BIGINT / 4294967296.0, c_custkey) - 1 AS i, x, y, 2 * t - 1 AS l FROM s),
+    d AS (SELECT row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws(':', '0', c_custkey)), 1, 8))::BIGINT / 4294967296.0,
+        c_custkey) - 1 AS i, x, y, 2 * t - 1 AS l FROM s),
     r(t, w0, w1, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
         SELECT r.t + 1, (1 - 1.0::DOUBLE / (r.t + 1)) * w0 + CASE WHEN l * (x * w0 + y * w1 + b) < 1 THEN n::DOUBLE / (r.t + 1) * l * x ELSE 0 END,
             (1 - 1.0::DOUBLE / (r.t + 1)) * w1 + CASE WHEN l * (x * w0 + y * w1 + b) < 1 THEN n::DOUBLE / (r.t + 1) * l * y ELSE 0 END,
