@@ -115,7 +115,10 @@ class DBSCAN(Estimator):
         cells = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.any_value("x").alias("x"))
         cells = cells.withColumn("at", F.array(*[F.floor(c / F.lit(float(side))) for c in grid]))
         cells = cut(cells.withColumn("parts", F.ceil(F.col("n") / self.PART)), "dbscan-cells")
-        around = cells.select(F.col("cell").alias("other"), F.col("x").alias("y"), F.col("n").alias("n_other"), F.col("parts").alias("parts_other"), F.col("at"))
+        around = cells.select(
+            F.col("cell").alias("other"), F.col("x").alias("y"), F.col("n").alias("n_other"), F.col("parts").alias("parts_other"),
+            F.col("at")
+        )
         for i in range(len(grid)):
             shifted = F.explode(F.sequence(F.get("at", F.lit(i)) - reach, F.get("at", F.lit(i)) + reach))
             around = around.withColumn(f"a{i}", shifted)
@@ -139,20 +142,35 @@ class DBSCAN(Estimator):
         """(u, v): the least core ids of cells of which a core point of one is a neighbour of one of the other."""
         axes = range(d)
         low, high = (F.array(*[f(F.get("x", F.lit(i))) for i in axes]) for f in (F.min, F.max))
-        bounds = cut(core.groupBy("cell").agg(F.min("id").alias("rep"), low.alias("low"), high.alias("high"), F.ceil(F.count(F.lit(1)) / self.PART).alias("parts")), "dbscan-bounds")
+        bounds = cut(
+            core.groupBy("cell").agg(F.min("id").alias("rep"), low.alias("low"), high.alias("high"), F.ceil(F.count(F.lit(1)) / self.PART).alias("parts")),
+            "dbscan-bounds"
+        )
         other = bounds.select(*[F.col(c).alias(f"{c}_other") for c in bounds.columns])
         pairs = near.select("cell", F.col("other").alias("cell_other")).join(bounds, "cell").join(other, "cell_other").where("rep < rep_other")
-        gap = F.zip_with(F.zip_with("low", "high_other", lambda a, b: a - b), F.zip_with("low_other", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
-        span = F.zip_with(F.zip_with("high", "low_other", lambda a, b: a - b), F.zip_with("high_other", "low", lambda a, b: a - b), lambda a, b: F.greatest(a, b))
+        gap = F.zip_with(
+            F.zip_with("low", "high_other", lambda a, b: a - b), F.zip_with("low_other", "high", lambda a, b: a - b), lambda a,
+            b: F.greatest(a, b, F.lit(0.0))
+        )
+        span = F.zip_with(
+            F.zip_with("high", "low_other", lambda a, b: a - b), F.zip_with("high_other", "low", lambda a, b: a - b), lambda a,
+            b: F.greatest(a, b)
+        )
         zero = F.transform(gap, lambda _: F.lit(0.0))
         slack = 1e-9 * self.eps  # pairs so close to the edge are left to the distances of the points
         pairs = pairs.withColumns({"least": self._distance(gap, zero), "most": self._distance(span, zero)}).where(F.col("least") <= self.eps + slack)
-        pairs = cut(pairs.select("cell", "cell_other", "rep", "rep_other", "parts", "parts_other", (F.col("most") <= self.eps - slack).alias("sure")), "dbscan-pairs")
+        pairs = cut(
+            pairs.select("cell", "cell_other", "rep", "rep_other", "parts", "parts_other", (F.col("most") <= self.eps - slack).alias("sure")),
+            "dbscan-pairs"
+        )
         tiles = pairs.where("NOT sure").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         tiles = tiles.withColumn("part_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_other") - 1))).drop("parts", "parts_other", "sure")
         distinct = core.groupBy("cell", "x").agg(F.min("id").alias("id")).join(bounds.select("cell", "parts"), "cell")
         distinct = distinct.select("cell", "x", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
-        met = tiles.join(distinct, ["cell", "part"]).join(distinct.select(F.col("cell").alias("cell_other"), F.col("x").alias("y"), F.col("part").alias("part_other")), ["cell_other", "part_other"])
+        met = tiles.join(distinct, ["cell", "part"]).join(
+            distinct.select(F.col("cell").alias("cell_other"), F.col("x").alias("y"), F.col("part").alias("part_other")),
+            ["cell_other", "part_other"]
+        )
         open_links = met.where(self._distance(F.col("x"), F.col("y")) <= self.eps).select("rep", "rep_other").distinct()
         return pairs.where("sure").select("rep", "rep_other").unionByName(open_links).toDF("u", "v")
 
@@ -165,7 +183,10 @@ class DBSCAN(Estimator):
         thin = points.join(crowded, "cell", "left_anti")
         around = points.select(F.col("id").alias("j"), F.col("x").alias("y"), F.col("cell").alias("cell_other"))
         enough = self._neighbours(thin, near, around).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.min_samples).select("id")
-        core = cut(points.join(crowded, "cell", "left_semi").select("id", "x", "cell").unionByName(thin.join(enough, "id", "left_semi").select("id", "x", "cell")), "dbscan-core")
+        core = cut(
+            points.join(crowded, "cell", "left_semi").select("id", "x", "cell").unionByName(thin.join(enough, "id", "left_semi").select("id", "x", "cell")),
+            "dbscan-core"
+        )
         reps = core.groupBy("cell").agg(F.min("id").alias("rep"))
         labels = closure(reps.select(F.col("rep").alias("id")), self._cell_links(core, near, d))
         number = ranked(labels.select("label").distinct(), [F.col("label")], rank="cluster").withColumn("cluster", F.col("cluster").cast("int"))
@@ -193,7 +214,10 @@ class GaussianMixture(Estimator):
     Starts from given means, or from rows drawn by hash, with the pooled variance. Output: prediction and probability.
     """
 
-    def __init__(self, n_components: int = 1, max_iter: int = 100, tol: float = 1e-3, covariance_type: str = "full", reg_covar: float = 1e-6, random_state: int | None = None, means_init: np.ndarray | None = None) -> None:
+    def __init__(
+        self, n_components: int = 1, max_iter: int = 100, tol: float = 1e-3, covariance_type: str = "full", reg_covar: float = 1e-6,
+        random_state: int | None = None, means_init: np.ndarray | None = None
+    ) -> None:
         if n_components < 1 or covariance_type not in ("full", "diag", "spherical"):
             raise ValueError("n_components >= 1 and covariance_type 'full', 'diag' or 'spherical' are required")
         self.n_components, self.max_iter, self.tol, self.covariance_type = n_components, max_iter, tol, covariance_type
@@ -320,7 +344,10 @@ class _Local(Estimator):
 
     def fit_predict(self, df: DataFrame, features, label=None, id_col: str = "id") -> DataFrame:
         self.fit(df, features, label, id_col)
-        found = df.sparkSession.createDataFrame([(i.item() if hasattr(i, "item") else i, int(k)) for i, k in zip(self._ids, self.labels_)], f"__id {dict(df.dtypes)[id_col]}, prediction int")
+        found = df.sparkSession.createDataFrame(
+            [(i.item() if hasattr(i, "item") else i, int(k)) for i, k in zip(self._ids, self.labels_)],
+            f"__id {dict(df.dtypes)[id_col]}, prediction int"
+        )
         return df.join(F.broadcast(found), F.col(id_col) == F.col("__id"), "left").drop("__id")
 
 

@@ -145,7 +145,10 @@ class LinearDiscriminantAnalysis(_Projection):
 class FastICA(_Projection):
     """Independent components by fixed-point steps, each one pass over the rows; E[g'] is one number for all components."""
 
-    def __init__(self, n_components: int | None = None, algorithm: str = "parallel", fun: str = "logcosh", fun_alpha: float = 1.0, max_iter: int = 200, tol: float = 1e-4, whiten: bool = True, random_state: int | None = None) -> None:
+    def __init__(
+        self, n_components: int | None = None, algorithm: str = "parallel", fun: str = "logcosh", fun_alpha: float = 1.0,
+        max_iter: int = 200, tol: float = 1e-4, whiten: bool = True, random_state: int | None = None
+    ) -> None:
         if algorithm not in ("parallel", "deflation") or fun not in ("logcosh", "exp", "cube"):
             raise ValueError("algorithm 'parallel' or 'deflation' and fun 'logcosh', 'exp' or 'cube' are required")
         self.n_components, self.algorithm, self.fun, self.fun_alpha = n_components, algorithm, fun, fun_alpha
@@ -323,7 +326,11 @@ class NMF(_Projection):
 class TSNE(Estimator):
     """Exact t-SNE of at most LOCAL_ROWS rows."""
 
-    def __init__(self, n_components: int = 2, perplexity: float = 30.0, learning_rate: float | str = 200.0, n_iterations: int = 1000, early_exaggeration: float = 12.0, exaggeration_iter: int = 250, momentum: float = 0.5, final_momentum: float = 0.8, momentum_switch_iter: int = 250, min_gain: float = 0.01, random_state: int | None = None) -> None:
+    def __init__(
+        self, n_components: int = 2, perplexity: float = 30.0, learning_rate: float | str = 200.0, n_iterations: int = 1000,
+        early_exaggeration: float = 12.0, exaggeration_iter: int = 250, momentum: float = 0.5, final_momentum: float = 0.8,
+        momentum_switch_iter: int = 250, min_gain: float = 0.01, random_state: int | None = None
+    ) -> None:
         self.n_components, self.perplexity, self.learning_rate, self.n_iterations = n_components, perplexity, learning_rate, n_iterations
         self.early_exaggeration, self.exaggeration_iter, self.momentum, self.final_momentum = early_exaggeration, exaggeration_iter, momentum, final_momentum
         self.momentum_switch_iter, self.min_gain, self.random_state = momentum_switch_iter, min_gain, random_state

@@ -70,7 +70,9 @@ class SVC(Estimator):
     n_iterations counts rounds of as many steps as there are rows; it ends when no pair violates them by more than 2 tol.
     """
 
-    def __init__(self, C: float = 1.0, kernel: str = "rbf", gamma: float | str = "scale", degree: int = 3, n_iterations: int = 100, tol: float = 1e-3) -> None:  # noqa: N803
+    def __init__(
+        self, C: float = 1.0, kernel: str = "rbf", gamma: float | str = "scale", degree: int = 3, n_iterations: int = 100, tol: float = 1e-3
+    ) -> None:  # noqa: N803
         if C <= 0 or kernel not in ("linear", "rbf", "poly"):
             raise ValueError("C > 0 and kernel 'linear', 'rbf' or 'poly' are required")
         self.C, self.kernel, self.gamma, self.degree, self.n_iterations, self.tol = C, kernel, gamma, degree, n_iterations, tol
@@ -153,7 +155,10 @@ GP_KERNELS = {"rbf": _rbf, "matern52": _matern52, "periodic": _periodic, "linear
 class GaussianProcessRegressor(Estimator):
     """Exact regression on at most LOCAL_ROWS rows by one Cholesky factor; a callable kernel gets the two matrices."""
 
-    def __init__(self, kernel: str | Callable = "rbf", *, length_scale: float = 1.0, signal_var: float = 1.0, noise_var: float = 1e-3, period: float = 1.0, bias: float = 0.0) -> None:
+    def __init__(
+        self, kernel: str | Callable = "rbf", *, length_scale: float = 1.0, signal_var: float = 1.0, noise_var: float = 1e-3,
+        period: float = 1.0, bias: float = 0.0
+    ) -> None:
         if not callable(kernel) and kernel not in GP_KERNELS:
             raise ValueError(f"kernel is callable or one of {sorted(GP_KERNELS)}")
         if noise_var < 0:

@@ -100,15 +100,23 @@ def confusion_matrix(df: DataFrame, y: str, p: str) -> DataFrame:
 def classification_report(df: DataFrame, y: str, p: str) -> DataFrame:
     """(label, precision, recall, f1, support) of each class, then 'macro avg' and 'weighted avg'."""
     counts = df.groupBy(F.col(y).alias("t"), F.col(p).alias("q")).agg(F.count(F.lit(1)).alias("n"))
-    sides = counts.select(F.col("t").alias("label"), F.col("n").alias("support"), F.lit(0).alias("called"), F.when(F.col("t") == F.col("q"), F.col("n")).otherwise(0).alias("tp")).unionByName(
+    sides = counts.select(
+        F.col("t").alias("label"), F.col("n").alias("support"), F.lit(0).alias("called"),
+        F.when(F.col("t") == F.col("q"), F.col("n")).otherwise(0).alias("tp")
+    ).unionByName(
         counts.select(F.col("q").alias("label"), F.lit(0).alias("support"), F.col("n").alias("called"), F.lit(0).alias("tp")))
     sums = sides.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "called", "tp")])
     precision, recall = _ratio(F.col("tp"), F.col("called")), _ratio(F.col("tp"), F.col("support"))
-    each = sums.select(F.col("label").cast("string").alias("label"), precision.alias("precision"), recall.alias("recall"), F.col("support").cast("long").alias("support"))
+    each = sums.select(
+        F.col("label").cast("string").alias("label"), precision.alias("precision"), recall.alias("recall"),
+        F.col("support").cast("long").alias("support")
+    )
     each = each.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     three = ("precision", "recall", "f1")
     macro = each.agg(*[F.avg(c).alias(c) for c in three], F.sum("support").alias("support")).withColumn("label", F.lit("macro avg"))
-    weighted = each.agg(*[_ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in three], F.sum("support").alias("support")).withColumn("label", F.lit("weighted avg"))
+    weighted = each.agg(
+        *[_ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in three], F.sum("support").alias("support")
+    ).withColumn("label", F.lit("weighted avg"))
     order = ["label", *three, "support"]
     return each.select(order).unionByName(macro.select(order)).unionByName(weighted.select(order))
 
@@ -117,7 +125,10 @@ def format_report(report: DataFrame, digits: int = 3) -> str:
     rows = report.collect()
     width = max([12, *(len(r["label"]) for r in rows)])
     lines = [f"{'':>{width}} precision recall f1 support"]
-    return "\n".join([*lines, *(f"{r['label']:>{width}} {r['precision']:.{digits}f} {r['recall']:.{digits}f} {r['f1']:.{digits}f} {r['support']}" for r in rows)])
+    return "\n".join([
+        *lines,
+        *(f"{r['label']:>{width}} {r['precision']:.{digits}f} {r['recall']:.{digits}f} {r['f1']:.{digits}f} {r['support']}" for r in rows)
+    ])
 
 
 def silhouette_samples(df: DataFrame, features, label: str, id_col: str) -> DataFrame:
@@ -143,7 +154,10 @@ def silhouette_samples(df: DataFrame, features, label: str, id_col: str) -> Data
             out[:, 3 * k], out[:, 3 * k + 1], out[:, 3 * k + 2] = mine.sum(1), mine.shape[1], (mine > 0).sum(1)
         return out
 
-    summed = blocked_sums(rows, rows.select("x", F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("label")).alias("code")), len(own), sums, 3 * len(labels), INDEX_ROWS)
+    summed = blocked_sums(
+        rows, rows.select("x", F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("label")).alias("code")), len(own), sums,
+        3 * len(labels), INDEX_ROWS
+    )
     mine = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("label")).cast("int") - 1
     at = lambda k, j: F.get("sums", (k * 3 + j).cast("int"))
     others = F.array_min(F.transform(F.filter(F.sequence(F.lit(0), F.lit(max(len(labels) - 1, 0))), lambda k: k != mine), lambda k: at(k, 0) / at(k, 1)))

@@ -61,10 +61,16 @@ class KNNClassifier(_Neighbors):
     def _vote(self, near: Column) -> Column:
         exact = F.filter(near, lambda n: n["distance"] == 0)
         if self.weights == "uniform":
-            counts = F.transform(near, lambda n, i: F.struct((-F.size(F.filter(near, lambda m: m["value"] == n["value"]))).alias("c"), i.alias("i"), n["value"].alias("v")))
+            counts = F.transform(
+                near, lambda n,
+                i: F.struct((-F.size(F.filter(near, lambda m: m["value"] == n["value"]))).alias("c"), i.alias("i"), n["value"].alias("v"))
+            )
             return F.array_min(counts)["v"]
         weight = lambda n: F.when(F.size(exact) > 0, (n["distance"] == 0).cast("double")).otherwise(_weight(n))
-        sums = F.transform(near, lambda n: F.struct((-_sum(F.transform(F.filter(near, lambda m: m["value"] == n["value"]), weight))).alias("c"), n["value"].alias("v")))
+        sums = F.transform(
+            near,
+            lambda n: F.struct((-_sum(F.transform(F.filter(near, lambda m: m["value"] == n["value"]), weight))).alias("c"), n["value"].alias("v"))
+        )
         return F.array_min(sums)["v"]
 
 

@@ -24,7 +24,10 @@ def _slope(name: str, a: np.ndarray) -> np.ndarray:
 
 
 class _Perceptron(Estimator):
-    def __init__(self, hidden_layer_sizes: tuple[int, ...] = (100,), activation: str = "relu", learning_rate: float = 1e-3, n_iterations: int = 500, batch_size: int = 32, random_state: int | None = None) -> None:
+    def __init__(
+        self, hidden_layer_sizes: tuple[int, ...] = (100,), activation: str = "relu", learning_rate: float = 1e-3, n_iterations: int = 500,
+        batch_size: int = 32, random_state: int | None = None
+    ) -> None:
         if activation not in ("relu", "tanh", "sigmoid"):
             raise ValueError("activation is 'relu', 'tanh' or 'sigmoid'")
         self.hidden_layer_sizes, self.activation, self.learning_rate = tuple(hidden_layer_sizes), activation, learning_rate

@@ -61,7 +61,9 @@ class StratifiedKFold(KFold):
         return _ntile(df, self._order(id_col), self.n_splits, label, fold)
 
 
-def cross_val_score(estimator, df: DataFrame, features, label: str, id_col: str, cv: int | KFold = 5, scoring: Callable[[str, str], Column] | None = None) -> np.ndarray:
+def cross_val_score(
+    estimator, df: DataFrame, features, label: str, id_col: str, cv: int | KFold = 5, scoring: Callable[[str, str], Column] | None = None
+) -> np.ndarray:
     """The score of each fold: the aggregate `scoring(label, prediction)`, accuracy by default. An integer `cv` stratifies."""
     splitter = StratifiedKFold(cv) if isinstance(cv, int) else cv
     scores = []

@@ -247,7 +247,10 @@ def grow(
             pos = pos.join(F.broadcast(spark.createDataFrame(picked, "tree int, node long, f int")), ["tree", "node", "f"])
         group = ["tree", "node", "f"]
         if random_thresholds:
-            drawn = spark.createDataFrame([(t, k, f, _draw(seed, "cut", t, forest[t].nodes[k].path, f)) for t, k in edge for f in range(d)], "tree int, node long, f int, u double")
+            drawn = spark.createDataFrame(
+                [(t, k, f, _draw(seed, "cut", t, forest[t].nodes[k].path, f)) for t, k in edge for f in range(d)],
+                "tree int, node long, f int, u double"
+            )
             ends = pos.groupBy(*group).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").join(F.broadcast(drawn), group)
             cut = ends.select(*group, (F.col("lo") + F.col("u") * (F.col("hi") - F.col("lo"))).alias("t"))
             on_left = F.col("v") <= F.col("t")
@@ -267,7 +270,10 @@ def grow(
         fits = joined.withColumn("gain", gain).where((F.col("lw") >= min_leaf) & (F.col("w") - F.col("lw") >= min_leaf))
         if not zero_gain:
             fits = fits.where("gain > 0")
-        best = F.max_by(F.struct("f", "t", "lw", "w", *[f"l_{s}" for s in stats], *stats), F.struct(F.col("gain"), (-F.col("f")).alias("nf"), (-F.col("t")).alias("nt"))).alias("b")
+        best = F.max_by(
+            F.struct("f", "t", "lw", "w", *[f"l_{s}" for s in stats], *stats),
+            F.struct(F.col("gain"), (-F.col("f")).alias("nf"), (-F.col("t")).alias("nt"))
+        ).alias("b")
         splits = fits.groupBy("tree", "node").agg(best).collect()
         open_ = set(edge)
         made, edge = [], []
@@ -311,7 +317,10 @@ def _share_of_first_largest(value: list[float]) -> int:
 class DecisionTreeClassifier(Estimator):
     """CART by Gini impurity, midpoint thresholds. probability is 1 for the leaf's majority class (of equal counts the first)."""
 
-    def __init__(self, max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1, n_features: int | None = None, random_state: int | None = None) -> None:
+    def __init__(
+        self, max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1, n_features: int | None = None,
+        random_state: int | None = None
+    ) -> None:
         self.max_depth, self.min_samples_split, self.min_samples_leaf = max_depth, min_samples_split, min_samples_leaf
         self.n_features, self.random_state = n_features, random_state
 
@@ -320,7 +329,10 @@ class DecisionTreeClassifier(Estimator):
         own = Features(df, features)
         self.n_features_in_, self.classes_ = len(own), _sorted_classes(df, label)
         rows, stats = _class_rows(df, own, label, id_col, self.classes_)
-        self.tree_ = grow(rows, len(own), stats, "gini", 1, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.n_features, self.random_state or 0)[0]
+        self.tree_ = grow(
+            rows, len(own), stats, "gini", 1, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.n_features,
+            self.random_state or 0
+        )[0]
         self._fitted = True
         return self
 
@@ -343,7 +355,10 @@ class _Forest(Estimator):
 
     random_thresholds = False
 
-    def __init__(self, n_estimators: int = 100, max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1, n_features: int | None = None, bootstrap: bool = True, random_state: int | None = None) -> None:
+    def __init__(
+        self, n_estimators: int = 100, max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1,
+        n_features: int | None = None, bootstrap: bool = True, random_state: int | None = None
+    ) -> None:
         if n_estimators < 1:
             raise ValueError("n_estimators must be at least 1")
         self.n_estimators, self.max_depth, self.min_samples_split, self.min_samples_leaf = n_estimators, max_depth, min_samples_split, min_samples_leaf
@@ -361,7 +376,10 @@ class _Forest(Estimator):
         if self.bootstrap:  # a row's count in a sample of as many rows with replacement is Poisson(1) in the limit
             weight = poisson_one(uniform(seed, "boot", F.col("tree"), F.col("id"))).cast("double")
             rows = rows.withColumn("w", weight).where("w > 0").withColumns({s: F.col(s) * F.col("w") for s in stats})
-        self.trees_ = grow(rows, len(own), stats, "gini", self.n_estimators, self.max_depth, self.min_samples_split, self.min_samples_leaf, self._features_of_node(len(own)), seed, self.random_thresholds, self.random_thresholds)
+        self.trees_ = grow(
+            rows, len(own), stats, "gini", self.n_estimators, self.max_depth, self.min_samples_split, self.min_samples_leaf,
+            self._features_of_node(len(own)), seed, self.random_thresholds, self.random_thresholds
+        )
         self.trees_ = self.estimators_ = [t for t in self.trees_ if t.nodes]
         self._fitted = True
         return self
@@ -395,7 +413,10 @@ class ExtraTreesClassifier(_Forest):
 
     random_thresholds = True
 
-    def __init__(self, n_estimators: int = 100, max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1, n_features: int | None = None, bootstrap: bool = False, random_state: int | None = None) -> None:
+    def __init__(
+        self, n_estimators: int = 100, max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1,
+        n_features: int | None = None, bootstrap: bool = False, random_state: int | None = None
+    ) -> None:
         super().__init__(n_estimators, max_depth, min_samples_split, min_samples_leaf, n_features, bootstrap, random_state)
 
 
@@ -415,7 +436,9 @@ class AdaBoostClassifier(Estimator):
         self.n_features_in_, self.classes_ = len(own), _sorted_classes(df, label)
         if len(self.classes_) != 2:
             raise ValueError("AdaBoost needs two classes")
-        rows = df.where(own.known & F.col(label).isNotNull()).select(own.vector.alias("x"), F.when(F.col(label) == self.classes_[1], 1).otherwise(-1).alias("y")).persist()
+        rows = df.where(own.known & F.col(label).isNotNull()).select(
+            own.vector.alias("x"), F.when(F.col(label) == self.classes_[1], 1).otherwise(-1).alias("y")
+        ).persist()
         self.stumps_, self.estimator_errors_ = [], []
         bounds = bucket_bounds(rows, len(own))
         try:
@@ -424,13 +447,19 @@ class AdaBoostClassifier(Estimator):
                 cells = rows.select("y", F.exp(log_weight).alias("w"), F.posexplode("x").alias("f", "v")).groupBy("f", "v").agg(
                     F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("y") == -1, F.col("w")).otherwise(0.0)).alias("m"))
                 scan = running_sums(cells, ["f"], ["p", "m"], bounds)
-                scan = scan.select("f", "v", "p", "m", (F.col("upto_p") - F.col("p")).alias("bp"), (F.col("upto_m") - F.col("m")).alias("bm"), F.col("all_p").alias("tp"), F.col("all_m").alias("tm"))
+                scan = scan.select(
+                    "f", "v", "p", "m", (F.col("upto_p") - F.col("p")).alias("bp"), (F.col("upto_m") - F.col("m")).alias("bm"),
+                    F.col("all_p").alias("tp"), F.col("all_m").alias("tm")
+                )
                 total = F.col("tp") + F.col("tm")
                 # polarity 1: x < t says +1; wrong are the minus below and the plus from t on. polarity -1: x > t says +1
                 plus = (F.col("bm") + F.col("tp") - F.col("bp")) / total
                 above_p, above_m = F.col("tp") - F.col("bp") - F.col("p"), F.col("tm") - F.col("bm") - F.col("m")
                 minus = (above_m + F.col("tp") - above_p) / total
-                both = scan.select("f", "v", F.explode(F.array(F.struct(F.round(plus, 12).alias("e"), F.lit(0).alias("o")), F.struct(F.round(minus, 12).alias("e"), F.lit(1).alias("o")))).alias("s"))
+                both = scan.select("f", "v", F.explode(F.array(
+                    F.struct(F.round(plus, 12).alias("e"), F.lit(0).alias("o")),
+                    F.struct(F.round(minus, 12).alias("e"), F.lit(1).alias("o"))
+                )).alias("s"))
                 best = both.agg(F.min(F.struct(F.col("s.e").alias("e"), F.col("f"), F.col("v"), F.col("s.o").alias("o"))).alias("b")).first()["b"]
                 if best is None:
                     raise ValueError("there are no rows to fit on")
@@ -461,7 +490,10 @@ class AdaBoostClassifier(Estimator):
 class _Boosting(Estimator):
     """Regression trees on residuals. The running score is an expression of the trees so far, so rows are never joined with state."""
 
-    def __init__(self, n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3, min_samples_leaf: int = 1, subsample: float = 1.0, random_state: int | None = None) -> None:
+    def __init__(
+        self, n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3, min_samples_leaf: int = 1, subsample: float = 1.0,
+        random_state: int | None = None
+    ) -> None:
         if not 0 < subsample <= 1:
             raise ValueError("subsample must be in (0, 1]")
         self.n_estimators, self.learning_rate, self.max_depth, self.min_samples_leaf = n_estimators, learning_rate, max_depth, min_samples_leaf
@@ -507,7 +539,9 @@ class GradientBoostingClassifier(_Boosting):
         self.n_features_in_, self.classes_ = len(own), _sorted_classes(df, label)
         if len(self.classes_) != 2:
             raise ValueError("gradient boosting needs two classes")
-        rows = df.where(own.known & F.col(label).isNotNull()).select(F.col(id_col).alias("id"), own.vector.alias("x"), (F.col(label) == self.classes_[1]).cast("double").alias("y"))
+        rows = df.where(own.known & F.col(label).isNotNull()).select(
+            F.col(id_col).alias("id"), own.vector.alias("x"), (F.col(label) == self.classes_[1]).cast("double").alias("y")
+        )
         share = min(max(rows.agg(F.avg("y")).first()[0], 1e-15), 1 - 1e-15)
         self.init_ = math.log(share / (1 - share))
         q = lambda s: F.greatest(F.least(sigmoid(s), F.lit(1 - 1e-15)), F.lit(1e-15))
@@ -526,7 +560,10 @@ class GradientBoostingClassifier(_Boosting):
 class GradientBoostingRegressor(_Boosting):
     """Squared loss from the mean, or absolute loss from the median with signs as residuals; leaves are means of residuals."""
 
-    def __init__(self, n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3, min_samples_leaf: int = 1, subsample: float = 1.0, loss: str = "mse", random_state: int | None = None) -> None:
+    def __init__(
+        self, n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3, min_samples_leaf: int = 1, subsample: float = 1.0,
+        loss: str = "mse", random_state: int | None = None
+    ) -> None:
         super().__init__(n_estimators, learning_rate, max_depth, min_samples_leaf, subsample, random_state)
         if loss not in ("mse", "mae"):
             raise ValueError("loss is 'mse' or 'mae'")
@@ -580,7 +617,9 @@ class IsolationForest(Estimator):
         most = 256 if self.max_samples == "auto" else int(self.max_samples)
         # the samples of all trees: n_estimators * max_samples rows, by a window whose top rows are found before the exchange
         rank = F.row_number().over(Window.partitionBy("tree").orderBy("u", "id"))
-        spread = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.n_estimators - 1)))).withColumn("u", uniform(seed, F.col("tree"), F.col("id")))
+        spread = rows.withColumn(
+            "tree", F.explode(F.sequence(F.lit(0), F.lit(self.n_estimators - 1)))
+        ).withColumn("u", uniform(seed, F.col("tree"), F.col("id")))
         n = rows.count()
         if not n:
             raise ValueError("there are no rows to fit on")

@@ -61,7 +61,10 @@ def _matrix(table: pa.Table, name: str, width: int) -> np.ndarray:
     return matrix_of(table.column(name).combine_chunks(), width)
 
 
-def blocked_sums(rows: DataFrame, index: DataFrame, width: int, sums: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int, most: int = INDEX_ROWS) -> DataFrame:
+def blocked_sums(
+    rows: DataFrame, index: DataFrame, width: int, sums: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int,
+    most: int = INDEX_ROWS
+) -> DataFrame:
     """(id, label, sums) of every row (id, label, x): the sum over the index (x, code from 1) of what `sums` gives for matrices."""
 
     def work(index: pa.Table, own: pa.Table) -> pa.Table:

@@ -59,7 +59,10 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(avg(abs(y - p)), 6) AS mae, round(1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)), 6) AS r2 FROM o""")
 def metrics_regression(spark, sf_dir):
     o = _orders(spark, sf_dir)
-    return _rounded(o.agg(metrics.mse_of("y", "p").alias("mse"), metrics.rmse_of("y", "p").alias("rmse"), metrics.mae_of("y", "p").alias("mae"), metrics.r2_of("y", "p").alias("r2")), "mse", "rmse", "mae", "r2")
+    return _rounded(o.agg(
+        metrics.mse_of("y", "p").alias("mse"), metrics.rmse_of("y", "p").alias("rmse"), metrics.mae_of("y", "p").alias("mae"),
+        metrics.r2_of("y", "p").alias("r2")
+    ), "mse", "rmse", "mae", "r2")
 
 
 @query(f"""WITH o AS ({_ORDERS_SQL}), c AS (SELECT count(*) FILTER (WHERE t = 1 AND g = 1) * 1.0::DOUBLE AS tp, count(*) FILTER (WHERE g = 1) AS called,
@@ -68,7 +71,10 @@ def metrics_regression(spark, sf_dir):
         round(2 * (tp / called) * (tp / pos) / (tp / called + tp / pos), 6) AS f1, round(log_loss, 6) AS log_loss FROM c""")
 def metrics_classification(spark, sf_dir):
     p, r, f = metrics.precision_recall_f1_of("t", "g")
-    named = [metrics.accuracy_of("t", "g").alias("accuracy"), p.alias("precision"), r.alias("recall"), f.alias("f1"), metrics.log_loss_of("t", "q").alias("log_loss")]
+    named = [
+        metrics.accuracy_of("t", "g").alias("accuracy"), p.alias("precision"), r.alias("recall"), f.alias("f1"),
+        metrics.log_loss_of("t", "q").alias("log_loss")
+    ]
     return _rounded(_orders(spark, sf_dir).agg(*named), "accuracy", "precision", "recall", "f1", "log_loss")
 
 
@@ -126,7 +132,9 @@ _PART = "SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS pric
 
 
 def _part(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), F.lit(5.0).alias("fixed"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), F.lit(5.0).alias("fixed")
+    )
 
 
 _NUMERIC = ["size", "price", "fixed"]
@@ -179,7 +187,9 @@ def _onehot(spark, sf_dir, drop):
     e = preprocessing.OneHotEncoder(drop).fit(c, ["c_mktsegment"])
     names = e.get_feature_names_out()
     wide = e.transform(c)
-    return wide.select("c_custkey", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])).alias("f")).select("c_custkey", "f.name", "f.value")
+    return wide.select(
+        "c_custkey", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])).alias("f")
+    ).select("c_custkey", "f.name", "f.value")
 
 
 @query("""WITH k AS (SELECT DISTINCT c_mktsegment AS v FROM customer), k2 AS (SELECT v FROM k WHERE v > (SELECT min(v) FROM k))
@@ -329,7 +339,10 @@ _STD = f"""p AS ({_PART}), m AS (SELECT avg(size) AS ms, stddev_pop(size) AS ss,
 
 def _standard(spark, sf_dir):
     p = preprocessing.StandardScaler().fit_transform(_part(spark, sf_dir), ["size", "price"])
-    return p.select("p_partkey", F.col("size").alias("x0"), (((F.col("p_partkey") % 17) - 8) / 5.0).alias("x1"), (F.col("price") + 0.5 * F.col("size") + 3).alias("y"))
+    return p.select(
+        "p_partkey", F.col("size").alias("x0"), (((F.col("p_partkey") % 17) - 8) / 5.0).alias("x1"),
+        (F.col("price") + 0.5 * F.col("size") + 3).alias("y")
+    )
 
 
 def _weights(spark, model) -> DataFrame:
@@ -413,13 +426,21 @@ def knn_regress(spark, sf_dir):
         0)) / sum(1 / nullif(d, 0)) END, 6) AS prediction FROM n JOIN e USING (vec_id) GROUP BY 1""")
 def knn_regress_distance(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return _rounded(neighbors.KNNRegressor(5, weights="distance").fit(v, "embedding", "label", "vec_id").transform(v).select("vec_id", "prediction"), "prediction")
+    return _rounded(
+        neighbors.KNNRegressor(5, weights="distance").fit(v, "embedding", "label", "vec_id").transform(v).select("vec_id", "prediction"),
+        "prediction"
+    )
 
 
-@query(_KNN.replace("list_distance(a.x, b.x)", "list_sum(list_transform(range(1, 1 + len(a.x)), lambda k: abs(a.x[k] - b.x[k])))") + " SELECT vec_id, round(avg(label), 6) AS prediction FROM n GROUP BY 1")
+@query(_KNN.replace(
+    "list_distance(a.x, b.x)", "list_sum(list_transform(range(1, 1 + len(a.x)), lambda k: abs(a.x[k] - b.x[k])))"
+) + " SELECT vec_id, round(avg(label), 6) AS prediction FROM n GROUP BY 1")
 def knn_regress_manhattan(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return _rounded(neighbors.KNNRegressor(5, metric="manhattan").fit(v, "embedding", "label", "vec_id").transform(v).select("vec_id", "prediction"), "prediction")
+    return _rounded(
+        neighbors.KNNRegressor(5, metric="manhattan").fit(v, "embedding", "label", "vec_id").transform(v).select("vec_id", "prediction"),
+        "prediction"
+    )
 
 
 @query(_KNN + """, e AS (SELECT vec_id, count(*) FILTER (WHERE d = 0) AS zeros FROM n GROUP BY 1),
@@ -440,7 +461,10 @@ def kernel_functions(spark, sf_dir):
     r = table(spark, sf_dir, "region").select("r_regionkey", F.array(F.col("r_regionkey").cast("double")).alias("b"))
     a, b = F.col("a"), F.col("b")
     pairs = n.crossJoin(F.broadcast(r))  # 25 nations and 5 regions
-    out = pairs.select("n_nationkey", "r_regionkey", expr.rbf_kernel(a, b, 1.5, 2.0).alias("rbf"), expr.matern52_kernel(a, b, 1.5).alias("matern52"), expr.periodic_kernel(a, b, 1.5, 3.0).alias("periodic"), expr.linear_kernel(a, b, 2.0, 0.5).alias("linear"))
+    out = pairs.select(
+        "n_nationkey", "r_regionkey", expr.rbf_kernel(a, b, 1.5, 2.0).alias("rbf"), expr.matern52_kernel(a, b, 1.5).alias("matern52"),
+        expr.periodic_kernel(a, b, 1.5, 3.0).alias("periodic"), expr.linear_kernel(a, b, 2.0, 0.5).alias("linear")
+    )
     return _rounded(out, "rbf", "matern52", "periodic", "linear")
 
 
@@ -546,7 +570,10 @@ def gaussian_mixture(spark, sf_dir):
 
 
 def _supplier(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"), (F.col("s_acctbal") > 4500).cast("int").alias("rich"))
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"),
+        (F.col("s_acctbal") > 4500).cast("int").alias("rich")
+    )
 
 
 def _merges_sql(linkage: str, k: int, distance: str = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))") -> str:
@@ -874,7 +901,9 @@ def _boost_sql(rounds: int, rate: float, depth: int, target: str, start: str, re
     return f"{_TREE}, " + ", ".join(parts)
 
 
-@query(_boost_sql(3, 0.3, 2, "t", "ln(avg(t) / (1 - avg(t)))", "v - 1 / (1 + exp(-score))") + " SELECT c_custkey, CAST(v AS INT) AS t, CAST(score >= 0 AS INT) AS prediction, round(score, 5) AS score FROM q3")
+@query(_boost_sql(
+    3, 0.3, 2, "t", "ln(avg(t) / (1 - avg(t)))", "v - 1 / (1 + exp(-score))"
+) + " SELECT c_custkey, CAST(v AS INT) AS t, CAST(score >= 0 AS INT) AS prediction, round(score, 5) AS score FROM q3")
 def gradient_boosting_classifier(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     out = trees.GradientBoostingClassifier(3, 0.3, 2).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows)
@@ -945,7 +974,9 @@ def svc_optimality(spark, sf_dir):
         margin = (1 if rich else -1) * score - 1
         inside = 1e-6 < alpha < model.C - 1e-6
         violations += abs(margin) > 4 * tol if inside else margin < -4 * tol if alpha <= 1e-6 else margin > 4 * tol
-    return spark.createDataFrame([(len(scored), int(violations), abs(float(model.dual_coef_.sum())) < 1e-3)], "suppliers long, violations long, balanced boolean")
+    return spark.createDataFrame(
+        [(len(scored), int(violations), abs(float(model.dual_coef_.sum())) < 1e-3)], "suppliers long, violations long, balanced boolean"
+    )
 
 
 @query("SELECT count(*) AS suppliers, 0::BIGINT AS off FROM supplier")
@@ -966,7 +997,10 @@ def mlp_invariants(spark, sf_dir):
     out = model.transform(rows)
     total = F.get("probability", F.lit(0)) + F.get("probability", F.lit(1))
     off = (F.abs(total - 1) > 1e-9) | (F.col("prediction") != (F.get("probability", F.lit(1)) > 0.5).cast("int"))
-    return out.agg(F.count(F.lit(1)).alias("customers"), F.count_if(off).alias("off"), F.lit(model.loss_history_[-1] < model.loss_history_[0]).alias("loss_falls"))
+    return out.agg(
+        F.count(F.lit(1)).alias("customers"), F.count_if(off).alias("off"),
+        F.lit(model.loss_history_[-1] < model.loss_history_[0]).alias("loss_falls")
+    )
 
 
 # streams: the same plan on a table

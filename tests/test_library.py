@@ -152,7 +152,10 @@ def test_deep_trees(spark):
 
 def test_large_trees_score_alike(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    rows = spark.createDataFrame([(i, float(rng.random()), float(rng.random()), int(rng.integers(0, 3))) for i in range(80)] + [(99, None, 1.0, 1)], "id long, a double, b double, y int")
+    rows = spark.createDataFrame(
+        [(i, float(rng.random()), float(rng.random()), int(rng.integers(0, 3))) for i in range(80)] + [(99, None, 1.0, 1)],
+        "id long, a double, b double, y int"
+    )
     model = trees.DecisionTreeClassifier(6).fit(rows, ["a", "b"], "y", "id")
     plain = {r.id: (r.prediction, r.probability) for r in model.transform(rows).collect()}
     monkeypatch.setattr(trees, "CASE_NODES", 1)

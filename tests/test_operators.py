@@ -37,7 +37,10 @@ def agreement(df):
 # metrics
 
 def test_metrics(spark):
-    df = spark.createDataFrame([(1.0, 1.5, 1, 1, 0.9), (2.0, 2.0, 0, 1, 0.6), (4.0, 3.0, 1, 0, 0.2), (3.0, 3.0, 0, 0, 0.1)], "y double, p double, t int, g int, q double")
+    df = spark.createDataFrame(
+        [(1.0, 1.5, 1, 1, 0.9), (2.0, 2.0, 0, 1, 0.6), (4.0, 3.0, 1, 0, 0.2), (3.0, 3.0, 0, 0, 0.1)],
+        "y double, p double, t int, g int, q double"
+    )
     assert metrics.mse(df, "y", "p") == pytest.approx(1.25 / 4)
     assert metrics.rmse(df, "y", "p") == pytest.approx((1.25 / 4) ** 0.5)
     assert metrics.mae(df, "y", "p") == pytest.approx(1.5 / 4)
