@@ -138,7 +138,10 @@ def format_conversations(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = held.value
-        schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("tokens", pa.int64()), ("repeated", pa.int32()), ("turns", pa.int32()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+        schema = pa.schema([
+            ("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("tokens", pa.int64()), ("repeated", pa.int32()),
+            ("turns", pa.int32()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+        ])
         current: tuple | None = None  # (conversation,), as that may be null
         windows = Windows(budget, history)
         for batch in batches:

@@ -294,13 +294,19 @@ def find_items(index: Index, hashes: np.ndarray, bounds: np.ndarray, threshold:
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str | None, question_col: str | None, answer_col: str | None) -> DataFrame:
     if question_col and answer_col:
-        return benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(question_col), F.lit("")).alias("question"), F.coalesce(F.col(answer_col), F.lit("")).alias("answer"))
+        return benchmark.select(
+            F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(question_col), F.lit("")).alias("question"),
+            F.coalesce(F.col(answer_col), F.lit("")).alias("answer")
+        )
     split = lambda t: dict(zip(("question", "answer"), question_and_answer(t)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [split(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([p[k] for p in parts], pa.string()) for k in ("question", "answer"))], names=["item", "question", "answer"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([p[k] for p in parts], pa.string()) for k in ("question", "answer"))],
+                names=["item", "question", "answer"]
+            )
 
     return benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col)).mapInArrow(run, "item long, question string, answer string")
 
@@ -329,7 +335,10 @@ def _with_findings(
     extra = fresh(docs, "item_ids", "q", "a")
     stats = None
     if shards > 1:
-        stats = cut(items.mapInArrow(_segment_terms, "term long, length long").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")), "bench-terms")
+        stats = cut(
+            items.mapInArrow(_segment_terms, "term long, length long").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")),
+            "bench-terms"
+        )
 
     def scan(rows: DataFrame, names: list[str], shard: int) -> DataFrame:
         own = [(r.item, r.question, r.answer) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).collect()]
@@ -356,7 +365,10 @@ def _with_findings(
                         lists[text].append(index.item_ids[item])
                         q[text], a[text] = max(q[text], own_q), max(a[text], own_a)
                     part = batch.slice(row, n)
-                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array([sorted(x) for x in lists], pa.list_(pa.int64())), pa.array(q), pa.array(a)], names=[*names, *extra])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(k) for k in keep), pa.array([sorted(x) for x in lists], pa.list_(pa.int64())), pa.array(q), pa.array(a)],
+                        names=[*names, *extra]
+                    )
 
         return rows.mapInArrow(run, schema)
 
@@ -368,9 +380,15 @@ def _with_findings(
     hits = cut(scan(rows, [number], 0).where(some), "bench-found")  # only findings are exchanged
     for shard in range(1, shards):
         hits = hits.unionByName(cut(scan(rows, [number], shard).where(some), "bench-found"))
-    more = hits.groupBy(number).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(extra[0])))).alias(extra[0]), F.max(extra[1]).alias(extra[1]), F.max(extra[2]).alias(extra[2]))
+    more = hits.groupBy(number).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(extra[0])))).alias(extra[0]), F.max(extra[1]).alias(extra[1]),
+        F.max(extra[2]).alias(extra[2])
+    )
     found = rows.select(*carry, number).join(broadcast_below(cut(more, "bench-hits"), BROADCAST_IDS), number, "left")
-    return found.select(*carry, F.coalesce(extra[0], F.array().cast("array<long>")).alias(extra[0]), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in extra[1:])), extra
+    return found.select(
+        *carry, F.coalesce(extra[0], F.array().cast("array<long>")).alias(extra[0]),
+        *(F.coalesce(c, F.lit(0.0)).alias(c) for c in extra[1:])
+    ), extra
 
 
 def find_contamination(
@@ -387,7 +405,10 @@ def find_contamination(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found, _ = _with_findings(texts, "text", ["id"], benchmark, item_col, item_text_col, question_col, answer_col, threshold, overlap)
     hit = F.size("item_ids") > 0
-    return found.select(F.col("id").alias(id_col), hit.alias("contaminated"), (~hit).alias("kept"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.col("q").alias("question_overlap"), F.col("a").alias("answer_overlap"))
+    return found.select(
+        F.col("id").alias(id_col), hit.alias("contaminated"), (~hit).alias("kept"), F.size("item_ids").cast("long").alias("n_items"),
+        "item_ids", F.col("q").alias("question_overlap"), F.col("a").alias("answer_overlap")
+    )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -99,7 +99,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keeper = F.coalesce(F.max_by("row", "id"), F.max("row")).alias("keeper")
     groups = cut(exchanged.groupBy("sha").agg(F.max("id").alias("best"), keeper, F.count(F.lit(1)).alias("n")), "exact-groups")
     bound = max(2, exchanged.count() // HOT_GROUPS)
-    hot = groups.where(F.col("n") > bound).select(F.col("sha").alias("hot"), F.col("best").alias("hot_best"), F.col("keeper").alias("hot_keeper"), F.col("n").alias("hot_n"))
+    hot = groups.where(F.col("n") > bound).select(
+        F.col("sha").alias("hot"), F.col("best").alias("hot_best"), F.col("keeper").alias("hot_keeper"), F.col("n").alias("hot_n")
+    )
     cold = groups.where(F.col("n") <= bound).select(F.col("sha").alias("cold"), "best", "keeper", "n")
     met = exchanged.join(F.broadcast(hot), F.col("sha") == F.col("hot"), "left")
     # a row whose group is hot has found its decision; its own number spreads it over the partitions of the second join

@@ -160,7 +160,10 @@ def build_model(samples: dict[str, list[str]]) -> LanguageModel:
         tables += [step, restart[None, :]]
         roots.append(base * width)
         base = lone + 1
-    model = LanguageModel(languages, np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(1, np.int32), np.array(roots, dtype=np.int32), alphabet, np.ones(len(languages)))
+    model = LanguageModel(
+        languages, np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(1, np.int32), np.array(roots, dtype=np.int32),
+        alphabet, np.ones(len(languages))
+    )
     for k, name in enumerate(languages):
         if held[name]:
             ends = np.concatenate(([0], np.cumsum([len(s) for s in held[name]])))
@@ -179,7 +182,10 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs:
     A text that is longer than the bound by itself is not in the sample; where a language has no other, its shortest one is cut to it.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    usable = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.length(text_col) > symbols).alias("long"))
+    usable = usable.select(
+        F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+        (F.length(text_col) > symbols).alias("long")
+    )
     by = Window.partitionBy("lang").orderBy("long", F.when(F.col("long"), F.length("text")), F.xxhash64("id"), "id", F.xxhash64("text"))
     rows = usable.withColumn("rank", F.row_number().over(by)).where(f"rank <= {docs} AND (NOT long OR rank = 1)")
     rows = rows.select("lang", "rank", F.substring("text", 1, symbols).alias("text")).collect()

@@ -242,7 +242,9 @@ class LineDedup:
                     pairs = pa.StructArray.from_arrays([pa.array(flat[hit, 0]), pa.array(flat[hit, 1])], names=["k1", "k2"])
                     yield pa.RecordBatch.from_arrays([
                         batch.column(0), batch.column(1) if text else pa.array([t if h else None for t, h in zip(texts, any_hit)], pa.string()),
-                        pa.array([len(lines) for lines, _ in split], pa.int64()), pa.array([None if h else sha_of(t) for t, h in zip(texts, any_hit)], pa.string()),
+                        pa.array([len(lines) for lines, _ in split], pa.int64()), pa.array(
+                            [None if h else sha_of(t) for t, h in zip(texts, any_hit)], pa.string()
+                        ),
                         pa.ListArray.from_arrays(pa.array(hits.astype(np.int32)), pairs)], names=names)
 
             return run
@@ -255,7 +257,10 @@ class LineDedup:
         held = self.spark.sparkContext.broadcast(self._group_filters(0) if self.version else {}) if one_group else None
         probed = rows.mapInArrow(probe(held), f"id long, text string, n_lines long, sha string, hits {hit_type}")
         probed = cut(probed.withColumn("row", F.monotonically_increasing_id()), "line-probed")
-        clean = probed.where("sha IS NOT NULL").select("id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), F.col("sha").alias("kept_sha256"), F.coalesce("text", F.lit("")).alias("kept_text"))
+        clean = probed.where("sha IS NOT NULL").select(
+            "id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), F.col("sha").alias("kept_sha256"),
+            F.coalesce("text", F.lit("")).alias("kept_text")
+        )
         hits = probed.where("sha IS NULL")
         asked = hits.select("row", "id", F.explode("hits").alias("hit")).select("row", "id", "hit.k1", "hit.k2")
         if not one_group:

@@ -372,7 +372,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labelled = members.select("band", "id", "n").join(first.withColumnRenamed("node", "id"), "id", "left")
     labelled = labelled.select("band", "id", "n", F.coalesce("component", "id").alias("comp"))
     labelled = cut(labelled, "near-labelled")
-    mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")).where("lo < hi")
+    mixed = labelled.groupBy("band").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")
+    ).where("lo < hi")
     mixed = mixed.select("band", F.ceil(F.greatest(F.col("size") / TILE, F.col("n") / TILE_SHINGLES)).alias("blocks"))
     open_rows = labelled.drop("n").join(mixed, "band").join(reps.select("id", "n", "bits"), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")

@@ -426,5 +426,7 @@ def encoding_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
             found = [pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["id", "n", "crc", "same"])
 
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, crc long, same boolean")
+    found = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
+    ).mapInArrow(run, "id long, n long, crc long, same boolean")
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_pieces"), F.col("crc").alias("ids_crc32"), F.col("same").alias("round_trip"))

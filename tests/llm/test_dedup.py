@@ -30,7 +30,10 @@ def words(rng, n, vocabulary=400):
 
 # exact
 
-ROWS = [(1, "Hello"), (5, "hello"), (3, "HELLO"), (2, None), (4, ""), (6, "Ä"), (7, "ä"), (8, "x" * 200_000), (9, "X" * 200_000), (10, "alone"), (None, "hello")]
+ROWS = [
+    (1, "Hello"), (5, "hello"), (3, "HELLO"), (2, None), (4, ""), (6, "Ä"), (7, "ä"), (8, "x" * 200_000), (9, "X" * 200_000), (10, "alone"),
+    (None, "hello")
+]
 
 
 def test_exact_marks_largest_id(spark):

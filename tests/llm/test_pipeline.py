@@ -59,7 +59,9 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     more = [(10_000, None, "en", "s", 0), (10_001, "", None, "s", 0), (10_002, "12 34", "en", "s", 5), (10_003, docs.first().text.upper(), None, None, 1)]
     noise = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(8)) for _ in range(50)) for _ in range(3)]
     more += [(10_010 + k, t, None, "s", 0) for k, t in enumerate([*noise, "съешь ещё этих мягких французских булок да выпей же чаю " * 9])]
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(
+        more, "doc_id long, text string, lang string, source string, n_chars long"
+    ))
     folder = f"file://{tmp_path}/in"
     docs.write.parquet(f"{folder}/documents.parquet")
     bench.write.parquet(f"{folder}/benchmark.parquet")
@@ -82,7 +84,10 @@ def test_stages_keep_the_columns(spark):
 def test_stages_carry_clashing_names_and_odd_rows(spark):
     names = ["gone", "kept", "lang_pred", "fits", "id", "item_ids", "number", "row"]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 2000").limit(12)
-    odd = spark.createDataFrame([(None, None, "en", "s", 0), (None, "same words here", None, "s", 1), (7_000, "", "en", "s", 2), (7_000, "other words there", None, "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = spark.createDataFrame(
+        [(None, None, "en", "s", 0), (None, "same words here", None, "s", 1), (7_000, "", "en", "s", 2), (7_000, "other words there", None, "s", 3)],
+        "doc_id long, text string, lang string, source string, n_chars long"
+    )
     docs = docs.select(*odd.columns).unionByName(odd)
     for k, name in enumerate(names):
         docs = docs.withColumn(name, F.lit(k))

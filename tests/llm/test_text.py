@@ -26,7 +26,10 @@ from millrace.llm.token_files import read_document, read_token_files, write_toke
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-ODD = ["", "  hi ", "a▁b", "日本語 テキスト 𝕏", "\n\n a\n", "x" * 3000, "ab" * 1500, " " * 400, "the" * 50, "<s></s><0x0A>", "ﬁ½²é", "don't we'll 're' ''s \n's", "a<|endoftext|>b  <|endoftext|>", "\t　x y", "internationalization " * 40]
+ODD = [
+    "", "  hi ", "a▁b", "日本語 テキスト 𝕏", "\n\n a\n", "x" * 3000, "ab" * 1500, " " * 400, "the" * 50, "<s></s><0x0A>", "ﬁ½²é",
+    "don't we'll 're' ''s \n's", "a<|endoftext|>b  <|endoftext|>", "\t　x y", "internationalization " * 40
+]
 
 
 def odd_texts(n=300, seed=5):
@@ -91,7 +94,10 @@ def test_languages_are_told_apart(spark):
     vocabulary = {"xx": ["alba", "torno", "quessa", "mila"], "yy": ["grund", "schacht", "weber", "tzung"]}
     text = lambda k: " ".join(rng.choice(vocabulary[k]) for _ in range(40))
     rows = [(i, text(k), k, 0) for i, k in enumerate(["xx", "yy"] * 40)]
-    more = [(900, None, "xx", 0), (901, "", None, 0), (902, "12 34 !!", "xx", 0), (903, text("yy") * 300, "xx", 0), (904, "alba", None, 0), (904, "alba", None, 0)]
+    more = [
+        (900, None, "xx", 0), (901, "", None, 0), (902, "12 34 !!", "xx", 0), (903, text("yy") * 300, "xx", 0), (904, "alba", None, 0),
+        (904, "alba", None, 0)
+    ]
     docs = frame(spark, rows + more)
     out = identify_languages(docs, frame(spark, rows)).collect()
     assert len(out) == len(rows) + len(more)
@@ -209,7 +215,10 @@ def test_rows_are_judged_whatever_their_id(spark, monkeypatch, shard_items):
     rng = random.Random(14)
     items = [(i, f"{sentence(rng, 20, 5000)}. {sentence(rng, 8, 5000)}.") for i in range(12)]
     clean = [sentence(rng, 40, 5000) for _ in range(3)]
-    rows = [(None, items[0][1], None, 0), (None, clean[0], None, 1), (7, items[1][1], None, 2), (7, clean[1], None, 3), (7, f"{items[2][1]} {items[3][1]}", None, 4), (8, clean[2], None, 5)]
+    rows = [
+        (None, items[0][1], None, 0), (None, clean[0], None, 1), (7, items[1][1], None, 2), (7, clean[1], None, 3),
+        (7, f"{items[2][1]} {items[3][1]}", None, 4), (8, clean[2], None, 5)
+    ]
     docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     out = sorted(((r.doc_id, r.item_ids) for r in find_contamination(docs, bench).collect()), key=str)
     assert out == sorted([(None, [0]), (None, []), (7, [1]), (7, []), (7, [2, 3]), (8, [])], key=str)
@@ -252,7 +261,10 @@ def test_question_and_answer_may_stand_far_apart(spark):
 
 def test_items_in_other_scripts_and_marks_are_found(spark):
     items = [(0, "The “quick” brown fox — jumps over… the lazy dog. It lands upon the soft green grass."), (1, "東京は日本の首都であり人口が最も多い。富士山は日本で一番高い山として知られる。")]
-    rows = [(0, "Say: the 'quick' brown fox - jumps over... the lazy dog. It\u00a0lands upon the soft green grass!", None, 0), (1, "前置きの文章。東京は日本の首都であり人口が最も多い、富士山は日本で一番高い山として知られる、と本に書いてある。", None, 0), (2, "大阪は西日本の中心であり商業が盛んな町として知られる。", None, 0)]
+    rows = [
+        (0, "Say: the 'quick' brown fox - jumps over... the lazy dog. It\u00a0lands upon the soft green grass!", None, 0),
+        (1, "前置きの文章。東京は日本の首都であり人口が最も多い、富士山は日本で一番高い山として知られる、と本に書いてある。", None, 0), (2, "大阪は西日本の中心であり商業が盛んな町として知られる。", None, 0)
+    ]
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = find_contamination(frame(spark, rows), bench).collect()
     assert {r.doc_id: r.item_ids for r in out if r.contaminated} == {0: [0], 1: [1]}
@@ -502,12 +514,18 @@ def chat_rows(seed=2):
         for t in range(rng.randint(1, 40)):
             role = "system" if t == 0 and c % 2 else rng.choice(["user", "assistant", "assistant", "tool\nx"])
             rows.append((c, t, role, rng.choice([*TRICKY, None, "word " * rng.randint(1, 90)])))
-    rows += [(90, 0, "assistant", "over " * 5000), (91, 0, "system", "only"), (92, None, None, None), (None, 1, "user", "x"), (93, 0, "user", "same"), (93, 0, "user", "same")]
+    rows += [
+        (90, 0, "assistant", "over " * 5000), (91, 0, "system", "only"), (92, None, None, None), (None, 1, "user", "x"),
+        (93, 0, "user", "same"), (93, 0, "user", "same")
+    ]
     return rows
 
 
 def test_chat_clashing_names_and_no_windows(spark):
-    turns = spark.createDataFrame([(1, 0, "user", "a", 5, "w"), (1, 1, "assistant", None, 6, "v")], "conv_id long, turn long, role string, text string, tokens int, window string")
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "a", 5, "w"), (1, 1, "assistant", None, 6, "v")],
+        "conv_id long, turn long, role string, text string, tokens int, window string"
+    )
     windows = chat.format_conversations(turns, BPE)
     out = chat.read_windows(windows).collect()
     assert [(r.conv_id, r.n_turns, r.loss_chars) for r in out] == [(1, 2, 0)]
@@ -577,9 +595,15 @@ def test_quality_equals_plain_python(spark):
     from millrace.llm.textkit import mix, span_hashes
 
     rng = random.Random(5)
-    texts = ["", "One two, two THREE!!", "a-b c' c' c'", "É é x", "solo " * 400, *(" ".join(rng.choice(["good", "bad,", "Fine!", "UGLY"]) for _ in range(rng.randint(1, 30))) for _ in range(60))]
+    texts = [
+        "", "One two, two THREE!!", "a-b c' c' c'", "É é x", "solo " * 400,
+        *(" ".join(rng.choice(["good", "bad,", "Fine!", "UGLY"]) for _ in range(rng.randint(1, 30))) for _ in range(60))
+    ]
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(0, None, "again")], "doc_id long, text string, kept string")
-    ratings = spark.createDataFrame([(i, 2 if "good" in t else 1 if "Fine" in t else 0) for i, t in enumerate(texts)] + [(9999, 1), (None, 2), (3, None)], "doc_id long, grade int")
+    ratings = spark.createDataFrame(
+        [(i, 2 if "good" in t else 1 if "Fine" in t else 0) for i, t in enumerate(texts)] + [(9999, 1), (None, 2), (3, None)],
+        "doc_id long, grade int"
+    )
     model = q.learn_quality(docs, ratings, "doc_id", "text", "grade")
 
     def hashed(word):
