@@ -131,7 +131,7 @@ class Index:
 
     Term t has the segments segment[start[t]:start[t + 1]], ascending, with their weights. The largest weight of the term
     among the `block` segments of a block stands in block_weight, for the blocks block_number[block_start[t]:block_start[t + 1]]
-    that have the term.
+    that have the term, and its postings there begin at block_first.
     """
 
     item_ids: list[int]
@@ -145,8 +145,13 @@ class Index:
     block: int
     block_start: np.ndarray
     block_number: np.ndarray
+    block_first: np.ndarray
     block_weight: np.ndarray
 
+    def __post_init__(self) -> None:
+        owner = np.repeat(np.arange(len(self.terms)), np.diff(self.block_start))
+        self.block_key = owner * self.blocks + self.block_number  # ascending
+
     @property
     def blocks(self) -> int:
         return max(1, -(-len(self.segment_item) // self.block))
@@ -162,14 +167,15 @@ class Index:
 
     def search(self, terms: np.ndarray, threshold: float, block: int) -> list[tuple[int, float]]:
         """All segments of a block with a score of at least `threshold` for a set of distinct term numbers: WAND with its bounds."""
-        begin, end = block * self.block, (block + 1) * self.block
+        end = (block + 1) * self.block
+        key = terms * self.blocks + block
+        entry = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+        entry = entry[self.block_key[entry] == key]
+        low, high = self.block_first[entry], self.block_first[entry + 1]
         live = []
-        for t in terms.tolist():
-            s, e = int(self.start[t]), int(self.start[t + 1])
-            low, high = s + np.searchsorted(self.segment[s:e], (begin, end))
-            if low < high:
-                own, weights = self.segment[low:high].tolist(), self.weight[low:high].tolist()
-                live.append([own[0], 0, max(weights), own, weights])
+        for s, e, largest in zip(low.tolist(), high.tolist(), self.block_weight[entry].tolist()):
+            own = self.segment[s:e].tolist()
+            live.append([own[0], 0, largest, own, self.weight[s:e].tolist()])
         found, enough = [], threshold - 1e-6
         while live:
             live.sort(key=lambda c: c[0])
@@ -240,7 +246,7 @@ def build_index(items: list[tuple[int, str, str]], counts: dict[int, int] | None
     largest = np.maximum.reduceat(weight, first) if len(first) else weight
     return Index(
         ids, questions, answers, [owner_of[k] for k in order], terms, np.append(start, len(term)), segment, weight, block,
-        np.searchsorted(owner[first], np.arange(len(terms) + 1)), number[first].astype(np.int32), largest)
+        np.searchsorted(owner[first], np.arange(len(terms) + 1)), number[first].astype(np.int32), np.append(first, len(term)), largest)
 
 
 def find_items(index: Index, hashes: np.ndarray, bounds: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float]]:
