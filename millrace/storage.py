@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own_folders: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -51,12 +52,14 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder, deleted with all it holds when the application ends."""
-    path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-    files, target = _file_system(spark, path)
-    files.mkdirs(target.getParent())
-    files.deleteOnExit(target)
-    return path
+    """A new path below the application's own folder in the shared one; that folder is deleted when the application ends."""
+    own = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+    if own not in _own_folders:
+        files, target = _file_system(spark, own)
+        files.mkdirs(target)  # only what is there can be marked for deletion
+        files.deleteOnExit(target)
+        _own_folders.add(own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def write_table(df: DataFrame, label: str, partition_by: list[str] | None = None) -> str:

@@ -72,6 +72,18 @@ def test_one_cluster_session_runs_python_steps(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env={**os.environ, "PYTHONPATH": str(ROOT)}, capture_output=True, text=True, timeout=600)
     counts = [line for line in done.stdout.splitlines() if line.startswith("COUNTS")]
     assert done.returncode == 0 and counts and all(int(n) > 0 for n in counts[0].split()[1:]), done.stderr[-2000:]
+    assert (tmp_path / "millrace").exists() and not list((tmp_path / "millrace").iterdir())  # intermediate tables are gone
+
+
+def test_clusters_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from millrace.storage import shared_dir
+
+    nothing = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
+    context = SimpleNamespace(master="spark://somewhere:7077", _jsc=SimpleNamespace(sc=lambda: nothing))
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
 
 
 # plans
