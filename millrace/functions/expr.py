@@ -42,7 +42,7 @@ def linear_form(columns: Sequence[Column], weights: Sequence[float], constant: f
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low)))
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low))))  # greatest and least pass over nulls
 
 
 def sigmoid(z: Column) -> Column:
@@ -50,6 +50,11 @@ def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-clip(z, -500, 500)))
 
 
+def by_sign(score: Column, yes, no) -> Column:
+    """`yes` from 0 on, `no` below; null for a null score."""
+    return F.when(score >= 0, F.lit(yes)).when(score < 0, F.lit(no))
+
+
 def log_sum_exp(values: Column) -> Column:
     top = F.array_max(values)
     return top + F.log(_fold(F.transform(values, lambda v: F.exp(v - top))))

@@ -75,9 +75,10 @@ class KMeans(Estimator):
 
     def transform(self, df: DataFrame) -> DataFrame:
         self._check_fitted()
-        x = self._width(df).vector
+        own = self._width(df)
+        x = own.vector
         far = [F.struct(squared_distance(x, F.array(*[F.lit(float(v)) for v in c])).alias("d"), F.lit(j).alias("j")) for j, c in enumerate(self.centroids_)]
-        return df.withColumn("prediction", F.array_min(F.array(*far))["j"])
+        return df.withColumn("prediction", F.when(own.known, F.array_min(F.array(*far))["j"]))
 
     predict = transform
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.core import LOCAL_ROWS, Estimator, Features, local_rows, score_rows
-from millrace.functions.expr import linear_form, uniform
+from millrace.functions.expr import by_sign, linear_form, uniform
 from millrace.plans.pairs import distances
 
 
@@ -59,7 +59,7 @@ class LinearSVC(Estimator):
     def transform(self, df: DataFrame) -> DataFrame:
         self._check_fitted()
         out = df.withColumn("rawPrediction", linear_form(self._width(df).columns, self.weights_, self.bias_))
-        return out.withColumn("prediction", F.when(F.col("rawPrediction") >= 0, 1).otherwise(0))
+        return out.withColumn("prediction", by_sign(F.col("rawPrediction"), 1, 0))
 
     predict = decision_function = transform
 
@@ -127,7 +127,7 @@ class SVC(Estimator):
             return {"rawPrediction": self._kernel(x, self.support_vectors_) @ self.dual_coef_ + self.intercept_}
 
         out = score_rows(df, self._width(df), score, "rawPrediction double")
-        return out.withColumn("prediction", F.when(F.col("rawPrediction") >= 0, 1).otherwise(0))
+        return out.withColumn("prediction", by_sign(F.col("rawPrediction"), 1, 0))
 
     predict = decision_function = transform
 

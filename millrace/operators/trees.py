@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.core import Estimator, Features, score_rows
-from millrace.functions.expr import poisson_one, sigmoid, uniform
+from millrace.functions.expr import by_sign, poisson_one, sigmoid, uniform
 from millrace.plans.scan import bucket_bounds, exact_percentile, ranked, running_sums
 from millrace.storage import cut as stored
 from millrace.storage import ship
@@ -481,8 +481,9 @@ class AdaBoostClassifier(Estimator):
 
     def transform(self, df: DataFrame) -> DataFrame:
         self._check_fitted()
-        out = df.withColumn("rawPrediction", self._score(self._width(df).columns))
-        return out.withColumn("prediction", F.when(F.col("rawPrediction") >= 0, F.lit(self.classes_[1])).otherwise(F.lit(self.classes_[0])))
+        own = self._width(df)
+        out = df.withColumn("rawPrediction", F.when(own.known, self._score(own.columns)))
+        return out.withColumn("prediction", by_sign(F.col("rawPrediction"), self.classes_[1], self.classes_[0]))
 
     predict = decision_function = transform
 
@@ -523,11 +524,11 @@ class _Boosting(Estimator):
 
     def _score(self, df: DataFrame) -> Column:
         self._check_fitted()
-        columns = self._width(df).columns
+        own = self._width(df)
         total = F.lit(float(self.init_))
         for tree in self.trees_:
-            total = total + F.lit(self.learning_rate) * tree.column(columns, lambda v: F.lit(v[0]))
-        return total
+            total = total + F.lit(self.learning_rate) * tree.column(own.columns, lambda v: F.lit(v[0]))
+        return F.when(own.known, total)
 
 
 class GradientBoostingClassifier(_Boosting):
@@ -551,8 +552,8 @@ class GradientBoostingClassifier(_Boosting):
 
     def transform(self, df: DataFrame, threshold: float = 0.5) -> DataFrame:
         out = df.withColumn("rawPrediction", self._score(df)).withColumn("__p", sigmoid(F.col("rawPrediction")))
-        out = out.withColumn("probability", F.array(1 - F.col("__p"), F.col("__p")))
-        return out.withColumn("prediction", F.when(F.col("__p") >= threshold, F.lit(self.classes_[1])).otherwise(F.lit(self.classes_[0]))).drop("__p")
+        out = out.withColumn("probability", F.when(F.col("__p").isNotNull(), F.array(1 - F.col("__p"), F.col("__p"))))
+        return out.withColumn("prediction", by_sign(F.col("__p") - threshold, self.classes_[1], self.classes_[0])).drop("__p")
 
     predict = predict_proba = decision_function = transform
 
@@ -651,7 +652,7 @@ class IsolationForest(Estimator):
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.score_samples(df).withColumn("rawPrediction", F.col("score") - F.lit(float(self.offset_)))
-        return out.withColumn("prediction", F.when(F.col("rawPrediction") >= 0, 1).otherwise(-1))
+        return out.withColumn("prediction", by_sign(F.col("rawPrediction"), 1, -1))
 
     predict = decision_function = transform
 

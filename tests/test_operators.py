@@ -404,9 +404,13 @@ def test_expressions(spark):
 
 def test_null_features(spark, two):
     df = two.withColumn("x0", F.when(F.col("id") % 10 != 0, F.col("x0")))
-    for model in (bayes.GaussianNB(), cluster.KMeans(2, random_state=0), trees.RandomForestClassifier(2, 2, random_state=0)):
-        out = model.fit(df, X2, "label", "id").transform(df)
-        assert out.count() == 160
+    models = [
+        bayes.GaussianNB(), cluster.KMeans(2, random_state=0), trees.RandomForestClassifier(2, 2, random_state=0), trees.AdaBoostClassifier(2), linear.LogisticRegression(n_iterations=3),
+        trees.GradientBoostingClassifier(2, max_depth=1), kernels.LinearSVC(n_iterations=50), trees.IsolationForest(4, random_state=0),
+    ]
+    for model in models:
+        out = model.fit(df, X2, "label", id_col="id").transform(df)
+        assert out.count() == 160 and out.where("prediction IS NULL").count() == 16, model
     assert cluster.GaussianMixture(2, 3, random_state=0).fit(df, X2, id_col="id").transform(df).where("prediction IS NULL").count() == 16
 
 
