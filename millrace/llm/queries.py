@@ -15,6 +15,7 @@ from millrace.llm.language_id import held_out, identify_languages, learning_rows
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.near_dedup import near_groups
 from millrace.llm.quality import graded, score_quality
+from millrace.llm.repetition import repetition_rules
 from millrace.llm.sentencepiece_codec import encoding_digest
 from millrace.llm.token_counts import count_tokens
 from millrace.llm.token_files import read_token_files, write_token_files
@@ -77,6 +78,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_documents(spark, sf_dir))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
@@ -88,9 +93,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_quality_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+        base AS (
+            SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+                   len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols FROM w),
+        lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM w),
+        again AS (
+            SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS dup FROM lines
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        dup_lines AS (
+            SELECT doc_id, count(*) AS n_dup_lines, sum(length(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ''))) AS dup_line_chars
+            FROM again WHERE dup GROUP BY doc_id),
+        grams AS (
+            SELECT doc_id, n, pos, array_to_string(words[pos:pos + n - 1], ' ') AS gram
+            FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS pos FROM w, unnest([3, 5, 6, 7, 8, 9, 10]) AS l(n))),
+        found AS (
+            SELECT doc_id, n, pos, count(*) OVER (PARTITION BY doc_id, n, gram) AS times,
+                   row_number() OVER (PARTITION BY doc_id, n, gram ORDER BY pos) AS nth FROM grams),
+        inside AS (
+            SELECT DISTINCT doc_id, n, unnest(range(pos, pos + n)) AS pos FROM found WHERE times > 1 AND (nth > 1 OR n = 3)),
+        sums AS (
+            SELECT doc_id, n, count(*) AS n_in, sum(length(words[pos])) AS chars FROM inside JOIN w USING (doc_id) GROUP BY doc_id, n),
+        cover AS (
+            SELECT doc_id, max(n_in) FILTER (WHERE n = 3) AS n3, max(chars) FILTER (WHERE n = 5) AS c5, max(chars) FILTER (WHERE n = 6) AS c6,
+                   max(chars) FILTER (WHERE n = 7) AS c7, max(chars) FILTER (WHERE n = 8) AS c8, max(chars) FILTER (WHERE n = 9) AS c9,
+                   max(chars) FILTER (WHERE n = 10) AS c10 FROM sums GROUP BY doc_id),
+        counts AS (
+            SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n3, 0) AS n_repeat_words,
+                   coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars, coalesce(c5, 0)::BIGINT AS dup_chars_5, coalesce(c6, 0)::BIGINT AS dup_chars_6,
+                   coalesce(c7, 0)::BIGINT AS dup_chars_7, coalesce(c8, 0)::BIGINT AS dup_chars_8, coalesce(c9, 0)::BIGINT AS dup_chars_9,
+                   coalesce(c10, 0)::BIGINT AS dup_chars_10
+            FROM base LEFT JOIN dup_lines USING (doc_id) LEFT JOIN cover USING (doc_id)),
+        judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+        SELECT *, NOT base_failed AND 100 * dup_line_chars <= 20 * word_chars AND 100 * dup_chars_5 <= 15 * word_chars
+            AND 100 * dup_chars_6 <= 14 * word_chars AND 100 * dup_chars_7 <= 13 * word_chars AND 100 * dup_chars_8 <= 12 * word_chars
+            AND 100 * dup_chars_9 <= 11 * word_chars AND 100 * dup_chars_10 <= 10 * word_chars AS kept FROM judged""",
     "op10_minhash_near_dedup": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words

@@ -42,8 +42,9 @@ _powers: dict[int, tuple[np.ndarray, ...]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, ...]:
-    """base^i and base^-i for i up to n, modulo 2^64 and modulo the prime."""
+    """base^i and base^-i for i up to n at least, modulo 2^64 and modulo the prime."""
     size = 1 << max(16, int(n).bit_length())
+    size = max([size, *_powers])  # a longer table that is there serves as well
     if size not in _powers:
         up, down = np.full(size, _BASE, dtype=_U), np.full(size, _U(pow(int(_BASE), -1, 1 << 64)), dtype=_U)
         up[0] = down[0] = 1
@@ -111,8 +112,8 @@ def text_slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.nd
         row = stop
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the texts in a slice: (hashes, starts, ends, bounds), bounds being the first word of each text."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the texts in a slice: (starts, ends, bounds), bounds being the first word of each text."""
     inside = ~apart[raw]
     starts_here = inside.copy()
     starts_here[1:] &= ~inside[:-1]
@@ -125,7 +126,37 @@ def words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> t
     last = last[last >= 0]
     ends_here[last] = inside[last]
     starts, ends = np.flatnonzero(starts_here), np.flatnonzero(ends_here) + 1
-    return span_hashes(_LOWER[raw], starts, ends), starts, ends, np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the texts in a slice, A-Z lower-cased: (hashes, starts, ends, bounds)."""
+    starts, ends, bounds = word_spans(raw, offsets, apart)
+    return span_hashes(_LOWER[raw], starts, ends), starts, ends, bounds
+
+
+def exact_numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: SpanHasher, owner: np.ndarray | None = None) -> np.ndarray:
+    """A number for each span raw[start:end], equal for spans of equal bytes (and equal owner) and no others.
+
+    Spans are grouped by the hash that `hasher`, made for `raw`, gives; each is then compared with the first of its group, byte by byte.
+    """
+    keys = hasher(starts, ends)
+    if owner is not None:
+        keys = mix(keys ^ mix(owner.astype(_U) + _BASE))
+    _, first, numbers = np.unique(keys, return_index=True, return_inverse=True)
+    sizes, model = ends - starts, first[numbers]
+    same = sizes == sizes[model]
+    if owner is not None:
+        same &= owner == owner[model]
+    if same.all():
+        other = np.flatnonzero(model != np.arange(len(model)))
+        width = sizes[other]
+        inner = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+        if (raw[inner + np.repeat(starts[other], width)] == raw[inner + np.repeat(starts[model[other]], width)]).all():
+            return numbers
+    held: dict[tuple, int] = {}  # two spans share a hash
+    owners = [0] * len(starts) if owner is None else owner.tolist()
+    return np.array([held.setdefault((o, raw[s:e].tobytes()), len(held)) for o, s, e in zip(owners, starts.tolist(), ends.tolist())], dtype=np.int64)
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
