@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import fresh, python_steps
+from millrace.llm.shared import fresh
 from millrace.llm.textkit import SpanHasher, exact_numbers, mix, text_slices, word_spans
+from millrace.storage import ship
 
 #: The least words of a text, and the most percent of them in repeated windows of BASE_WINDOW words.
 LEAST_WORDS, MOST_REPEATED, BASE_WINDOW = 50, 50, 3
@@ -113,7 +114,7 @@ def repetition_rules(
     if any(n < BASE_WINDOW for n in limits):
         raise ValueError(f"n-grams have {BASE_WINDOW} words at least")
     spark = docs.sparkSession
-    python_steps(spark)
+    ship(spark)
     lengths = sorted(limits)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_chars_{n}" for n in lengths)]
     others = carry or []
