@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.ball_kmeans import ball_kmeans
 from millrace.llm.chat_format import format_conversations, read_windows
 from millrace.llm.decontaminate import find_contamination
 from millrace.llm.exact_dedup import exact_dedup
@@ -82,6 +83,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(_documents(spark, sf_dir))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
@@ -94,9 +99,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_quality_rules": op11_quality_rules,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
+
+def _kmeans_sql(rounds: int = 3, k: int = 16) -> str:
+    """Plain k-means: each round's assignment compares all pairs of vector and centroid."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+            SELECT i, vec_id, x, min({{'d': list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': c}}) AS m
+            FROM q, c{r} GROUP BY i, vec_id, x)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS (
+            SELECT c, coalesce(means.y, c{r}.y) AS y FROM c{r} LEFT JOIN (
+                SELECT c, list(floor(s / n)::BIGINT ORDER BY pos) AS y FROM (
+                    SELECT m.c AS c, pos, sum(x[pos]) AS s, count(*) AS n FROM a{r}, range(1, 65) AS p(pos) GROUP BY ALL) GROUP BY c) means USING (c))""")
+    return f"""
+        WITH q AS (
+            SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+        c0 AS (
+            SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS y FROM (
+                SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM q ORDER BY h, x LIMIT {k})),
+        {", ".join(steps)}
+        SELECT vec_id, m.c::INT AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.c)::BIGINT AS cluster_inertia,
+               sum(m.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON m.c = c"""
+
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_centroid_clustering": _kmeans_sql(),
     "op11_quality_rules": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
