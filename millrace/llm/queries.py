@@ -13,6 +13,7 @@ from millrace.llm.chat_format import format_conversations, read_windows
 from millrace.llm.decontaminate import find_contamination
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.language_id import held_out, identify_languages, learning_rows
+from millrace.llm.lexical_search import search
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.near_dedup import near_groups
 from millrace.llm.quality import graded, score_quality
@@ -83,6 +84,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(_documents(spark, sf_dir))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_quality_rules": op11_quality_rules,
+    "op12_lexical_search": op12_lexical_search,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
@@ -131,6 +137,23 @@ def _kmeans_sql(rounds: int = 3, k: int = 16) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op13_centroid_clustering": _kmeans_sql(),
+    "op12_lexical_search": r"""
+        WITH found AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+        lengths AS (SELECT doc_id, len(words) AS n FROM found WHERE len(words) > 0),
+        total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+        tfs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS term FROM found) GROUP BY ALL),
+        dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+        wanted AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM dfs, total),
+        scores AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // terms)))))::BIGINT AS score
+            FROM wanted JOIN weights USING (term) JOIN tfs USING (term) JOIN lengths USING (doc_id), total GROUP BY ALL)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 10""",
     "op11_quality_rules": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
