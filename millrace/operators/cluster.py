@@ -10,6 +10,7 @@ from millrace.core import LOCAL_ROWS, Estimator, Features, local_rows, partition
 from millrace.functions.expr import euclidean, manhattan, squared_distance, uniform
 from millrace.plans.closure import closure
 from millrace.plans.pairs import distances
+from millrace.plans.pivots import range_pairs
 from millrace.plans.scan import ranked
 from millrace.storage import cut
 
@@ -92,7 +93,8 @@ class DBSCAN(Estimator):
     Points are put into cells whose points all lie within eps of each other: grid cells with up to GRID_FEATURES features, equal
     points with more. So all points of a cell of min_samples are core, core points of a cell belong together, and distances
     are needed only for points of thinner cells, and between cells whose bounds leave it open whether two of their core points
-    are neighbours. A crowded cell is dealt into parts of about PART points, so no task holds it whole.
+    are neighbours. Which cells are near is read off the grid, or found by a range join over pivots in all features, after which
+    pairs_compared_ says how many pairs it compared. A crowded cell is dealt into parts of about PART points, so no task holds it whole.
     """
 
     GRID_FEATURES, PART = 3, 5_000
@@ -104,30 +106,30 @@ class DBSCAN(Estimator):
 
     def _cells(self, points: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
         """Points with their cell, and pairs (cell, other) of cells that may hold neighbours, each cell with itself included."""
-        grid = [F.get("x", F.lit(i)) for i in range(min(d, self.GRID_FEATURES))]
-        if d <= self.GRID_FEATURES:
-            side = self.eps / (np.sqrt(d) if self.metric == "euclidean" else d) * (1 - 1e-9)
-            points = points.withColumn("cell", F.array(*[F.floor(c / F.lit(float(side))) for c in grid]))
-            reach = int(np.floor(self.eps / side)) + 1
-        else:
-            side, reach = self.eps, 1
-            points = points.withColumn("cell", F.col("x"))
-        points = cut(points, "dbscan-points")
-        cells = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.any_value("x").alias("x"))
-        cells = cells.withColumn("at", F.array(*[F.floor(c / F.lit(float(side))) for c in grid]))
-        cells = cut(cells.withColumn("parts", F.ceil(F.col("n") / self.PART)), "dbscan-cells")
-        around = cells.select(
-            F.col("cell").alias("other"), F.col("x").alias("y"), F.col("n").alias("n_other"), F.col("parts").alias("parts_other"),
-            F.col("at")
-        )
-        for i in range(len(grid)):
-            shifted = F.explode(F.sequence(F.get("at", F.lit(i)) - reach, F.get("at", F.lit(i)) + reach))
-            around = around.withColumn(f"a{i}", shifted)
-        near = cells.withColumns({f"a{i}": F.get("at", F.lit(i)) for i in range(len(grid))}).join(around.drop("at"), [f"a{i}" for i in range(len(grid))])
         if d > self.GRID_FEATURES:
-            near = near.where(self._distance(F.col("x"), F.col("y")) <= self.eps)
+            return self._ball_cells(points, d)
+        axes = range(d)
+        side = self.eps / (np.sqrt(d) if self.metric == "euclidean" else d) * (1 - 1e-9)
+        reach = int(np.floor(self.eps / side)) + 1
+        points = cut(points.withColumn("cell", F.array(*[F.floor(F.get("x", F.lit(i)) / F.lit(float(side))) for i in axes])), "dbscan-points")
+        cells = cut(points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / self.PART).alias("parts")), "dbscan-cells")
+        around = cells.select(F.col("cell").alias("other"), F.col("n").alias("n_other"), F.col("parts").alias("parts_other"))
+        for i in axes:
+            around = around.withColumn(f"a{i}", F.explode(F.sequence(F.get("other", F.lit(i)) - reach, F.get("other", F.lit(i)) + reach)))
+        near = cells.withColumns({f"a{i}": F.get("cell", F.lit(i)) for i in axes}).join(around, [f"a{i}" for i in axes])
         return points, cut(near.select("cell", "n", "other", "n_other", "parts_other"), "dbscan-near")
 
+    def _ball_cells(self, points: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
+        """Cells of equal points, named by their least id; a range join by pivots finds the cells within eps of each other."""
+        points = cut(points, "dbscan-points")
+        cells = cut(points.groupBy("x").agg(F.min("id").alias("cell"), F.count(F.lit(1)).alias("n")), "dbscan-cells")
+        # a little beyond eps: the pairs at its very edge are left to the distances of the points
+        pairs, self.pairs_compared_ = range_pairs(cells.select(F.col("cell").alias("id"), "x"), d, self.eps * (1 + 1e-9), self.metric)
+        other = cells.select(F.col("cell").alias("other"), F.col("n").alias("n_other"), F.ceil(F.col("n") / self.PART).alias("parts_other"))
+        near = pairs.withColumnRenamed("id", "cell").join(cells.select("cell", "n"), "cell").join(other, "other")
+        named = points.join(cells.select("x", "cell"), "x").select("id", "x", "cell")
+        return cut(named, "dbscan-points"), cut(near.select("cell", "n", "other", "n_other", "parts_other"), "dbscan-near")
+
     def _distance(self, x: Column, y: Column) -> Column:
         return (euclidean if self.metric == "euclidean" else manhattan)(x, y)
 

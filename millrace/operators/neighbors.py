@@ -1,4 +1,4 @@
-"""k nearest neighbours. The training rows are the index side, sent to all in blocks; ties go to the smaller id."""
+"""k nearest neighbours. The training rows are the index, searched by pivots; ties go to the smaller id."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.core import Estimator, Features
-from millrace.plans.pairs import nearest
+from millrace.plans.pivots import nearest
 
 
 class _Neighbors(Estimator):
@@ -27,13 +27,14 @@ class _Neighbors(Estimator):
         return self
 
     def kneighbors(self, df: DataFrame) -> DataFrame:
-        """(id, near): the k nearest training rows, nearest first."""
+        """(id, near): the k nearest training rows, nearest first. Where they are exchanged, pairs_compared_ is the number of pairs compared."""
         self._check_fitted()
         if self.metric not in ("euclidean", "manhattan"):
             raise ValueError("the metric is 'euclidean' or 'manhattan'")
         own = self._width(df)
         rows = df.where(own.known).select(F.col(self.id_col).alias("id"), own.vector.alias("x"))
-        return nearest(rows, self.index_, len(own), self.k, self.metric)
+        near, self.pairs_compared_ = nearest(rows, self.index_, len(own), self.k, self.metric)
+        return near
 
     def transform(self, df: DataFrame) -> DataFrame:
         """`df` with its prediction; df's ids are taken to be unique."""

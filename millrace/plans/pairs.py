@@ -88,37 +88,3 @@ def distances(x: np.ndarray, other: np.ndarray, metric: str) -> np.ndarray:
     if metric == "manhattan":
         return np.abs(x[:, None, :] - other[None, :, :]).sum(axis=2)
     return np.sqrt(((x[:, None, :] - other[None, :, :]) ** 2).sum(axis=2))
-
-
-def nearest(rows: DataFrame, index: DataFrame, width: int, k: int, metric: str = "euclidean", most: int = INDEX_ROWS) -> DataFrame:
-    """(id, near): the k nearest index rows of every row, as (distance, id, value), nearest first, ties by index id.
-
-    `rows` has id and x; `index` has id, x and value. Each block gives its k best; those of several blocks are merged by id.
-    """
-    kinds = dict(index.dtypes)
-
-    def work(index: pa.Table, own: pa.Table) -> pa.Table:
-        index = index.sort_by("id")  # a stable sort by distance then leaves ties by id
-        other, x = _matrix(index, "x", width), _matrix(own, "x", width)
-        step, best, far = max(1, (1 << 22) // max(1, other.size)), [], []
-        for at in range(0, len(x), step):
-            d = distances(x[at : at + step], other, metric)
-            if k < d.shape[1]:  # what is not above the k-th distance, in order of id
-                edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                d = np.where(d <= edge, d, np.inf)
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            best.append(order)
-            far.append(np.take_along_axis(d, order, axis=1))
-        order, distance = np.concatenate(best), np.concatenate(far)
-        picked = pa.array(order.ravel())
-        fields = [pa.array(distance.ravel()), *(index.column(c).combine_chunks().take(picked) for c in ("id", "value"))]
-        near = pa.StructArray.from_arrays(fields, names=["distance", "id", "value"])
-        bounds = pa.array(np.arange(len(x) + 1, dtype=np.int32) * order.shape[1])
-        return pa.table({"id": own.column("id"), "near": pa.ListArray.from_arrays(bounds, near)})
-
-    schema = f"id {dict(rows.dtypes)['id']}, near array<struct<distance:double,id:{kinds['id']},value:{kinds['value']}>>"
-    out, many = against_index(rows.select("id", "x"), index.select("id", "x", "value"), work, schema, most)
-    if not many:
-        return out
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)  # a list of k for each block
-    return out.groupBy("id").agg(merged.alias("near"))

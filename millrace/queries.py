@@ -477,19 +477,37 @@ def _customer(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
 
 
-@query(f"""WITH RECURSIVE c AS ({_CUSTOMER}), pair AS (SELECT a.c_custkey AS i, b.c_custkey AS j FROM c a JOIN c b ON a.y = b.y
-    AND sqrt((a.x - b.x) * (a.x - b.x)) <= 0.1),
-    core AS (SELECT i FROM pair GROUP BY 1 HAVING count(*) >= 4), link AS (SELECT i, j FROM pair WHERE i IN (FROM core) AND j IN (FROM core)),
+def _dbscan_sql(points: str, near: str, least: int, id_col: str) -> str:
+    """Labels of the table expression `points` with an id i; `near` is the condition of neighbours a and b."""
+    return f"""WITH RECURSIVE c AS ({points}), pair AS (SELECT a.i AS i, b.i AS j FROM c a JOIN c b ON {near}),
+    core AS (SELECT i FROM pair GROUP BY 1 HAVING count(*) >= {least}), link AS (SELECT i, j FROM pair WHERE i IN (FROM core) AND j IN (FROM core)),
     reach AS (SELECT i, i AS j FROM core UNION SELECT reach.i, link.j FROM reach JOIN link ON reach.j = link.i),
     root AS (SELECT i, min(j) AS root FROM reach GROUP BY 1), num AS (SELECT root, CAST(row_number() OVER (ORDER BY root)
         - 1 AS INT) AS k FROM (SELECT DISTINCT root FROM root)),
     lab AS (SELECT i, k FROM root JOIN num USING (root)), border AS (SELECT pair.i, min(k) AS k FROM pair JOIN lab ON pair.j = lab.i GROUP BY 1)
-    SELECT c_custkey, coalesce(lab.k, border.k, -1) AS prediction, lab.k IS NOT NULL AS core FROM c LEFT JOIN lab ON lab.i = c_custkey
-        LEFT JOIN border ON border.i = c_custkey""")
+    SELECT c.i AS {id_col}, coalesce(lab.k, border.k, -1) AS prediction, lab.k IS NOT NULL AS core FROM c LEFT JOIN lab ON lab.i = c.i
+        LEFT JOIN border ON border.i = c.i"""
+
+
+@query(_dbscan_sql(f"SELECT c_custkey AS i, x, y FROM ({_CUSTOMER})", "a.y = b.y AND sqrt((a.x - b.x) * (a.x - b.x)) <= 0.1", 4, "c_custkey"))
 def dbscan(spark, sf_dir):
     return cluster.DBSCAN(0.1, 4).fit_predict(_customer(spark, sf_dir), ["x", "y"], id_col="c_custkey").select("c_custkey", "prediction", "core")
 
 
+@query(_dbscan_sql(
+    "SELECT p_partkey AS i, p_retailprice / 100 AS x, sqrt(p_size::DOUBLE) AS y FROM part", "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.11",
+    5, "p_partkey"
+))
+def dbscan_two_features(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 100).alias("x"), F.sqrt(F.col("p_size").cast("double")).alias("y"))
+    return cluster.DBSCAN(0.11, 5).fit_predict(p, ["x", "y"], id_col="p_partkey").select("p_partkey", "prediction", "core")
+
+
+@query(_dbscan_sql("SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS x FROM embeddings", "list_distance(a.x, b.x) <= 1.16", 4, "vec_id"))
+def dbscan_embeddings(spark, sf_dir):
+    return cluster.DBSCAN(1.16, 4).fit_predict(_vectors(spark, sf_dir), "embedding", id_col="vec_id").select("vec_id", "prediction", "core")
+
+
 def _kmeans_sql(steps: int) -> str:
     parts = [f"WITH c AS ({_CUSTOMER}), k0 AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 3.0::DOUBLE), (1, 5.0, 12.0), (2, 9.0, 20.0)) t(k, cx, cy))"]
     for t in range(steps + 1):

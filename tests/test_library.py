@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import cluster, decomposition, kernels, metrics, neighbors, splits, trees
-from millrace.plans import pairs
+from millrace.plans import pairs, pivots
 from millrace.plans.scan import exact_percentile, ranked
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -116,13 +116,57 @@ def test_large_index_meets_in_blocks(spark, monkeypatch, metric):
     far = np.abs(x[:, None] - x[None]).sum(2) if metric == "manhattan" else np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     for i in range(90):
         assert [n.id for n in whole[i]] == sorted(range(90), key=lambda j: (far[i, j], j))[:4]
-    monkeypatch.setattr(pairs.nearest, "__defaults__", ("euclidean", 25))
+    monkeypatch.setattr(pivots, "SENT_ROWS", 25)
+    monkeypatch.setattr(pivots, "PART", 7)
     monkeypatch.setattr(metrics, "INDEX_ROWS", 25)
     assert {r.id: r.near for r in neighbors.KNNRegressor(4, metric).fit(df, "x", "label", "id").kneighbors(df).collect()} == whole
     again = {r.id: r.s for r in metrics.silhouette_samples(df, "x", "label", "id").collect()}
     assert all(np.isclose(again[i], s) for i, s in silhouette.items())
 
 
+def test_few_pairs_meet_by_pivots(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 20, (12, 16))
+    x = np.concatenate([c + rng.normal(0, 1, (60, 16)) for c in centres])
+    x = np.concatenate([x, np.repeat(x[:1], 80, axis=0)])  # a hot vector
+    df = spark.createDataFrame([(i, r.tolist(), float(i)) for i, r in enumerate(x)], "id long, x array<double>, label double").repartition(3)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    wanted = {i: sorted(range(len(x)), key=lambda j: (far[i, j], j))[:7] for i in range(len(x))}
+    sent = pivots.SentIndex(df.select("id", "x", F.col("label").alias("value")).toArrow(), x[::27], 16, "euclidean")
+    places, _, compared = sent.search(x, 7)
+    assert {i: p.tolist() for i, p in enumerate(places)} == wanted and compared.sum() < len(x) ** 2 / 5
+    monkeypatch.setattr(pivots, "SENT_ROWS", 100)
+    model = neighbors.KNNRegressor(7).fit(df, "x", "label", "id")
+    assert {r.id: [n.id for n in r.near] for r in model.kneighbors(df).collect()} == wanted
+    assert model.pairs_compared_ < len(x) ** 2 / 5
+    found, compared = pivots.range_pairs(df, 16, 4.0)
+    assert sorted(map(tuple, found.collect())) == sorted(zip(*(a.tolist() for a in np.nonzero(far <= 4.0)))) and compared < len(x) ** 2 / 5
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_bounds_of_cells_hold(metric):
+    rng = np.random.default_rng(1)
+    for scale, shift in ((1, 0), (1e-3, 1e6), (1e9, 0)):
+        x = rng.normal(0, scale, (300, 5)) + shift
+        points = np.concatenate((x[:20], x[:1] + scale * 1e-9))
+        to = pivots.pivot_distances(x, points, metric)
+        cell = to.argmin(axis=1)
+        radius = to[np.arange(300), cell]
+        counts = np.bincount(cell, minlength=21)
+        low, high = (np.array([f(radius[cell == j]) if counts[j] else 0 for j in range(21)]) for f in (np.min, np.max))
+        own = rng.normal(0, 3 * scale, (50, 5)) + shift
+        least = pivots.Cells(points, counts, low, high, metric).least(own, pivots.pivot_distances(own, points, metric))
+        far = pairs.distances(own, x, metric)
+        assert all((far[:, cell == j].min(axis=1) >= least[:, j]).all() for j in range(21) if counts[j])
+
+
+def test_no_neighbours_of_an_empty_index(spark):
+    df = spark.createDataFrame([(1, [0.0], 1.0)], "id long, x array<double>, label double")
+    none = neighbors.KNNRegressor(2).fit(df, "x", "label", "id")
+    none.index_ = none.index_.limit(0)
+    assert none.transform(df).first().prediction is None and none.kneighbors(df.limit(0)).count() == 0
+
+
 # operators at their edges
 
 def brute_dbscan(x, eps, least, metric):
