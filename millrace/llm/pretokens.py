@@ -76,12 +76,13 @@ def boundaries(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class PretokenTable:
     """For each distinct pre-token its list of ids (or one number): open addressing by 64-bit hash, then the texts are compared.
 
-    `make` gives the lists of new pre-tokens. The table is emptied when it holds `most` pre-tokens. A pre-token whose
+    `make` gives the lists of new pre-tokens. The table is emptied before it would hold over `most` pre-tokens, or `most_points` code
+    points of them (ids are no more than bytes, so both bound them), but for what one call needs. A pre-token whose
     hash stands for another text is kept by its text, so what is found is always that of the pre-token itself.
     """
 
-    def __init__(self, make: Callable[[list[str]], list[np.ndarray]], most: int = 1_000_000) -> None:
-        self.make, self.most = make, most
+    def __init__(self, make: Callable[[list[str]], list[np.ndarray]], most: int = 1_000_000, most_points: int = 16_000_000) -> None:
+        self.make, self.most, self.most_points = make, most, most_points
         self.clear()
 
     def clear(self) -> None:
@@ -133,7 +134,8 @@ class PretokenTable:
         new = np.flatnonzero(found < 0)
         if len(new):
             fresh, where = np.unique(hashes[new], return_index=True)
-            if self.count + len(fresh) > self.most and self.count:
+            points_made = int((ends[new[where]] - starts[new[where]]).sum())
+            if self.count and (self.count + len(fresh) > self.most or self.points_used + points_made > self.most_points):
                 self.clear()
                 return self.numbers(points, text, starts, ends, hashes)
             texts = [text[s:e] for s, e in zip(starts[new[where]].tolist(), ends[new[where]].tolist())]

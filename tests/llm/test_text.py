@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -18,7 +19,7 @@ from millrace.llm.byte_bpe import ByteBpe
 from millrace.llm.decontaminate import build_index, drop_contaminated, find_contamination, question_and_answer
 from millrace.llm.hashmap import HashMap64
 from millrace.llm.language_id import automaton, drop_undetermined, identify_languages
-from millrace.llm.pretokens import pretokens, split_texts
+from millrace.llm.pretokens import PretokenTable, pretokens, split_texts
 from millrace.llm.quality import fit_ordinal, score_quality
 from millrace.llm.sentencepiece_codec import Codec, decode_pieces, encode_pieces, encoding_digest
 from millrace.llm.token_counts import count_texts, count_tokens
@@ -443,6 +444,33 @@ def test_words_of_equal_hash_are_told_apart(monkeypatch, modulus):
     token_files._tables.clear()
 
 
+def test_long_words_merge_in_few_rounds():
+    rng = random.Random(2)
+    bpe, library = ByteBpe(open(BPE, "rb").read()), Tokenizer.from_file(BPE)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (
+        ("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("etaoin", 60_000), ("é日x", 5_000), ("ab", 30_000), ("AbC+/09xyz", 50_000))]
+    start = time.perf_counter()
+    found = bpe.merge([*texts, "", "a", "the"])
+    took = time.perf_counter() - start
+    assert [x.tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in [*texts, "", "a", "the"]]
+    assert bpe.merge([]) == [] and took < 30  # about 1.5 s; minutes if each round looked at all symbols
+
+
+def test_tables_are_bounded_by_code_points():
+    bpe = ByteBpe(open(BPE, "rb").read())
+    table = PretokenTable(lambda texts: bpe.merge(texts), most_points=300_000)
+    rng, held = random.Random(3), 0
+    for _ in range(40):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(2_000)) for _ in range(25)]
+        text = "".join(words)
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        starts, ends, hashes, _ = pretokens(points, np.arange(0, len(text) + 1, 2_000), np.full(25, -1))
+        ids, bounds = table.lists(table.numbers(points, text, starts, ends, hashes))
+        held = max(held, len(table.points))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [x.tolist() for x in bpe.merge(words)]
+    assert table.points_used <= 300_000 and held <= 1 << 19
+
+
 def test_hashes_differ_where_one_polynomial_would_not():
     from millrace.llm.textkit import span_hashes
 
