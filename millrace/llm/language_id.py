@@ -10,8 +10,8 @@ The automata are walked for many texts at once: texts are cut into lanes of LANE
 phrase, and all lanes advance together, one symbol a step. A missing transition is stored as the
 transition from the root with the phrase bit set, so a step is one table lookup. Whole texts are parsed.
 
-It learns from a bounded sample of labelled rows, each with its whole text: those of a language that come first by the hash of their
-id, as long as they are at most DOCS_PER_LANGUAGE rows and have REFERENCE_SYMBOLS together.
+It learns from a bounded sample of labelled rows: those of a language that come first by the hash of their id, as long as they are at
+most DOCS_PER_LANGUAGE rows and have REFERENCE_SYMBOLS together; of long texts, stretches from all over them.
 """
 
 from __future__ import annotations
@@ -24,11 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import fresh, python_steps
+from millrace.llm.shared import fresh, small
 from millrace.llm.textkit import text_slices
+from millrace.storage import ship
 
 #: Labelled documents of a language that are learnt from at most, and their characters and symbols in all.
 DOCS_PER_LANGUAGE, REFERENCE_SYMBOLS = 96, 49_152
+#: Stretches of a long text that are learnt from.
+STRETCHES = 8
+#: Entries of all languages' tables together, 4 bytes each and broadcast; under 2^30, so that entries have numbers of 30 bits.
+TABLE_ENTRIES = 1 << 27
 #: Symbols of a lane.
 LANE = 512
 UNDETERMINED = "und"
@@ -177,21 +182,33 @@ def _one(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs: int = DOCS_PER_LANGUAGE, symbols: int = REFERENCE_SYMBOLS) -> LanguageModel:
-    """Fit on whole labelled texts of each language: the first by the hash of their id, at most `docs` with `symbols` symbols in all.
+    """Fit on labelled texts of each language: the first by the hash of their id, at most `docs` with `symbols` symbols in all.
 
-    A text that is longer than the bound by itself is not in the sample; where a language has no other, its shortest one is cut to it.
+    Texts are taken whole; one of over a quarter of the bound gives that many characters in STRETCHES stretches, one from each part of the text at a
+    place chosen by the hash of its id. With so many languages that their tables could have over TABLE_ENTRIES entries, each has fewer
+    symbols. Which rows are first is found without their texts.
     """
+    text, place = F.col(text_col), F.xxhash64(F.col(id_col))
     usable = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    usable = usable.select(
-        F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-        (F.length(text_col) > symbols).alias("long")
-    )
-    by = Window.partitionBy("lang").orderBy("long", F.when(F.col("long"), F.length("text")), F.xxhash64("id"), "id", F.xxhash64("text"))
-    rows = usable.withColumn("rank", F.row_number().over(by)).where(f"rank <= {docs} AND (NOT long OR rank = 1)")
-    rows = rows.select("lang", "rank", F.substring("text", 1, symbols).alias("text")).collect()
+    rows = usable.select(F.col(lang_col).alias("lang"), place.alias("place"), F.xxhash64(lang_col, id_col, text_col).alias("key"))
+    by = Window.partitionBy("lang").orderBy("place", "key")
+    first = rows.withColumn("rank", F.row_number().over(by)).where(f"rank <= {docs}").collect()  # `docs` short rows a language
+    if not first:
+        return build_model({})
+    symbols = min(symbols, max(LANE, TABLE_ENTRIES // (2 * (SYMBOLS + 1) * len({r.lang for r in first}))))
+    ranks = {r.key: (r.lang, r["rank"]) for r in first}
+    keys = F.broadcast(labelled.sparkSession.createDataFrame([(k,) for k in ranks], "key long"))
+    most, part = symbols // 4, F.floor(F.length(text) / STRETCHES).cast("int")
+    spread = [
+        F.substring(text, (part * k + F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), part - most // STRETCHES + 1) + 1).cast("int"), F.lit(most // STRETCHES))
+        for k in range(STRETCHES)
+    ]
+    sample = F.when(F.length(text) <= most, text).otherwise(F.concat_ws(" ", *spread)).alias("text")
+    held = usable.select(F.xxhash64(lang_col, id_col, text_col).alias("key"), sample).join(keys, "key").dropDuplicates(["key"]).collect()
     samples: dict[str, list[str]] = {}
     left: dict[str, int] = {}
-    for lang, _, text in sorted(rows, key=lambda r: (r[0], r[1])):
+    for key, text in sorted(held, key=lambda r: ranks[r.key]):
+        lang = ranks[key][0]
         size = len(squeeze(*_one(text))[0])
         if size <= left.setdefault(lang, symbols) or lang not in samples:
             samples.setdefault(lang, []).append(text)
@@ -213,7 +230,7 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_
     text (MISFIT); where nothing was learnt a letter is enough. Rows repeat as they are; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    python_steps(spark)
+    ship(spark)
     model = spark.sparkContext.broadcast(learn(labelled, id_col, text_col, lang_col))
     extra = fresh(docs, "lang_pred", "score", "fits")
     names = docs.columns
@@ -223,7 +240,7 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
+        for batch in small(batches):
             for row, raw, offsets in text_slices(batch.column(at)):
                 part = batch.slice(row, len(offsets) - 1)
                 symbols, bounds = squeeze(raw, offsets)
