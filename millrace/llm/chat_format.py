@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import python_steps
+from millrace.llm.shared import small
 from millrace.llm.token_counts import count_texts
+from millrace.storage import ship
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens of a window and of the history repeated in it.
@@ -129,7 +130,7 @@ def format_conversations(
     turns without conversation make one of their own. Repeated rows are turns of their own. An empty table gives no windows.
     """
     spark = turns.sparkSession
-    python_steps(spark)
+    ship(spark)
     with open(tokenizer_path, "rb") as f:
         held = spark.sparkContext.broadcast(f.read())
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((role_col, "role"), (text_col, "text"))]
@@ -144,7 +145,7 @@ def format_conversations(
         ])
         current: tuple | None = None  # (conversation,), as that may be null
         windows = Windows(budget, history)
-        for batch in batches:
+        for batch in small(batches):
             ids, roles, texts = (batch.column(k).to_pylist() for k in (0, 2, 3))
             sizes = count_texts(source, [format_turn(r, t)[0] for r, t in zip(roles, texts)]).tolist()
             out = []
@@ -178,7 +179,7 @@ def read_windows(windows: DataFrame, digest: Callable = hashlib.sha256) -> DataF
     unescaped, nothing between), formatted_chars. Windows are streamed in order. Those without conversation are one of their own;
     other columns play no part; no windows give no rows.
     """
-    python_steps(windows.sparkSession)
+    ship(windows.sparkSession)
     rows = windows.select("conv_id", "window", "text", "repeated", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
@@ -193,7 +194,7 @@ def read_windows(windows: DataFrame, digest: Callable = hashlib.sha256) -> DataF
         def row(conv, state) -> tuple:
             return conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]
 
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for conv, text, repeated, loss in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
                 if current != (conv,):

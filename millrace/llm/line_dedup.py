@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.cuckoo import CuckooFilter
-from millrace.llm.shared import broadcast_below, join_groups, python_steps
-from millrace.storage import children, cut, drop_table, exists, write_table
+from millrace.llm.shared import broadcast_below, join_groups, small
+from millrace.storage import children, cut, drop_table, exists, ship, write_table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys that a filter shard is made for, and the shards whose filters (256 kB each) are sent to all at once.
@@ -71,7 +71,7 @@ class LineDedup:
             self.shards, *own = self._table("state").first()
             if own != [min_chars, min_docs]:
                 raise ValueError(f"the state in {path} was made with min_chars, min_docs = {own}")
-        python_steps(spark)
+        ship(spark)
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{self.version}/{name}")
@@ -100,7 +100,7 @@ class LineDedup:
         min_chars = self.min_chars
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 keys, ids = [], []
                 for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     own = {k for k in keyed_lines(text, min_chars)[1] if k is not None}
@@ -185,7 +185,7 @@ class LineDedup:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard, held = None, None
-            for batch in batches:
+            for batch in small(batches):
                 own, step = batch.column(0).to_numpy(), batch.column(2).to_numpy()
                 k1 = batch.column(1).fill_null(0).to_numpy().view(np.uint64)
                 for s in np.unique(own).tolist():
@@ -230,7 +230,7 @@ class LineDedup:
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 filters = None if held is None else {s: CuckooFilter.from_bytes(f) for s, f in held.value.items()}
-                for batch in batches:
+                for batch in small(batches):
                     texts = batch.column(1).to_pylist()
                     split = [keyed_lines(t, min_chars) for t in texts]
                     keys = [list({k for k in own if k is not None}) for _, own in split]
@@ -269,7 +269,7 @@ class LineDedup:
         drops = decided.groupBy("row").agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 gone, sha, kept_texts = [], [], []
                 for body, drop in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                     lost = {(d["k1"], d["k2"]) for d in drop or []}
@@ -300,7 +300,7 @@ class LineDedup:
 
             def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
                 filters = {s: CuckooFilter.from_bytes(f) for s, f in held.value.items()}
-                for batch in batches:
+                for batch in small(batches):
                     flat = np.column_stack([batch.column(k).to_numpy() for k in (2, 3)])
                     yield batch.filter(pa.array(_hits(filters, flat, shards)))
 

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import broadcast_below, fresh, join_groups, python_steps
+from millrace.llm.shared import broadcast_below, fresh, join_groups, small
 from millrace.llm.textkit import mix, shingles, text_slices, words
 from millrace.plans.closure import components
-from millrace.storage import cut
+from millrace.storage import cut, ship
 
 SHINGLE, PERMUTATIONS, BAND_ROWS, BITS = 5, 128, 4, 4
 BANDS = PERMUTATIONS // BAND_ROWS
@@ -103,7 +103,7 @@ def least_equal(similarity: float) -> float:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         ids = batch.column(0)
         for row, raw, offsets in text_slices(batch.column(1)):
             hashes, _, _, bounds = words(raw, offsets)
@@ -131,7 +131,7 @@ def _similar(n_a: Column, n_b: Column, percent: int) -> Column:
 
 def _estimated(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             if not len(batch):
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BANDS * 2) for k in (2, 3))
@@ -153,7 +153,7 @@ def _by_tile(work, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
+        for batch in small(batches):
             if not len(batch):
                 continue
             key = np.stack([batch.column(k).to_numpy() for k in range(3)])
@@ -285,7 +285,7 @@ def _confirmed(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, hub = None, []
-        for batch in batches:
+        for batch in small(batches):
             u, v = [], []
             sets = _sets(batch.column(4))
             for own, part, kind, i, a in zip(*(batch.column(k).to_pylist() for k in range(4)), sets):
@@ -340,7 +340,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns play no part, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    python_steps(spark)
+    ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = cut(texts.mapInArrow(_sketches, "id long, n long, key binary, bits binary, bands array<long>"), "near-sketch")
     least = least_equal(percent / 100)

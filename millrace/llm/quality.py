@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import fresh, python_steps
+from millrace.llm.shared import fresh, small
 from millrace.llm.textkit import NON_WORD, mix, text_slices, words
-from millrace.storage import cut
+from millrace.storage import cut, ship
 
 #: Rated rows that a model is fitted on at most.
 TRAIN_ROWS = 16_000
@@ -136,10 +136,10 @@ def learn_quality(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: st
     whose text has the least hash counts, and of several grades of an id the lowest.
     """
     spark = docs.sparkSession
-    python_steps(spark)
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for at, raw, offsets in text_slices(batch.column(0)):
                 number, row = features(raw, offsets)
                 ends = np.searchsorted(row, np.arange(len(offsets)))
@@ -171,7 +171,7 @@ def score_quality(
     leading underscore.
     """
     spark = docs.sparkSession
-    python_steps(spark)
+    ship(spark)
     model = spark.sparkContext.broadcast(learn_quality(docs, ratings, id_col, text_col, grade_col, train_rows))
     names, at = docs.columns, docs.columns.index(text_col)
     extra = fresh(docs, "expected_grade", "tails", "kept")
@@ -180,7 +180,7 @@ def score_quality(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         steps = np.diff(np.array(m.grades, dtype=float))
-        for batch in batches:
+        for batch in small(batches):
             for start, raw, offsets in text_slices(batch.column(at)):
                 n = len(offsets) - 1
                 if len(m.grades) > 1:

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.hashmap import HashMap64
-from millrace.llm.shared import fresh, python_steps
+from millrace.llm.shared import fresh, small
+from millrace.storage import ship
 
 BLANK = "▁"
 #: Stretches remembered in a generation, characters of the longest, and pairs of pieces whose compatibility is remembered.
@@ -359,7 +360,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", with
     ours get a leading underscore. Rows repeat as they are; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    python_steps(spark)
+    ship(spark)
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
     ids_name, text_name = fresh(docs, "piece_ids", "decoded")
@@ -369,7 +370,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model.value)
-        for batch in batches:
+        for batch in small(batches):
             for start in range(0, len(batch), 128):
                 part = batch.slice(start, 128)
                 found = codec.encode_all(part.column(at).to_pylist())
@@ -387,7 +388,7 @@ def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "piece_ids")
     Rows repeat as they are; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    python_steps(spark)
+    ship(spark)
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
     (name,) = fresh(docs, "decoded")
@@ -396,7 +397,7 @@ def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "piece_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model.value)
-        for batch in batches:
+        for batch in small(batches):
             texts = [codec.decode(np.array(x or [], dtype=np.int32)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, name])
 
@@ -410,13 +411,13 @@ def encoding_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
     other columns play no part whatever their names, and an empty table gives no rows.
     """
     spark = docs.sparkSession
-    python_steps(spark)
+    ship(spark)
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model.value)
-        for batch in batches:
+        for batch in small(batches):
             n, crc, same = [], [], []
             texts = batch.column(1).to_pylist()
             for text, ids in zip(texts, codec.encode_all(texts)):

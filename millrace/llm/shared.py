@@ -1,21 +1,23 @@
-"""What the operators of this subpackage have in common: Arrow batches, checked broadcasts, columns."""
+"""What the operators of this subpackage have in common: slices of Arrow batches, checked broadcasts, columns."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.storage import ship
-
-#: Rows of an Arrow batch handed to a Python worker. Texts of 100 kB and more occur, so it is kept
-#: small: a worker holds one batch and the arrays made from it.
-ARROW_ROWS = 256
+#: Rows that a Python step takes at once. Texts of 100 kB and more occur, so it is kept small: arrays made from a text
+#: are larger than the text.
+STEP_ROWS = 256
 
 
-def python_steps(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Make ready for Python steps: bound their Arrow batches, and send this package to the executors once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    ship(spark)
+def small(batches: Iterator[pa.RecordBatch], rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, which share their memory; how many rows a batch has is the session's choice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def broadcast_below(df: DataFrame, rows: int) -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.byte_bpe import ByteBpe
 from millrace.llm.pretokens import PretokenTable, pretokens, split_texts
-from millrace.llm.shared import python_steps
+from millrace.llm.shared import small
+from millrace.storage import ship
 
 #: Pre-tokens remembered by a worker.
 REMEMBERED = 1_500_000
@@ -56,12 +57,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     Repeated rows repeat; other columns play no part, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    python_steps(spark)
+    ship(spark)
     with open(tokenizer_path, "rb") as f:
         held = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             counts = count_texts(held.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts)], names=["id", "n_bytes", "n_tokens"])
 

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.byte_bpe import ByteBpe
 from millrace.llm.pretokens import PretokenTable, pretokens, split_texts
-from millrace.llm.shared import python_steps
-from millrace.storage import cut
+from millrace.llm.shared import small
+from millrace.storage import cut, ship
 
 #: Bytes of frames in a shard, its documents, the dictionary's size, documents and tokens of each that it is trained on.
 SHARD_BYTES, SHARD_DOCS, DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_TOKENS = 4 << 20, 8192, 64 << 10, 512, 4096
@@ -105,7 +105,7 @@ def write_token_files(
     by the hash of their id, and of each on SAMPLE_TOKENS tokens of a stretch that another hash of the id chooses.
     """
     spark = docs.sparkSession
-    python_steps(spark)
+    ship(spark)
     with open(tokenizer_path, "rb") as f:
         source = f.read()
     width = 2 if ByteBpe(source).width <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
@@ -126,7 +126,7 @@ def write_token_files(
 
         source, content = held.value
         compressor = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(content), write_content_size=True)
-        for batch in batches:
+        for batch in small(batches):
             sizes, frames = [], []
             for ids in encode_texts(source, batch.column(1).to_pylist(), end_id):
                 sizes.append(len(ids))
@@ -162,7 +162,7 @@ def _assemble(digest: str):
                 kept.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(out, kinds)], names=names)
 
-        for batch in batches:
+        for batch in small(batches):
             for key, n, frame in zip(*(c.to_pylist() for c in batch.columns)):
                 ids.append(key)
                 sizes.append(n)
@@ -189,7 +189,7 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
     start counts the tokens of all documents before; ids_crc32 is taken over the ids as little-endian unsigned 32-bit integers.
     A document written without id has none; documents with equal ids have a row each; an empty set gives no rows.
     """
-    python_steps(spark)
+    ship(spark)
     shards, sha, width, content = _open(spark, path)
     # a row for each part: as many as the writing job had tasks
     parts = shards.groupBy("part").agg(F.sum("tokens").alias("tokens"))
@@ -202,7 +202,7 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
         import zstandard
 
         reader = zstandard.ZstdDecompressor(dict_data=_dictionary(held.value))
-        for batch in batches:
+        for batch in small(batches):
             for k in range(len(batch)):
                 start, own, nulls, index, data = (batch.column(c)[k].as_py() for c in range(5))
                 if own != sha:
@@ -223,7 +223,6 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
                     out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists).astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row is a shard of some MB
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
