@@ -136,6 +136,16 @@ def test_registered_queries_equal_the_libraries(spark):
         c: (len(rows), sha("".join(f"{role}\n{t}\n" for role, t in rows)), len(said[c]), sha(said[c])) for c, rows in turns.items()}
 
 
+def test_queries_leave_the_session_as_it_is(spark):
+    import __spark_entry__
+
+    before = spark.conf.getAll
+    for name, query in __spark_entry__.queries().items():
+        if name.startswith("op") or name == "pipeline":
+            query(spark, "/root/testdata/sf0.001")
+    assert spark.conf.getAll == before
+
+
 def test_recall_of_near_duplicates_is_whole(spark):
     """Every linked pair of the small table by brute force is in one group."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm import chat_format as chat
 from millrace.llm.byte_bpe import ByteBpe
-from millrace.llm.decontaminate import build_index, drop_contaminated, find_contamination, question_and_answer
+from millrace.llm.decontaminate import build_index, drop_contaminated, find_contamination, find_items, question_and_answer
 from millrace.llm.hashmap import HashMap64
 from millrace.llm.language_id import automaton, drop_undetermined, identify_languages
 from millrace.llm.pretokens import PretokenTable, pretokens, split_texts
@@ -121,6 +121,28 @@ def test_languages_are_learnt_past_a_common_opening(spark):
     assert all(r.lang_pred == r.lang and r.score > 0.1 for r in out)
 
 
+def test_a_language_with_one_long_text_is_learnt_from_all_of_it(spark):
+    rng = random.Random(16)
+    vocabulary = {"xx": ["alba", "torno", "quessa", "mila"], "yy": ["grund", "schacht", "weber", "tzung"]}
+    text = lambda k, n: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
+    opening = " ".join("".join(rng.choice("jkpxy") for _ in range(6)) for _ in range(8_000))
+    labelled = [(0, f"{opening} {text('xx', 26_000)}", "xx", 0), *((i, text("yy", 300), "yy", 0) for i in range(1, 20))]
+    assert len(labelled[0][1]) > 200_000
+    rows = [(i, text(k, 40), k, 0) for i, k in enumerate(["xx", "yy"] * 20)]
+    out = identify_languages(frame(spark, rows), frame(spark, labelled)).collect()
+    assert all(r.lang_pred == r.lang for r in out)
+
+
+def test_two_hundred_languages(spark):
+    rng = random.Random(17)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(25)] for k in range(200)}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    labelled = [(i, text(k, 700), k, 0) for i, k in enumerate([*words] * 3)]
+    rows = [(i, text(k, 30), k, 0) for i, k in enumerate(words)]
+    out = identify_languages(frame(spark, rows), frame(spark, labelled)).collect()
+    assert len(out) == 200 and sum(r.lang_pred == r.lang for r in out) >= 198
+
+
 def test_documents_stay_where_no_language_is_learnt(spark):
     rows = [(0, "alba torno", None, 0), (1, "日本", None, 0), (1, None, None, 0), (2, "", None, 0), (3, "12 34 !!", None, 0), (None, "mila", None, 0)]
     assert sorted(r.text for r in drop_undetermined(frame(spark, rows)).collect()) == ["alba torno", "mila", "日本"]
@@ -153,22 +175,46 @@ def sentence(rng, n, vocabulary):
     return " ".join(f"{rng.choice('bcdfg')}{rng.randrange(vocabulary)}" for _ in range(n))
 
 
-def test_search_is_exact():
+def scores_of_all(index, sets):
+    """(set, segment): score of every segment for every set of term numbers, by all its words."""
+    out = {}
+    for k, terms in enumerate(sets):
+        for s in range(len(index.rest)):
+            own = slice(index.own_start[s], index.own_start[s + 1])
+            out[k, s] = float(index.own_weight[own][np.isin(index.own_term[own], terms)].sum())
+    return out
+
+
+def pairs_of(index, sets):
+    return np.array([k * len(index.terms) + t for k, terms in enumerate(sets) for t in sorted(terms)], dtype=np.int64)
+
+
+@pytest.mark.parametrize("block", [1, 4, 16])
+def test_search_is_exact(monkeypatch, block):
+    from millrace.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    monkeypatch.setattr(decontaminate, "CELLS", 100)
     rng = random.Random(3)
     items = [(i, sentence(rng, rng.randint(8, 30), 60), sentence(rng, rng.randint(3, 12), 60)) for i in range(120)]
+    index = build_index(items, threshold=0.15)
+    sets = [rng.sample(range(len(index.terms)), rng.choice([1, 20, 50])) for _ in range(60)] + [[]]
+    scores = scores_of_all(index, sets)
+    for threshold in (0.15, 0.3, 0.6):
+        own, segment, score, _ = index.search(pairs_of(index, sets), threshold)
+        assert {(k, s) for k, s in zip(own.tolist(), segment.tolist())} == {ks for ks, v in scores.items() if v >= threshold}
+        assert all(abs(scores[k, s] - v) < 1e-5 for k, s, v in zip(own.tolist(), segment.tolist(), score.tolist()))
+    assert index.search(np.zeros(0, np.int64), 0.3)[3] == 0 and find_items(build_index([]), np.zeros(3, np.uint64), np.array([0, 3]), 0.6, 0.6) == []
+
+
+def test_few_postings_are_scored():
+    rng = random.Random(8)
+    items = [(i, sentence(rng, 30, 3000), sentence(rng, 10, 3000)) for i in range(3000)]
     index = build_index(items)
-    weights = {}
-    for t in range(len(index.terms)):
-        for k in range(int(index.start[t]), int(index.start[t + 1])):
-            weights.setdefault(int(index.segment[k]), {})[t] = float(index.weight[k])
-    for _ in range(60):
-        terms = np.array(sorted(rng.sample(range(len(index.terms)), 50)))
-        bounds = index.block_bounds(terms, np.array([0]))[0]
-        for threshold in (0.15, 0.3):
-            best = {s for s, own in weights.items() if sum(own.get(t, 0) for t in terms.tolist()) >= threshold}
-            found = {s for block in range(index.blocks) for s, _ in index.search(terms, threshold, block)}
-            assert found == best
-            assert all(bounds[s // index.block] >= threshold - 1e-6 for s in best)
+    lists = np.bincount(index.own_term, minlength=len(index.terms))
+    sets = [rng.sample(range(len(index.terms)), 100) for _ in range(200)]
+    _, _, _, scored = index.search(pairs_of(index, sets), 0.6)
+    assert scored < sum(int(lists[t]) for terms in sets for t in terms) / 10
 
 
 def test_planted_items_are_found(spark):
@@ -203,16 +249,16 @@ def test_shards_of_the_index_give_the_same(spark, monkeypatch):
     rows = [(i, sentence(rng, 60, 5000) + " " + items[i][1] + " " + items[(i * 7) % 40][1], None, 0) for i in range(30)]
     bench, docs = spark.createDataFrame(items, "item_id long, text string"), frame(spark, rows)
     one = sorted((r.doc_id, r.item_ids) for r in find_contamination(docs, bench).collect())
-    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 15)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 3_000)
     assert sorted((r.doc_id, r.item_ids) for r in find_contamination(docs, bench).collect()) == one
     assert all(i in found for i, found in one)
 
 
-@pytest.mark.parametrize("shard_items", [50, 5])
-def test_rows_are_judged_whatever_their_id(spark, monkeypatch, shard_items):
+@pytest.mark.parametrize("shard_bytes", [10**6, 900])
+def test_rows_are_judged_whatever_their_id(spark, monkeypatch, shard_bytes):
     from millrace.llm import decontaminate
 
-    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", shard_items)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard_bytes)
     rng = random.Random(14)
     items = [(i, f"{sentence(rng, 20, 5000)}. {sentence(rng, 8, 5000)}.") for i in range(12)]
     clean = [sentence(rng, 40, 5000) for _ in range(3)]
