@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.core import Estimator, Features, score_rows
 from millrace.functions.expr import by_sign, poisson_one, sigmoid, uniform
+from millrace.plans.histograms import Bins, encode, find_bins, small_weights
 from millrace.plans.scan import bucket_bounds, exact_percentile, ranked, running_sums
 from millrace.storage import cut as stored
 from millrace.storage import ship
@@ -97,6 +98,7 @@ class _Rules:
     seed: int
     random_thresholds: bool
     zero_gain: bool
+    bins: Bins | None = None  # features are codes of these bins
 
     def closed(self, value: Sequence[float], size: float) -> bool:
         """Whether a node is not to be split any more."""
@@ -115,7 +117,7 @@ class _Rules:
         return sums[..., 1] - sums[..., 0] * sums[..., 0] / size
 
     def best(self, x: np.ndarray, w: np.ndarray, stats: np.ndarray, tree: int, path: int) -> tuple | None:
-        """(feature, threshold) of the best split of a node's rows."""
+        """(feature, threshold, largest value on the left) of the best split of a node's rows; with bins the latter is a code."""
         found, whole, size = None, stats.sum(axis=0), w.sum()
         for f in self.picked(x.shape[1], tree, path):
             order = np.argsort(x[:, f], kind="stable")
@@ -126,21 +128,23 @@ class _Rules:
                 continue
             if self.random_thresholds:
                 at = v[0] + _draw(self.seed, "cut", tree, path, f) * (v[-1] - v[0])
-                last, t = np.array([np.searchsorted(v, at, side="right") - 1]), np.array([at])
-            else:
-                t = (v[last] + v[last + 1]) / 2
+                last = np.array([np.searchsorted(v, at, side="right") - 1])
             left_size, left = upto[last, 0], upto[last, 1:]
             fits = (left_size >= self.min_leaf) & (size - left_size >= self.min_leaf)
             if not fits.any():
                 continue
-            left_size, left, t = left_size[fits], left[fits], t[fits]
+            left_size, left, last = left_size[fits], left[fits], last[fits]
             with np.errstate(divide="ignore", invalid="ignore"):
                 rest = self.impurity(left, left_size) + self.impurity(whole - left, size - left_size)
             gain = np.round((self.impurity(whole, size) - rest) / size, 10)
             gain = np.where(np.isfinite(gain) & (self.zero_gain | (gain > 0)), gain, -np.inf)
             k = int(gain.argmax())  # the first, so the lowest threshold, of equal ones
             if np.isfinite(gain[k]) and (found is None or gain[k] > found[0]):
-                found = (gain[k], f, float(t[k]))
+                if self.bins is not None:
+                    t, edge = self.bins.threshold(f, v[last[k]], v[last[k] + 1]), v[last[k]]
+                else:
+                    t = edge = at if self.random_thresholds else float((v[last[k]] + v[last[k] + 1]) / 2)
+                found = (gain[k], f, t, edge)
         return found and found[1:]
 
     def finish(self, x: np.ndarray, w: np.ndarray, stats: np.ndarray, tree: int, path: int, depth: int) -> list[Node]:
@@ -155,8 +159,8 @@ class _Rules:
             split = self.best(x[rows], w[rows], stats[rows], tree, node.path)
             if split is None:
                 continue
-            node.feature, node.threshold = split
-            below = x[rows, node.feature] <= node.threshold
+            node.feature, node.threshold, edge = split
+            below = x[rows, node.feature] <= edge
             node.left, node.right = len(nodes), len(nodes) + 1
             for side, own in ((1, rows[below]), (2, rows[~below])):
                 nodes.append(Node(stats[own].sum(axis=0).tolist(), float(w[own].sum()), 2 * node.path + side))
@@ -314,21 +318,50 @@ def _share_of_first_largest(value: list[float]) -> int:
     return int(np.argmax(value))
 
 
+def _most_voted(df: DataFrame, classes: list) -> DataFrame:
+    """`df` with the class of the largest probability, of equal ones the first."""
+    best = F.array_position("probability", F.array_max("probability")).cast("int") - 1
+    return df.withColumn("prediction", F.get(F.array(*[F.lit(c) for c in classes]), best))
+
+
+def _grow_classes(model, rows: DataFrame, d: int, stats: list[str], trees: int, n_features: int | None, bootstrap: bool, seed: int):
+    """A forest by histograms from what `_class_rows` gives."""
+    from millrace.operators.binned import grow_binned
+
+    bins = find_bins(rows, d, model.max_bins)
+    keep = list(stats)
+    if bootstrap:
+        rows = rows.withColumn("weights", small_weights(lambda t: poisson_one(uniform(seed, "boot", t, F.col("id"))), trees))
+        keep.append("weights")
+    coded = encode(rows, bins, keep)
+    return grow_binned(
+        coded, bins, stats, "gini", trees, model.max_depth, model.min_samples_split, model.min_samples_leaf, n_features, seed,
+        weights="weights" if bootstrap else None, local_rows=model.local_rows)
+
+
 class DecisionTreeClassifier(Estimator):
-    """CART by Gini impurity, midpoint thresholds. probability is 1 for the leaf's majority class (of equal counts the first)."""
+    """CART by Gini impurity, midpoint thresholds. probability is 1 for the leaf's majority class (of equal counts the first).
+
+    With `max_bins` thresholds lie between so many quantile bins a feature, and a level exchanges histograms (see `binned`): for many rows.
+    """
 
     def __init__(
         self, max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1, n_features: int | None = None,
-        random_state: int | None = None
+        random_state: int | None = None, max_bins: int | None = None, local_rows: int | None = None
     ) -> None:
         self.max_depth, self.min_samples_split, self.min_samples_leaf = max_depth, min_samples_split, min_samples_leaf
-        self.n_features, self.random_state = n_features, random_state
+        self.n_features, self.random_state, self.max_bins, self.local_rows = n_features, random_state, max_bins, local_rows
 
     def fit(self, df: DataFrame, features, label: str, id_col: str):
         self.features = features
         own = Features(df, features)
         self.n_features_in_, self.classes_ = len(own), _sorted_classes(df, label)
         rows, stats = _class_rows(df, own, label, id_col, self.classes_)
+        if self.max_bins is not None:
+            self.forest_ = _grow_classes(self, rows, len(own), stats, 1, self.n_features, False, self.random_state or 0)
+            whole = self.forest_.whole(df.sparkSession)
+            self.tree_, self._fitted = whole and whole[0], True
+            return self
         self.tree_ = grow(
             rows, len(own), stats, "gini", 1, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.n_features,
             self.random_state or 0
@@ -339,6 +372,10 @@ class DecisionTreeClassifier(Estimator):
     def transform(self, df: DataFrame) -> DataFrame:
         self._check_fitted()
         own, tree = self._width(df), self.tree_
+        if tree is None:
+            from millrace.operators.binned import votes_by_table
+
+            return _most_voted(votes_by_table(df, own, self.forest_, len(self.classes_)), self.classes_)
         if len(tree.nodes) <= CASE_NODES:
             out = df.withColumn("__class", F.when(own.known, tree.column(own.columns, lambda v: F.lit(_share_of_first_largest(v)))))
         else:
@@ -351,16 +388,23 @@ class DecisionTreeClassifier(Estimator):
 
 
 class _Forest(Estimator):
-    """Many trees grown together, a level in one job. probability is the share of trees that vote for a class."""
+    """Many trees grown together, a level in one job. probability is the share of trees that vote for a class.
+
+    With `max_bins` thresholds lie between so many quantile bins a feature, and a level exchanges histograms; then a forest of many
+    nodes stays in a table (see `binned`).
+    """
 
     random_thresholds = False
 
     def __init__(
         self, n_estimators: int = 100, max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1,
-        n_features: int | None = None, bootstrap: bool = True, random_state: int | None = None
+        n_features: int | None = None, bootstrap: bool = True, random_state: int | None = None, max_bins: int | None = None, local_rows: int | None = None
     ) -> None:
         if n_estimators < 1:
             raise ValueError("n_estimators must be at least 1")
+        if max_bins is not None and self.random_thresholds:
+            raise ValueError("random thresholds are not binned")
+        self.max_bins, self.local_rows = max_bins, local_rows
         self.n_estimators, self.max_depth, self.min_samples_split, self.min_samples_leaf = n_estimators, max_depth, min_samples_split, min_samples_leaf
         self.n_features, self.bootstrap, self.random_state = n_features, bootstrap, random_state
 
@@ -372,6 +416,12 @@ class _Forest(Estimator):
         own = Features(df, features)
         self.n_features_in_, self.classes_, seed = len(own), _sorted_classes(df, label), self.random_state or 0
         rows, stats = _class_rows(df, own, label, id_col, self.classes_)
+        if self.max_bins is not None:
+            self.forest_ = _grow_classes(self, rows, len(own), stats, self.n_estimators, self._features_of_node(len(own)), self.bootstrap, seed)
+            whole = self.forest_.whole(df.sparkSession)
+            self.trees_ = self.estimators_ = whole and [t for t in whole if t.nodes]
+            self._fitted = True
+            return self
         rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.n_estimators - 1))))
         if self.bootstrap:  # a row's count in a sample of as many rows with replacement is Poisson(1) in the limit
             weight = poisson_one(uniform(seed, "boot", F.col("tree"), F.col("id"))).cast("double")
@@ -387,6 +437,10 @@ class _Forest(Estimator):
     def transform(self, df: DataFrame) -> DataFrame:
         self._check_fitted()
         trees, k = self.trees_, len(self.classes_)
+        if trees is None:
+            from millrace.operators.binned import votes_by_table
+
+            return _most_voted(votes_by_table(df, self._width(df), self.forest_, k), self.classes_)
 
         def score(x: np.ndarray) -> dict[str, np.ndarray]:
             votes = np.zeros((len(x), k))
@@ -395,8 +449,7 @@ class _Forest(Estimator):
             return {"probability": votes / len(trees)}
 
         out = score_rows(df, self._width(df), score, "probability array<double>")
-        best = F.array_position("probability", F.array_max("probability")).cast("int") - 1
-        return out.withColumn("prediction", F.get(F.array(*[F.lit(c) for c in self.classes_]), best))
+        return _most_voted(out, self.classes_)
 
     predict = predict_proba = transform
 
@@ -415,9 +468,9 @@ class ExtraTreesClassifier(_Forest):
 
     def __init__(
         self, n_estimators: int = 100, max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1,
-        n_features: int | None = None, bootstrap: bool = False, random_state: int | None = None
+        n_features: int | None = None, bootstrap: bool = False, random_state: int | None = None, max_bins: int | None = None
     ) -> None:
-        super().__init__(n_estimators, max_depth, min_samples_split, min_samples_leaf, n_features, bootstrap, random_state)
+        super().__init__(n_estimators, max_depth, min_samples_split, min_samples_leaf, n_features, bootstrap, random_state, max_bins)
 
 
 class AdaBoostClassifier(Estimator):
@@ -493,26 +546,32 @@ class _Boosting(Estimator):
 
     def __init__(
         self, n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3, min_samples_leaf: int = 1, subsample: float = 1.0,
-        random_state: int | None = None
+        random_state: int | None = None, max_bins: int | None = None, local_rows: int | None = None
     ) -> None:
         if not 0 < subsample <= 1:
             raise ValueError("subsample must be in (0, 1]")
+        self.max_bins, self.local_rows = max_bins, local_rows
         self.n_estimators, self.learning_rate, self.max_depth, self.min_samples_leaf = n_estimators, learning_rate, max_depth, min_samples_leaf
         self.subsample, self.random_state = subsample, random_state
 
     def _boost(self, rows: DataFrame, d: int, residual, loss) -> None:
         """`rows` has id, x and y. Scores are cut to the shared folder every few rounds, so expressions stay short."""
+        bins = None if self.max_bins is None else find_bins(rows, d, self.max_bins)
+        rows = rows if bins is None else encode(rows, bins, ["id", "x", "y"])
         state = stored(rows.withColumn("score", F.lit(float(self.init_))), "boost-rows")
         self.trees_, self.train_loss_ = [], []
         self.estimators_, self.init_score_, self.init_value_ = self.trees_, self.init_, self.init_
         for t in range(self.n_estimators):
             r = residual(F.col("y"), F.col("score"))
-            part = state.select(F.lit(0).alias("tree"), "id", "x", F.lit(1.0).alias("w"), r.alias("r"))
+            part = state.select(F.lit(0).alias("tree"), "id", "x" if bins is None else "codes", F.lit(1.0).alias("w"), r.alias("r"))
             if self.subsample < 1:  # as many rows as the share says, those of least hashed number
                 order = [uniform(self.random_state or 0, "sub", t, F.col("id")), F.col("id")]
                 part = ranked(part, order, size="all").where(F.col("rank") < F.greatest(F.floor(F.col("all") * self.subsample), F.lit(1))).drop("rank", "all")
-            part = part.select("tree", "id", "x", "w", F.col("r").alias("s0"), (F.col("r") * F.col("r")).alias("s1"))
-            tree = grow(part, d, ["s0", "s1"], "variance", 1, self.max_depth, 2, self.min_samples_leaf, zero_gain=True)[0]
+            part = part.withColumns({"s0": F.col("r"), "s1": F.col("r") * F.col("r")}).drop("r")
+            if bins is None:
+                tree = grow(part, d, ["s0", "s1"], "variance", 1, self.max_depth, 2, self.min_samples_leaf, zero_gain=True)[0]
+            else:
+                tree = self._binned_tree(part, bins)
             for node in tree.nodes:
                 node.value = [node.value[0] / node.size]
             self.trees_.append(tree)
@@ -522,6 +581,16 @@ class _Boosting(Estimator):
                 state = stored(state, "boost-rows")
             self.train_loss_.append(state.agg(loss(F.col("y"), F.col("score"))).first()[0])
 
+    def _binned_tree(self, part: DataFrame, bins: Bins) -> Tree:
+        from millrace.operators.binned import grow_binned
+
+        forest = grow_binned(
+            part, bins, ["s0", "s1"], "variance", 1, self.max_depth, 2, self.min_samples_leaf, zero_gain=True, local_rows=self.local_rows)
+        whole = forest.whole(part.sparkSession)
+        if whole is None:
+            raise ValueError("a boosted tree has too many nodes; bound its depth")
+        return whole[0]
+
     def _score(self, df: DataFrame) -> Column:
         self._check_fitted()
         own = self._width(df)
@@ -563,9 +632,9 @@ class GradientBoostingRegressor(_Boosting):
 
     def __init__(
         self, n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3, min_samples_leaf: int = 1, subsample: float = 1.0,
-        loss: str = "mse", random_state: int | None = None
+        loss: str = "mse", random_state: int | None = None, max_bins: int | None = None, local_rows: int | None = None
     ) -> None:
-        super().__init__(n_estimators, learning_rate, max_depth, min_samples_leaf, subsample, random_state)
+        super().__init__(n_estimators, learning_rate, max_depth, min_samples_leaf, subsample, random_state, max_bins, local_rows)
         if loss not in ("mse", "mae"):
             raise ValueError("loss is 'mse' or 'mae'")
         self.loss = loss

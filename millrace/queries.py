@@ -778,8 +778,11 @@ def _levels_sql(name: str, source: str, depth: int, target: str) -> str:
     return ", ".join([*parts, f"{name} AS (FROM {name}{depth})"])
 
 
-@query(_TREE + ", " + _levels_sql("d", "s", 4, "t") + """, leaf AS (SELECT node, CAST(sum(g) > count(*) - sum(g) AS INT) AS prediction FROM d GROUP BY 1)
-    SELECT c_custkey, CAST(g AS INT) AS t, prediction FROM d JOIN leaf USING (node)""")
+_TREE_VOTES = """, leaf AS (SELECT node, CAST(sum(g) > count(*) - sum(g) AS INT) AS prediction FROM d GROUP BY 1)
+    SELECT c_custkey, CAST(g AS INT) AS t, prediction FROM d JOIN leaf USING (node)"""
+
+
+@query(_TREE + ", " + _levels_sql("d", "s", 4, "t") + _TREE_VOTES)
 def decision_tree(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     return trees.DecisionTreeClassifier(4).fit(rows, ["x", "y"], "t", "c_custkey").transform(rows).select("c_custkey", "t", "prediction")
@@ -845,6 +848,32 @@ def random_forest(spark, sf_dir):
     return out.select("c_custkey", "t", "prediction", F.round(F.get("probability", F.lit(1)), 6).alias("p"))
 
 
+# balances in steps of 250, so that features have fewer values than bins; small nodes are small enough for levels by histograms
+
+_STEPS = _TREE.replace(_CUSTOMER, "SELECT c_custkey, floor(c_acctbal / 250) / 4 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer")
+
+
+def _stepped(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.floor(F.col("c_acctbal") / 250) / 4).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    return rows.withColumn("t", (F.col("x") + F.col("y") / 6 > 6).cast("int"))
+
+
+@query(_STEPS + ", " + _levels_sql("d", "s", 5, "t") + _TREE_VOTES)
+def decision_tree_binned(spark, sf_dir):
+    rows = _stepped(spark, sf_dir)
+    model = trees.DecisionTreeClassifier(5, max_bins=64, local_rows=100).fit(rows, ["x", "y"], "t", "c_custkey")
+    return model.transform(rows).select("c_custkey", "t", "prediction")
+
+
+@query(_forest_sql(8, 4, 1, False).replace(_TREE, _STEPS))
+def random_forest_binned(spark, sf_dir):
+    rows = _stepped(spark, sf_dir)
+    model = trees.RandomForestClassifier(8, 4, random_state=1, max_bins=64, local_rows=200)
+    out = model.fit(rows, ["x", "y"], "t", "c_custkey").transform(rows)
+    return out.select("c_custkey", "t", "prediction", F.round(F.get("probability", F.lit(1)), 6).alias("p"))
+
+
 @query(_forest_sql(8, 4, 1, True))
 def extra_trees(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
@@ -928,6 +957,13 @@ def gradient_boosting_classifier(spark, sf_dir):
     return out.select("c_custkey", "t", "prediction", F.round("rawPrediction", 5).alias("score"))
 
 
+@query(_boost_sql(3, 0.3, 3, "x * y", "avg(x * y)", "v - score").replace(_TREE, _STEPS) + " SELECT c_custkey, round(score, 5) AS prediction FROM q3")
+def gradient_boosting_binned(spark, sf_dir):
+    rows = _stepped(spark, sf_dir).withColumn("v", F.col("x") * F.col("y"))
+    out = trees.GradientBoostingRegressor(3, 0.3, 3, max_bins=64, local_rows=300).fit(rows, ["x", "y"], "v", "c_custkey").transform(rows)
+    return _rounded(out.select("c_custkey", "prediction"), "prediction", digits=5)
+
+
 @query(_boost_sql(3, 0.3, 2, "x * y", "median(x * y)", "sign(v - score)") + " SELECT c_custkey, round(score, 5) AS prediction FROM q3")
 def gradient_boosting_regressor(spark, sf_dir):
     rows = _labelled(spark, sf_dir).withColumn("v", F.col("x") * F.col("y"))
