@@ -77,23 +77,42 @@ class LinearDiscriminantAnalysis(_Projection):
             raise ValueError("solver is 'eigen' or 'svd'")
         self.n_components, self.solver, self.tol, self.priors = n_components, solver, tol, priors
 
-    def fit(self, df: DataFrame, features, label: str, id_col=None) -> LinearDiscriminantAnalysis:
-        self.features = features
+    def statistics(self, df: DataFrame, features, label: str, by: str | None = None) -> dict:
+        """(classes, rows and sums of each class, products of all rows) of each value of `by`, or of all rows under None."""
         own = Features(df, features)
-        self.n_features_in_ = d = len(own)
-        rows = df.where(own.known & F.col(label).isNotNull())
-        self.classes_ = [r[0] for r in rows.select(label).distinct().orderBy(label).collect()]
-        k = len(self.classes_)
+        d, rows = len(own), df.where(own.known & F.col(label).isNotNull())
+        names = rows.select(*([by] if by else []), label).distinct().collect()  # a row for each class and value of `by`
+        classes = sorted({r[label] for r in names})
+        keys = sorted({r[by] for r in names}) if by else [None]
+        k = len(classes)
+        if not k:
+            return {key: ([], np.zeros(0), np.zeros((0, d)), np.zeros((d, d))) for key in keys}
+        code = (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1).cast("int")
+        part = (F.array_position(F.array(*[F.lit(c) for c in keys]), F.col(by)) - 1).cast("int") if by else F.lit(0)
+
+        def work(x: np.ndarray, y: np.ndarray, part: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(keys), k + k * d + d * d))
+            for j in range(len(keys)):
+                own = x[part == j]
+                hot = np.eye(k)[y[part == j].astype(int)]
+                out[j] = np.concatenate((hot.sum(0), (hot.T @ own).ravel(), (own.T @ own).ravel()))
+            return out
+
+        sums = partition_sums(rows, [own.vector, code, part], work).reshape(len(keys), -1)
+        return {key: (classes, s[:k], s[k : k + k * d].reshape(k, d), s[k + k * d :].reshape(d, d)) for key, s in zip(keys, sums)}
+
+    def fit(self, df: DataFrame, features, label: str, id_col=None) -> LinearDiscriminantAnalysis:
+        return self.fit_statistics(features, [self.statistics(df, features, label)[None]])
+
+    def fit_statistics(self, features, parts: list[tuple]) -> LinearDiscriminantAnalysis:
+        """Fit on the rows of all parts, given by their statistics, which have the same classes."""
+        counts, totals, xx = (np.sum([p[j] for p in parts], axis=0) for j in (1, 2, 3))
+        here = counts > 0
+        self.features, self.n_features_in_ = features, len(xx)
+        self.classes_ = [c for c, has in zip(parts[0][0], here) if has]
+        counts, totals, k, d = counts[here], totals[here], int(here.sum()), len(xx)
         if k < 2:
             raise ValueError("there must be two classes")
-        code = (F.array_position(F.array(*[F.lit(c) for c in self.classes_]), F.col(label)) - 1).cast("int")
-
-        def work(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            hot = np.eye(k)[y.astype(int)]
-            return np.concatenate((hot.sum(0), (hot.T @ x).ravel(), (x.T @ x).ravel()))
-
-        sums = partition_sums(rows, [own.vector, code], work)
-        counts, totals, xx = sums[:k], sums[k : k + k * d].reshape(k, d), sums[k + k * d :].reshape(d, d)
         n = counts.sum()
         priors = counts if self.priors is None else np.asarray(self.priors, dtype=float)
         if len(priors) != k:
@@ -127,17 +146,28 @@ class LinearDiscriminantAnalysis(_Projection):
     def transform(self, df: DataFrame) -> DataFrame:
         """`df` with components, rawPrediction, probability and prediction."""
         self._check_fitted()
-        out = self._project(df, self.scalings_, self.xbar_)
+        out = self._project(df, self.scalings_, self.xbar_).withColumn("rawPrediction", self._scores(F.col("components")))
+        return out.withColumn("probability", softmax(F.col("rawPrediction"))).withColumn("prediction", self._best(F.col("rawPrediction")))
+
+    def _scores(self, components: Column) -> Column:
         scores: list[Column] = []
         for prior, point in zip(self.priors_, self._class_points):
             score = F.lit(float(np.log(prior)))
             for j, p in enumerate(point):
-                gap = F.get("components", F.lit(j)) - float(p)
+                gap = F.get(components, F.lit(j)) - float(p)
                 score = score - 0.5 * gap * gap
             scores.append(score)
-        out = out.withColumn("rawPrediction", F.array(*scores)).withColumn("probability", softmax(F.col("rawPrediction")))
-        best = (F.array_position("rawPrediction", F.array_max("rawPrediction")) - 1).cast("int")
-        return out.withColumn("prediction", F.get(F.array(*[F.lit(c) for c in self.classes_]), best))
+        return F.array(*scores)
+
+    def _best(self, scores: Column) -> Column:
+        place = (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+        return F.get(F.array(*[F.lit(c) for c in self.classes_]), place)
+
+    def prediction(self, df: DataFrame) -> Column:
+        """The prediction as one expression."""
+        self._check_fitted()
+        columns = self._width(df).columns
+        return self._best(self._scores(F.array(*[linear_form(columns, w, -float(w @ self.xbar_)) for w in self.scalings_])))
 
     predict = predict_proba = transform
 

@@ -8,24 +8,12 @@ from pyspark.sql import functions as F
 
 from millrace.core import Estimator, Features, partition_sums
 from millrace.functions.expr import linear_form, sigmoid
-from millrace.plans.moments import gram
+from millrace.plans.moments import grams
 
 
 class _Linear(Estimator):
     """Output: prediction, or with a threshold also probability."""
 
-    def _moments(self, df: DataFrame, features, label: str) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, float, float]:
-        """(X'X/n, X'y/n, y'y/n, mean of X, mean of y, n)."""
-        self.features = features
-        own = Features(df, features)
-        self.n_features_in_ = len(own)
-        g = gram(df, own, label)
-        n = g[0, 0]
-        if not n:
-            raise ValueError("there are no rows to fit on")
-        g = g / n
-        return g[1:-1, 1:-1], g[1:-1, -1], g[-1, -1], g[0, 1:-1], g[0, -1], n
-
     def _form(self, df: DataFrame) -> Column:
         self._check_fitted()
         return linear_form(self._width(df).columns, self.weights_, self.bias_)
@@ -36,7 +24,38 @@ class _Linear(Estimator):
     predict = transform
 
 
-class LinearRegression(_Linear):
+class _LeastSquares(_Linear):
+    """Models fitted on the Gram matrix alone; those of several sets of rows add up."""
+
+    def statistics(self, df: DataFrame, features, label: str, by: str | None = None) -> dict:
+        """The Gram matrix of the rows of each value of `by`, or of all under None."""
+        return grams(df, Features(df, features), label, by)
+
+    def fit(self, df: DataFrame, features, label: str, id_col: str | None = None):
+        own = Features(df, features)
+        return self.fit_statistics(features, [grams(df, own, label)[None]])
+
+    def fit_statistics(self, features, parts: list[np.ndarray]):
+        """Fit on the rows of all parts, given by their statistics."""
+        g = np.sum(parts, axis=0)
+        if not parts or not g[0, 0]:
+            raise ValueError("there are no rows to fit on")
+        self.features, self.n_features_in_ = features, len(g) - 2
+        g = g / g[0, 0]
+        self._solve(g[1:-1, 1:-1], g[1:-1, -1], g[-1, -1], g[0, 1:-1], g[0, -1])
+        self._fitted = True
+        return self
+
+    def prediction(self, df: DataFrame) -> Column:
+        """The prediction as one expression."""
+        return self._form(df)
+
+    def _solve(self, xx: np.ndarray, xy: np.ndarray, yy: float, mx: np.ndarray, my: float) -> None:
+        """From the means of products, features and label."""
+        raise NotImplementedError
+
+
+class LinearRegression(_LeastSquares):
     """Full-batch gradient descent on the mean squared error from zero; loss_history_ has the loss before each step."""
 
     penalty = 0.0
@@ -44,8 +63,7 @@ class LinearRegression(_Linear):
     def __init__(self, learning_rate: float = 0.01, n_iterations: int = 1000, fit_intercept: bool = True) -> None:
         self.learning_rate, self.n_iterations, self.fit_intercept = learning_rate, n_iterations, fit_intercept
 
-    def fit(self, df: DataFrame, features, label: str, id_col: str | None = None):
-        xx, xy, yy, mx, my, _ = self._moments(df, features, label)
+    def _solve(self, xx: np.ndarray, xy: np.ndarray, yy: float, mx: np.ndarray, my: float) -> None:
         w, b = np.zeros(len(xy)), 0.0
         self.loss_history_ = []
         for _ in range(self.n_iterations):
@@ -54,8 +72,7 @@ class LinearRegression(_Linear):
             b = b - self.learning_rate * 2 * (mx @ w + b - my) if self.fit_intercept else 0.0
             w = w - self.learning_rate * slope
             self.loss_history_.append(error + self.penalty * (w @ w))
-        self.weights_, self.bias_, self._fitted = w, b, True
-        return self
+        self.weights_, self.bias_ = w, b
 
 
 class Ridge(LinearRegression):
@@ -66,7 +83,7 @@ class Ridge(LinearRegression):
         self.alpha = self.penalty = alpha
 
 
-class ElasticNet(_Linear):
+class ElasticNet(_LeastSquares):
     """Cyclic coordinate descent on 1/(2n)|r|^2 + alpha*l1_ratio*|w|_1 + alpha*(1-l1_ratio)/2*|w|^2.
 
     The intercept is renewed at the start of each pass; passes end when no weight moved by `tol`.
@@ -77,8 +94,7 @@ class ElasticNet(_Linear):
             raise ValueError("l1_ratio must be between 0 and 1")
         self.alpha, self.l1_ratio, self.n_iterations, self.fit_intercept, self.tol = alpha, l1_ratio, n_iterations, fit_intercept, tol
 
-    def fit(self, df: DataFrame, features, label: str, id_col: str | None = None):
-        xx, xy, _, mx, my, _ = self._moments(df, features, label)
+    def _solve(self, xx: np.ndarray, xy: np.ndarray, yy: float, mx: np.ndarray, my: float) -> None:
         w, b = np.zeros(len(xy)), 0.0
         lasso, ridge = self.alpha * self.l1_ratio, self.alpha * (1 - self.l1_ratio)
         self.n_iter_ = 0
@@ -92,8 +108,7 @@ class ElasticNet(_Linear):
                 moved, w[j] = max(moved, abs(new - w[j])), new
             if moved < self.tol:
                 break
-        self.weights_, self.bias_, self._fitted = w, float(my - mx @ w if self.fit_intercept else 0.0), True
-        return self
+        self.weights_, self.bias_ = w, float(my - mx @ w if self.fit_intercept else 0.0)
 
 
 class Lasso(ElasticNet):

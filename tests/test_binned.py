@@ -26,14 +26,12 @@ def scores(model, df):
     return {r.id: (r.prediction, tuple(np.round(r.probability, 9))) for r in model.transform(df).collect()}
 
 
-@pytest.mark.parametrize("local_rows", [1, 40, 5_000])
-@pytest.mark.parametrize("make", [
-    lambda **o: trees.DecisionTreeClassifier(6, 5, 2, **o), lambda **o: trees.DecisionTreeClassifier(**o),
-    lambda **o: trees.RandomForestClassifier(4, 5, random_state=3, **o), lambda **o: trees.RandomForestClassifier(3, None, 2, 1, 4, False, 3, **o),
-], ids=["tree", "deep", "forest", "all features"])
+@pytest.mark.parametrize(("make", "local_rows"), [
+    (lambda **o: trees.DecisionTreeClassifier(6, 5, 2, **o), 1), (lambda **o: trees.DecisionTreeClassifier(**o), 40),
+    (lambda **o: trees.RandomForestClassifier(4, 5, random_state=3, **o), 5_000), (lambda **o: trees.RandomForestClassifier(4, 5, random_state=3, **o), 60),
+    (lambda **o: trees.RandomForestClassifier(3, None, 2, 1, 4, False, 3, **o), 100),
+], ids=["tree", "deep tree", "small forest", "forest", "all features"])
 def test_few_values_give_the_exact_trees(spark, make, local_rows):
-    if local_rows == 1 and make().max_depth is None:
-        local_rows = 10  # levels down to the last row say nothing more
     df = frame(spark, *noise())
     model = make(max_bins=16, local_rows=local_rows).fit(df, "x", "y", "id")
     assert scores(model, df) == scores(make().fit(df, "x", "y", "id"), df)

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import cluster, decomposition, kernels, metrics, neighbors, splits, trees
+from millrace.operators import bayes, cluster, decomposition, kernels, linear, metrics, neighbors, splits, trees
 from millrace.plans import pairs, pivots
 from millrace.plans.scan import exact_percentile, ranked
 
@@ -302,3 +302,32 @@ def test_stratified_folds_have_equal_shares(spark):
     for y in ("a", "b", None):
         own = [r["count"] for r in out if r.y == y]
         assert len(own) == 4 and max(own) - min(own) <= 1
+
+
+@pytest.mark.parametrize("make", [
+    lambda: bayes.GaussianNB(), lambda: bayes.MultinomialNB(), lambda: bayes.BernoulliNB(binarize=2.0), lambda: linear.Ridge(0.1, 0.01, 40),
+    lambda: linear.Lasso(0.05, 30), lambda: decomposition.LinearDiscriminantAnalysis(), lambda: linear.LinearRegression(0.001, 20)
+], ids=["gaussian", "multinomial", "bernoulli", "ridge", "lasso", "discriminants", "wide"])
+def test_folds_in_two_passes_score_as_one_by_one(spark, request, make):
+    wide = request.node.callspec.id == "wide"
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 6, (150, 16 if wide else 3)).astype(float)
+    y = (x[:, 0] + x[:, 1] + rng.normal(0, 1, 150) > 5).astype(int) + (x[:, 2] > 4)
+    rows = [(i, r.tolist(), int(v)) for i, (r, v) in enumerate(zip(x, y))]
+    rows += [(500, None, 1), (501, [1.0, None, *x[0, 2:].tolist()], 0), (502, x[0].tolist(), None)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y int")
+    score = metrics.mse_of if isinstance(make(), linear.LinearRegression | linear.ElasticNet) else None
+    splitter = splits.KFold(4, True, 3)
+
+    class OneByOne:
+        def split(self, *args):
+            return splitter.split(*args)
+
+    model = make()
+    model.fit = None  # is not called
+    found = splits.cross_val_score(model, df, "x", "y", "id", splitter, score)
+    assert np.allclose(found, splits.cross_val_score(make(), df, "x", "y", "id", OneByOne(), score), atol=1e-9)
+    if make().__class__.__name__.endswith("NB"):  # a class that a training set lacks
+        few = df.where("id IS NULL OR y < 2 OR id % 7 = 0")
+        own = splits.KFold(3)
+        assert len(splits.cross_val_score(make(), few, "x", "y", "id", own)) == 3

@@ -185,11 +185,11 @@ def test_neighbours(spark, two, monkeypatch):
     at = from_arrays(spark, [[1.0]])
     assert neighbors.KNNClassifier(2).fit(tie, ["x0"], "label", "id").transform(at).first().prediction == 7
     assert neighbors.KNNClassifier(2, weights="distance").fit(tie, ["x0"], "label", "id").transform(at).first().prediction == 5
-    from millrace.plans import pairs
+    from millrace.plans import pivots
 
     own = neighbors.KNNClassifier(5).fit(two, X2, "label", "id")
     whole = {r.id: r.near for r in own.kneighbors(two).collect()}
-    monkeypatch.setattr(pairs.nearest, "__defaults__", ("euclidean", 50))
+    monkeypatch.setattr(pivots, "SENT_ROWS", 50)
     assert {r.id: r.near for r in own.kneighbors(two).collect()} == whole
     with pytest.raises(ValueError):
         neighbors.KNNClassifier(0)
