@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from millrace.core import Estimator, Features, score_rows
 from millrace.functions.expr import by_sign, poisson_one, sigmoid, uniform
 from millrace.plans.histograms import Bins, encode, find_bins, small_weights
+from millrace.plans.sampling import bootstrap
 from millrace.plans.scan import bucket_bounds, exact_percentile, ranked, running_sums
 from millrace.storage import cut as stored
 from millrace.storage import ship
@@ -324,19 +325,22 @@ def _most_voted(df: DataFrame, classes: list) -> DataFrame:
     return df.withColumn("prediction", F.get(F.array(*[F.lit(c) for c in classes]), best))
 
 
-def _grow_classes(model, rows: DataFrame, d: int, stats: list[str], trees: int, n_features: int | None, bootstrap: bool, seed: int):
+def _grow_classes(model, rows: DataFrame, d: int, stats: list[str], trees: int, n_features: int | None, sampled: bool, seed: int):
     """A forest by histograms from what `_class_rows` gives."""
     from millrace.operators.binned import grow_binned
 
     bins = find_bins(rows, d, model.max_bins)
     keep = list(stats)
-    if bootstrap:
-        rows = rows.withColumn("weights", small_weights(lambda t: poisson_one(uniform(seed, "boot", t, F.col("id"))), trees))
+    if sampled:
+        if model.exact_samples:
+            rows = bootstrap(rows, "id", trees, seed)
+        else:
+            rows = rows.withColumn("weights", small_weights(lambda t: poisson_one(uniform(seed, "boot", t, F.col("id"))), trees))
         keep.append("weights")
     coded = encode(rows, bins, keep)
     return grow_binned(
         coded, bins, stats, "gini", trees, model.max_depth, model.min_samples_split, model.min_samples_leaf, n_features, seed,
-        weights="weights" if bootstrap else None, local_rows=model.local_rows)
+        weights="weights" if sampled else None, local_rows=model.local_rows)
 
 
 class DecisionTreeClassifier(Estimator):
@@ -391,17 +395,19 @@ class _Forest(Estimator):
     """Many trees grown together, a level in one job. probability is the share of trees that vote for a class.
 
     With `max_bins` thresholds lie between so many quantile bins a feature, and a level exchanges histograms; then a forest of many
-    nodes stays in a table (see `binned`).
+    nodes stays in a table (see `binned`). A bootstrap sample has as many rows as the table on average, with `exact_samples` exactly.
     """
 
     random_thresholds = False
 
     def __init__(
         self, n_estimators: int = 100, max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1,
-        n_features: int | None = None, bootstrap: bool = True, random_state: int | None = None, max_bins: int | None = None, local_rows: int | None = None
+        n_features: int | None = None, bootstrap: bool = True, random_state: int | None = None, max_bins: int | None = None, local_rows: int | None = None,
+        exact_samples: bool = False
     ) -> None:
         if n_estimators < 1:
             raise ValueError("n_estimators must be at least 1")
+        self.exact_samples = exact_samples
         if max_bins is not None and self.random_thresholds:
             raise ValueError("random thresholds are not binned")
         self.max_bins, self.local_rows = max_bins, local_rows
@@ -422,10 +428,12 @@ class _Forest(Estimator):
             self.trees_ = self.estimators_ = whole and [t for t in whole if t.nodes]
             self._fitted = True
             return self
+        if self.bootstrap and self.exact_samples:
+            rows = bootstrap(rows, "id", self.n_estimators, seed)
         rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.n_estimators - 1))))
         if self.bootstrap:  # a row's count in a sample of as many rows with replacement is Poisson(1) in the limit
-            weight = poisson_one(uniform(seed, "boot", F.col("tree"), F.col("id"))).cast("double")
-            rows = rows.withColumn("w", weight).where("w > 0").withColumns({s: F.col(s) * F.col("w") for s in stats})
+            weight = F.get("weights", F.col("tree")) if self.exact_samples else poisson_one(uniform(seed, "boot", F.col("tree"), F.col("id")))
+            rows = rows.withColumn("w", weight.cast("double")).drop("weights").where("w > 0").withColumns({s: F.col(s) * F.col("w") for s in stats})
         self.trees_ = grow(
             rows, len(own), stats, "gini", self.n_estimators, self.max_depth, self.min_samples_split, self.min_samples_leaf,
             self._features_of_node(len(own)), seed, self.random_thresholds, self.random_thresholds
@@ -703,7 +711,7 @@ class IsolationForest(Estimator):
             samples.setdefault(t, []).append(x)
         self.sample_size_ = len(samples[0])
         limit = math.ceil(math.log2(max(self.sample_size_, 2)))
-        self.trees_ = self.estimators_ = [_isolation_tree(np.array(x), limit, np.random.default_rng([seed, t])) for t, x in samples.items()]
+        self.trees_ = self.estimators_ = [_isolation_tree(np.array(x), limit, seed, t) for t, x in samples.items()]
         self._fitted, self.offset_ = True, 0.0
         scored = self.score_samples(df.where(own.known))
         self.offset_ = exact_percentile(scored, F.col("score"), self.contamination)
@@ -726,26 +734,22 @@ class IsolationForest(Estimator):
     predict = decision_function = transform
 
 
-def _isolation_tree(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
-    """Nodes (feature, threshold, left, right, path length of a leaf)."""
+def _isolation_tree(x: np.ndarray, limit: int, seed: int, tree: int) -> list[tuple]:
+    """Nodes (feature, threshold, left, right, path length of a leaf); draws are hashes of seed, tree and the node's path."""
     nodes: list[tuple] = [()]
-    todo = [(0, x, 0)]
+    todo = [(0, 0, x, 0)]
     while todo:
-        at, rows, depth = todo.pop()
-        wide = np.flatnonzero(rows.max(axis=0) > rows.min(axis=0)) if len(rows) > 1 else []
-        if depth >= limit or not len(wide):
-            nodes[at] = (-1, 0.0, -1, -1, depth + average_path(len(rows)))
-            continue
-        f = int(rng.integers(rows.shape[1]))
-        low, high = rows[:, f].min(), rows[:, f].max()
-        if low == high:  # a constant feature ends the branch
+        at, path, rows, depth = todo.pop()
+        f = int(_draw(seed, "feature", tree, path) * x.shape[1])
+        low, high = (rows[:, f].min(), rows[:, f].max()) if len(rows) > 1 else (0.0, 0.0)
+        if depth >= limit or low == high:  # a constant feature ends the branch
             nodes[at] = (-1, 0.0, -1, -1, depth + average_path(len(rows)))
             continue
-        t = rng.uniform(low, high)
+        t = low + _draw(seed, "cut", tree, path) * (high - low)
         left = rows[:, f] < t
         nodes += [(), ()]
         nodes[at] = (f, t, len(nodes) - 2, len(nodes) - 1, 0.0)
-        todo += [(len(nodes) - 2, rows[left], depth + 1), (len(nodes) - 1, rows[~left], depth + 1)]
+        todo += [(len(nodes) - 2, 2 * path + 1, rows[left], depth + 1), (len(nodes) - 1, 2 * path + 2, rows[~left], depth + 1)]
     return nodes
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import expr
 from millrace.operators import bayes, cluster, decomposition, kernels, linear, metrics, neighbors, neural, preprocessing, splits, trees, voting
+from millrace.plans.sampling import bootstrap
 from millrace.sources.tables import table
 from millrace.streaming.running import windowed_class_stats
 
@@ -703,6 +704,37 @@ def fast_ica_covariance(spark, sf_dir):
     return spark.createDataFrame([(i, j, abs(round(row[f"c{i}_{j}"], 5))) for i in range(3) for j in range(3)], "i int, j int, covariance double")
 
 
+@query("SELECT source, 1.0::DOUBLE AS own, 0.0::DOUBLE AS other FROM (VALUES ('balance'), ('nation')) s(source)")
+def fast_ica_sources(spark, sf_dir):
+    """Two independent sources, mixed to a correlation of about 0.75: each component is one of them, which whitening alone does not give."""
+    c = _customer(spark, sf_dir)
+    ends = c.agg(F.avg("x"), F.stddev_pop("x"), F.avg("y"), F.stddev_pop("y")).first()
+    c = c.select("c_custkey", ((F.col("x") - ends[0]) / ends[1]).alias("balance"), ((F.col("y") - ends[2]) / ends[3]).alias("nation"))
+    mixed = c.withColumns({"a": F.col("balance") + 0.45 * F.col("nation"), "b": 0.45 * F.col("balance") + F.col("nation")})
+    out = decomposition.FastICA(2, random_state=0, max_iter=50).fit_transform(mixed, ["a", "b"])
+    both = [F.abs(F.corr(name, F.get("components", F.lit(k)))) for name in ("balance", "nation") for k in (0, 1)]
+    r = out.agg(*[v.alias(f"r{k}") for k, v in enumerate(both)]).first()
+    found = [(name, round(max(r[k], r[k + 1]), 1), round(min(r[k], r[k + 1]), 1)) for name, k in (("balance", 0), ("nation", 2))]
+    return spark.createDataFrame(found, "source string, own double, other double")
+
+
+@query("SELECT CAST(k AS INT) AS k, CAST(j AS INT) AS j, 0.0::DOUBLE AS residual FROM range(2) k(k), range(4) j(j)")
+def nmf_fixed_point(spark, sf_dir):
+    """What the update H * (W'X) / (W'WH) over all rows would still change in each entry of H, as a share of its row's largest."""
+    model = decomposition.NMF(2, max_iter=120, random_state=0)
+    out = model.fit_transform(_letters(spark, sf_dir), _COUNTS)
+    w = lambda k: F.get("components", F.lit(k))
+    wx = [F.sum(w(k) * F.col(c)).alias(f"wx{k}_{j}") for k in range(2) for j, c in enumerate(_COUNTS)]
+    r = out.agg(*wx, *[F.sum(w(k) * w(m)).alias(f"ww{k}_{m}") for k in range(2) for m in range(2)]).first()
+    h = model.components_
+    found = []
+    for k in range(2):
+        for j in range(4):
+            ratio = r[f"wx{k}_{j}"] / sum(r[f"ww{k}_{m}"] * float(h[m][j]) for m in range(2))
+            found.append((k, j, abs(round(float(h[k][j]) * (1 - ratio) / float(max(h[k])), 2))))
+    return spark.createDataFrame(found, "k int, j int, residual double")
+
+
 @query(f"""WITH l AS ({_LETTERS_SQL}) SELECT count(*) AS documents, 0::BIGINT AS negative, TRUE AS better_than_one_step, round(sum(c_e + c_a + c_n + c_o), 0) AS letters FROM l""")
 def nmf_invariants(spark, sf_dir):
     """No weight is negative, the error falls, and the fit keeps the sum of all entries to within 2 in 100."""
@@ -848,6 +880,19 @@ def random_forest(spark, sf_dir):
     return out.select("c_custkey", "t", "prediction", F.round(F.get("probability", F.lit(1)), 6).alias("p"))
 
 
+_DRAW_SQL = "('0x' || substr(md5(concat_ws(':', '5', 'draw', sample, draw)), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM customer), drawn AS (SELECT sample, least(floor({_DRAW_SQL} * n)::BIGINT, n - 1) AS place
+        FROM range(3) s(sample), n, range(n) d(draw)),
+    counted AS (SELECT sample, place, count(*) AS weight FROM drawn GROUP BY 1, 2),
+    rows AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer)
+    SELECT c_custkey, sample::INT AS sample, coalesce(weight, 0)::INT AS weight FROM rows CROSS JOIN range(3) s(sample) LEFT JOIN counted USING (sample, place)""")
+def bootstrap_samples(spark, sf_dir):
+    drawn = bootstrap(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 3, 5)
+    return drawn.select("c_custkey", F.posexplode("weights").alias("sample", "weight")).withColumn("weight", F.col("weight").cast("int"))
+
+
 # balances in steps of 250, so that features have fewer values than bins; small nodes are small enough for levels by histograms
 
 _STEPS = _TREE.replace(_CUSTOMER, "SELECT c_custkey, floor(c_acctbal / 250) / 4 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer")
@@ -971,10 +1016,36 @@ def gradient_boosting_regressor(spark, sf_dir):
     return _rounded(out.select("c_custkey", "prediction"), "prediction", digits=5)
 
 
-@query()
+def _isolation_sql(trees_: int, most: int, seed: int, share: float) -> str:
+    """Trees on the rows of least hashed number; feature and threshold of a node are drawn by its tree and path."""
+    draw = lambda name, at: _uniform_sql(str(seed), f"'{name}'", f"{at}.tree", f"{at}.node")
+    path = lambda n: f"CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1)::DOUBLE / {n} END"
+    parts = [
+        "WITH e AS (SELECT event_id, value AS x, hour(ts)::DOUBLE AS y FROM events)",
+        f"u AS (SELECT tree, event_id, x, y, {_uniform_sql(str(seed), 'tree', 'event_id')} AS u FROM e, range({trees_}) r(tree))",
+        f"a0 AS MATERIALIZED (SELECT tree, x, y, 0::BIGINT AS node FROM u QUALIFY row_number() OVER (PARTITION BY tree ORDER BY u, event_id) <= {most})",
+        "z0 AS (SELECT tree, event_id, x, y, 0::BIGINT AS node FROM u)",
+    ]
+    size = f"(SELECT least(count(*), {most}) FROM e)"
+    depth = 8
+    for k in range(depth):
+        parts.append(f"s{k} AS MATERIALIZED (SELECT n.tree, n.node, f, lo + {draw('cut', 'n')} * (hi - lo) AS t FROM (SELECT *, CASE f WHEN 0 THEN lx ELSE ly END AS lo, "
+            f"CASE f WHEN 0 THEN hx ELSE hy END AS hi FROM (SELECT a.tree, a.node, count(*) AS c, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, "
+            f"floor({draw('feature', 'a')} * 2) AS f FROM a{k} a GROUP BY ALL)) n WHERE c > 1 AND hi > lo AND {k} < ceil(log2(greatest({size}, 2))))")
+        for name, columns in (("a", "r.tree, r.x, r.y"), ("z", "r.tree, r.event_id, r.x, r.y")):
+            parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT {columns}, CASE WHEN s.t IS NULL THEN r.node WHEN (CASE s.f WHEN 0 THEN r.x ELSE r.y END) < s.t "
+                f"THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node FROM {name}{k} r LEFT JOIN s{k} s USING (tree, node))")
+    parts.append(f"leaf AS (SELECT tree, node, floor(log2(node + 1)) + {path('c')} AS depth FROM (SELECT tree, node, count(*) AS c FROM a{depth} GROUP BY 1, 2))")
+    parts.append(f"scored AS (SELECT event_id, -pow(2, -avg(depth) / (SELECT {path('m')} FROM (SELECT {size} AS m))) AS score FROM z{depth} JOIN leaf USING (tree, node) GROUP BY 1)")
+    return ", ".join(parts) + f""" SELECT event_id, CAST(CASE WHEN score >= (SELECT quantile_cont(score, {share}) FROM scored) THEN 1 ELSE -1 END AS INT) AS prediction,
+        round(score, 6) AS score FROM scored"""
+
+
+@query(_isolation_sql(20, 256, 3, 0.05))
 def isolation_forest(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"))
-    return trees.IsolationForest(20, contamination=0.05, random_state=3).fit(rows, ["value", "hour"], id_col="event_id").transform(rows).select("event_id", "prediction", "score")
+    out = trees.IsolationForest(20, contamination=0.05, random_state=3).fit(rows, ["value", "hour"], id_col="event_id").transform(rows)
+    return _rounded(out.select("event_id", F.col("prediction").cast("int").alias("prediction"), "score"), "score")
 
 
 # kernel machines, Gaussian process, perceptrons

@@ -101,3 +101,16 @@ def test_bins_at_their_edges(spark):
         histograms.find_bins(df, 2, 1)
     with pytest.raises(ValueError):
         trees.ExtraTreesClassifier(2, max_bins=8)
+
+
+def test_samples_have_exactly_as_many_rows(spark):
+    df = frame(spark, *noise(500))
+    from millrace.plans.sampling import bootstrap
+
+    rows = bootstrap(df, "id", 4, 2).collect()
+    counts = np.array([r.weights for r in rows])
+    assert (counts.sum(axis=0) == 500).all() and len(rows) == 500 and not (counts[:, 0] == counts[:, 1]).all()
+    assert 0.55 < (counts > 0).mean() < 0.7 and bootstrap(df.limit(0), "id", 4).count() == 0
+    make = lambda **o: trees.RandomForestClassifier(3, 4, random_state=2, exact_samples=True, **o).fit(df, "x", "y", "id")
+    exact, histogram = make(), make(max_bins=16, local_rows=100)
+    assert all(t.nodes[0].size == 500 for t in [*exact.trees_, *histogram.trees_]) and scores(exact, df) == scores(histogram, df)
