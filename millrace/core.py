@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -105,6 +106,39 @@ def partition_sums(df: DataFrame, columns: Sequence[Column], work: Callable[...,
     return np.sum(rows, axis=0) if rows else np.zeros(0)
 
 
+#: Numbers of a piece of a wide sum, and groups in which the partitions' pieces are added up before they go to the driver.
+PIECE, MERGERS = 1 << 14, 16
+
+
+def wide_sums(df: DataFrame, column: Column, size: int, work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """`partition_sums` for one vector column and results of `size` numbers, which may be many.
+
+    They leave the partitions in pieces that are added up on the executors, so the driver gets MERGERS results whatever the partitions.
+    """
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if len(batch):
+                total += np.asarray(work(matrix_of(batch.column(0), len(batch.column(0).flatten()) // len(batch))), dtype=float).ravel()
+        part = TaskContext.get().partitionId() % MERGERS
+        for k, at in enumerate(range(0, size, PIECE)):
+            piece = pa.array([total[at : at + PIECE]], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), piece], names=["piece", "part", "sums"])
+
+    def add(group: pa.Table) -> pa.Table:
+        sums = group.column("sums").combine_chunks()
+        total = matrix_of(sums, len(sums[0])).sum(axis=0)
+        return pa.table({"piece": group.column("piece").slice(0, 1), "sums": pa.array([total], pa.list_(pa.float64()))})
+
+    parts = df.select(column.alias("x")).mapInArrow(run, "piece int, part int, sums array<double>")
+    out = np.zeros(size)
+    for r in parts.groupBy("piece", "part").applyInArrow(add, "piece int, sums array<double>").collect():
+        out[r.piece * PIECE : r.piece * PIECE + len(r.sums)] += r.sums
+    return out
+
+
 def local_rows(df: DataFrame, own: Features, id_col: str, label: str | None = None, most: int = LOCAL_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """(ids, matrix, labels) in order of id, for solvers that need all rows in one place; more than `most` rows are refused."""
     rows = df.where(own.known if label is None else own.known & F.col(label).isNotNull())

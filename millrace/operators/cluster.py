@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,15 +22,38 @@ def _near(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
 
 
+def _hashed(*keys) -> float:
+    """What `uniform` gives for these keys, on the driver."""
+    return int(hashlib.md5(":".join(map(str, keys)).encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def _weighted_start(places: np.ndarray, weights: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """k-means++ over weighted places: each centre is the first in a race of exponential clocks, of equal ones the first place."""
+    far, centres = np.ones(len(places)), []
+    for draws in u:
+        with np.errstate(divide="ignore"):
+            clock = np.where(weights * far > 0, -np.log(draws) / (weights * far), np.inf)
+        centres.append(places[clock.argmin()])
+        apart = ((places - centres[-1]) ** 2).sum(axis=1)
+        far = apart if len(centres) == 1 else np.minimum(far, apart)
+    return np.array(centres)
+
+
 class KMeans(Estimator):
-    """Lloyd's iterations from k-means++ or given centres; only sums for each cluster leave the partitions.
+    """Lloyd's iterations from k-means++, k-means|| or given centres; only sums for each cluster leave the partitions.
 
-    An empty cluster keeps its centre; iterations end when all centres together moved by less than `tol`.
+    `init` is a matrix of centres, None for k-means++, whose k draws take a pass each, or "k-means||" (Bahmani et al., 2012): in each of ROUNDS passes
+    every row is taken with a chance of 2k times its share of the squared distances, and of those taken, weighted by the rows nearest to them,
+    k-means++ draws the centres on the driver. An empty cluster keeps its centre; iterations end when all centres together moved by less than `tol`.
     """
 
-    def __init__(self, k: int = 3, n_iterations: int = 300, tol: float = 1e-4, random_state: int | None = None, init: np.ndarray | None = None) -> None:
+    ROUNDS = 5
+
+    def __init__(self, k: int = 3, n_iterations: int = 300, tol: float = 1e-4, random_state: int | None = None, init: np.ndarray | str | None = None) -> None:
         if k < 1:
             raise ValueError("k must be at least 1")
+        if isinstance(init, str) and init != "k-means||":
+            raise ValueError("init is a matrix of centres, 'k-means||' or None")
         self.k, self.n_iterations, self.tol, self.random_state, self.init = k, n_iterations, tol, random_state, init
 
     def _start(self, rows: DataFrame) -> np.ndarray:
@@ -47,13 +72,43 @@ class KMeans(Estimator):
             centres.append(np.array(best))
         return np.array(centres)
 
+    def _oversampled(self, rows: DataFrame) -> np.ndarray:
+        """k-means||; all draws are hashes, so any engine can make them again. Some 2k rows a round go to the driver."""
+        seed = self.random_state or 0
+        first = rows.orderBy(uniform(seed, "first", F.col("id")), "id").select("id", "x").limit(1).collect()
+        if not first:
+            raise ValueError("there are no rows to fit on")
+        taken = {first[0].id: np.array(first[0].x)}
+
+        def far_from(places: list[np.ndarray]):
+            return lambda x: ((x[:, None, :] - np.array(places)[None]) ** 2).sum(axis=2)
+
+        for step in range(self.ROUNDS):
+            gap = far_from(list(taken.values()))
+            total = float(partition_sums(rows, [F.col("x")], lambda x, gap=gap: gap(x).min(axis=1).sum()[None])[0])
+            if total <= 0:
+                break
+            own = Features(rows, "x", len(first[0].x))
+            spread = score_rows(rows, own, lambda x, gap=gap: {"far": gap(x).min(axis=1)}, "far double")
+            picked = spread.where(uniform(seed, "round", step, F.col("id")) * total < 2.0 * self.k * F.col("far")).select("id", "x")
+            for r in sorted(picked.collect()):
+                taken.setdefault(r.id, np.array(r.x))
+        ids, places = sorted(taken), [taken[i] for i in sorted(taken)]
+        gap = far_from(places)
+        weights = partition_sums(rows, [F.col("x")], lambda x: np.bincount(gap(x).argmin(axis=1), minlength=len(places)).astype(float))
+        u = np.array([[_hashed(seed, "centre", j, i) for i in ids] for j in range(self.k)])
+        return _weighted_start(np.array(places), weights, np.maximum(u, 1e-12))
+
     def fit(self, df: DataFrame, features, label=None, id_col: str = "id") -> KMeans:
         self.features = features
         own = Features(df, features)
         self.n_features_in_ = d = len(own)
         rows = df.where(own.known).select(F.col(id_col).alias("id"), own.vector.alias("x")).persist()
         try:
-            centres = np.array(self.init, dtype=float) if self.init is not None else self._start(rows)
+            if isinstance(self.init, str):
+                centres = self._oversampled(rows)
+            else:
+                centres = np.array(self.init, dtype=float) if self.init is not None else self._start(rows)
             for self.n_iter_ in range(1, self.n_iterations + 1):
                 def work(x: np.ndarray, centres=centres) -> np.ndarray:
                     near = _near(x, centres)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.core import LOCAL_ROWS, Estimator, Features, local_rows, partition_sums, score_rows
+from millrace.core import LOCAL_ROWS, Estimator, Features, local_rows, partition_sums, score_rows, wide_sums
 from millrace.functions.expr import linear_form, softmax
 from millrace.plans.moments import gram
 from millrace.plans.pairs import distances
@@ -35,15 +35,52 @@ class _Projection(Estimator):
 
 
 class PCA(_Projection):
-    """Eigenvectors of the sample covariance; each with its largest loading positive."""
+    """Eigenvectors of the sample covariance; each with its largest loading positive.
 
-    def __init__(self, n_components: int | None = None) -> None:
-        self.n_components = n_components
+    The solver "full" takes the covariance of all features in one pass. "randomized", for thousands of features and few components, finds the range of
+    the covariance by powers of it on random vectors (Halko, Martinsson and Tropp, 2011): n_power + 3 passes that each leave sums of features
+    times (components + OVERSAMPLE) numbers; then covariance_ is None.
+    """
+
+    OVERSAMPLE = 10
+
+    def __init__(self, n_components: int | None = None, solver: str = "full", n_power: int = 4, random_state: int | None = None) -> None:
+        if solver not in ("full", "randomized") or (solver == "randomized" and not n_components):
+            raise ValueError("solver is 'full', or 'randomized' with a number of components")
+        self.n_components, self.solver, self.n_power, self.random_state = n_components, solver, n_power, random_state
+
+    def _in_range(self, rows: DataFrame, own: Features) -> PCA:
+        d = len(own)
+        first = wide_sums(rows, own.vector, 1 + 2 * d, lambda x: np.concatenate(([len(x)], x.sum(axis=0), (x * x).sum(axis=0))))
+        n = first[0]
+        if n < 2:
+            raise ValueError("PCA needs two rows")
+        self.mean_, width = first[1 : 1 + d] / n, min(d, self.n_components + self.OVERSAMPLE)
+        total = float((first[1 + d :] - n * self.mean_**2).sum() / (n - 1))
+
+        def times_covariance(q: np.ndarray) -> np.ndarray:
+            shift = self.mean_ @ q
+            sums = wide_sums(rows, own.vector, d * width, lambda x: x.T @ (x @ q - shift)).reshape(d, width)
+            return sums / (n - 1)  # the centred products sum to 0, so x need not be centred as well
+
+        q = np.linalg.qr(np.random.default_rng(self.random_state or 0).standard_normal((d, width)))[0]
+        for _ in range(self.n_power + 1):
+            q = np.linalg.qr(times_covariance(q))[0]
+        small = q.T @ times_covariance(q)
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-values, kind="stable")[: min(self.n_components, d)]
+        self.covariance_, self.components_, self.n_components_ = None, _signed((q @ vectors[:, order]).T), len(order)
+        self.explained_variance_ = values[order]
+        self.explained_variance_ratio_ = values[order] / total if total > 0 else np.zeros(len(order))
+        self._fitted = True
+        return self
 
     def fit(self, df: DataFrame, features, label=None, id_col=None) -> PCA:
         self.features = features
         own = Features(df, features)
         self.n_features_in_ = d = len(own)
+        if self.solver == "randomized":
+            return self._in_range(df.where(own.known), own)
         g = gram(df, own)
         n = g[0, 0]
         if n < 2:

@@ -538,6 +538,36 @@ def _kmeans_plus_plus_sql(k: int, steps: int, seed: int) -> str:
     return ", ".join(parts) + f" SELECT c_custkey, CAST(k AS INT) AS prediction FROM n{steps}"
 
 
+def _kmeans_parallel_sql(k: int, rounds: int, steps: int, seed: int) -> str:
+    """k-means||: oversampled rounds, weights by nearest place, and a race of clocks among the places; all draws by hash."""
+    far = "(c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)"
+    parts = [f"WITH c AS ({_CUSTOMER})", f"p0 AS MATERIALIZED (SELECT * FROM c ORDER BY {_uniform_sql(str(seed), repr('first'), 'c_custkey')}, c_custkey LIMIT 1)"]
+    for r in range(rounds):
+        parts.append(f"d{r} AS MATERIALIZED (SELECT c.c_custkey, c.x, c.y, min({far}) AS far FROM c, p{r} p GROUP BY ALL)")
+        draw = _uniform_sql(str(seed), "'round'", str(r), "c_custkey")
+        parts.append(f"p{r + 1} AS MATERIALIZED (SELECT * FROM p{r} UNION SELECT c_custkey, x, y FROM d{r} WHERE {draw} * (SELECT sum(far) FROM d{r}) < {2 * k} * far)")
+    parts.append(f"near AS (SELECT c.c_custkey, first(p.c_custkey ORDER BY {far}, p.c_custkey) AS place FROM c, p{rounds} p GROUP BY 1)")
+    parts.append(f"w AS MATERIALIZED (SELECT p.*, (SELECT count(*) FROM near WHERE place = p.c_custkey) AS w FROM p{rounds} p)")
+    for j in range(k):
+        apart = ", ".join(f"(SELECT (w.x - s{i}.x) * (w.x - s{i}.x) + (w.y - s{i}.y) * (w.y - s{i}.y) FROM s{i})" for i in range(j))
+        mass = f"w * least({apart})" if j else "w"
+        clock = f"CASE WHEN {mass} > 0 THEN -ln(greatest({_uniform_sql(str(seed), repr('centre'), str(j), 'c_custkey')}, 1e-12)) / ({mass}) ELSE 'inf'::DOUBLE END"
+        parts.append(f"s{j} AS MATERIALIZED (SELECT x, y FROM (SELECT x, y, c_custkey, {clock} AS clock FROM w) ORDER BY clock, c_custkey LIMIT 1)")
+    parts.append("k0 AS (" + " UNION ALL ".join(f"SELECT {j} AS k, x AS cx, y AS cy FROM s{j}" for j in range(k)) + ")")
+    for t in range(steps + 1):
+        parts.append(f"n{t} AS MATERIALIZED (SELECT c_custkey, x, y, first(k ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy), k) AS k FROM c, "
+            f"k{t} GROUP BY 1, 2, 3)")
+        parts.append(f"k{t + 1} AS (SELECT k, avg(x) AS cx, avg(y) AS cy FROM n{t} GROUP BY 1)")
+    return ", ".join(parts) + f" SELECT c_custkey, CAST(k AS INT) AS prediction FROM n{steps}"
+
+
+@query(_kmeans_parallel_sql(4, 5, 5, 2))
+def kmeans_parallel(spark, sf_dir):
+    c = _customer(spark, sf_dir)
+    model = cluster.KMeans(4, 5, 0.0, random_state=2, init="k-means||").fit(c, ["x", "y"], id_col="c_custkey")
+    return model.transform(c).select("c_custkey", "prediction")
+
+
 @query(_kmeans_plus_plus_sql(4, 6, 1))
 def kmeans_plus_plus(spark, sf_dir):
     c = _customer(spark, sf_dir)

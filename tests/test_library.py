@@ -350,3 +350,32 @@ def test_folds_in_two_passes_score_as_one_by_one(spark, request, make):
         few = df.where("id IS NULL OR y < 2 OR id % 7 = 0")
         own = splits.KFold(3)
         assert len(splits.cross_val_score(make(), few, "x", "y", "id", own)) == 3
+
+
+def test_wide_rows_by_a_randomized_range(spark):
+    rng = np.random.default_rng(6)
+    d, base = 2_050, np.linalg.qr(rng.normal(0, 1, (2_050, 3)))[0].T
+    x = rng.normal(0, 1, (240, 3)) * [30, 20, 10] @ base + rng.normal(0, 0.2, (240, d)) + 3
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(999, None)], "id long, x array<double>").repartition(5)
+    model = decomposition.PCA(3, "randomized", random_state=1).fit(df, "x")
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(model.explained_variance_, values[::-1][:3], rtol=1e-6)
+    assert np.allclose(np.abs((model.components_ * vectors[:, ::-1][:, :3].T).sum(axis=1)), 1, atol=1e-6)
+    assert np.allclose(model.explained_variance_ratio_, values[::-1][:3] / values.sum()) and np.allclose(model.mean_, x.mean(axis=0))
+    narrow = df.selectExpr("id", "slice(x, 1, 6) AS x")
+    full, own = (decomposition.PCA(2, **o).fit(narrow, "x") for o in ({}, {"solver": "randomized", "n_power": 12}))
+    assert np.allclose(full.components_, own.components_, atol=1e-6)
+    with pytest.raises(ValueError):
+        decomposition.PCA(solver="randomized")
+
+
+def test_oversampled_starts(spark):
+    df = spark.createDataFrame([(i, float(i % 3 * 10)) for i in range(60)], "id long, x double")
+    model = cluster.KMeans(3, 5, init="k-means||", random_state=4).fit(df, ["x"])
+    assert sorted(model.centroids_.ravel().tolist()) == [0.0, 10.0, 20.0] and model.inertia_ == 0
+    same = cluster.KMeans(3, 2, init="k-means||").fit(df.where("x = 0"), ["x"])  # fewer distinct rows than centres
+    assert (same.centroids_ == 0).all()
+    with pytest.raises(ValueError):
+        cluster.KMeans(2, init="random")
+    with pytest.raises(ValueError):
+        cluster.KMeans(2, init="k-means||").fit(df.limit(0), ["x"])
