@@ -22,7 +22,7 @@ from millrace.llm.exact_dedup import drop_exact_copies
 from millrace.llm.language_id import drop_undetermined
 from millrace.llm.near_dedup import drop_near_copies
 from millrace.llm.sentencepiece_codec import encode_pieces
-from millrace.storage import cut
+from millrace.storage import drop_table, new_folder, tables
 
 #: Rows of an Arrow batch, at most.
 BATCH_ROWS, BATCH_SETTING = 256, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -105,7 +105,13 @@ def own_session(spark: SparkSession) -> SparkSession:
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`."""
     spark = own_session(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_folder(spark, f"pipeline-{name}")
+        with tables(spark):
+            left = stage(spark, docs, sf_dir)
+            left.write.option("compression", "zstd").parquet(path)
+        if before:
+            drop_table(spark, before)
+        docs, before = spark.read.schema(left.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own_folders: set[str] = set()
+_made: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -59,7 +62,25 @@ def new_folder(spark: SparkSession, label: str) -> str:
         files.mkdirs(target)  # only what is there can be marked for deletion
         files.deleteOnExit(target)
         _own_folders.add(own)
-    return f"{own}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{own}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are made inside are deleted at the end, so what is computed from them has to be written, or collected, before.
+
+        with tables(spark):
+            near_groups(docs).write.parquet(path)
+    """
+    first = len(_made)
+    try:
+        yield
+    finally:
+        own = _made[first:]
+        del _made[first:]
+        for path in own:
+            drop_table(spark, path)
 
 
 def write_table(df: DataFrame, label: str, partition_by: list[str] | None = None) -> str:

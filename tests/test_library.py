@@ -105,6 +105,20 @@ def test_clusters_need_a_shared_folder():
         shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
 
 
+def test_tables_of_a_scope_are_deleted(spark):
+    from millrace import storage
+
+    df = spark.createDataFrame([(i, float(i % 7), i % 2) for i in range(50)], "id long, x double, y int")
+    kept = storage.cut(df, "kept")
+    first = len(storage._made)
+    with pytest.raises(KeyError), storage.tables(spark):
+        trees.DecisionTreeClassifier(3, max_bins=8).fit(df, ["x"], "y", "id").transform(df).count()
+        held = storage._made[first:]
+        assert held and any(storage.exists(spark, path) for path in held)
+        raise KeyError
+    assert not any(storage.exists(spark, path) for path in held) and kept.count() == 50 and len(storage._made) == first
+
+
 # plans
 
 def test_ranks_and_percentiles(spark, monkeypatch):
