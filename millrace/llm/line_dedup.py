@@ -142,9 +142,9 @@ class LineDedup:
         version = self._begin()
         gone = cut(ids.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct(), "line-gone")
         alive = self._alive(self._every("refs", "k1 long, k2 long, id long, v int")).select("k1", "k2", "id")
-        small = broadcast_below(gone, BROADCAST_IDS)
-        touched = broadcast_below(cut(alive.join(small, "id", "left_semi").select("k1", "k2").distinct(), "line-touched"), BROADCAST_COUNTS)
-        left = alive.join(touched, ["k1", "k2"], "left_semi").join(small, "id", "left_anti")
+        sent = broadcast_below(gone, BROADCAST_IDS)
+        touched = broadcast_below(cut(alive.join(sent, "id", "left_semi").select("k1", "k2").distinct(), "line-touched"), BROADCAST_COUNTS)
+        left = alive.join(touched, ["k1", "k2"], "left_semi").join(sent, "id", "left_anti")
         again = left.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
         counts = self._table("counts").join(touched, ["k1", "k2"], "left_anti").unionByName(again)
         self._write(gone.withColumn("v", F.lit(version)), "gone", version)
