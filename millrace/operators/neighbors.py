@@ -10,12 +10,16 @@ from millrace.plans.pivots import nearest
 
 
 class _Neighbors(Estimator):
-    def __init__(self, k: int = 5, metric: str = "euclidean", weights: str = "uniform") -> None:
+    """Exact by default. With `probes` a row is compared only with the training rows in the cells of its so many nearest pivots: approximate."""
+
+    def __init__(self, k: int = 5, metric: str = "euclidean", weights: str = "uniform", probes: int | None = None) -> None:
+        if probes is not None and probes < 1:
+            raise ValueError("probes must be at least 1")
         if k < 1:
             raise ValueError("k must be at least 1")
         if weights not in ("uniform", "distance"):
             raise ValueError("weights are 'uniform' or 'distance'")
-        self.k, self.metric, self.weights = k, metric, weights
+        self.k, self.metric, self.weights, self.probes = k, metric, weights, probes
 
     def fit(self, df: DataFrame, features, label: str, id_col: str):
         self.features, self.id_col = features, id_col
@@ -33,7 +37,7 @@ class _Neighbors(Estimator):
             raise ValueError("the metric is 'euclidean' or 'manhattan'")
         own = self._width(df)
         rows = df.where(own.known).select(F.col(self.id_col).alias("id"), own.vector.alias("x"))
-        near, self.pairs_compared_ = nearest(rows, self.index_, len(own), self.k, self.metric)
+        near, self.pairs_compared_ = nearest(rows, self.index_, len(own), self.k, self.metric, self.probes)
         return near
 
     def transform(self, df: DataFrame) -> DataFrame:

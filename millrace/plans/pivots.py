@@ -75,17 +75,17 @@ class Cells:
         rough = SLACK * scale * (1 if self.metric == "manhattan" else 1 + scale / np.maximum(apart, SLACK * scale))
         return np.where(self.counts > 0, np.maximum(bound - rough, 0), np.inf)
 
-    def first(self, to: np.ndarray, k: int) -> list[list[int]]:
-        """For each row the nearest cells that hold k rows between them."""
+    def first(self, to: np.ndarray, k: int, least: int = 1) -> list[list[int]]:
+        """For each row the nearest cells that hold k rows between them, `least` cells at least."""
         out, full = [], self.counts > 0
         for row in np.where(full, to, np.inf):
             j = int(row.argmin())
-            if self.counts[j] >= k:
+            if self.counts[j] >= k and least == 1:
                 out.append([j])
                 continue
             order = np.argsort(row, kind="stable")[: int(full.sum())]
             need = int(np.searchsorted(np.cumsum(self.counts[order]), k)) + 1
-            out.append(order[:need].tolist())
+            out.append(order[: max(need, least)].tolist())
         return out
 
 
@@ -241,16 +241,16 @@ class SentIndex:
         high[counts > 0] = np.maximum.reduceat(radius[self.rank], self.bounds[:-1][counts > 0])
         self.cells = Cells(points, counts, low, high, metric)
 
-    def search(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places by id and distances of the k nearest of each row, and the index rows it was compared with."""
+    def search(self, x: np.ndarray, k: int, probes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places by id and distances of the k nearest of each row, and the index rows it was compared with; with `probes` in its nearest cells only."""
         k, cells = min(k, len(self.x)), self.cells
         to = pivot_distances(x, cells.points, cells.metric)
-        least, first = cells.least(x, to), cells.first(to, k)
+        least, first = cells.least(x, to), cells.first(to, k, probes or 1)
         far, place = np.full((len(x), k), np.inf), np.full((len(x), k), len(self.x))
         todo, compared = np.zeros(least.shape, dtype=bool), np.zeros(len(x), dtype=np.int64)
         for i, own in enumerate(first):
             todo[i, own] = True
-        for rest in (False, True):
+        for rest in (False, True) if probes is None else (False,):
             if rest:
                 todo = (least <= far[:, -1:]) & ~todo
             for j in np.flatnonzero(todo.any(axis=0)):
@@ -267,9 +267,12 @@ class SentIndex:
         return place, far, compared
 
 
-def nearest(rows: DataFrame, index: DataFrame, width: int, k: int, metric: str = "euclidean") -> tuple[DataFrame, int | None]:
+def nearest(
+    rows: DataFrame, index: DataFrame, width: int, k: int, metric: str = "euclidean", probes: int | None = None
+) -> tuple[DataFrame, int | None]:
     """(id, near) of every row (id, x): its k nearest index rows (id, x, value) as (distance, id, value), nearest first, ties by id.
 
+    With `probes` a row meets its nearest `probes` cells only (more where these have not k rows), so the lists are approximate.
     Vectors have `width` entries, none null; rows' ids are unique. With it, for an index that is exchanged, the number of pairs that were
     compared. An empty index gives empty lists.
     """
@@ -290,7 +293,7 @@ def nearest(rows: DataFrame, index: DataFrame, width: int, k: int, metric: str =
             for batch in batches:
                 for start in range(0, len(batch), 2048):
                     part = batch.slice(start, 2048)
-                    places, far, _ = own.search(matrix_of(part.column(1), width), k)
+                    places, far, _ = own.search(matrix_of(part.column(1), width), k, probes)
                     lists = _near_lists(own.table, places, far, np.full(len(part), places.shape[1]))
                     yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "near"])
 
@@ -309,11 +312,14 @@ def nearest(rows: DataFrame, index: DataFrame, width: int, k: int, metric: str =
 
     schema = f"id {id_kind}, x array<double>, first array<int>, near {near_kind}"
     merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)  # lists of k from the parts a row has met
-    homes = ask(rows, cells, lambda c, x, _: c.first(pivot_distances(x, c.points, c.metric), k), ["id", "x"], width)
+    homes = ask(rows, cells, lambda c, x, _: c.first(pivot_distances(x, c.points, c.metric), k, probes or 1), ["id", "x"], width)
     asked = cut(homes.select("id", "x", F.col("cells").alias("first"), F.explode("cells").alias("cell")), "asked")
     found, compared = meet(asked, table, cells, work, schema)
     found = cut(found.groupBy("id").agg(F.any_value("x").alias("x"), F.any_value("first").alias("first"), merged.alias("near")), "near")
 
+    if probes is not None:
+        return found.select("id", "near"), compared
+
     def others(c: Cells, x: np.ndarray, batch: pa.RecordBatch) -> list[list[int]]:
         least = c.least(x, pivot_distances(x, c.points, c.metric))
         reach = batch.column(3).to_numpy(zero_copy_only=False).astype(float)

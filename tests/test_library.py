@@ -172,6 +172,12 @@ def test_few_pairs_meet_by_pivots(spark, monkeypatch):
     model = neighbors.KNNRegressor(7).fit(df, "x", "label", "id")
     assert {r.id: [n.id for n in r.near] for r in model.kneighbors(df).collect()} == wanted
     assert model.pairs_compared_ < len(x) ** 2 / 5
+    rough = neighbors.KNNRegressor(7, probes=4).fit(df, "x", "label", "id")
+    for most in (10**6, 100):  # sent, exchanged
+        monkeypatch.setattr(pivots, "SENT_ROWS", most)
+        near = {r.id: {n.id for n in r.near} for r in rough.kneighbors(df).collect()}
+        assert sum(len(near[i] & set(ids)) for i, ids in wanted.items()) >= 0.9 * 7 * len(x)
+    assert rough.pairs_compared_ < len(x) ** 2 / 2
     found, compared = pivots.range_pairs(df, 16, 4.0)
     assert sorted(map(tuple, found.collect())) == sorted(zip(*(a.tolist() for a in np.nonzero(far <= 4.0)))) and compared < len(x) ** 2 / 5
 
