@@ -252,7 +252,8 @@ def votes_by_table(df: DataFrame, own: Features, forest: Forest, classes: int) -
     """
     spark, width = df.sparkSession, len(own)
     ship(spark)
-    numbered = cut(df.select(F.struct(*df.columns).alias("__row"), own.vector.alias("__x"), own.known.alias("__known"), F.monotonically_increasing_id().alias("__n")), "scored")
+    columns = [F.struct(*df.columns).alias("__row"), own.vector.alias("__x"), own.known.alias("__known"), F.monotonically_increasing_id().alias("__n")]
+    numbered = cut(df.select(*columns), "scored")
     top_slots = [{k: k for k in tops} for tops in forest.tops]
     leaf = [np.array([int(np.argmax(n.value)) for n in t.nodes], dtype=np.int64) for t in forest.trees]
     held = spark.sparkContext.broadcast((_walk(forest.trees, top_slots), leaf))

@@ -1,4 +1,4 @@
-"""Support-vector machines and Gaussian-process regression. Fits need all rows in one place; scores do not."""
+"""Support-vector machines and Gaussian-process regression. Fits with kernels need all rows in one place; scores do not."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.core import LOCAL_ROWS, Estimator, Features, local_rows, score_rows
+from millrace.core import LOCAL_ROWS, Estimator, Features, local_rows, partition_sums, score_rows
 from millrace.functions.expr import by_sign, linear_form, uniform
 from millrace.plans.pairs import distances
 
@@ -20,15 +20,35 @@ def signed_labels(y: np.ndarray) -> np.ndarray:
 
 
 class LinearSVC(Estimator):
-    """Pegasos: one row a step, drawn by hash; the hinge step carries the factor C once more.
+    """Pegasos; the hinge step carries the factor C once more. Output: rawPrediction and prediction (0 or 1).
 
-    Only the drawn rows leave the frame: at most n_iterations of them. Output: rawPrediction and prediction (0 or 1).
+    By default a step takes one row, drawn by hash: only the drawn rows leave the frame, at most n_iterations of them. With `batch` "all" a
+    step takes the mean over all rows (the first method of Shalev-Shwartz et al., 2011, with every row in its sample): a pass a step, of which each
+    partition sends one row of sums, so rows stay where they are, however many there are.
     """
 
-    def __init__(self, C: float = 1.0, n_iterations: int = 2000, random_state: int = 0) -> None:  # noqa: N803
+    def __init__(self, C: float = 1.0, n_iterations: int = 2000, random_state: int = 0, batch: str = "row") -> None:  # noqa: N803
         if C <= 0:
             raise ValueError("C must be positive")
-        self.C, self.n_iterations, self.random_state = C, n_iterations, random_state
+        if batch not in ("row", "all"):
+            raise ValueError("batch is 'row' or 'all'")
+        self.C, self.n_iterations, self.random_state, self.batch = C, n_iterations, random_state, batch
+
+    def _in_passes(self, rows: DataFrame, n: int, signed: bool, d: int) -> tuple[np.ndarray, float]:
+        w, rate = np.zeros(d + 1), 1.0 / (self.C * n)
+        held = rows.select("x", F.col("y") if signed else F.when(F.col("y") == 0, -1.0).otherwise(1.0).alias("y")).persist()
+        try:
+            for t in range(1, self.n_iterations + 1):
+                def work(x: np.ndarray, y: np.ndarray, w=w) -> np.ndarray:
+                    inside = y * (x @ w[1:] + w[0]) < 1
+                    return np.concatenate(([y[inside].sum()], y[inside] @ x[inside]))
+
+                eta = 1.0 / (rate * t)
+                step = eta * self.C / n * partition_sums(held, [F.col("x"), F.col("y")], work)
+                w = np.concatenate((w[:1] + step[:1], (1 - eta * rate) * w[1:] + step[1:]))
+        finally:
+            held.unpersist()
+        return w[1:], float(w[0])
 
     def fit(self, df: DataFrame, features, label: str, id_col: str):
         self.features = features
@@ -38,6 +58,10 @@ class LinearSVC(Estimator):
         n, least = rows.agg(F.count(F.lit(1)), F.min("y")).first()
         if not n:
             raise ValueError("there are no rows to fit on")
+        if self.batch == "all":
+            self.weights_, self.bias_ = self._in_passes(rows, n, least < 0, d)
+            self._fitted = True
+            return self
         # the first rows in order of their hash, again and again if they are fewer than the steps
         drawn = rows.orderBy(uniform(self.random_state, F.col("id")), "id").limit(self.n_iterations).collect()
         x = np.array([r["x"] for r in drawn])

@@ -1,15 +1,17 @@
-"""Multilayer perceptrons by mini-batch gradient descent.
+"""Multilayer perceptrons by gradient descent; n_iterations counts epochs.
 
-A fit keeps its rows in one place (at most MAX_ROWS); scoring sends the weights to the rows. n_iterations counts epochs.
+With `batch_size=None` a step takes all rows: each partition sends the sums of its rows' gradients, so rows stay where they are, however many there
+are. With mini-batches, whose steps follow one another row by row, a fit keeps its rows in one place (at most MAX_ROWS). Scoring sends the
+weights to the rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.core import Estimator, Features, local_rows, score_rows
+from millrace.core import Estimator, Features, local_rows, partition_sums, score_rows
 
 MAX_ROWS = 200_000
 
@@ -26,12 +28,12 @@ def _slope(name: str, a: np.ndarray) -> np.ndarray:
 class _Perceptron(Estimator):
     def __init__(
         self, hidden_layer_sizes: tuple[int, ...] = (100,), activation: str = "relu", learning_rate: float = 1e-3, n_iterations: int = 500,
-        batch_size: int = 32, random_state: int | None = None
+        batch_size: int | None = 32, random_state: int | None = None, weights_init: list[tuple[np.ndarray, np.ndarray]] | None = None
     ) -> None:
         if activation not in ("relu", "tanh", "sigmoid"):
             raise ValueError("activation is 'relu', 'tanh' or 'sigmoid'")
         self.hidden_layer_sizes, self.activation, self.learning_rate = tuple(hidden_layer_sizes), activation, learning_rate
-        self.n_iterations, self.batch_size, self.random_state = n_iterations, batch_size, random_state
+        self.n_iterations, self.batch_size, self.random_state, self.weights_init = n_iterations, batch_size, random_state, weights_init
 
     def _forward(self, x: np.ndarray) -> list[np.ndarray]:
         layers = [x]
@@ -40,27 +42,72 @@ class _Perceptron(Estimator):
             layers.append(self._output(z) if k == len(self.weights_) - 1 else _activate(self.activation, z))
         return layers
 
-    def _train(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Both losses have the same gradient at the output: output - target."""
+    def _first_weights(self, inputs: int, outputs: int) -> np.random.Generator:
+        """Set the weights that training starts from: those given, or normal numbers scaled by the inputs of a layer."""
         rng = np.random.default_rng(self.random_state)
-        sizes = [x.shape[1], *self.hidden_layer_sizes, y.shape[1]]
+        sizes = [inputs, *self.hidden_layer_sizes, outputs]
         scale = 2.0 if self.activation == "relu" else 1.0
         self.weights_ = [rng.normal(0, np.sqrt(scale / a), (a, b)) for a, b in zip(sizes, sizes[1:])]
         self.biases_ = [np.zeros(b) for b in sizes[1:]]
+        if self.weights_init is not None:
+            given = [(np.array(w, dtype=float), np.array(b, dtype=float)) for w, b in self.weights_init]
+            if [w.shape for w, _ in given] != [w.shape for w in self.weights_] or [b.shape for _, b in given] != [b.shape for b in self.biases_]:
+                raise ValueError("weights_init has other shapes than the layers")
+            self.weights_, self.biases_ = [w for w, _ in given], [b for _, b in given]
         self.loss_history_ = []
+        return rng
+
+    def _gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """The sums over the rows of each layer's gradient, and the output. Both losses have the same gradient there: output - target."""
+        layers = self._forward(x)
+        delta, found = layers[-1] - y, []
+        for k in range(len(self.weights_) - 1, -1, -1):
+            found.append((layers[k].T @ delta, delta.sum(axis=0)))
+            if k:
+                delta = delta @ self.weights_[k].T * _slope(self.activation, layers[k])
+        return found[::-1], layers[-1]
+
+    def _step(self, gradients: list[tuple[np.ndarray, np.ndarray]], rows: float) -> None:
+        for k, (w, b) in enumerate(gradients):
+            self.weights_[k] = self.weights_[k] - self.learning_rate * w / rows
+            self.biases_[k] = self.biases_[k] - self.learning_rate * b / rows
+
+    def _train(self, x: np.ndarray, y: np.ndarray) -> None:
+        rng = self._first_weights(x.shape[1], y.shape[1])
         for _ in range(self.n_iterations):
             order = rng.permutation(len(x))
             for at in range(0, len(x), self.batch_size):
                 rows = order[at : at + self.batch_size]
-                layers = self._forward(x[rows])
-                delta = (layers[-1] - y[rows]) / len(rows)
-                for k in range(len(self.weights_) - 1, -1, -1):
-                    back = delta @ self.weights_[k].T * _slope(self.activation, layers[k]) if k else None
-                    self.weights_[k] -= self.learning_rate * layers[k].T @ delta
-                    self.biases_[k] -= self.learning_rate * delta.sum(axis=0)
-                    delta = back
+                self._step(self._gradients(x[rows], y[rows])[0], len(rows))
             self.loss_history_.append(self._loss(self._forward(x)[-1], y))
 
+    def _train_in_passes(self, df: DataFrame, features, target: Column, outputs: int) -> None:
+        """Full-batch steps, a pass each; `target` is an array column, null where there is no label."""
+        self.features = features
+        own = Features(df, features)
+        self.n_features_in_ = len(own)
+        self._first_weights(len(own), outputs)
+        rows = df.where(own.known & target.isNotNull()).select(own.vector.alias("x"), target.cast("array<double>").alias("y")).persist()
+
+        def work(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            found, out = self._gradients(x, y)
+            return np.concatenate([[len(x), self._loss(out, y) * len(x)], *(part.ravel() for both in found for part in both)])
+
+        try:
+            for step in range(self.n_iterations + 1):  # a pass has the loss that the step before led to
+                sums = partition_sums(rows, [F.col("x"), F.col("y")], work)
+                if not len(sums):
+                    raise ValueError("there are no rows to fit on")
+                if step:
+                    self.loss_history_.append(sums[1] / sums[0])
+                if step < self.n_iterations:
+                    shapes = [part.shape for both in zip(self.weights_, self.biases_) for part in both]
+                    ends = np.cumsum([0, *(int(np.prod(shape)) for shape in shapes)]) + 2
+                    flat = [sums[a:b].reshape(shape) for a, b, shape in zip(ends[:-1], ends[1:], shapes)]
+                    self._step(list(zip(flat[::2], flat[1::2])), sums[0])
+        finally:
+            rows.unpersist()
+
     def _start(self, df: DataFrame, features, label: str, id_col: str) -> tuple[np.ndarray, np.ndarray]:
         self.features = features
         own = Features(df, features)
@@ -84,6 +131,12 @@ class MLPClassifier(_Perceptron):
         return float(-(y * np.log(np.maximum(p, 1e-12))).sum(axis=1).mean())
 
     def fit(self, df: DataFrame, features, label: str, id_col: str):
+        if self.batch_size is None:
+            self.classes_ = sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect())
+            hot = F.array(*[(F.col(label) == c).cast("double") for c in self.classes_])
+            self._train_in_passes(df, features, F.when(F.col(label).isNotNull(), hot), len(self.classes_))
+            self._fitted = True
+            return self
         x, y = self._start(df, features, label, id_col)
         self.classes_ = sorted(set(y.tolist()))
         self._train(x, np.eye(len(self.classes_))[[self.classes_.index(v) for v in y.tolist()]])
@@ -111,6 +164,13 @@ class MLPRegressor(_Perceptron):
         return float(0.5 * ((p - y) ** 2).sum(axis=1).mean())
 
     def fit(self, df: DataFrame, features, label: str, id_col: str):
+        if self.batch_size is None:
+            self._many = dict(df.dtypes)[label].startswith("array")
+            outputs = (df.agg(F.max(F.size(label))).first()[0] or 1) if self._many else 1
+            target = F.when(F.col(label).isNotNull(), F.col(label) if self._many else F.array(F.col(label)))
+            self._train_in_passes(df, features, target, outputs)
+            self._fitted = True
+            return self
         x, y = self._start(df, features, label, id_col)
         self._many = dict(df.dtypes)[label].startswith("array")
         self._train(x, np.array(y.tolist(), dtype=float).reshape(len(x), -1))

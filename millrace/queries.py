@@ -181,8 +181,6 @@ def label_decode(spark, sf_dir):
     return e.inverse_transform(e.transform(c, "code"), "code", "segment").select("c_custkey", "segment")
 
 
-
-
 def _onehot(spark, sf_dir, drop):
     c = table(spark, sf_dir, "customer")
     e = preprocessing.OneHotEncoder(drop).fit(c, ["c_mktsegment"])
@@ -551,7 +549,8 @@ def _kmeans_parallel_sql(k: int, rounds: int, steps: int, seed: int) -> str:
     for j in range(k):
         apart = ", ".join(f"(SELECT (w.x - s{i}.x) * (w.x - s{i}.x) + (w.y - s{i}.y) * (w.y - s{i}.y) FROM s{i})" for i in range(j))
         mass = f"w * least({apart})" if j else "w"
-        clock = f"CASE WHEN {mass} > 0 THEN -ln(greatest({_uniform_sql(str(seed), repr('centre'), str(j), 'c_custkey')}, 1e-12)) / ({mass}) ELSE 'inf'::DOUBLE END"
+        draw = f"greatest({_uniform_sql(str(seed), repr('centre'), str(j), 'c_custkey')}, 1e-12)"
+        clock = f"CASE WHEN {mass} > 0 THEN -ln({draw}) / ({mass}) ELSE 'inf'::DOUBLE END"
         parts.append(f"s{j} AS MATERIALIZED (SELECT x, y FROM (SELECT x, y, c_custkey, {clock} AS clock FROM w) ORDER BY clock, c_custkey LIMIT 1)")
     parts.append("k0 AS (" + " UNION ALL ".join(f"SELECT {j} AS k, x AS cx, y AS cy FROM s{j}" for j in range(k)) + ")")
     for t in range(steps + 1):
@@ -1049,7 +1048,8 @@ def gradient_boosting_regressor(spark, sf_dir):
 def _isolation_sql(trees_: int, most: int, seed: int, share: float) -> str:
     """Trees on the rows of least hashed number; feature and threshold of a node are drawn by its tree and path."""
     draw = lambda name, at: _uniform_sql(str(seed), f"'{name}'", f"{at}.tree", f"{at}.node")
-    path = lambda n: f"CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1)::DOUBLE / {n} END"
+    long_path = "2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1)::DOUBLE / {n}"
+    path = lambda n: f"CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE {long_path.format(n=n)} END"
     parts = [
         "WITH e AS (SELECT event_id, value AS x, hour(ts)::DOUBLE AS y FROM events)",
         f"u AS (SELECT tree, event_id, x, y, {_uniform_sql(str(seed), 'tree', 'event_id')} AS u FROM e, range({trees_}) r(tree))",
@@ -1059,14 +1059,20 @@ def _isolation_sql(trees_: int, most: int, seed: int, share: float) -> str:
     size = f"(SELECT least(count(*), {most}) FROM e)"
     depth = 8
     for k in range(depth):
-        parts.append(f"s{k} AS MATERIALIZED (SELECT n.tree, n.node, f, lo + {draw('cut', 'n')} * (hi - lo) AS t FROM (SELECT *, CASE f WHEN 0 THEN lx ELSE ly END AS lo, "
-            f"CASE f WHEN 0 THEN hx ELSE hy END AS hi FROM (SELECT a.tree, a.node, count(*) AS c, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, "
-            f"floor({draw('feature', 'a')} * 2) AS f FROM a{k} a GROUP BY ALL)) n WHERE c > 1 AND hi > lo AND {k} < ceil(log2(greatest({size}, 2))))")
+        parts.append(
+            f"s{k} AS MATERIALIZED (SELECT n.tree, n.node, f, lo + {draw('cut', 'n')} * (hi - lo) AS t FROM (SELECT *, CASE f WHEN 0 THEN lx "
+            f"ELSE ly END AS lo, CASE f WHEN 0 THEN hx ELSE hy END AS hi FROM (SELECT a.tree, a.node, count(*) AS c, min(x) AS lx, max(x) AS hx, "
+            f"min(y) AS ly, max(y) AS hy, floor({draw('feature', 'a')} * 2) AS f FROM a{k} a GROUP BY ALL)) n "
+            f"WHERE c > 1 AND hi > lo AND {k} < ceil(log2(greatest({size}, 2))))")
         for name, columns in (("a", "r.tree, r.x, r.y"), ("z", "r.tree, r.event_id, r.x, r.y")):
-            parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT {columns}, CASE WHEN s.t IS NULL THEN r.node WHEN (CASE s.f WHEN 0 THEN r.x ELSE r.y END) < s.t "
+            parts.append(
+                f"{name}{k + 1} AS MATERIALIZED (SELECT {columns}, CASE WHEN s.t IS NULL THEN r.node WHEN (CASE s.f WHEN 0 THEN r.x ELSE r.y END) < s.t "
                 f"THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node FROM {name}{k} r LEFT JOIN s{k} s USING (tree, node))")
-    parts.append(f"leaf AS (SELECT tree, node, floor(log2(node + 1)) + {path('c')} AS depth FROM (SELECT tree, node, count(*) AS c FROM a{depth} GROUP BY 1, 2))")
-    parts.append(f"scored AS (SELECT event_id, -pow(2, -avg(depth) / (SELECT {path('m')} FROM (SELECT {size} AS m))) AS score FROM z{depth} JOIN leaf USING (tree, node) GROUP BY 1)")
+    counted = f"SELECT tree, node, count(*) AS c FROM a{depth} GROUP BY 1, 2"
+    parts.append(f"leaf AS (SELECT tree, node, floor(log2(node + 1)) + {path('c')} AS depth FROM ({counted}))")
+    parts.append(
+        f"scored AS (SELECT event_id, -pow(2, -avg(depth) / (SELECT {path('m')} FROM (SELECT {size} AS m))) AS score "
+        f"FROM z{depth} JOIN leaf USING (tree, node) GROUP BY 1)")
     return ", ".join(parts) + f""" SELECT event_id, CAST(CASE WHEN score >= (SELECT quantile_cont(score, {share}) FROM scored) THEN 1 ELSE -1 END AS INT) AS prediction,
         round(score, 6) AS score FROM scored"""
 
@@ -1094,6 +1100,20 @@ def linear_svc(spark, sf_dir):
     return out.select("c_custkey", "t", "prediction", F.round("rawPrediction", 3).alias("score"))
 
 
+@query(_TREE.replace("WITH ", "WITH RECURSIVE ", 1) + """, d AS (SELECT x, y, 2 * t - 1 AS l FROM s), n AS (SELECT count(*)::DOUBLE AS n FROM s),
+    r(t, w0, w1, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+        SELECT any_value(r.t) + 1,
+            any_value((1 - 1.0::DOUBLE / (r.t + 1)) * w0) + any_value(2.0 / (r.t + 1)) * coalesce(sum(l * x) FILTER (WHERE l * (x * w0 + y * w1 + b) < 1), 0) * 2.0,
+            any_value((1 - 1.0::DOUBLE / (r.t + 1)) * w1) + any_value(2.0 / (r.t + 1)) * coalesce(sum(l * y) FILTER (WHERE l * (x * w0 + y * w1 + b) < 1), 0) * 2.0,
+            any_value(b) + any_value(2.0 / (r.t + 1)) * coalesce(sum(l) FILTER (WHERE l * (x * w0 + y * w1 + b) < 1), 0) * 2.0
+        FROM r, d WHERE r.t < 6 HAVING count(*) > 0)
+    SELECT c_custkey, s.t, CAST(x * w0 + y * w1 + b >= 0 AS INT) AS prediction, round(x * w0 + y * w1 + b, 3) AS score FROM s, r WHERE r.t = 6""")
+def linear_svc_all_rows(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    out = kernels.LinearSVC(2.0, 6, batch="all").fit(rows, ["x", "y"], "t", "c_custkey").transform(rows)
+    return out.select("c_custkey", "t", "prediction", F.round("rawPrediction", 3).alias("score"))
+
+
 @query()
 def svc(spark, sf_dir):
     rows = _supplier(spark, sf_dir)
@@ -1118,6 +1138,55 @@ def mlp_regressor(spark, sf_dir):
     return neural.MLPRegressor((8,), learning_rate=0.05, n_iterations=10, random_state=0).fit(rows, ["x", "y"], "v", "c_custkey").transform(rows).select("c_custkey", "v", "prediction")
 
 
+#: Weights that both engines start from: two inputs, two hidden units, two outputs (one for regression).
+_MLP_START = [([[0.5, -0.4], [0.3, 0.8]], [0.1, -0.1]), ([[0.7, -0.6], [-0.5, 0.4]], [0.05, -0.05])]
+
+
+def _mlp_sql(steps: int, rate: float, outputs: int, target: str, result: str) -> str:
+    """Full-batch steps of a perceptron with two tanh units; with two outputs they are softmax probabilities of `target` 0 and 1."""
+    (w, b), (u, c) = _MLP_START
+    names = [*(f"w{i}{j}" for i in range(2) for j in range(2)), "b0", "b1", *(f"u{j}{k}" for j in range(2) for k in range(outputs)), *(f"c{k}" for k in range(outputs))]
+    start = [*(v for row in w for v in row), *b, *(row[k] for row in u for k in range(outputs)), *c[:outputs]]
+    parts = [
+        f"{_TREE}, z AS (SELECT c_custkey, t, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS y FROM s)",
+        "p0 AS (SELECT " + ", ".join(f"{v}::DOUBLE AS {n}" for v, n in zip(start, names)) + ")",
+    ]
+    for k in range(steps + 1):
+        parts.append(f"h{k} AS (SELECT z.*, p.*, tanh(x * w00 + y * w10 + b0) AS h0, tanh(x * w01 + y * w11 + b1) AS h1 FROM z, p{k} p)")
+        raw = ", ".join(f"h0 * u0{j} + h1 * u1{j} + c{j} AS o{j}" for j in range(outputs))
+        parts.append(f"r{k} AS (SELECT *, {raw} FROM h{k})")
+        if outputs == 2:
+            parts.append(f"o{k} AS (SELECT *, 1 / (1 + exp(o0 - o1)) AS q, 1 / (1 + exp(o1 - o0)) - (1 - t) AS e0, 1 / (1 + exp(o0 - o1)) - t AS e1 FROM r{k})")
+        else:
+            parts.append(f"o{k} AS (SELECT *, o0 AS q, o0 - ({target}) AS e0 FROM r{k})")
+        back = [" + ".join(f"e{j} * u{i}{j}" for j in range(outputs)) for i in range(2)]
+        slopes = {
+            **{f"w{i}{j}": f"({back[j]}) * (1 - h{j} * h{j}) * {'xy'[i]}" for i in range(2) for j in range(2)}, **{f"b{j}": f"({back[j]}) * (1 - h{j} * h{j})" for j in range(2)},
+            **{f"u{i}{j}": f"e{j} * h{i}" for i in range(2) for j in range(outputs)}, **{f"c{j}": f"e{j}" for j in range(outputs)},
+        }
+        parts.append(f"p{k + 1} AS MATERIALIZED (SELECT " + ", ".join(f"any_value({n}) - {rate} * avg({slopes[n]}) AS {n}" for n in names) + f" FROM o{k})")
+    return ", ".join(parts) + f" SELECT c_custkey, {result} FROM o{steps}"
+
+
+def _mlp_rows(spark, sf_dir):
+    return preprocessing.StandardScaler().fit_transform(_labelled(spark, sf_dir), ["x", "y"])
+
+
+@query(_mlp_sql(4, 0.5, 2, "t", "t, CAST(q > 0.5 AS INT) AS prediction, round(q, 6) AS p"))
+def mlp_classifier_full_batch(spark, sf_dir):
+    rows = _mlp_rows(spark, sf_dir)
+    model = neural.MLPClassifier((2,), "tanh", 0.5, 4, None, weights_init=_MLP_START).fit(rows, ["x", "y"], "t", "c_custkey")
+    return model.transform(rows).select("c_custkey", "t", "prediction", F.round(F.get("probability", F.lit(1)), 6).alias("p"))
+
+
+@query(_mlp_sql(5, 0.1, 1, "x - y", "round(q, 6) AS prediction"))
+def mlp_regressor_full_batch(spark, sf_dir):
+    rows = _mlp_rows(spark, sf_dir).withColumn("v", F.col("x") - F.col("y"))
+    start = [_MLP_START[0], ([[row[0]] for row in _MLP_START[1][0]], _MLP_START[1][1][:1])]
+    model = neural.MLPRegressor((2,), "tanh", 0.1, 5, None, weights_init=start).fit(rows, ["x", "y"], "v", "c_custkey")
+    return _rounded(model.transform(rows).select("c_custkey", "prediction"), "prediction")
+
+
 @query("SELECT count(*) AS suppliers, 0::BIGINT AS violations, TRUE AS balanced FROM supplier")
 def svc_optimality(spark, sf_dir):
     """The fitted machine meets the conditions of the optimum on every row, and its coefficients sum to 0."""

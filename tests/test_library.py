@@ -15,7 +15,7 @@ import pyspark
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import bayes, cluster, decomposition, kernels, linear, metrics, neighbors, splits, trees
+from millrace.operators import bayes, cluster, decomposition, kernels, linear, metrics, neighbors, neural, splits, trees
 from millrace.plans import pairs, pivots
 from millrace.plans.scan import exact_percentile, ranked
 
@@ -399,3 +399,23 @@ def test_oversampled_starts(spark):
         cluster.KMeans(2, init="random")
     with pytest.raises(ValueError):
         cluster.KMeans(2, init="k-means||").fit(df.limit(0), ["x"])
+
+
+def test_full_batch_fits_equal_fits_in_one_place(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (90, 3))
+    y = (x[:, 0] - x[:, 1] > 0).astype(int)
+    rows = [(i, r.tolist(), int(v), [float(r[0]), float(r[2])]) for i, (r, v) in enumerate(zip(x, y))]
+    df = spark.createDataFrame([*rows, (900, None, 1, None), (901, x[0].tolist(), None, None)], "id long, x array<double>, y int, z array<double>").repartition(3)
+    for kind, label in ((neural.MLPClassifier, "y"), (neural.MLPRegressor, "z"), (neural.MLPRegressor, "y")):
+        make = lambda size, kind=kind: kind((4, 3), "relu", 0.1, 6, size, random_state=1)
+        whole, passes = (make(size).fit(df, "x", label, "id") for size in (200, None))
+        assert all(np.allclose(a, b) for a, b in zip(whole.weights_ + whole.biases_, passes.weights_ + passes.biases_))
+        assert np.allclose(whole.loss_history_, passes.loss_history_)
+        assert sum(r.prediction is None for r in passes.transform(df).collect()) == 1
+    with pytest.raises(ValueError):
+        neural.MLPClassifier((4,), weights_init=[(np.zeros((3, 3)), np.zeros(3))], batch_size=None).fit(df, "x", "y", "id")
+    with pytest.raises(ValueError):
+        neural.MLPRegressor((4,), batch_size=None).fit(df.limit(0), "x", "y", "id")
+    svc = kernels.LinearSVC(1.0, 60, batch="all").fit(df.where("y IS NOT NULL"), "x", "y", "id")
+    assert svc.transform(df).where("y IS NOT NULL AND x IS NOT NULL").agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0] > 0.95
