@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.core import LOCAL_ROWS, Estimator, Features, local_rows, partition_sums, score_rows
 from millrace.functions.expr import euclidean, manhattan, squared_distance, uniform
 from millrace.plans.closure import closure
+from millrace.plans.merges import greedy, merged, start_distances
 from millrace.plans.pairs import distances
 from millrace.plans.pivots import range_pairs
 from millrace.plans.scan import ranked
@@ -402,6 +403,9 @@ class _Local(Estimator):
 
     def fit_predict(self, df: DataFrame, features, label=None, id_col: str = "id") -> DataFrame:
         self.fit(df, features, label, id_col)
+        return self._labelled(df, id_col)
+
+    def _labelled(self, df: DataFrame, id_col: str) -> DataFrame:
         found = df.sparkSession.createDataFrame(
             [(i.item() if hasattr(i, "item") else i, int(k)) for i, k in zip(self._ids, self.labels_)],
             f"__id {dict(df.dtypes)[id_col]}, prediction int"
@@ -423,34 +427,29 @@ class AgglomerativeClustering(_Local):
             raise ValueError("ward needs the euclidean metric")
         self.n_clusters, self.linkage, self.metric = n_clusters, linkage, metric
 
+    def fit(self, df: DataFrame, features, label=None, id_col: str = "id"):
+        """Up to LOCAL_ROWS rows are merged in one place; more are where they are, and `labels_` is then a table (id, prediction)."""
+        own = Features(df, features)
+        rows = df.where(own.known).select(F.col(id_col).alias("id"), own.vector.alias("x"))
+        if rows.limit(self.max_rows + 1).count() <= self.max_rows:
+            return super().fit(df, features, label, id_col)
+        self.features, self.n_features_in_, self.n_clusters_ = features, len(own), self.n_clusters
+        self.labels_ = cut(merged(rows, len(own), self.n_clusters, self.linkage, self.metric), "merged")
+        self._ids, self._fitted = None, True
+        return self
+
+    def fit_predict(self, df: DataFrame, features, label=None, id_col: str = "id") -> DataFrame:
+        self.fit(df, features, label, id_col)
+        if not isinstance(self.labels_, DataFrame):
+            return self._labelled(df, id_col)
+        return df.join(self.labels_.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
+
     def _solve(self, x: np.ndarray) -> np.ndarray:
         n = len(x)
         if n < self.n_clusters:
             raise ValueError("there are fewer rows than clusters")
-        far = np.vstack([distances(x[i : i + 64], x, self.metric) for i in range(0, n, 64)])
-        np.fill_diagonal(far, np.inf)
-        size, means, label = np.ones(n), x.astype(float).copy(), np.arange(n)
-        live = np.ones(n, dtype=bool)
-        for _ in range(n - self.n_clusters):
-            a, b = divmod(int(far.argmin()), n)
-            a, b = min(a, b), max(a, b)
-            if self.linkage == "single":
-                new = np.minimum(far[a], far[b])
-            elif self.linkage == "complete":
-                new = np.maximum(far[a], far[b])
-            elif self.linkage == "average":
-                new = (size[a] * far[a] + size[b] * far[b]) / (size[a] + size[b])
-            means[a] = (size[a] * means[a] + size[b] * means[b]) / (size[a] + size[b])
-            size[a] += size[b]
-            if self.linkage == "ward":
-                new = np.sqrt(size[a] * size / (size[a] + size)) * np.sqrt(((means - means[a]) ** 2).sum(axis=1))
-            live[b] = False
-            new = np.where(live, new, np.inf)
-            new[a] = np.inf
-            far[a], far[:, a] = new, new
-            far[b], far[:, b] = np.inf, np.inf
-            label[label == b] = a
-        return np.unique(label, return_inverse=True)[1]
+        far, size, means = start_distances(x, np.ones(n), np.arange(n), self.linkage, self.metric)
+        return np.unique(greedy(far, size, means, self.linkage, self.n_clusters), return_inverse=True)[1]
 
 
 class SpectralClustering(_Local):
