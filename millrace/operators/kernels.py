@@ -1,4 +1,8 @@
-"""Support-vector machines and Gaussian-process regression. Fits with kernels need all rows in one place; scores do not."""
+"""Support-vector machines and Gaussian-process regression.
+
+Fits with kernels have all rows in one place up to LOCAL_ROWS. More rows stay where they are, and meet the factor of their kernel matrix
+(`millrace.plans.lowrank`), exact to its tolerance. Scores are computed where the rows are.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.core import LOCAL_ROWS, Estimator, Features, local_rows, partition_sums, score_rows
+from millrace.core import LOCAL_ROWS, Estimator, Features, local_rows, partition_sums, score_rows, wide_sums
 from millrace.functions.expr import by_sign, linear_form, uniform
+from millrace.plans.interior import dual_optimum
+from millrace.plans.lowrank import kernel_factor, solve_lower
 from millrace.plans.pairs import distances
+from millrace.storage import cut
 
 
 def signed_labels(y: np.ndarray) -> np.ndarray:
@@ -89,11 +96,14 @@ class LinearSVC(Estimator):
 
 
 class SVC(Estimator):
-    """Kernel SVM on at most LOCAL_ROWS rows, by steps on the pair that violates the optimality conditions most.
+    """Kernel SVM: up to LOCAL_ROWS rows by steps on the pair that violates the optimality conditions most, more by an interior point method.
 
-    n_iterations counts rounds of as many steps as there are rows; it ends when no pair violates them by more than 2 tol.
+    n_iterations counts rounds of as many steps as there are rows; it ends when no pair violates them by more than 2 tol. The interior point method
+    (Fine and Scheinberg, 2001) ends when the conditions hold on all rows; its support vectors are the pivots of the kernel's factor.
     """
 
+    max_rows = LOCAL_ROWS
+
     def __init__(
         self, C: float = 1.0, kernel: str = "rbf", gamma: float | str = "scale", degree: int = 3, n_iterations: int = 100, tol: float = 1e-3
     ) -> None:  # noqa: N803
@@ -109,11 +119,20 @@ class SVC(Estimator):
         square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
         return np.exp(-self.gamma_ * np.maximum(square, 0))
 
+    def _kernel_alone(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """The kernel without the fitted state, to be sent to the executors."""
+        bare = SVC(self.C, self.kernel, self.gamma, self.degree)
+        bare.gamma_ = self.gamma_
+        return bare._kernel
+
     def fit(self, df: DataFrame, features, label: str, id_col: str):
         self.features = features
         own = Features(df, features)
         self.n_features_in_ = len(own)
-        _, x, y = local_rows(df, own, id_col, label, LOCAL_ROWS)
+        rows = df.where(own.known & F.col(label).isNotNull())
+        if rows.limit(self.max_rows + 1).count() > self.max_rows:
+            return self._fit_in_passes(rows, own, label, id_col)
+        ids, x, y = local_rows(df, own, id_col, label, LOCAL_ROWS)
         y, n = signed_labels(y), len(x)
         rising = falling = np.zeros(n, dtype=bool)
         spread = x.var()
@@ -141,14 +160,41 @@ class SVC(Estimator):
         self.alpha_, self.bias_ = alpha, float(-middle)
         self.support_vectors_, self.support_alpha_, self.support_labels_ = x[held], alpha[held], y[held]
         self.dual_coef_, self.intercept_ = self.support_alpha_ * self.support_labels_, self.bias_
+        found = [(i.item() if hasattr(i, "item") else i, float(a)) for i, a in zip(ids, alpha)]
+        self._alphas = df.sparkSession.createDataFrame(found, f"id {dict(df.dtypes)[id_col]}, alpha double")
+        self._fitted = True
+        return self
+
+    def _fit_in_passes(self, df: DataFrame, own: Features, label: str, id_col: str):
+        d = len(own)
+        rows = cut(df.select(F.col(id_col).alias("id"), own.vector.alias("x"), F.col(label).cast("double").alias("y")), "svc-rows")
+        n, least = rows.agg(F.count(F.lit(1)), F.min("y")).first()
+        means = partition_sums(rows, [F.col("x")], lambda x: np.array([x.sum()]))[0] / (n * d)
+        spread = partition_sums(rows, [F.col("x")], lambda x: np.array([((x - means) ** 2).sum()]))[0] / (n * d)
+        self.gamma_ = (1.0 / (d * spread) if spread > 0 else 1.0) if self.gamma == "scale" else float(self.gamma)
+        signed = F.signum("y") if least < 0 else F.when(F.col("y") == 0, -1.0).otherwise(1.0)
+        rows = rows.withColumn("y", signed)
+        groups = cut(rows.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n")), "svc-groups")  # equal rows share their coefficient
+        factor = kernel_factor(groups, d, self._kernel_alone())
+        w, bias, dual = dual_optimum(groups, d, factor, self.C, self.tol)
+        self._alphas = rows.join(dual, ["x", "y"]).select("id", "alpha")
+        self.alpha_, self.bias_ = None, bias
+        self.support_vectors_, self.dual_coef_ = factor.pivots, np.linalg.solve(factor.factor.T, w)
+        self.support_labels_, self.support_alpha_, self.intercept_ = np.sign(self.dual_coef_), np.abs(self.dual_coef_), bias
         self._fitted = True
         return self
 
+    def coefficients(self) -> DataFrame:
+        """(id, alpha) of every row of the fit."""
+        self._check_fitted()
+        return self._alphas
+
     def transform(self, df: DataFrame) -> DataFrame:
         self._check_fitted()
+        kernel, vectors, coefficients, intercept = self._kernel_alone(), self.support_vectors_, self.dual_coef_, self.intercept_
 
         def score(x: np.ndarray) -> dict[str, np.ndarray]:
-            return {"rawPrediction": self._kernel(x, self.support_vectors_) @ self.dual_coef_ + self.intercept_}
+            return {"rawPrediction": kernel(x, vectors) @ coefficients + intercept}
 
         out = score_rows(df, self._width(df), score, "rawPrediction double")
         return out.withColumn("prediction", by_sign(F.col("rawPrediction"), 1, 0))
@@ -177,7 +223,13 @@ GP_KERNELS = {"rbf": _rbf, "matern52": _matern52, "periodic": _periodic, "linear
 
 
 class GaussianProcessRegressor(Estimator):
-    """Exact regression on at most LOCAL_ROWS rows by one Cholesky factor; a callable kernel gets the two matrices."""
+    """Exact regression; a callable kernel gets the two matrices.
+
+    Up to LOCAL_ROWS rows there is one Cholesky factor of them all. More rows stay where they are: with K = F F', the sums F'F and F'y of one pass
+    are enough, and x_train_ and factor_ are those of F's pivots.
+    """
+
+    max_rows = LOCAL_ROWS
 
     def __init__(
         self, kernel: str | Callable = "rbf", *, length_scale: float = 1.0, signal_var: float = 1.0, noise_var: float = 1e-3,
@@ -199,7 +251,10 @@ class GaussianProcessRegressor(Estimator):
     def fit(self, df: DataFrame, features, label: str, id_col: str):
         self.features = features
         own = Features(df, features)
-        self.n_features_in_ = len(own)
+        self.n_features_in_, self.inner_ = len(own), None
+        rows = df.where(own.known & F.col(label).isNotNull())
+        if rows.limit(self.max_rows + 1).count() > self.max_rows:
+            return self._fit_in_passes(rows, own, label)
         _, self.x_train_, y = local_rows(df, own, id_col, label, LOCAL_ROWS)
         self.y_train_ = y.astype(float)
         self.factor_ = np.linalg.cholesky(self._k(self.x_train_, self.x_train_) + self.noise_var * np.eye(len(y)))
@@ -207,6 +262,49 @@ class GaussianProcessRegressor(Estimator):
         self._fitted = True
         return self
 
+    def _fit_in_passes(self, df: DataFrame, own: Features, label: str):
+        if self.noise_var <= 0:
+            raise ValueError(f"more than {self.max_rows} rows need a positive noise_var")
+        rows = cut(df.select(own.vector.alias("x"), F.col(label).cast("double").alias("y")), "gaussian-rows")
+        factor = kernel_factor(rows, len(own), self._k)
+        r = len(factor.pivots)
+
+        def work(both: np.ndarray) -> np.ndarray:
+            total = np.zeros((r + 1) * (r + 1) + 1)
+            for at in range(0, len(both), 2048):
+                x, y = both[at : at + 2048, :-1], both[at : at + 2048, -1:]
+                f = np.concatenate((factor.rows(x), y), axis=1)
+                total += np.append((f.T @ f).ravel(), len(x))
+            return total
+
+        sums = wide_sums(rows, F.concat("x", F.array("y")), (r + 1) * (r + 1) + 1, work)
+        n, sums = sums[-1], sums[:-1].reshape(r + 1, r + 1)
+        self.inner_ = np.linalg.cholesky(sums[:r, :r] + self.noise_var * np.eye(r))
+        weights = np.linalg.solve(self.inner_.T, np.linalg.solve(self.inner_, sums[:r, r]))
+        self.x_train_, self.factor_, self.y_train_ = factor.pivots, factor.factor, None
+        self.alpha_ = np.linalg.solve(self.factor_.T, weights)
+        determinant = (n - r) * np.log(self.noise_var) + 2 * np.log(np.diag(self.inner_)).sum()
+        self.log_likelihood_ = float(-0.5 * ((sums[r, r] - sums[:r, r] @ weights) / self.noise_var + determinant + n * np.log(2 * np.pi)))
+        self._fitted = True
+        return self
+
+    def _unexplained(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """v with k(x, x) - v'v the covariance, and what has to be added to it, from kernels with the training rows or pivots."""
+        v = solve_lower(self.factor_, k.T)
+        return v, (np.sqrt(self.noise_var) * solve_lower(self.inner_, v) if self.inner_ is not None else np.zeros((1, v.shape[1])))
+
+    def kernel_times(self, df: DataFrame, values: str, id_col: str) -> DataFrame:
+        """`df` with `product`, the row's kernels with all rows of `df` times their `values`."""
+        self._check_fitted()
+        own = self._width(df)
+        if self.inner_ is None:
+            _, points, a = local_rows(df, own, id_col, values, LOCAL_ROWS)
+            return score_rows(df, own, lambda x: {"product": self._k(x, points) @ a.astype(float)}, "product double")
+        known = df.where(own.known & F.col(values).isNotNull()).select(F.concat(own.vector, F.array(F.col(values).cast("double"))).alias("both"))
+        sums = wide_sums(known, F.col("both"), len(self.x_train_), lambda both: solve_lower(self.factor_, self._k(self.x_train_, both[:, :-1])) @ both[:, -1])
+        weights = np.linalg.solve(self.factor_.T, sums)
+        return score_rows(df, own, lambda x: {"product": self._k(x, self.x_train_) @ weights}, "product double")
+
     def transform(self, df: DataFrame, return_std: bool = False, return_cov: bool = False, id_col: str = "id"):
         """`df` with prediction and, with `return_std`, std; with `return_cov` what `predict_cov` gives."""
         self._check_fitted()
@@ -219,9 +317,9 @@ class GaussianProcessRegressor(Estimator):
             k = self._k(x, self.x_train_)
             out = {"prediction": k @ self.alpha_}
             if return_std:
-                v = np.linalg.solve(self.factor_, k.T)
+                v, more = self._unexplained(k)
                 own = np.array([self._k(r[None], r[None])[0, 0] for r in x])
-                out["std"] = np.sqrt(np.maximum(own - (v * v).sum(axis=0), 0))
+                out["std"] = np.sqrt(np.maximum(np.maximum(own - (v * v).sum(axis=0), 0) + (more * more).sum(axis=0), 0))
             return out
 
         return score_rows(df, self._width(df), score, "prediction double" + ", std double" * return_std)
@@ -233,8 +331,8 @@ class GaussianProcessRegressor(Estimator):
         self._check_fitted()
         ids, x, _ = local_rows(df, self._width(df), id_col, most=LOCAL_ROWS)
         k = self._k(x, self.x_train_)
-        v = np.linalg.solve(self.factor_, k.T)
-        return ids, k @ self.alpha_, self._k(x, x) - v.T @ v
+        v, more = self._unexplained(k)
+        return ids, k @ self.alpha_, self._k(x, x) - v.T @ v + more.T @ more
 
     def sample_y(self, df: DataFrame, id_col: str, n_samples: int = 1, random_state: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, samples): draws from the posterior, a column each."""
@@ -251,7 +349,7 @@ class GaussianProcessRegressor(Estimator):
         """That of the fitted rows, or of the rows of `df`, which leaves the fit as it is."""
         if df is None and label is None:
             self._check_fitted()
-            return self._likelihood(self.x_train_, self.y_train_)
+            return self._likelihood(self.x_train_, self.y_train_) if self.inner_ is None else self.log_likelihood_
         if df is None or label is None:
             raise ValueError("rows and label go together")
         own = Features(df, features if features is not None else self.features)
