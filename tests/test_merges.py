@@ -25,7 +25,7 @@ def one_by_one(x, linkage, k):
     return {i: c for c, a in enumerate(sorted(held)) for i in held[a]}
 
 
-@pytest.mark.parametrize("linkage", ["ward"])
+@pytest.mark.parametrize("linkage", ["ward", "average", "complete", "single"])
 def test_merges_of_more_rows_than_one_place_takes(spark, monkeypatch, linkage):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.integers(0, 60, (50, 2)) / 4, rng.normal(0, 4, (40, 2))])
