@@ -146,11 +146,10 @@ NOISE = -1
 class DBSCAN(Estimator):
     """Density clusters in closed form: components of core points, numbered by their least id; a border point joins the lowest adjacent cluster.
 
-    Points are put into cells whose points all lie within eps of each other: grid cells with up to GRID_FEATURES features, equal
-    points with more. So all points of a cell of min_samples are core, core points of a cell belong together, and distances
+    With over GRID_FEATURES features equal points are taken together, and a range join by pivots in all features gives the pairs of them within eps;
+    pairs_compared_ says how many pairs it compared. With fewer, points are put into grid cells whose points all lie within eps of each other. So all points of a cell of min_samples are core, core points of a cell belong together, and distances
     are needed only for points of thinner cells, and between cells whose bounds leave it open whether two of their core points
-    are neighbours. Which cells are near is read off the grid, or found by a range join over pivots in all features, after which
-    pairs_compared_ says how many pairs it compared. A crowded cell is dealt into parts of about PART points, so no task holds it whole.
+    are neighbours. Which cells are near is read off the grid. A crowded cell is dealt into parts of about PART points, so no task holds it whole.
     """
 
     GRID_FEATURES, PART = 3, 5_000
@@ -162,8 +161,6 @@ class DBSCAN(Estimator):
 
     def _cells(self, points: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
         """Points with their cell, and pairs (cell, other) of cells that may hold neighbours, each cell with itself included."""
-        if d > self.GRID_FEATURES:
-            return self._ball_cells(points, d)
         axes = range(d)
         side = self.eps / (np.sqrt(d) if self.metric == "euclidean" else d) * (1 - 1e-9)
         reach = int(np.floor(self.eps / side)) + 1
@@ -175,16 +172,27 @@ class DBSCAN(Estimator):
         near = cells.withColumns({f"a{i}": F.get("cell", F.lit(i)) for i in axes}).join(around, [f"a{i}" for i in axes])
         return points, cut(near.select("cell", "n", "other", "n_other", "parts_other"), "dbscan-near")
 
-    def _ball_cells(self, points: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
-        """Cells of equal points, named by their least id; a range join by pivots finds the cells within eps of each other."""
+    def _fit_balls(self, points: DataFrame, d: int) -> None:
+        """By cells of equal points, named by their least id: a range join by pivots finds those within eps of each other, which is all that has to be known."""
         points = cut(points, "dbscan-points")
         cells = cut(points.groupBy("x").agg(F.min("id").alias("cell"), F.count(F.lit(1)).alias("n")), "dbscan-cells")
-        # a little beyond eps: the pairs at its very edge are left to the distances of the points
-        pairs, self.pairs_compared_ = range_pairs(cells.select(F.col("cell").alias("id"), "x"), d, self.eps * (1 + 1e-9), self.metric)
-        other = cells.select(F.col("cell").alias("other"), F.col("n").alias("n_other"), F.ceil(F.col("n") / self.PART).alias("parts_other"))
-        near = pairs.withColumnRenamed("id", "cell").join(cells.select("cell", "n"), "cell").join(other, "other")
-        named = points.join(cells.select("x", "cell"), "x").select("id", "x", "cell")
-        return cut(named, "dbscan-points"), cut(near.select("cell", "n", "other", "n_other", "parts_other"), "dbscan-near")
+        named = cut(points.join(cells.select("x", "cell"), "x").select("id", "cell"), "dbscan-points")
+        found, self.pairs_compared_ = range_pairs(cells.select(F.col("cell").alias("id"), "x"), d, self.eps, self.metric)
+        pairs = cut(found.toDF("cell", "other"), "dbscan-pairs")
+        around = pairs.join(cells.select(F.col("cell").alias("other"), "n"), "other").groupBy("cell").agg(F.sum("n").alias("n"))
+        core = cut(around.where(F.col("n") >= self.min_samples).select("cell"), "dbscan-core")
+        links = pairs.where("cell < other").join(core, "cell", "left_semi").join(core.withColumnRenamed("cell", "other"), "other", "left_semi")
+        labels = cut(closure(core.select(F.col("cell").alias("id")), links.select(F.col("cell").alias("u"), F.col("other").alias("v"))), "dbscan-labels")
+        number = ranked(labels.select("label").distinct(), [F.col("label")], rank="cluster").withColumn("cluster", F.col("cluster").cast("int"))
+        of_core = cut(labels.join(number, "label").select(F.col("id").alias("cell"), "cluster"), "dbscan-clusters")
+        open_pairs = pairs.join(core, "cell", "left_anti").join(of_core.withColumnRenamed("cell", "other"), "other")
+        of_border = open_pairs.groupBy("cell").agg(F.min("cluster").alias("cluster"))
+        of_cell = of_core.withColumn("core", F.lit(True)).unionByName(of_border.withColumn("core", F.lit(False)))
+        labelled = named.join(of_cell, "cell", "left")
+        self.labels_ = cut(
+            labelled.select("id", F.coalesce("cluster", F.lit(NOISE)).alias("prediction"), F.coalesce("core", F.lit(False)).alias("core")), "dbscan-result")
+        self.core_samples_ = self.core_sample_indices_ = self.labels_.where("core").select("id")
+        self.n_clusters_ = number.count()
 
     def _distance(self, x: Column, y: Column) -> Column:
         return (euclidean if self.metric == "euclidean" else manhattan)(x, y)
@@ -237,7 +245,12 @@ class DBSCAN(Estimator):
         self.features, self.id_col = features, id_col
         own = Features(df, features)
         self.n_features_in_ = d = len(own)
-        points, near = self._cells(df.where(own.known).select(F.col(id_col).alias("id"), own.vector.alias("x")), d)
+        rows = df.where(own.known).select(F.col(id_col).alias("id"), own.vector.alias("x"))
+        if d > self.GRID_FEATURES:
+            self._fit_balls(rows, d)
+            self._fitted = True
+            return self
+        points, near = self._cells(rows, d)
         crowded = near.where(F.col("n") >= self.min_samples).select("cell").distinct()
         thin = points.join(crowded, "cell", "left_anti")
         around = points.select(F.col("id").alias("j"), F.col("x").alias("y"), F.col("cell").alias("cell_other"))

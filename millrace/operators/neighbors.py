@@ -9,6 +9,11 @@ from millrace.core import Estimator, Features
 from millrace.plans.pivots import nearest
 
 
+def _vector(df: DataFrame, own: Features) -> Column:
+    """The row's vector; one of floats stays as it is, half as long as doubles where it is exchanged."""
+    return F.col(own.array) if own.array and dict(df.dtypes)[own.array] == "array<float>" else own.vector
+
+
 class _Neighbors(Estimator):
     """Exact by default. With `probes` a row is compared only with the training rows in the cells of its so many nearest pivots: approximate."""
 
@@ -26,7 +31,7 @@ class _Neighbors(Estimator):
         own = Features(df, features)
         self.n_features_in_ = len(own)
         rows = df.where(own.known & F.col(label).isNotNull())
-        self.index_ = rows.select(F.col(id_col).alias("id"), own.vector.alias("x"), F.col(label).alias("value"))
+        self.index_ = rows.select(F.col(id_col).alias("id"), _vector(df, own).alias("x"), F.col(label).alias("value"))
         self._fitted = True
         return self
 
@@ -36,7 +41,7 @@ class _Neighbors(Estimator):
         if self.metric not in ("euclidean", "manhattan"):
             raise ValueError("the metric is 'euclidean' or 'manhattan'")
         own = self._width(df)
-        rows = df.where(own.known).select(F.col(self.id_col).alias("id"), own.vector.alias("x"))
+        rows = df.where(own.known).select(F.col(self.id_col).alias("id"), _vector(df, own).alias("x"))
         near, self.pairs_compared_ = nearest(rows, self.index_, len(own), self.k, self.metric, self.probes)
         return near
 

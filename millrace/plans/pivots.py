@@ -5,8 +5,9 @@ are known. By the triangle inequality, and by the plane between two pivots, a ro
 to all that a cell holds, so a row is sent only to the cells that may hold what it asks for. For neighbours it first meets the
 nearest cells with k rows between them; the k-th distance found there decides which others it has to meet.
 
-An index of up to SENT_ROWS rows is sent to all, by cell, and searched in the same way where the rows are. A larger one is exchanged by cell. Crowded
-cells are dealt into parts, on both sides, and of index rows with equal vectors the k smallest ids are enough. The driver holds the pivots and a
+An index of up to SENT_ROWS rows is sent to all, by cell, and searched in the same way where the rows are. A larger one is exchanged by cell for the nearest
+cells and then by tiles of neighbouring cells: a row is sent once to a tile, whose task takes bounds again and compares it with the cells it needs, so what
+is exchanged is rows times tiles even where bounds rule out nothing. Crowded cells are dealt into parts, on both sides, and of index rows with equal vectors the k smallest ids are enough. The driver holds the pivots and a
 count for each cell. Bounds are loosened by more than their rounding error, and distances are taken by differences.
 """
 
@@ -19,6 +20,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,6 +30,8 @@ from millrace.storage import cut, ship
 
 #: Rows of an index that is sent to all; pivots at most; rows of a part of a cell, on either side.
 SENT_ROWS, PIVOTS, PART = 20_000, 1_024, 20_000
+#: Rows of a tile, on either side: neighbouring cells are met together, so a row is sent once for all that it needs of them.
+TILE = 50_000
 #: Bounds are loosened by this times the norms and distances they are made from.
 SLACK = 1e-6
 
@@ -137,6 +141,33 @@ def within(x: np.ndarray, other: np.ndarray, eps: float, metric: str) -> tuple[n
     return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def within_edge(x: np.ndarray, other: np.ndarray, eps: float, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """`within` with the distances at the very edge summed in the order of the features, as column expressions do."""
+    row, col = within(x, other, eps * (1 + 1e-9), metric)
+    kept = np.ones(len(row), dtype=bool)
+    for at in range(0, len(row), 1 << 14):
+        apart = x[row[at : at + (1 << 14)]] - other[col[at : at + (1 << 14)]]
+        d = np.abs(apart).sum(axis=1) if metric == "manhattan" else np.sqrt((apart * apart).sum(axis=1))
+        edge = np.abs(d - eps) <= 1e-9 * eps
+        if edge.any():
+            steps = np.abs(apart[edge]) if metric == "manhattan" else apart[edge] ** 2
+            ordered = steps.cumsum(axis=1)[:, -1]
+            d[edge] = ordered if metric == "manhattan" else np.sqrt(ordered)
+        kept[at : at + len(d)] = d <= eps
+    return row[kept], col[kept]
+
+
+def tiles_of(cells: Cells) -> np.ndarray:
+    """The tile of each cell: a cell and its nearest free ones, up to TILE rows."""
+    tile, number = np.full(len(cells.points), -1), 0
+    while (tile < 0).any():
+        near = np.argsort(cells.apart[int(np.flatnonzero(tile < 0)[0])], kind="stable")
+        free = near[tile[near] < 0]
+        free = free[: max(1, int((np.cumsum(cells.counts[free]) <= TILE).sum()))]
+        tile[free], number = number, number + 1
+    return tile
+
+
 def choose_pivots(index: DataFrame, total: int) -> np.ndarray:
     """Distinct vectors of rows taken by the hash of their id, about the square root of the rows, PIVOTS at most."""
     most = min(PIVOTS, max(1, isqrt(total)))
@@ -185,15 +216,16 @@ def ask(rows: DataFrame, cells: Cells, wanted, columns: list[str], width: int) -
     return rows.select(*columns).mapInArrow(run, schema)
 
 
-def meet(asked: DataFrame, table: DataFrame, cells: Cells, work, schema: str) -> tuple[DataFrame, int]:
+def meet(asked: DataFrame, table: DataFrame, counts: np.ndarray, work, schema: str, part: int | None = None) -> tuple[DataFrame, int]:
     """What `work` gives for the rows that ask for a cell and the cell's rows, part by part; and the number of pairs so met.
 
-    `asked` is a written table with the columns id and cell, `table` the index with its cells.
+    `asked` is a written table with the columns id and cell, `table` the index with its cells, of which `counts` has the rows; a cell may stand for a tile.
     """
+    part = part or PART
     spark = asked.sparkSession
     n = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row for each pivot at most
-    parts = [(j, -(-c // PART), -(-int(cells.counts[j]) // PART)) for j, c in n.items()]
-    compared = sum(c * int(cells.counts[j]) for j, c in n.items())
+    parts = [(j, -(-c // part), -(-int(counts[j]) // part)) for j, c in n.items()]
+    compared = sum(c * int(counts[j]) for j, c in n.items())
     parts_frame = F.broadcast(spark.createDataFrame(parts, "cell int, rows_parts int, own_parts int"))
 
     def dealt(df: DataFrame, own: str, other: str, key: Column) -> DataFrame:
@@ -211,6 +243,43 @@ def meet(asked: DataFrame, table: DataFrame, cells: Cells, work, schema: str) ->
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema), compared
 
 
+def meet_tiles(rows: DataFrame, columns: list[str], table: DataFrame, cells: Cells, needed, work, schema: str, width: int) -> tuple[DataFrame, int]:
+    """What `work` gives for rows (`columns`, with id and x) and the cells they need, tile by tile; and the number of pairs of rows and needed cells' rows.
+
+    `needed` gives a boolean matrix (row, cell) for a matrix of rows and their table. `work` gets the rows' table and matrix, the tile's table in order of
+    cell with its matrix, and a list of (rows' places, slice of the tile) for each cell.
+    """
+    tile = tiles_of(cells)
+    sizes = np.bincount(tile, cells.counts).astype(int)
+    held = rows.sparkSession.sparkContext.broadcast(cells)
+
+    def wanted(c: Cells, x: np.ndarray, batch: pa.RecordBatch) -> list[list[int]]:
+        return [np.append(np.unique(tile[own]), -1 - min(int(c.counts[own].sum()), 2**31 - 2)).tolist() for own in needed(c, x, pa.Table.from_batches([batch]))]
+
+    # the last entry has the cost of the row
+    asked = cut(ask(rows, cells, wanted, columns, width), "asked").select(*columns, F.explode("cells").alias("cell"))
+    compared = int(asked.where("cell < 0").agg(F.sum(-1 - F.col("cell").cast("long"))).first()[0] or 0)
+    asked = asked.where("cell >= 0")
+    tile_of = F.get(F.lit(tile.tolist()), F.col("own_cell")).cast("int")
+    tiled = table.withColumnRenamed("cell", "own_cell").withColumn("cell", tile_of)
+
+    def run(own: pa.Table, block: pa.Table) -> pa.Table:
+        block = block.sort_by([("own_cell", "ascending"), ("id", "ascending")])
+        other, code = _matrix(block, width), block.column("own_cell").to_numpy()
+        here, start = np.unique(code, return_index=True)
+        ends = np.append(start[1:], len(code))
+        found = []
+        for at in range(0, own.num_rows, 2048):
+            part = own.slice(at, 2048)
+            x = _matrix(part, width)
+            need = needed(held.value, x, part)[:, here]
+            pieces = [(np.flatnonzero(need[:, i]), slice(start[i], ends[i])) for i in np.flatnonzero(need.any(axis=0))]
+            found.append(work(part, x, block, other, pieces))
+        return pa.concat_tables(found)
+
+    return meet(asked, tiled, sizes, run, schema, TILE)[0], compared
+
+
 def _matrix(table: pa.Table, width: int) -> np.ndarray:
     return matrix_of(table.column("x").combine_chunks(), width)
 
@@ -310,28 +379,45 @@ def nearest(
         lists = _near_lists(block, places, far, np.full(len(places), places.shape[1]))
         return pa.table({"id": own.column("id"), "x": own.column("x"), "first": own.column("first"), "near": lists})
 
-    schema = f"id {id_kind}, x array<double>, first array<int>, near {near_kind}"
+    schema = f"id {id_kind}, x {dict(rows.dtypes)['x']}, first array<int>, near {near_kind}"
     merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)  # lists of k from the parts a row has met
     homes = ask(rows, cells, lambda c, x, _: c.first(pivot_distances(x, c.points, c.metric), k, probes or 1), ["id", "x"], width)
     asked = cut(homes.select("id", "x", F.col("cells").alias("first"), F.explode("cells").alias("cell")), "asked")
-    found, compared = meet(asked, table, cells, work, schema)
+    found, compared = meet(asked, table, cells.counts, work, schema)
     found = cut(found.groupBy("id").agg(F.any_value("x").alias("x"), F.any_value("first").alias("first"), merged.alias("near")), "near")
 
     if probes is not None:
         return found.select("id", "near"), compared
 
-    def others(c: Cells, x: np.ndarray, batch: pa.RecordBatch) -> list[list[int]]:
-        least = c.least(x, pivot_distances(x, c.points, c.metric))
-        reach = batch.column(3).to_numpy(zero_copy_only=False).astype(float)
-        met = batch.column(2).to_pylist()
-        return [[j for j in np.flatnonzero(row <= r).tolist() if j not in m] for row, r, m in zip(least, reach, met)]
+    def others(c: Cells, x: np.ndarray, batch: pa.Table) -> np.ndarray:
+        reach = batch.column("reach").to_numpy().astype(float)
+        need = c.least(x, pivot_distances(x, c.points, c.metric)) <= reach[:, None]
+        for i, met in enumerate(batch.column("first").to_pylist()):
+            need[i, met] = False
+        return need & (c.counts > 0)
+
+    def rest_of(own: pa.Table, x: np.ndarray, block: pa.Table, other: np.ndarray, pieces: list) -> pa.Table:
+        reach = own.column("reach").to_numpy().astype(float)
+        names = block.column("id").combine_chunks()
+        order = np.empty(len(names), dtype=np.int64)  # the place of each row of the tile in order of id
+        order[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        far, place = np.full((len(x), k), np.inf), np.full((len(x), k), len(order))
+        for rows_, own_cell in pieces:
+            d_places, d = closest(x[rows_], other[own_cell], k, metric)
+            both_d = np.concatenate((far[rows_], d), axis=1)
+            both = np.concatenate((place[rows_], order[own_cell][d_places]), axis=1)
+            nearest_ = np.lexsort((both, both_d), axis=1)[:, :k]
+            far[rows_], place[rows_] = np.take_along_axis(both_d, nearest_, axis=1), np.take_along_axis(both, nearest_, axis=1)
+        sizes = (np.isfinite(far) & (far <= reach[:, None])).sum(axis=1)
+        kept = np.flatnonzero(sizes)
+        lists = _near_lists(block.sort_by("id"), place[kept], far[kept], sizes[kept])
+        return pa.table({"id": own.column("id").take(pa.array(kept)), "near": lists})
 
     # with k rows or more in the first cells, the k-th distance is there
     far = F.coalesce(F.get(F.col("near"), F.lit(k - 1))["distance"], F.lit(float("inf"))).alias("reach")
-    more = ask(found.select("id", "x", "first", far), cells, others, ["id", "x", "first", "reach"], width)
-    asked = cut(more.select("id", "x", "first", F.explode("cells").alias("cell")), "asked")
-    rest, again = meet(asked, table, cells, work, schema)
-    both = found.select("id", "near").unionByName(rest.select("id", "near"))
+    columns = ["id", "x", "first", "reach"]
+    rest, again = meet_tiles(found.select("id", "x", "first", far), columns, table, cells, others, rest_of, f"id {id_kind}, near {near_kind}", width)
+    both = found.select("id", "near").unionByName(rest)
     return both.groupBy("id").agg(merged.alias("near")), compared + again
 
 
@@ -346,13 +432,17 @@ def range_pairs(points: DataFrame, width: int, eps: float, metric: str = "euclid
         return points.sparkSession.createDataFrame([], f"id {kind}, other {kind}"), 0
     table, cells = into_cells(points, choose_pivots(points, total), metric)
 
-    def wanted(c: Cells, x: np.ndarray, _) -> list[list[int]]:
-        return [np.flatnonzero(row <= eps).tolist() for row in c.least(x, pivot_distances(x, c.points, c.metric))]
+    def work(own: pa.Table, x: np.ndarray, block: pa.Table, other: np.ndarray, pieces: list) -> pa.Table:
+        rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for places, cell in pieces:
+            row, col = within_edge(x[places], other[cell], eps, metric)
+            rows.append(places[row])
+            cols.append(col + cell.start)
+        row, col = np.concatenate(rows), np.concatenate(cols)
+        return pa.table({"id": own.column("id").take(pa.array(row)), "other": block.column("id").take(pa.array(col))})
 
-    asked = cut(ask(points, cells, wanted, ["id", "x"], width).select("id", "x", F.explode("cells").alias("cell")), "asked")
+    return meet_tiles(points, ["id", "x"], table, cells, _reach(eps), work, f"id {kind}, other {kind}", width)
 
-    def work(own: pa.Table, block: pa.Table) -> pa.Table:
-        row, col = within(_matrix(own, width), _matrix(block, width), eps, metric)
-        return pa.table({"id": own.column("id").take(pa.array(row)), "other": block.column("id").take(pa.array(col))})
 
-    return meet(asked, table, cells, work, f"id {kind}, other {kind}")
+def _reach(eps: float):
+    return lambda c, x, _: (c.least(x, pivot_distances(x, c.points, c.metric)) <= eps) & (c.counts > 0)
