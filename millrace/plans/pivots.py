@@ -221,10 +221,14 @@ def meet(asked: DataFrame, table: DataFrame, counts: np.ndarray, work, schema: s
 
     `asked` is a written table with the columns id and cell, `table` the index with its cells, of which `counts` has the rows; a cell may stand for a tile.
     """
-    part = part or PART
-    spark = asked.sparkSession
+    spark, part = asked.sparkSession, part or PART
+    # of few rows the asking side is dealt smaller, so that all cores have some
+    row_part = part
+    if part > 5_000 and part == TILE:
+        share = -(-asked.select("id").distinct().count() // spark.sparkContext.defaultParallelism)
+        row_part = max(5_000, min(part, share))
     n = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row for each pivot at most
-    parts = [(j, -(-c // part), -(-int(counts[j]) // part)) for j, c in n.items()]
+    parts = [(j, -(-c // row_part), -(-int(counts[j]) // part)) for j, c in n.items()]
     compared = sum(c * int(counts[j]) for j, c in n.items())
     parts_frame = F.broadcast(spark.createDataFrame(parts, "cell int, rows_parts int, own_parts int"))
 
