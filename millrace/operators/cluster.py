@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 from millrace.core import LOCAL_ROWS, Estimator, Features, local_rows, partition_sums, score_rows
 from millrace.functions.expr import euclidean, manhattan, squared_distance, uniform
 from millrace.plans.closure import closure
+from millrace.plans.laplacian import spectral_rows
 from millrace.plans.merges import greedy, merged, start_distances
 from millrace.plans.pairs import distances
 from millrace.plans.pivots import range_pairs
 from millrace.plans.scan import ranked
-from millrace.storage import cut
+from millrace.storage import cut, new_folder, tables
 
 
 def _near(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -40,6 +42,45 @@ def _weighted_start(places: np.ndarray, weights: np.ndarray, u: np.ndarray) -> n
     return np.array(centres)
 
 
+def _best_of(rows: DataFrame, k: int, seeds: Sequence[int], steps: int = 100) -> np.ndarray:
+    """The k centres of least cost for rows (id, x) after k-means from a k-means++ start for each seed; all seeds share each pass."""
+
+    def near(x: np.ndarray, all_: np.ndarray) -> np.ndarray:
+        return ((x[None, :, None, :] - all_[:, None]) ** 2).sum(axis=3)
+
+    rows, centres = rows.select("id", "x").persist(), [[] for _ in seeds]
+    try:
+        for j in range(k):
+            clocks = []
+            for seed, held in zip(seeds, centres):
+                clock = -F.log(F.greatest(uniform(seed, j, F.col("id")), F.lit(1e-12)))
+                if held:
+                    far = F.least(*[squared_distance(F.col("x"), F.array(*[F.lit(float(v)) for v in c])) for c in held], F.lit(float("inf")))
+                    clock = F.when(far > 1e-12, clock / far).otherwise(F.lit(float("inf")))
+                clocks.append(F.min_by("x", F.struct(clock.alias("c"), F.col("id"))))
+            for held, best in zip(centres, rows.select(*clocks).first()):
+                held.append(np.array(best))
+        centres = np.array(centres)
+        for step in range(steps + 1):
+            def work(x: np.ndarray, centres: np.ndarray = centres) -> np.ndarray:
+                total = np.zeros((len(centres), k, x.shape[1] + 2))
+                for at in range(0, len(x), 1024):
+                    part = x[at : at + 1024]
+                    far = near(part, centres)
+                    for r, (own, cost) in enumerate(zip(far.argmin(axis=2), far.min(axis=2))):
+                        np.add.at(total[r], own, np.column_stack([part, np.ones(len(part)), cost]))
+                return total
+
+            sums = partition_sums(rows, [F.col("x")], work).reshape(len(centres), k, -1)
+            cost, many = sums[:, :, -1].sum(axis=1), sums[:, :, -2:-1]
+            new = np.where(many > 0, sums[:, :, :-2] / np.maximum(many, 1), centres)
+            if step == steps or np.allclose(new, centres):
+                return centres[cost.argmin()]
+            centres = new
+    finally:
+        rows.unpersist()
+
+
 class KMeans(Estimator):
     """Lloyd's iterations from k-means++, k-means|| or given centres; only sums for each cluster leave the partitions.
 
@@ -398,27 +439,34 @@ class GaussianMixture(Estimator):
 
 
 class _Local(Estimator):
-    """Labels from a solver that needs all rows in one place; more than `max_rows` rows are refused."""
+    """Labels from a solver that has up to `max_rows` rows in one place; more stay where they are, and `labels_` is then a table (id, prediction)."""
 
     max_rows = LOCAL_ROWS
 
     def fit(self, df: DataFrame, features, label=None, id_col: str = "id"):
         self.features = features
         own = Features(df, features)
-        self.n_features_in_ = len(own)
-        ids, x, _ = local_rows(df, own, id_col, most=self.max_rows)
-        self.labels_ = self._solve(x)
-        self._ids, self._fitted, self.n_clusters_ = ids, True, self.n_clusters
+        self.n_features_in_, self.n_clusters_ = len(own), self.n_clusters
+        rows = df.where(own.known).select(F.col(id_col).alias("id"), own.vector.alias("x"))
+        if rows.limit(self.max_rows + 1).count() > self.max_rows:
+            self._ids, self.labels_ = None, self._solve_rows(rows)
+        else:
+            self._ids, x, _ = local_rows(df, own, id_col, most=self.max_rows)
+            self.labels_ = self._solve(x)
+        self._fitted = True
         return self
 
     def _solve(self, x: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    def _solve_rows(self, rows: DataFrame) -> DataFrame:
+        """(id, prediction) of rows (id, x)."""
+        raise NotImplementedError
+
     def fit_predict(self, df: DataFrame, features, label=None, id_col: str = "id") -> DataFrame:
         self.fit(df, features, label, id_col)
-        return self._labelled(df, id_col)
-
-    def _labelled(self, df: DataFrame, id_col: str) -> DataFrame:
+        if isinstance(self.labels_, DataFrame):
+            return df.join(self.labels_.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
         found = df.sparkSession.createDataFrame(
             [(i.item() if hasattr(i, "item") else i, int(k)) for i, k in zip(self._ids, self.labels_)],
             f"__id {dict(df.dtypes)[id_col]}, prediction int"
@@ -440,22 +488,8 @@ class AgglomerativeClustering(_Local):
             raise ValueError("ward needs the euclidean metric")
         self.n_clusters, self.linkage, self.metric = n_clusters, linkage, metric
 
-    def fit(self, df: DataFrame, features, label=None, id_col: str = "id"):
-        """Up to LOCAL_ROWS rows are merged in one place; more are where they are, and `labels_` is then a table (id, prediction)."""
-        own = Features(df, features)
-        rows = df.where(own.known).select(F.col(id_col).alias("id"), own.vector.alias("x"))
-        if rows.limit(self.max_rows + 1).count() <= self.max_rows:
-            return super().fit(df, features, label, id_col)
-        self.features, self.n_features_in_, self.n_clusters_ = features, len(own), self.n_clusters
-        self.labels_ = cut(merged(rows, len(own), self.n_clusters, self.linkage, self.metric), "merged")
-        self._ids, self._fitted = None, True
-        return self
-
-    def fit_predict(self, df: DataFrame, features, label=None, id_col: str = "id") -> DataFrame:
-        self.fit(df, features, label, id_col)
-        if not isinstance(self.labels_, DataFrame):
-            return self._labelled(df, id_col)
-        return df.join(self.labels_.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
+    def _solve_rows(self, rows: DataFrame) -> DataFrame:
+        return cut(merged(rows, self.n_features_in_, self.n_clusters, self.linkage, self.metric), "merged")
 
     def _solve(self, x: np.ndarray) -> np.ndarray:
         n = len(x)
@@ -468,7 +502,8 @@ class AgglomerativeClustering(_Local):
 class SpectralClustering(_Local):
     """k-means on the rows of the first eigenvectors of the normalised Laplacian.
 
-    rbf affinity is exp(-d^2 / (2 gamma^2)); nearest_neighbors links each row with its n_neighbors nearest others, either way.
+    rbf affinity is exp(-d^2 / (2 gamma^2)); nearest_neighbors links each row with its n_neighbors nearest others, either way. Up to LOCAL_ROWS rows
+    have one matrix; more have their eigenvectors from `millrace.plans.laplacian`, and `embedding_` is then a table (id, x), without `affinity_matrix_`.
     """
 
     def __init__(self, n_clusters: int = 2, affinity: str = "rbf", gamma: float = 1.0, n_neighbors: int = 10, random_state: int | None = None) -> None:
@@ -476,6 +511,18 @@ class SpectralClustering(_Local):
             raise ValueError("n_clusters >= 2, affinity 'rbf' or 'nearest_neighbors', gamma > 0 and n_neighbors >= 1 are required")
         self.n_clusters, self.affinity, self.gamma, self.n_neighbors, self.random_state = n_clusters, affinity, gamma, n_neighbors, random_state
 
+    def _solve_rows(self, rows: DataFrame) -> DataFrame:
+        if self.max_rows < self.n_clusters and rows.limit(self.n_clusters).count() < self.n_clusters:
+            raise ValueError("there are fewer rows than clusters")
+        seed, neighbours = self.random_state or 0, self.n_neighbors if self.affinity == "nearest_neighbors" else None
+        path = new_folder(rows.sparkSession, "embedding")
+        with tables(rows.sparkSession):
+            spectral_rows(rows, self.n_features_in_, self.n_clusters, neighbours, self.gamma, seed).write.parquet(path)
+        z = self.embedding_ = rows.sparkSession.read.parquet(path)
+        model = KMeans(self.n_clusters, init=_best_of(z, self.n_clusters, range(10 * seed, 10 * seed + 10)))
+        model.features, model.n_features_in_, model._fitted, model.centroids_ = "x", self.n_clusters, True, model.init
+        return cut(model.transform(z).select("id", "prediction"), "spectral")
+
     def _solve(self, x: np.ndarray) -> np.ndarray:
         if len(x) < self.n_clusters:
             raise ValueError("there are fewer rows than clusters")
