@@ -93,26 +93,78 @@ class Cells:
         return out
 
 
-def closest(x: np.ndarray, other: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places and distances of the k nearest of `other` for each row, of equal distances the first; fewer if there are fewer."""
+class Coarse:
+    """Manhattan distances of rows to others from whole numbers of 16 bits, and by how much they may be wrong.
+
+    |a - b| is a + b - 2 min(a, b), so a feature of a pair takes a minimum and a sum of short numbers. Entries are cut to as many steps as keep a row's sum in 16 bits.
+    """
+
+    def __init__(self, x: np.ndarray, other: np.ndarray) -> None:
+        low = np.minimum(x.min(axis=0), other.min(axis=0))
+        most = 32_767 // x.shape[1]
+        self.step = float((np.maximum(x.max(axis=0), other.max(axis=0)) - low).max()) / most or 1.0
+        (self.own, self.own_error), (whole, errors) = self._cut(x, low, most), self._cut(other, low, most)
+        self.other, self.error = np.ascontiguousarray(whole.T), float(errors.max())
+        self.own_sum, self.other_sum = self.own.sum(axis=1, dtype=np.int32), whole.sum(axis=1, dtype=np.int32)
+
+    def _cut(self, x: np.ndarray, low: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        whole = np.clip(np.rint((x - low) / self.step), 0, most)
+        return whole.astype(np.int16), np.abs(x - (low + whole * self.step)).sum(axis=1)
+
+    def distances(self, at: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of rows at .. at + step, and what each may be off."""
+        own = self.own[at : at + step]
+        out = np.empty((len(own), self.other.shape[1]), dtype=np.int32)
+        for here in range(0, out.shape[1], 1024):  # so much as stays near a core
+            other = self.other[:, here : here + 1024]
+            shared, least = np.zeros((len(own), other.shape[1]), dtype=np.int16), np.empty((len(own), other.shape[1]), dtype=np.int16)
+            for k in range(len(other)):
+                np.minimum(own[:, k, None], other[k][None], out=least)
+                np.add(shared, least, out=shared)
+            np.multiply(shared, -2, out=out[:, here : here + 1024], dtype=np.int32)
+        out += self.other_sum
+        out += self.own_sum[at : at + step, None]
+        return out, (self.own_error[at : at + step, None] + self.error) * (1 + 1e-9) + 1e-9 * self.step * 32_767
+
+
+def closest(x: np.ndarray, other: np.ndarray, k: int, metric: str, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest of `other` for each row, of equal distances the first; fewer if there are fewer.
+
+    With `limit`, a distance for each row, only those up to it; where they are fewer than k the others have distance inf.
+    """
     k = min(k, len(other))
-    places, far = np.zeros((len(x), k), dtype=np.int64), np.zeros((len(x), k))
+    places, far = np.zeros((len(x), k), dtype=np.int64), np.full((len(x), k), 0.0 if limit is None else np.inf)
     norm = (other * other).sum(axis=1)
-    step = max(1, (1 << 21) // max(1, len(other) * (1 if metric == "euclidean" else other.shape[1])))
+    coarse = Coarse(x, other) if metric == "manhattan" and k and len(x) and 8 <= x.shape[1] <= 256 and len(other) > 4 * k else None
+    step = 64 if coarse else max(1, (1 << 21) // max(1, len(other) * (1 if metric == "euclidean" else other.shape[1])))
     for at in range(0, len(x) if k else 0, step):
         own = x[at : at + step]
-        if metric == "manhattan":
+        unit = 1.0
+        if coarse:
+            rough, slack = coarse.distances(at, step)
+            unit = coarse.step
+        elif metric == "manhattan":
             rough, slack = np.abs(own[:, None, :] - other[None]).sum(axis=2), np.zeros((len(own), 1))
         else:
             own_norm = (own * own).sum(axis=1)[:, None]
             rough, slack = own_norm + norm[None] - 2 * (own @ other.T), 1e-9 * (own_norm + norm.max())
-        edge = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + slack
-        row, col = np.nonzero(rough <= edge)
+        hits, reach = None, np.inf
+        if limit is not None:
+            reach = limit[at : at + step, None]
+            reach = ((reach if metric == "manhattan" else reach * reach) * (1 + 1e-9) + slack) / unit
+            hits = rough <= reach
+        if hits is None or np.count_nonzero(hits) > 16 * k * len(own):
+            edge = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + (2 * slack / unit if coarse else slack)
+            hits = rough <= np.minimum(edge, reach)
+        row, col = np.nonzero(hits)
         if metric == "manhattan":
-            d = rough[row, col]
+            d = np.abs(own[row] - other[col]).sum(axis=1) if coarse else rough[row, col]
         else:
             apart = own[row] - other[col]
             d = np.sqrt(np.einsum("ij,ij->i", apart, apart))
+        if limit is not None:
+            inside = d <= limit[at + row] * (1 + 1e-9)  # sums of other batches may differ in their last bit
+            row, col, d = row[inside], col[inside], d[inside]
         order = np.lexsort((col, d, row))
         row, col, d = row[order], col[order], d[order]
         nth = np.arange(len(row)) - np.searchsorted(row, row)
@@ -125,6 +177,10 @@ def within(x: np.ndarray, other: np.ndarray, eps: float, metric: str) -> tuple[n
     """(row, place) of all pairs at most eps apart."""
     rows, cols = [], []
     norm = (other * other).sum(axis=1)
+    most = max(norm.max(initial=0), (x * x).sum(axis=1).max(initial=0))
+    short = metric == "euclidean" and 1e-20 < most < 1e20  # floats of 32 bits leave out what is far; the others have their distance taken
+    if short:
+        both = np.concatenate((other, norm[:, None]), axis=1).astype(np.float32).T
     step = max(1, (1 << 21) // max(1, len(other) * (1 if metric == "euclidean" else other.shape[1])))
     for at in range(0, len(x) if len(other) else 0, step):
         own = x[at : at + step]
@@ -132,7 +188,12 @@ def within(x: np.ndarray, other: np.ndarray, eps: float, metric: str) -> tuple[n
             row, col = np.nonzero(np.abs(own[:, None, :] - other[None]).sum(axis=2) <= eps)
         else:
             own_norm = (own * own).sum(axis=1)[:, None]
-            row, col = np.nonzero(own_norm + norm[None] - 2 * (own @ other.T) <= eps * eps * (1 + 1e-9) + 1e-9 * (own_norm + norm.max()))
+            if short:
+                near = np.concatenate((2 * own, np.full((len(own), 1), -1.0)), axis=1).astype(np.float32) @ both
+                least = own_norm - eps * eps * (1 + 1e-9) - 1e-6 * (x.shape[1] + 8) * most
+                row, col = np.divmod(np.flatnonzero(near >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))), len(other))
+            else:
+                row, col = np.nonzero(own_norm + norm[None] - 2 * (own @ other.T) <= eps * eps * (1 + 1e-9) + 1e-9 * (own_norm + norm.max()))
             apart = own[row] - other[col]
             near = np.sqrt(np.einsum("ij,ij->i", apart, apart)) <= eps
             row, col = row[near], col[near]
@@ -278,12 +339,26 @@ def meet_tiles(rows: DataFrame, columns: list[str], table: DataFrame, cells: Cel
             x = _matrix(part, width)
             need = needed(held.value, x, part)[:, here]
             pieces = [(np.flatnonzero(need[:, i]), slice(start[i], ends[i])) for i in np.flatnonzero(need.any(axis=0))]
-            found.append(work(part, x, block, other, pieces))
+            found.append(work(part, x, block, other, _joined(pieces)))
         return pa.concat_tables(found)
 
     return meet(asked, tiled, sizes, run, schema, TILE)[0], compared
 
 
+def _joined(pieces: list[tuple[np.ndarray, slice]]) -> list[tuple[np.ndarray, slice]]:
+    """Neighbouring cells, up to 8,192 rows, as one piece where that adds no more than a quarter to their pairs: `work` may meet cells it has not asked for."""
+    out: list[tuple[np.ndarray, slice]] = []
+    for rows, cell in pieces:
+        if out and out[-1][1].stop == cell.start and cell.stop - out[-1][1].start <= 8_192:
+            before, own = out[-1]
+            both = np.union1d(before, rows)
+            if 4 * len(both) * (cell.stop - own.start) <= 5 * (len(before) * (own.stop - own.start) + len(rows) * (cell.stop - cell.start)):
+                out[-1] = both, slice(own.start, cell.stop)
+                continue
+        out.append((rows, cell))
+    return out
+
+
 def _matrix(table: pa.Table, width: int) -> np.ndarray:
     return matrix_of(table.column("x").combine_chunks(), width)
 
@@ -331,7 +406,7 @@ class SentIndex:
                 if rest:  # the k-th distance has come down since
                     rows = rows[least[rows, j] <= far[rows, -1]]
                 own = slice(self.bounds[j], self.bounds[j + 1])
-                places, d = closest(x[rows], self.x[own], k, cells.metric)
+                places, d = closest(x[rows], self.x[own], k, cells.metric, far[rows, -1] if rest else None)
                 compared[rows] += cells.counts[j]
                 both_d = np.concatenate((far[rows], d), axis=1)
                 both = np.concatenate((place[rows], self.rank[own][places]), axis=1)
@@ -406,8 +481,12 @@ def nearest(
         order = np.empty(len(names), dtype=np.int64)  # the place of each row of the tile in order of id
         order[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
         far, place = np.full((len(x), k), np.inf), np.full((len(x), k), len(order))
+        cell_of, met = block.column("own_cell").to_numpy(), np.zeros((len(x), len(points)), dtype=bool)
+        for i, first in enumerate(own.column("first").to_pylist()):
+            met[i, first] = True
         for rows_, own_cell in pieces:
-            d_places, d = closest(x[rows_], other[own_cell], k, metric)
+            d_places, d = closest(x[rows_], other[own_cell], k, metric, np.minimum(reach, far[:, -1])[rows_])
+            d[met[rows_[:, None], cell_of[own_cell][d_places]]] = np.inf  # the row has these already
             both_d = np.concatenate((far[rows_], d), axis=1)
             both = np.concatenate((place[rows_], order[own_cell][d_places]), axis=1)
             nearest_ = np.lexsort((both, both_d), axis=1)[:, :k]
@@ -448,5 +527,55 @@ def range_pairs(points: DataFrame, width: int, eps: float, metric: str = "euclid
     return meet_tiles(points, ["id", "x"], table, cells, _reach(eps), work, f"id {kind}, other {kind}", width)
 
 
+def dense_links(points: DataFrame, width: int, eps: float, least: int, metric: str = "euclidean") -> tuple[DataFrame, int]:
+    """What density clusters need of the pairs of `range_pairs`, for rows (id, x, n) of distinct vectors that stand for n points; and the number of pairs compared.
+
+    (id, other, n, sure): without `other`, n points are within eps of the row, to be added up. Else rows at most eps apart, as they are, where `sure` is false. Of
+    pairs whose rows have, both, `least` points around them in the task already, there is only a link from each row to the least id they reach: `sure` is true.
+    """
+    points = cut(points.select("id", "x", "n"), "range-points")
+    kind, total = dict(points.dtypes)["id"], points.count()
+    schema = f"id {kind}, other {kind}, n long, sure boolean"
+    if not total:
+        return points.sparkSession.createDataFrame([], schema), 0
+    table, cells = into_cells(points, choose_pivots(points, total), metric)
+
+    def work(own: pa.Table, x: np.ndarray, block: pa.Table, other: np.ndarray, pieces: list) -> pa.Table:
+        mine, theirs = (t.column("id").combine_chunks() for t in (own, block))
+        ids = pa.concat_arrays([mine, theirs])
+        order = pc.sort_indices(ids).to_numpy().astype(np.int64)
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        weight, counts = own.column("n").to_numpy(), np.zeros(own.num_rows, dtype=np.int64)
+        left, right, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for places, cell in pieces:
+            row, col = within_edge(x[places], other[cell], eps, metric)
+            row, size = places[row], cell.stop - cell.start
+            of_piece = block.column("n").slice(cell.start, size).to_numpy()
+            counts += np.bincount(row, of_piece[col], own.num_rows).astype(np.int64)
+            both = (counts >= least)[row] & (np.bincount(col, weight[row], size) >= least)[col]
+            first = own.num_rows + cell.start
+            left.append(row[~both])
+            right.append(first + col[~both])
+            row, col = row[both], col[both]
+            label, own_label = rank[first : first + size].copy(), rank[: own.num_rows].copy()
+            while True:  # the least rank that each row reaches
+                before = label.sum() + own_label.sum()
+                np.minimum.at(own_label, row, label[col])
+                np.minimum.at(label, col, own_label[row])
+                if before == label.sum() + own_label.sum():
+                    break
+            row, col = np.unique(row), np.unique(col)
+            left += [row, first + col]
+            right += [order[own_label[row]], order[label[col]]]
+            sure += [np.zeros(len(both) - both.sum(), bool), np.ones(len(row) + len(col), bool)]
+        left, right, sure = (np.concatenate(v) for v in (left, right, sure))
+        pairs = pa.table({"id": ids.take(pa.array(left)), "other": ids.take(pa.array(right)), "n": pa.nulls(len(left), pa.int64()), "sure": pa.array(sure)})
+        none = len(counts)
+        return pa.concat_tables([pairs, pa.table({"id": mine, "other": pa.nulls(none, ids.type), "n": pa.array(counts), "sure": pa.nulls(none, pa.bool_())})])
+
+    return meet_tiles(points, ["id", "x", "n"], table, cells, _reach(eps), work, schema, width)
+
+
 def _reach(eps: float):
     return lambda c, x, _: (c.least(x, pivot_distances(x, c.points, c.metric)) <= eps) & (c.counts > 0)
