@@ -15,7 +15,7 @@ from millrace.plans.closure import closure
 from millrace.plans.laplacian import spectral_rows
 from millrace.plans.merges import greedy, merged, start_distances
 from millrace.plans.pairs import distances
-from millrace.plans.pivots import range_pairs
+from millrace.plans.pivots import dense_links
 from millrace.plans.scan import ranked
 from millrace.storage import cut, new_folder, tables
 
@@ -187,7 +187,7 @@ NOISE = -1
 class DBSCAN(Estimator):
     """Density clusters in closed form: components of core points, numbered by their least id; a border point joins the lowest adjacent cluster.
 
-    With over GRID_FEATURES features equal points are taken together, and a range join by pivots in all features gives the pairs of them within eps;
+    With over GRID_FEATURES features equal points are taken together, and a range join by pivots in all features counts those within eps and gives a link for each that is surely core, pairs only for the others;
     pairs_compared_ says how many pairs it compared. With fewer, points are put into grid cells whose points all lie within eps of each other. So all points of a cell of min_samples are core, core points of a cell belong together, and distances
     are needed only for points of thinner cells, and between cells whose bounds leave it open whether two of their core points
     are neighbours. Which cells are near is read off the grid. A crowded cell is dealt into parts of about PART points, so no task holds it whole.
@@ -214,15 +214,16 @@ class DBSCAN(Estimator):
         return points, cut(near.select("cell", "n", "other", "n_other", "parts_other"), "dbscan-near")
 
     def _fit_balls(self, points: DataFrame, d: int) -> None:
-        """By cells of equal points, named by their least id: a range join by pivots finds those within eps of each other, which is all that has to be known."""
+        """By cells of equal points, named by their least id: a range join by pivots finds how many are within eps of each, and which core cells are linked."""
         points = cut(points, "dbscan-points")
         cells = cut(points.groupBy("x").agg(F.min("id").alias("cell"), F.count(F.lit(1)).alias("n")), "dbscan-cells")
         named = cut(points.join(cells.select("x", "cell"), "x").select("id", "cell"), "dbscan-points")
-        found, self.pairs_compared_ = range_pairs(cells.select(F.col("cell").alias("id"), "x"), d, self.eps, self.metric)
-        pairs = cut(found.toDF("cell", "other"), "dbscan-pairs")
-        around = pairs.join(cells.select(F.col("cell").alias("other"), "n"), "other").groupBy("cell").agg(F.sum("n").alias("n"))
+        found, self.pairs_compared_ = dense_links(cells.select(F.col("cell").alias("id"), "x", "n"), d, self.eps, self.min_samples, self.metric)
+        found = cut(found.toDF("cell", "other", "n", "sure"), "dbscan-links")
+        pairs, around = found.where("NOT sure").select("cell", "other"), found.where("other IS NULL").groupBy("cell").agg(F.sum("n").alias("n"))
         core = cut(around.where(F.col("n") >= self.min_samples).select("cell"), "dbscan-core")
-        links = pairs.where("cell < other").join(core, "cell", "left_semi").join(core.withColumnRenamed("cell", "other"), "other", "left_semi")
+        links = pairs.where("cell < other").join(core, "cell", "left_semi").join(core.withColumnRenamed("cell", "other"), "other", "left_semi").select("cell", "other")
+        links = cut(links.unionByName(found.where("sure AND cell <> other").select("cell", "other")).distinct(), "dbscan-core-links")
         labels = cut(closure(core.select(F.col("cell").alias("id")), links.select(F.col("cell").alias("u"), F.col("other").alias("v"))), "dbscan-labels")
         number = ranked(labels.select("label").distinct(), [F.col("label")], rank="cluster").withColumn("cluster", F.col("cluster").cast("int"))
         of_core = cut(labels.join(number, "label").select(F.col("id").alias("cell"), "cluster"), "dbscan-clusters")
